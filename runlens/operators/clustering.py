@@ -213,10 +213,8 @@ def _step(rows: DataFrame, current: np.ndarray, previous: np.ndarray | None):
     merged = (
         partials.groupBy("cluster")
         .agg(
-            F.sum("n").alias("n"),
-            F.sum("moved").alias("moved"),
-            F.sum("inertia").alias("inertia"),
-            *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)],
+            *[F.expr(f"sum({c}) AS {c}") for c in ("n", "moved", "inertia")],
+            *[F.expr(f"sum(sums[{i}]) AS s{i}") for i in range(width)],
         )
         .collect()
     )

@@ -98,7 +98,7 @@ def delta_ci(
     side = kept.withColumn("__base", is_base).withColumns(
         {k: F.when(~is_base, F.col(k)) for k in rest}
     )
-    aggs = {"n": "count(1)"}
+    aggs = [F.count(F.lit(1)).alias("n")]
     for name, column in metrics.items():
         x = no_nan(F.col(column))
         aggs += [F.avg(x).alias(f"{name}_m"), F.stddev_samp(x).alias(f"{name}_s")]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.scalars import no_nan
@@ -109,9 +110,15 @@ def linear_svm_predict(df: DataFrame, coefficients: Sequence[tuple[str, float]])
 
 # -- sampling ---------------------------------------------------------------
 def normal_sample(
-    spark: SparkSession, n: int, mean: float, sd: float, label: int, seed: int
+    rows: DataFrame, key: str, mean: float, sd: float, label: int, seed: int
 ) -> DataFrame:
-    """``n`` normal values of one class; every class should get its own seed."""
-    return spark.range(n).select(
-        F.lit(label).alias("label"), (F.randn(seed) * sd + mean).alias("x")
-    )
+    """One normal value per row of a class; every class should get its own seed.
+
+    Two hashes of (seed, key) make the value (Box-Muller), so it does not change
+    with the partitions or when a lost task runs again.
+    """
+    uniform = lambda salt: (
+        F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)), F.lit(2**53 - 1)) + 1
+    ) / 2.0**53
+    z = F.sqrt(F.ln(uniform("r")) * -2) * F.cos(uniform("a") * 2 * math.pi)
+    return rows.select(F.lit(label).alias("label"), key, (z * sd + mean).alias("x"))

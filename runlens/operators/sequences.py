@@ -7,7 +7,8 @@ chunk, found on a table with one row per chunk.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -226,37 +227,27 @@ def canonical_ratio_distinct(df: DataFrame, num: str, den: str) -> DataFrame:
     ).distinct()
 
 
+# An exact common denominator of more values than this has no practical size.
+MAX_DENOMINATORS = 10_000
+
+
 def ratio_total(ratios: DataFrame) -> DataFrame:
-    """Exact sum of ratios as one ratio in lowest terms, with their number.
+    """Exact sum of ratios in lowest terms, with their number.
 
-    Ratios are first summed per denominator.  The common denominator is then
-    built from those, one row per distinct denominator.
+    Numerators are summed per denominator in Spark; only one row per distinct
+    denominator is brought to the driver, where integers have no size limit.
     """
-    import math
-
-    per_den = measured(ratios.groupBy("den").agg(F.sum("num").alias("num"), F.count(F.lit(1)).alias("n")))
-    common = math.lcm(*_bounded_values(per_den, "den"))
-    scaled = F.col("num").cast("decimal(38,0)") * F.expr(f"CAST({common} AS DECIMAL(38,0)) div den")
-    total = per_den.agg(F.sum(scaled.cast("decimal(38,0)")).alias("t"), F.sum("n").alias("n_ratios"))
-    row = total.first()
-    if row["t"] is None:
-        return total.select(F.lit(None).cast("decimal(38,0)").alias("num"), F.lit(None).cast("decimal(38,0)").alias("den"), F.coalesce("n_ratios", F.lit(0)).alias("n_ratios"))
-    shared = math.gcd(int(row["t"]), common)
-    return total.select(
-        F.lit(str(int(row["t"]) // shared)).cast("decimal(38,0)").alias("num"),
-        F.lit(str(common // shared)).cast("decimal(38,0)").alias("den"),
-        "n_ratios",
+    per_den = ratios.groupBy("den").agg(
+        F.sum(F.col("num").cast("decimal(38,0)")).alias("num"), F.count(F.lit(1)).alias("n")
+    )
+    rows = per_den.limit(MAX_DENOMINATORS + 1).collect()
+    if len(rows) > MAX_DENOMINATORS:
+        raise ValueError(f"more than {MAX_DENOMINATORS} distinct denominators")
+    total = sum((Fraction(int(r["num"]), r["den"]) for r in rows), Fraction(0))
+    return ratios.sparkSession.createDataFrame(
+        [(str(total.numerator), str(total.denominator), float(total), sum(r["n"] for r in rows))],
+        "num string, den string, total double, n_ratios bigint",
     )
-
-
-MAX_DENOMINATORS = 10_000
-
-
-def _bounded_values(df: DataFrame, column: str) -> list[int]:
-    found = [r[0] for r in df.select(column).limit(MAX_DENOMINATORS + 1).collect()]
-    if len(found) > MAX_DENOMINATORS:
-        raise ValueError(f"more than {MAX_DENOMINATORS} distinct denominators have no practical common one")
-    return found
 
 
 # -- power over time --------------------------------------------------------
@@ -274,6 +265,3 @@ def energy_integral(
         F.count(F.lit(1)).alias("n_samples"), F.coalesce(F.sum(area), F.lit(0.0)).alias("joules")
     )
 
-
-def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))
