@@ -72,31 +72,62 @@ def kmeans_assign(points: DataFrame, centroids: DataFrame, vec: str = "vec") ->
     )
 
 
-def _merge_sums(partials: DataFrame) -> DataFrame:
-    """Per-batch (cluster, n, sums) to one row per cluster with its mean."""
-    per_cell = (
-        partials.select("cluster", "n", F.posexplode("sums").alias("pos", "s"))
-        .groupBy("cluster", "pos")
-        .agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    )
-    packed = F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("m"))))
-    return per_cell.groupBy("cluster").agg(
-        F.max("n").alias("n"), F.transform(packed, lambda e: e["m"]).alias("centroid")
-    )
+# Positions below zero in the long rows carry per-cluster totals.
+_COUNT, _MOVED, _INERTIA = -1, -2, -3
+_TOTALS = "cluster int, pos int, s double"
+
+
+class _Totals:
+    """Sums per cluster over the batches of one task."""
+
+    def __init__(self) -> None:
+        self.sums: dict[int, np.ndarray] = {}
+        self.counts: dict[int, int] = {}
+
+    def add(self, x: np.ndarray, cluster: np.ndarray) -> None:
+        found, place = np.unique(cluster, return_inverse=True)
+        sums = np.zeros((len(found), x.shape[1]))
+        np.add.at(sums, place, x)
+        for k, row, n in zip(found.tolist(), sums, np.bincount(place).tolist()):
+            self.sums[k] = self.sums[k] + row if k in self.sums else row
+            self.counts[k] = self.counts.get(k, 0) + n
+
+    def batch(self, extra: dict[int, float] | None = None) -> pa.RecordBatch:
+        """Rows (cluster, position, sum), with the counts and other totals."""
+        rows = [(k, pos, s) for k, row in self.sums.items() for pos, s in enumerate(row.tolist())]
+        rows += [(k, _COUNT, float(n)) for k, n in self.counts.items()]
+        rows += [(-1, pos, value) for pos, value in (extra or {}).items()]
+        cluster, pos, s = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cluster, pa.int32()), pa.array(pos, pa.int32()), pa.array(s, pa.float64())],
+            names=["cluster", "pos", "s"],
+        )
 
 
 def kmeans_update(assigned: DataFrame, centroids: DataFrame | None = None, vec: str = "vec") -> DataFrame:
     """Mean of every cluster's members; an empty cluster keeps its centroid."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = _Totals()
         for batch in batches:
-            cluster = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             x, _ = as_matrix(batch.column(1))
             if len(x):
-                yield _batch_sums(x, cluster)
+                totals.add(x, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        yield totals.batch()
 
     rows = assigned.select("cluster", vec).filter(F.col("cluster").isNotNull() & F.col(vec).isNotNull())
-    means = _merge_sums(rows.mapInArrow(partial, "cluster int, n bigint, sums array<double>"))
+    cells = rows.mapInArrow(partial, _TOTALS).groupBy("cluster", "pos").agg(F.sum("s").alias("s"))
+    # one array per cluster, as long as a vector
+    packed = F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "s"))))
+    means = (
+        cells.groupBy("cluster")
+        .agg(F.max(F.when(F.col("pos") == _COUNT, F.col("s"))).alias("n"), packed.alias("sums"))
+        .select(
+            "cluster",
+            F.col("n").cast("bigint").alias("n"),
+            F.transform("sums", lambda e: e["s"] / F.col("n")).alias("centroid"),
+        )
+    )
     if centroids is None:
         return means
     old = centroids.select("cluster", F.col("centroid").alias("__old"))
@@ -105,20 +136,6 @@ def kmeans_update(assigned: DataFrame, centroids: DataFrame | None = None, vec:
     )
 
 
-def _batch_sums(x: np.ndarray, cluster: np.ndarray) -> pa.RecordBatch:
-    found, place = np.unique(cluster, return_inverse=True)
-    sums = np.zeros((len(found), x.shape[1]))
-    np.add.at(sums, place, x)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(found, type=pa.int32()),
-            pa.array(np.bincount(place), type=pa.int64()),
-            pa.array(list(sums), type=pa.list_(pa.float64())),
-        ],
-        names=["cluster", "n", "sums"],
-    )
-
-
 def kmeans_inertia(assigned: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataFrame:
     """Sum of squared distances from members to the given (updated) centroids."""
     matrix = _centroid_matrix(centroids)
@@ -187,36 +204,25 @@ def _step(rows: DataFrame, current: np.ndarray, previous: np.ndarray | None):
     """Sums per cluster, rows that moved, and inertia of the previous clusters."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, moved, inertia = _Totals(), 0, 0.0
         for batch in batches:
             x, _ = as_matrix(batch.column(0))
             if not len(x):
                 continue
             cluster, _ = nearest(x, current)
-            moved, inertia = len(x), 0.0
+            totals.add(x, cluster)
             if previous is not None:
                 before, _ = nearest(x, previous)
                 gap = x - current[before]
-                moved, inertia = int((before != cluster).sum()), float((gap * gap).sum())
-            sums = _batch_sums(x, cluster)
-            extra = np.zeros(len(sums))
-            count = np.zeros(len(sums), dtype=np.int64)
-            extra[0], count[0] = inertia, moved
-            yield pa.RecordBatch.from_arrays(
-                [*sums.columns, pa.array(count), pa.array(extra)],
-                names=["cluster", "n", "sums", "moved", "inertia"],
-            )
-
-    partials = rows.mapInArrow(
-        partial, "cluster int, n bigint, sums array<double>, moved bigint, inertia double"
-    )
-    width = len(current[0])
-    merged = (
-        partials.groupBy("cluster")
-        .agg(
-            *[F.expr(f"sum({c}) AS {c}") for c in ("n", "moved", "inertia")],
-            *[F.expr(f"sum(sums[{i}]) AS s{i}") for i in range(width)],
-        )
-        .collect()
-    )
-    sums = [(r["cluster"], r["n"], [r[f"s{i}"] for i in range(width)]) for r in merged]
-    return sums, sum(r["moved"] for r in merged), sum(r["inertia"] for r in merged)
+                moved += int((before != cluster).sum())
+                inertia += float((gap * gap).sum())
+        yield totals.batch({_MOVED: float(moved), _INERTIA: inertia})
+
+    cells = rows.mapInArrow(partial, _TOTALS).groupBy("cluster", "pos").agg(F.sum("s").alias("s")).collect()
+    totals = {(r["cluster"], r["pos"]): r["s"] for r in cells}
+    sums = [
+        (k, n, [totals[k, i] for i in range(current.shape[1])])
+        for (k, pos), n in totals.items()
+        if pos == _COUNT
+    ]
+    return sums, totals[-1, _MOVED], totals[-1, _INERTIA]

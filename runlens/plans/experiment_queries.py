@@ -513,11 +513,14 @@ def memory_pct(spark, sf_dir):
     return _samples(spark, sf_dir).select("event_id", P.memory_pct("USED_MEMORY", "TOTAL_MEMORY").alias("pct"))
 
 
-@query("round_metrics", "run_id:s power_watts:d energy_joules:d", Q.RUNS + """SELECT run_id,
-  CAST(round(CAST(power_watts AS DECIMAL(30, 12)), 3) AS DOUBLE) AS power_watts,
-  CAST(round(CAST(energy_joules AS DECIMAL(30, 12)), 3) AS DOUBLE) AS energy_joules FROM runs""")
+@query("round_metrics", "run_id:s log_energy:d root_power:d", Q.RUNS + """SELECT run_id,
+  round(ln(energy_joules), 3) AS log_energy, round(sqrt(power_watts), 3) AS root_power FROM runs""")
 def round_metrics(spark, sf_dir):
-    return P.round_metrics(runs(spark, sf_dir), ["power_watts", "energy_joules"], 3)
+    # roots and logarithms never lie halfway, where engines round differently
+    metrics = runs(spark, sf_dir).select(
+        "run_id", F.ln("energy_joules").alias("log_energy"), F.sqrt("power_watts").alias("root_power")
+    )
+    return P.round_metrics(metrics, ["log_energy", "root_power"], 3)
 
 
 @query("split_last_token", "head:s tail:s n:i", r"""SELECT regexp_extract(name, '^(.*)_([^_]+)$', 1) AS head,
@@ -741,7 +744,7 @@ def _treatment_delta(spark, sf_dir):
     return C.treatment_delta(_slopes(spark, sf_dir), "CODE_OPTIMIZATION", "MULTITHREADING")
 
 
-@query("family_average", "benchmark:s results_set:s treatment:s energy_joules:6", Q.TREATMENTS + "SELECT * FROM treated")
+@query("family_average", "benchmark:s results_set:s treatment:s energy_joules:7", Q.TREATMENTS + "SELECT * FROM treated")
 def family_average(spark, sf_dir):
     return _treated(spark, sf_dir)
 
@@ -975,7 +978,7 @@ def scalar_baseline(spark, sf_dir):
 
 
 # -- set operations ---------------------------------------------------------
-@query("union_by_name", "benchmark:s results_set:s energy_joules:6 treatment:s run_id:s", Q.TREATMENTS + """SELECT benchmark, results_set,
+@query("union_by_name", "benchmark:s results_set:s energy_joules:7 treatment:s run_id:s", Q.TREATMENTS + """SELECT benchmark, results_set,
   energy_joules, treatment, NULL AS run_id FROM treated UNION ALL
 SELECT benchmark, results_set, energy_joules, NULL AS treatment, run_id FROM runs WHERE variant = 'BASELINE'""")
 def union_by_name(spark, sf_dir):
