@@ -347,11 +347,24 @@ def run_rollup(samples: DataFrame, keys: Sequence[str], measures: Mapping[str, C
 
 
 # -- small summaries --------------------------------------------------------
+def summary_stats(
+    aggregated: DataFrame,
+    keys: Sequence[str],
+    spec: Spec,
+    extra: Mapping[str, Column | str] | None = None,
+) -> DataFrame:
+    """``grouped_stats`` over an aggregate, which is materialised first.
+
+    Its size is then known, so a few rows never take the path for large groups.
+    """
+    return grouped_stats(measured(aggregated), keys, spec, extra)
+
+
 def type_comparison(pair_stats: DataFrame) -> DataFrame:
     """Mean of means and median of medians per benchmark and variant type."""
     typed = pair_stats.withColumn("variant_type", variant_type_of("variant"))
     spec = {"of_mean": ("energy_mean", ("mean",)), "of_median": ("energy_median", ("median",))}
-    return grouped_stats(typed, ["benchmark", "variant_type"], spec, method="memory").select(
+    return summary_stats(typed, ["benchmark", "variant_type"], spec).select(
         "benchmark",
         "variant_type",
         F.col("of_mean_mean").alias("energy_mean"),

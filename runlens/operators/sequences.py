@@ -1,8 +1,9 @@
-"""Neighbours in order, without putting a whole group on one task.
+"""Neighbours in order, without putting a large group on one task.
 
-A group's rows are cut into chunks of the order key.  Inside a chunk a window
-finds the neighbour; the last row of a chunk takes the first row of the next
-chunk, found on a table with one row per chunk.
+Groups of ordinary size use a plain window.  Groups that a count shows to be
+large are cut into chunks of the order key.  Inside a chunk a window finds the
+neighbour; the last row of a chunk takes the first row of the next chunk, found
+on a table with one row per chunk.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from runlens.operators.order_stats import bucket_of
 from runlens.operators.sizing import attach, attach_row, measured
 
 
+# A group with more rows than this is cut into chunks.
+HOT_ROWS = 1_000_000
+
+
 def with_next(
     df: DataFrame,
     keys: Sequence[str],
@@ -25,18 +30,33 @@ def with_next(
     columns: Sequence[str],
     chunk: Column,
     name: str = "next",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds a struct with the following row's ``columns``; null for the last row.
 
     ``chunk`` must not decrease along ``order``.
     """
     keys = list(keys)
+    if not keys:
+        return _next_by_chunk(df, keys, order, columns, chunk, name)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = measured(sizes.filter(F.col("__n") > hot_rows).select(*keys))
+    plain = F.lead(F.struct(*columns)).over(W.partitionBy(*keys).orderBy(*order))
+    if hot.isEmpty():
+        return df.withColumn(name, plain)
+    cold = attach(df, hot, keys, "left_anti").withColumn(name, plain)
+    cut = _next_by_chunk(attach(df, hot, keys, "left_semi"), keys, order, columns, chunk, name)
+    return cold.unionByName(cut)
+
+
+def _next_by_chunk(
+    df: DataFrame, keys: list[str], order: Sequence[str], columns: Sequence[str], chunk: Column, name: str
+) -> DataFrame:
     cells = df.withColumn("__chunk", chunk)
-    place = F.struct(*order)
     head = F.struct(*columns)
     heads = (
         cells.groupBy(*keys, "__chunk")
-        .agg(F.min_by(head, place).alias("__head"))
+        .agg(F.min_by(head, F.struct(*order)).alias("__head"))
         .withColumn("__next_head", F.lead("__head").over(W.partitionBy(*keys).orderBy("__chunk")))
         .select(*keys, "__chunk", "__next_head")
     )
@@ -54,7 +74,12 @@ def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 # -- routes -----------------------------------------------------------------
 def route_legs(
-    stops: DataFrame, route: str, order: Sequence[str], chunk: Column, closed: bool = True
+    stops: DataFrame,
+    route: str,
+    order: Sequence[str],
+    chunk: Column,
+    closed: bool = True,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per leg with both ends and its length.
 
@@ -62,7 +87,7 @@ def route_legs(
     """
     columns = ["node", "x", "y"]
     place = F.struct(*order)
-    legs = with_next(stops, [route], order, columns, chunk).filter(F.col("next").isNotNull())
+    legs = with_next(stops, [route], order, columns, chunk, hot_rows=hot_rows).filter(F.col("next").isNotNull())
     legs = legs.select(route, *columns, "next")
     if closed:
         ends = (
@@ -105,7 +130,7 @@ def edge_weights(
         F.count(F.lit(1)).alias("times")
     )
     added = (
-        attach(travelled, lengths.select(route, "length"), [route], "inner")
+        attach(travelled, lengths.select(route, "length"), [route], "inner", null_safe=False)
         .groupBy("a", "b")
         .agg(F.sum(F.try_divide(F.lit(float(q)), F.col("length")) * F.col("times")).alias("added"))
     )
@@ -252,14 +277,20 @@ def ratio_total(ratios: DataFrame) -> DataFrame:
 
 # -- power over time --------------------------------------------------------
 def energy_integral(
-    samples: DataFrame, keys: Sequence[str], time: str, power: str, width_seconds: int = 3600
+    samples: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    power: str,
+    width_seconds: int = 3600,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Trapezoid of power over time per run (an added cross-check of the log value)."""
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
     rows = samples.select(*keys, seconds.alias("t"), F.col(power).alias("w")).filter(
         F.col("t").isNotNull() & F.col("w").isNotNull()
     )
-    linked = with_next(rows, keys, ["t", "w"], ["t", "w"], F.floor(F.col("t") / width_seconds))
+    chunk = F.floor(F.col("t") / width_seconds)
+    linked = with_next(rows, keys, ["t", "w"], ["t", "w"], chunk, hot_rows=hot_rows)
     area = (F.col("next.t") - F.col("t")) * (F.col("next.w") + F.col("w")) / 2
     return linked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"), F.coalesce(F.sum(area), F.lit(0.0)).alias("joules")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import pvalues as P
-from runlens.functions.scalars import is_finite, no_nan, significance_label
+from runlens.functions.scalars import no_nan, significance_label
 from runlens.operators.aggregates import grouped_stats
 from runlens.operators.order_stats import value_positions
 from runlens.operators.sizing import attach, measured
@@ -75,8 +75,9 @@ def shapiro_wilk(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
 
 def choose_test(df: DataFrame, by: Sequence[str], x: str, alpha: float = 0.05) -> DataFrame:
     """Signed-rank test where normality is rejected, otherwise the t-test."""
+    df = measured(df.select(*by, x))  # four results are taken from it
     spec = {"x": (x, ("median", "mean", "sd"))}
-    centre = grouped_stats(df, by, spec, {"n": "count(1)"}, "memory" if _aggregated(df) else "auto")
+    centre = grouped_stats(df, by, spec, {"n": "count(1)"})
     centre = centre.withColumnsRenamed({"x_median": "median", "x_mean": "mean", "x_sd": "sd"})
     parts = {
         "shapiro_p": shapiro_wilk(df, by, x),
@@ -103,17 +104,7 @@ def choose_test(df: DataFrame, by: Sequence[str], x: str, alpha: float = 0.05) -
     )
 
 
-def _aggregated(df: DataFrame) -> bool:
-    from runlens.operators.sizing import fits_in_memory
-
-    return fits_in_memory(df)
-
-
 def verdict(tests: DataFrame) -> DataFrame:
     """Direction of every significant change."""
     direction = F.when(F.col("median") < 0, "REDUCTION").otherwise("INCREASE")
     return tests.withColumn("verdict", F.when(F.col("significant"), direction))
-
-
-def finite_values(df: DataFrame, x: str) -> DataFrame:
-    return df.filter(is_finite(x))

@@ -11,6 +11,8 @@ from runlens.session import setting
 
 # Above this estimated input size the in-memory forms are not used.
 IN_MEMORY_BYTES = 32 * 1024 * 1024
+# An aggregated side with more rows than this is not kept for reuse.
+KEPT_ROWS = 5_000_000
 
 
 def in_memory_bytes(df: DataFrame) -> int:
@@ -42,24 +44,35 @@ def measured(small: DataFrame) -> DataFrame:
 
     The side is computed once and kept.  Later joins then see its true byte
     count: Spark broadcasts it below ``spark.sql.autoBroadcastJoinThreshold``
-    and uses a shuffled join, with skewed partitions split, above it.
+    and uses a shuffled join, with skewed partitions split, above it.  A side
+    that turns out to have more than ``KEPT_ROWS`` rows is not kept.
     A lost executor only means that its cached blocks are computed again.
     """
     kept = small.persist()
-    kept.count()
-    return kept
+    if kept.count() > KEPT_ROWS:
+        kept.unpersist()
+    return small
 
 
 def attach(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    null_safe: bool = True,
 ) -> DataFrame:
-    """Join on ``keys`` with nulls equal, keeping the left key columns."""
+    """Join on ``keys``, keeping the left key columns.
+
+    Null keys are equal to each other.  ``null_safe=False`` gives an ordinary
+    equality, which can reuse how the sides are already partitioned.
+    """
     if not keys:
         raise ValueError("attach needs at least one key")
     renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
     condition = None
     for k in keys:
-        term = left[k].eqNullSafe(renamed[f"__right_{k}"])
+        other = renamed[f"__right_{k}"]
+        term = left[k].eqNullSafe(other) if null_safe else left[k] == other
         condition = term if condition is None else condition & term
     return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])
 

@@ -13,6 +13,7 @@ from runlens.operators import neural as NN
 from runlens.operators import pairs as PR
 from runlens.operators import sequences as SQ
 from runlens.operators import text as TX
+from runlens.operators.order_stats import bucket_of
 from runlens.operators.sizing import attach_row, measured
 from runlens.plans.driver_tables import table
 from runlens.plans.registry import query
@@ -270,8 +271,12 @@ def _stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _legs(spark, sf_dir):
-    # chunks of a year keep any customer's orders on several tasks
-    return SQ.route_legs(_stops(spark, sf_dir), "route", ["day", "seq"], F.floor(F.col("day") / 365))
+    # a customer with very many orders is cut by day and, within it, by order key
+    stops = _stops(spark, sf_dir)
+    ends = stops.agg(F.min("seq").cast("double").alias("__lo"), F.max("seq").cast("double").alias("__hi"))
+    part = bucket_of(F.col("seq").cast("double"), F.col("__lo"), F.col("__hi"), 64)
+    located = attach_row(stops, ends).withColumn("chunk", F.col("day") * 64 + part).drop("__lo", "__hi")
+    return SQ.route_legs(located, "route", ["day", "seq"], F.col("chunk"))
 
 
 _LEGS_SQL = """WITH stops AS (

@@ -11,14 +11,16 @@ from pyspark.sql import SparkSession
 def local_session(cores: str | int = "*", memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks on one machine.
 
-    On a cluster the caller brings a session; AQE, skew-join splitting and the
-    broadcast threshold are left at Spark's defaults there.
+    On a cluster the caller brings a session.  AQE and the broadcast threshold
+    keep Spark's defaults; splitting skewed joins is worth forcing, so that it
+    also happens where an aggregate on the same key follows the join.
     """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("runlens")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

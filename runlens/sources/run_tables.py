@@ -112,6 +112,7 @@ def runs_with_log(runs: DataFrame, logs: DataFrame) -> DataFrame:
         runs,
         logs.select("results_set", "run_id", "energy_joules_log", "exec_time_sec_log"),
         ["results_set", "run_id"],
+        null_safe=False,
     )
 
 
