@@ -30,35 +30,52 @@ def with_next(
     columns: Sequence[str],
     chunk: Column,
     name: str = "next",
+    first: str | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds a struct with the following row's ``columns``; null for the last row.
 
+    ``first`` names a second struct with the columns of the group's first row.
     ``chunk`` must not decrease along ``order``.
     """
     keys = list(keys)
     if not keys:
-        return _next_by_chunk(df, keys, order, columns, chunk, name)
+        return _next_by_chunk(df, keys, order, columns, chunk, name, first)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = measured(sizes.filter(F.col("__n") > hot_rows).select(*keys))
-    plain = F.lead(F.struct(*columns)).over(W.partitionBy(*keys).orderBy(*order))
+    ordered = W.partitionBy(*keys).orderBy(*order)
+    plain = {name: F.lead(F.struct(*columns)).over(ordered)}
+    if first:
+        plain[first] = F.first(F.struct(*columns)).over(ordered)
     if hot.isEmpty():
-        return df.withColumn(name, plain)
-    cold = attach(df, hot, keys, "left_anti").withColumn(name, plain)
-    cut = _next_by_chunk(attach(df, hot, keys, "left_semi"), keys, order, columns, chunk, name)
+        return df.withColumns(plain)
+    cold = attach(df, hot, keys, "left_anti").withColumns(plain)
+    cut = _next_by_chunk(
+        attach(df, hot, keys, "left_semi"), keys, order, columns, chunk, name, first
+    )
     return cold.unionByName(cut)
 
 
 def _next_by_chunk(
-    df: DataFrame, keys: list[str], order: Sequence[str], columns: Sequence[str], chunk: Column, name: str
+    df: DataFrame,
+    keys: list[str],
+    order: Sequence[str],
+    columns: Sequence[str],
+    chunk: Column,
+    name: str,
+    first: str | None,
 ) -> DataFrame:
     cells = df.withColumn("__chunk", chunk)
     head = F.struct(*columns)
+    by_chunk = W.partitionBy(*keys).orderBy("__chunk")
+    found = {"__next_head": F.lead("__head").over(by_chunk)}
+    if first:
+        found[first] = F.first("__head").over(by_chunk)
     heads = (
         cells.groupBy(*keys, "__chunk")
         .agg(F.min_by(head, F.struct(*order)).alias("__head"))
-        .withColumn("__next_head", F.lead("__head").over(W.partitionBy(*keys).orderBy("__chunk")))
-        .select(*keys, "__chunk", "__next_head")
+        .withColumns(found)
+        .drop("__head")
     )
     inside = F.lead(head).over(W.partitionBy(*keys, "__chunk").orderBy(*order))
     return (
@@ -85,22 +102,17 @@ def route_legs(
 
     A closed route also has the leg from its last stop back to its first.
     """
-    columns = ["node", "x", "y"]
-    place = F.struct(*order)
-    legs = with_next(stops, [route], order, columns, chunk, hot_rows=hot_rows).filter(F.col("next").isNotNull())
-    legs = legs.select(route, *columns, "next")
+    columns = ["node", "x", "y", *order]
+    linked = with_next(
+        stops, [route], order, columns, chunk, first="first" if closed else None, hot_rows=hot_rows
+    )
     if closed:
-        ends = (
-            stops.groupBy(route)
-            .agg(
-                F.max_by(F.struct(*columns), place).alias("last"),
-                F.min_by(F.struct(*columns), place).alias("next"),
-                F.count(F.lit(1)).alias("n"),
-            )
-            .filter(F.col("n") > 1)
-            .select(route, *[F.col(f"last.{c}").alias(c) for c in columns], "next")
-        )
-        legs = legs.unionByName(ends)
+        alone = F.lit(True)
+        for c in order:
+            alone &= F.col(c).eqNullSafe(F.col("first").getField(c))
+        # the last stop leads to the first one, unless it is the only stop
+        linked = linked.withColumn("next", F.coalesce("next", F.when(~alone, F.col("first"))))
+    legs = linked.filter(F.col("next").isNotNull())
     return legs.select(
         route,
         F.col("node").alias("from_node"),
