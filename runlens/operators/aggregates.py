@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runlens import schema as S
 from runlens.functions.scalars import memory_pct, no_nan, row_mean, stability_4, stability_5
 from runlens.functions.scalars import variant_type as variant_type_of
-from runlens.operators.order_stats import exact_quantiles, in_group_quantiles, quantile_name
+from runlens.operators.order_stats import exact_quantiles, gathered, in_group_quantiles, quantile_name
 from runlens.operators.sizing import attach, attach_row, fits_in_memory, measured
 
 FULL = ("mean", "median", "sd", "variance", "min", "max", "q25", "q75", "iqr", "cv")
@@ -76,12 +76,16 @@ def grouped_stats(
         names = [m for m in _QUANTILES if m in needed]
         if names:
             packed[prefix] = names
-    if method == "memory":
+    together = method == "memory" and bool(keys)
+    if together:
         for prefix, names in packed.items():
             probs = [_QUANTILES[m] for m in names]
             aggs.append(in_group_quantiles(spec[prefix][0], probs).alias(f"__{prefix}"))
-    base = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
-    if packed and method == "memory":
+    if not aggs and not keys:
+        aggs.append(F.count(F.lit(1)).alias("__rows"))  # one row, also for empty input
+    rows = gathered(df, keys) if packed and together else df
+    base = rows.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+    if packed and together:
         base = base.selectExpr(
             "*",
             *[
@@ -91,7 +95,7 @@ def grouped_stats(
             ],
         )
     elif packed:
-        base = _attach_quantiles(df, keys, base, spec, packed)
+        base = _attach_quantiles(df, keys, base, spec, packed, method)
     return base.selectExpr(
         *keys,
         *extra,
@@ -104,11 +108,16 @@ def grouped_stats(
 
 
 def _attach_quantiles(
-    df: DataFrame, keys: list[str], base: DataFrame, spec: Spec, packed: Mapping[str, list[str]]
+    df: DataFrame,
+    keys: list[str],
+    base: DataFrame,
+    spec: Spec,
+    packed: Mapping[str, list[str]],
+    method: str,
 ) -> DataFrame:
     columns = sorted({spec[p][0] for p in packed})
     probs = sorted({_QUANTILES[m] for names in packed.values() for m in names})
-    q = exact_quantiles(df, keys, columns, probs, method="refine")
+    q = exact_quantiles(df, keys, columns, probs, method)
     joined = attach(base, q, keys) if keys else attach_row(base, q)
     return joined.selectExpr(
         *base.columns,

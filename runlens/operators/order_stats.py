@@ -34,6 +34,15 @@ def in_group_quantiles(column: str, probs: Sequence[float]) -> Column:
     return F.percentile(no_nan(column), F.array(*[F.lit(float(p)) for p in probs]))
 
 
+def gathered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows placed by group, for small inputs with built-in quantiles.
+
+    Sending the few rows once is cheaper than sending and merging one map of
+    distinct values per group and task.
+    """
+    return df.repartition(*keys) if keys else df
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,8 +53,10 @@ def exact_quantiles(
     """One row per group; ``quantile_name(column, p)`` names the values."""
     if method == "auto":
         method = "memory" if fits_in_memory(df) else "refine"
+    if method == "memory" and not keys:
+        return _overall_quantiles(df, list(columns), list(probs))
     if method == "memory":
-        packed = df.groupBy(*keys).agg(
+        packed = gathered(df, keys).groupBy(*keys).agg(
             *[in_group_quantiles(c, probs).alias(f"__{i}") for i, c in enumerate(columns)]
         )
         return packed.select(
@@ -61,6 +72,23 @@ def exact_quantiles(
     return _refined_quantiles(df, list(keys), list(columns), list(probs))
 
 
+def _overall_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Small inputs without keys: the columns become groups, one task each."""
+    per_column = (
+        _long(df, [], columns)
+        .repartition("m")
+        .groupBy("m")
+        .agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+    )
+    return per_column.agg(
+        *[
+            F.expr(f"max(CASE WHEN m = {i} THEN q[{j}] END) AS {quantile_name(c, p)}")
+            for i, c in enumerate(columns)
+            for j, p in enumerate(probs)
+        ]
+    )
+
+
 # -- bucketed selection -----------------------------------------------------
 def _scaled(v: Column) -> Column:
     """Monotone compression, so that one far outlier does not fill one bucket."""

@@ -60,6 +60,10 @@ def test_global_quantiles_and_empty_input(mixed, method):
     assert got == pytest.approx(st.median(x))
     none = OS.exact_quantiles(df.filter("false"), ["benchmark"], ["energy_joules"], [0.5], method)
     assert none.count() == 0
+    spec = {"x": ("energy_joules", ("median",))}
+    assert A.grouped_stats(df, [], spec, method=method).first()[0] == pytest.approx(st.median(x))
+    empty = A.grouped_stats(df.filter("false"), [], spec, method=method).collect()
+    assert [tuple(r) for r in empty] == [(None,)]
 
 
 @pytest.mark.parametrize("method", ["memory", "bucket"])
