@@ -274,7 +274,7 @@ def materialise_clean(spark, sf_dir):
     )
 
 
-_ROLLUP_COLUMNS = "user_id:i n_samples:i avg_power_watts:7 max_power_watts min_power_watts cpu_usage_avg:7 memory_usage_avg:7"
+_ROLLUP_COLUMNS = "user_id:i n_samples:i avg_power_watts:8 max_power_watts min_power_watts cpu_usage_avg:8 memory_usage_avg:8"
 
 
 @query("run_rollup", _ROLLUP_COLUMNS, Q.ROLLUP)
