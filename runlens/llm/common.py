@@ -76,3 +76,11 @@ def list_array(lists: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(x) for x in lists], out=offsets[1:])
     values = np.concatenate(lists) if lists else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values).cast(kind))
+
+
+def joinable(df: DataFrame, row_bytes: int, most_bytes: int = 8 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it is small enough, else as it is, for a shuffled join.
+
+    ``df`` must be cheap to count (a table already written); the count is exact.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
