@@ -1,4 +1,4 @@
 """All queries of the subpackage."""
 
-from . import queries_filters, queries_language, queries_tokens  # noqa: F401
+from . import queries_decontaminate, queries_filters, queries_language, queries_tokens  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
