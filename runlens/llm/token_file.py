@@ -16,6 +16,7 @@ stay separate rows, ordered by their text; a null id comes first.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import byte_slices, list_array
 
 BLOCK_IDS = 1 << 16
 #: Parts of texts kept from batch to batch, and how long they may be.
-KEPT_PARTS = 1_000_000
+KEPT_PARTS = 400_000
 KEPT_LENGTH = 64
 
 BLOCKS = (
@@ -83,30 +84,74 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path), {}
 
 
+@lru_cache(maxsize=1)
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    own = set(plain)
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+def _merge_input(word: str) -> str | None:
+    """What the merges see of a word of Latin letters; null if the word needs the whole tokenizer."""
+    if not word.isalpha() or max(word) > "\u024f":
+        return None
+    if word.isascii():
+        return word.lower()
+    lowered = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+    if not lowered.isalpha():
+        return None
+    table = byte_letters()
+    return "".join(table[b] for b in lowered.encode())
+
+
+def _word(part: str) -> tuple[str, str]:
+    """A part as (word, mark): one mark after a letter or digit is a token of its own, and case is dropped in ASCII."""
+    if part.isascii():
+        part = part.lower()
+        if len(part) > 1 and part[-1] in ",.;:!?" and part[-2].isalnum():
+            return part[:-1], part[-1]
+    return part, ""
+
+
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of whole texts.
 
     A text is cut at spaces and line ends: this kind of tokenizer drops white
-    space before its merges, so nothing it does reaches across.  Each distinct
-    part of the batch is encoded once.
+    space before its merges, so nothing it does reaches across.  It also parts
+    letters from the marks after them.  Each distinct word is encoded once for a
+    batch, and a bounded number of words is kept.
     """
     model, known = tokenizer(path)
+    merges = model.model
     split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    new = list({p for parts in split for p in parts if p not in known})
-    ids = {}
-    for start in range(0, len(new), 50_000):
-        some = new[start : start + 50_000]
+    parts = {p for some in split for p in some}
+    # tokens of special strings don't fold; a part that may hold one is encoded as it is
+    cut = {p: (p, "") if "<|" in p else _word(p) for p in parts if p not in known}
+    words = list({w for pair in cut.values() for w in pair if w and w not in known})
+    ids = {"": b""}
+    hard = []
+    for w in words:
+        seen = _merge_input(w)
+        if seen is None:
+            hard.append(w)
+        else:
+            ids[w] = np.array([t.id for t in merges.tokenize(seen)], "<u4").tobytes()
+    for start in range(0, len(hard), 10_000):
+        some = hard[start : start + 10_000]
         ids.update(
-            (p, np.array(e.ids, "<u4").tobytes())
-            for p, e in zip(some, model.encode_batch_fast(some, add_special_tokens=False))
+            (w, np.array(e.ids, "<u4").tobytes())
+            for w, e in zip(some, model.encode_batch_fast(some, add_special_tokens=False))
         )
-    if len(known) + len(ids) > KEPT_PARTS:
-        # what this batch needs stays readable through ``ids``
-        ids.update((p, known[p]) for parts in split for p in parts if p in known)
+    get = lambda w: ids[w] if w in ids else known[w]
+    now = {p: get(w) + get(mark) for p, (w, mark) in cut.items()}
+    now.update((p, known[p]) for p in parts if p in known)
+    if len(known) > KEPT_PARTS:
         known.clear()
-    known.update((p, b) for p, b in ids.items() if len(p) <= KEPT_LENGTH)
-    get = lambda p: known[p] if p in known else ids[p]
-    return [np.frombuffer(b"".join(map(get, parts)), "<u4") for parts in split]
+    for found in (ids, now):
+        known.update((w, b) for w, b in found.items() if len(w) <= KEPT_LENGTH and len(known) <= KEPT_PARTS)
+    return [np.frombuffer(b"".join(map(now.__getitem__, some)), "<u4") for some in split]
 
 
 def vocabulary(path: str) -> int:
