@@ -34,6 +34,8 @@ from .common import byte_slices
 ORDER = 4
 MAX_DOCS = 1_000
 CALIBRATE = 5
+#: Parts of a language that are ranked apart, so that no task ranks all rows of one.
+PARTS = 64
 #: A rejected text is so many standard errors of its length, and nats per character, above its language's mean.
 ERRORS = 8.0
 MARGIN = 1.0
@@ -251,10 +253,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     rows = labelled.select(
         F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text")
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = rows.select("id", "lang").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    )
-    chosen = ranked.where(F.col("rank") <= max_docs).dropDuplicates(["id", "lang"])
+    ids = rows.select("id", "lang").distinct().withColumn("hash", F.xxhash64("id"))
+    # first the smallest of each part of a language, then of those the smallest of the language
+    part = Window.partitionBy("lang", F.pmod("hash", F.lit(PARTS))).orderBy("hash", "id")
+    some = ids.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= max_docs)
+    chosen = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))).where(
+        F.col("rank") <= max_docs
+    ).drop("hash")
     # at most max_docs ids of each language
     sample = rows.join(F.broadcast(chosen), ["id", "lang"]).persist()
     grams = _count_grams(sample.where(F.col("rank") % CALIBRATE != 0))
@@ -287,6 +292,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     return model
 
 
+def judged(model: Model, texts: list[str | None]):
+    """(language number or -1, score, cross-entropy, rejected) for each text."""
+    best, score, entropy, _, size = score_texts(model, texts)
+    limit = np.full(len(best), -np.inf)
+    ok = best >= 0
+    if ok.any():
+        limit[ok] = model.mean[best[ok]] + MARGIN + ERRORS * model.spread[best[ok]] / np.sqrt(np.maximum(size[ok], 1))
+    return best, score, entropy, ~ok | (np.nan_to_num(entropy, nan=np.inf) > limit)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for whole in batches:
+            for batch in byte_slices(whole, text_col, 1 << 20):
+                rejected = judged(shared.value, batch.column(text_col).to_pylist())[3]
+                yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, entropy, rejected), one row for each row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -297,13 +325,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         model = shared.value
         for whole in batches:
             for batch in byte_slices(whole, "text", 1 << 20):
-                best, score, entropy, _, size = score_texts(model, batch.column("text").to_pylist())
-                limit = np.full(len(best), -np.inf)
-                ok = best >= 0
-                limit[ok] = (
-                    model.mean[best[ok]] + MARGIN + ERRORS * model.spread[best[ok]] / np.sqrt(np.maximum(size[ok], 1))
-                )
-                rejected = ~ok | (np.nan_to_num(entropy, nan=np.inf) > limit)
+                best, score, entropy, rejected = judged(model, batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
