@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from runlens import schema as S
 from runlens.functions.scalars import memory_pct, no_nan, row_mean, stability_4, stability_5
 from runlens.functions.scalars import variant_type as variant_type_of
-from runlens.operators.order_stats import exact_quantiles, gathered, in_group_quantiles, quantile_name
-from runlens.operators.sizing import attach, attach_row, fits_in_memory, measured
+from runlens.operators.order_stats import exact_quantiles, quantile_name
+from runlens.operators.sizing import attach, attach_row
 
 FULL = ("mean", "median", "sd", "variance", "min", "max", "q25", "q75", "iqr", "cv")
 SHORT = ("mean", "median", "sd", "min", "max")
@@ -24,83 +24,75 @@ _NEEDS = {"iqr": ("q25", "q75"), "cv": ("mean", "sd"), "skewness": ("n", "sd"),
 Spec = Mapping[str, tuple[str, Sequence[str]]]
 
 
-# Measures as SQL expressions; {c} is the input with NaN as null.
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+# Measures of a column without NaN.
 _SIMPLE = {
-    "n": "count({c})",
-    "mean": "avg({c})",
-    "sd": "stddev_samp({c})",
-    "variance": "var_samp({c})",
-    "min": "min({c})",
-    "max": "max({c})",
-    "skewness": "skewness({c})",
-    "kurtosis": "kurtosis({c})",
-}
-# Formulas over the aggregates of the same group; {p} is the prefix.  Spark's
-# moments use the population sd and are rescaled to the sample sd.
-_DERIVED = {
-    "iqr": "{p}_q75 - {p}_q25",
-    "cv": "try_divide({p}_sd, {p}_mean) * 100",
-    "skewness": "CASE WHEN {p}_n > 2 AND {p}_sd > 0 "
-    "THEN {p}_skewness * pow(try_divide({p}_n - 1, {p}_n), 1.5) END",
-    "kurtosis": "CASE WHEN {p}_n > 3 AND {p}_sd > 0 "
-    "THEN ({p}_kurtosis + 3) * pow(try_divide({p}_n - 1, {p}_n), 2.0) - 3 END",
+    "n": F.count,
+    "mean": F.avg,
+    "sd": F.stddev_samp,
+    "variance": F.var_samp,
+    "min": F.min,
+    "max": F.max,
+    "skewness": F.skewness,
+    "kurtosis": F.kurtosis,
 }
 
 
+def _measure(prefix: str, measure: str) -> Column:
+    """A measure from the aggregates of the same group.
+
+    Spark's moments use the population sd and are rescaled to the sample sd.
+    """
+    a = lambda m: F.col(_quoted(f"{prefix}_{m}"))
+    share = F.try_divide(a("n") - 1, a("n"))
+    if measure == "iqr":
+        return a("q75") - a("q25")
+    if measure == "cv":
+        return F.try_divide(a("sd"), a("mean")) * 100
+    if measure == "skewness":
+        return F.when((a("n") > 2) & (a("sd") > 0), a("skewness") * F.pow(share, F.lit(1.5)))
+    if measure == "kurtosis":
+        return F.when((a("n") > 3) & (a("sd") > 0), (a("kurtosis") + 3) * F.pow(share, F.lit(2.0)) - 3)
+    return a(measure)
+
+
 def grouped_stats(
     df: DataFrame,
     keys: Sequence[str],
     spec: Spec,
     extra: Mapping[str, Column | str] | None = None,
-    method: str = "auto",
 ) -> DataFrame:
     """Aggregate ``{prefix: (column, measures)}`` to columns ``prefix_measure``.
 
-    ``extra`` adds named aggregates.  Small inputs take one aggregate with
-    built-in quantiles.  Larger ones take one aggregate for everything else and
-    the bucketed selection for quantiles, so that no task holds a whole group.
+    ``extra`` adds named aggregates.  One aggregate for everything but the
+    quantiles, whose exact values come from counts of distinct values.
     """
     keys, extra = list(keys), dict(extra or {})
-    if method == "auto":
-        method = "memory" if fits_in_memory(df) else "refine"
     aggs = [(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in extra.items()]
     packed: dict[str, list[str]] = {}
     for prefix, (column, measures) in spec.items():
         needed = set(measures)
         for m in measures:
             needed.update(_NEEDS.get(m, ()))
-        c = f"CASE WHEN NOT isnan({column}) THEN {column} END"
-        aggs += [
-            F.expr(f"{e.format(c=c)} AS {prefix}_{m}") for m, e in _SIMPLE.items() if m in needed
-        ]
+        c = no_nan(F.col(_quoted(column)))
+        aggs += [how(c).alias(f"{prefix}_{m}") for m, how in _SIMPLE.items() if m in needed]
         names = [m for m in _QUANTILES if m in needed]
         if names:
             packed[prefix] = names
-    together = method == "memory" and bool(keys)
-    if together:
-        for prefix, names in packed.items():
-            probs = [_QUANTILES[m] for m in names]
-            aggs.append(in_group_quantiles(spec[prefix][0], probs).alias(f"__{prefix}"))
     if not aggs and not keys:
         aggs.append(F.count(F.lit(1)).alias("__rows"))  # one row, also for empty input
-    rows = gathered(df, keys) if packed and together else df
-    base = rows.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
-    if packed and together:
-        base = base.selectExpr(
-            "*",
-            *[
-                f"__{prefix}[{i}] AS {prefix}_{m}"
-                for prefix, names in packed.items()
-                for i, m in enumerate(names)
-            ],
-        )
-    elif packed:
-        base = _attach_quantiles(df, keys, base, spec, packed, method)
-    return base.selectExpr(
-        *keys,
-        *extra,
+    by = [F.col(_quoted(k)) for k in keys]
+    base = df.groupBy(*by).agg(*aggs) if aggs else df.select(*by).distinct()
+    if packed:
+        base = _attach_quantiles(df, keys, base, spec, packed)
+    return base.select(
+        *by,
+        *[F.col(_quoted(n)) for n in extra],
         *[
-            f"{_DERIVED.get(m, '{p}_' + m).format(p=prefix)} AS {prefix}_{m}"
+            _measure(prefix, m).alias(f"{prefix}_{m}")
             for prefix, (_, measures) in spec.items()
             for m in measures
         ],
@@ -113,16 +105,15 @@ def _attach_quantiles(
     base: DataFrame,
     spec: Spec,
     packed: Mapping[str, list[str]],
-    method: str,
 ) -> DataFrame:
     columns = sorted({spec[p][0] for p in packed})
     probs = sorted({_QUANTILES[m] for names in packed.values() for m in names})
-    q = exact_quantiles(df, keys, columns, probs, method)
+    q = exact_quantiles(df, keys, columns, probs)
     joined = attach(base, q, keys) if keys else attach_row(base, q)
-    return joined.selectExpr(
-        *base.columns,
+    return joined.select(
+        *[F.col(_quoted(c)) for c in base.columns],
         *[
-            f"{quantile_name(spec[prefix][0], _QUANTILES[m])} AS {prefix}_{m}"
+            F.col(_quoted(quantile_name(spec[prefix][0], _QUANTILES[m]))).alias(f"{prefix}_{m}")
             for prefix, names in packed.items()
             for m in names
         ],
@@ -137,7 +128,6 @@ def describe_metric(
     df: DataFrame,
     columns: Mapping[str, str] | Sequence[str],
     by: Sequence[str] = (),
-    method: str = "auto",
 ) -> DataFrame:
     """Thirteen measures per column over finite values: one row per metric.
 
@@ -145,24 +135,29 @@ def describe_metric(
     afterwards, so the input rows are not multiplied.
     """
     labels = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
-    by = list(by)
-    finite = df.selectExpr(
-        *by, *[f"CASE WHEN NOT isnan({c}) AND abs({c}) < double('Infinity') THEN {c} END AS {c}" for c in labels]
+    keys = [F.col(_quoted(k)) for k in by]
+    limit = F.lit(float("inf"))
+    finite = df.select(
+        *keys,
+        *[
+            F.when(~F.isnan(_quoted(c)) & (F.abs(F.col(_quoted(c))) < limit), F.col(_quoted(c))).alias(f"__{i}")
+            for i, c in enumerate(labels)
+        ],
     )
-    wide = grouped_stats(finite, by, {c: (c, DESCRIBE) for c in labels}, method=method)
+    wide = grouped_stats(finite, list(by), {f"m{i}": (f"__{i}", DESCRIBE) for i in range(len(labels))})
     rows = [
-        f"struct('{label}' AS metric, {', '.join(f'{c}_{m} AS {m}' for m in DESCRIBE)})"
-        for c, label in labels.items()
+        F.struct(F.lit(label).alias("metric"), *[F.col(f"m{i}_{m}").alias(m) for m in DESCRIBE])
+        for i, label in enumerate(labels.values())
     ]
-    return wide.selectExpr(*by, f"inline(array({', '.join(rows)}))")
+    return wide.select(*keys, F.inline(F.array(*rows)))
 
 
-def overall_stats(runs: DataFrame, method: str = "auto") -> DataFrame:
-    return describe_metric(runs, S.OVERALL_METRICS, method=method)
+def overall_stats(runs: DataFrame) -> DataFrame:
+    return describe_metric(runs, S.OVERALL_METRICS)
 
 
 # -- statistics per benchmark, variant and pair -----------------------------
-def stats_by_benchmark(runs: DataFrame, method: str = "auto") -> DataFrame:
+def stats_by_benchmark(runs: DataFrame) -> DataFrame:
     spec = {
         "energy": ("energy_joules", FULL),
         "time": ("exec_time_sec", SHORT),
@@ -171,10 +166,10 @@ def stats_by_benchmark(runs: DataFrame, method: str = "auto") -> DataFrame:
         "memory": ("memory_usage_avg", CENTER),
     }
     extra = {"n_runs": "count(1)", "n_variants": "count(DISTINCT variant)"}
-    return grouped_stats(runs, ["benchmark"], spec, extra, method)
+    return grouped_stats(runs, ["benchmark"], spec, extra)
 
 
-def stats_by_variant(runs: DataFrame, method: str = "auto") -> DataFrame:
+def stats_by_variant(runs: DataFrame) -> DataFrame:
     spec = {
         "energy": ("energy_joules", FULL),
         "power": ("power_watts", CENTER),
@@ -182,7 +177,7 @@ def stats_by_variant(runs: DataFrame, method: str = "auto") -> DataFrame:
         "memory": ("memory_usage_avg", CENTER),
     }
     extra = {"n_runs": "count(1)", "n_benchmarks": "count(DISTINCT benchmark)"}
-    return grouped_stats(runs, ["variant"], spec, extra, method).orderBy(F.desc("energy_mean"), "variant")
+    return grouped_stats(runs, ["variant"], spec, extra).orderBy(F.desc("energy_mean"), "variant")
 
 
 # Missing flags do not count; a group without flags has zero outliers.
@@ -192,7 +187,7 @@ OUTLIER_COUNTS = {
 }
 
 
-def stats_by_benchmark_variant(flagged: DataFrame, method: str = "auto") -> DataFrame:
+def stats_by_benchmark_variant(flagged: DataFrame) -> DataFrame:
     """Statistics per (benchmark, variant); needs the outlier flags."""
     spec = {
         "energy": ("energy_joules", FULL),
@@ -202,12 +197,12 @@ def stats_by_benchmark_variant(flagged: DataFrame, method: str = "auto") -> Data
         "memory": ("memory_usage_avg", WITH_VARIANCE),
     }
     extra = {"n_runs": "count(1)", **OUTLIER_COUNTS}
-    return grouped_stats(flagged, ["benchmark", "variant"], spec, extra, method).withColumn(
+    return grouped_stats(flagged, ["benchmark", "variant"], spec, extra).withColumn(
         "outlier_rate", F.col("n_outliers_moderate") / F.col("n_runs") * 100
     )
 
 
-def baseline_stats(runs: DataFrame, baseline: str = S.BASELINE, method: str = "auto") -> DataFrame:
+def baseline_stats(runs: DataFrame, baseline: str = S.BASELINE) -> DataFrame:
     """Baseline centre per benchmark; the one helper behind every comparison."""
     spec = {
         "baseline_energy": ("energy_joules", ("mean", "median")),
@@ -216,7 +211,7 @@ def baseline_stats(runs: DataFrame, baseline: str = S.BASELINE, method: str = "a
         "baseline_cpu": ("cpu_usage_avg", ("mean",)),
         "baseline_memory": ("memory_usage_avg", ("mean",)),
     }
-    return grouped_stats(runs.filter(F.col("variant") == baseline), ["benchmark"], spec, method=method)
+    return grouped_stats(runs.filter(F.col("variant") == baseline), ["benchmark"], spec)
 
 
 def data_quality(flagged: DataFrame) -> DataFrame:
@@ -242,36 +237,36 @@ def data_quality(flagged: DataFrame) -> DataFrame:
 
 
 # -- report tables ----------------------------------------------------------
-def table1_overall(runs: DataFrame, method: str = "auto") -> DataFrame:
+def table1_overall(runs: DataFrame) -> DataFrame:
     spec = {
         "energy": ("energy_joules", ("mean", "median", "sd", "iqr")),
         "power": ("power_watts", ("mean", "median")),
         "cpu": ("cpu_usage_avg", ("mean",)),
         "memory": ("memory_usage_avg", ("mean",)),
     }
-    stats = grouped_stats(runs, [], spec, {"n": "count(1)"}, method)
+    stats = grouped_stats(runs, [], spec, {"n": "count(1)"})
     return stats.select(F.lit("All Data").alias("metric"), "*")
 
 
-def table2_by_variant(runs: DataFrame, method: str = "auto") -> DataFrame:
+def table2_by_variant(runs: DataFrame) -> DataFrame:
     spec = {
         "energy": ("energy_joules", ("mean", "median", "sd", "min", "max", "iqr", "cv")),
         "power": ("power_watts", ("mean",)),
         "cpu": ("cpu_usage_avg", ("mean",)),
         "memory": ("memory_usage_avg", ("mean",)),
     }
-    stats = grouped_stats(runs, ["variant"], spec, {"n": "count(1)"}, method)
+    stats = grouped_stats(runs, ["variant"], spec, {"n": "count(1)"})
     return stats.orderBy(F.round("energy_median", 2), "variant")
 
 
-def table3_by_benchmark(runs: DataFrame, method: str = "auto") -> DataFrame:
+def table3_by_benchmark(runs: DataFrame) -> DataFrame:
     spec = {
         "energy": ("energy_joules", ("mean", "median", "sd", "min", "max", "cv")),
         "power": ("power_watts", ("mean",)),
         "cpu": ("cpu_usage_avg", ("mean",)),
     }
     extra = {"n": "count(1)", "variants_tested": "count(DISTINCT variant)"}
-    stats = grouped_stats(runs, ["benchmark"], spec, extra, method)
+    stats = grouped_stats(runs, ["benchmark"], spec, extra)
     return stats.orderBy(F.desc(F.round("energy_median", 2)), "benchmark")
 
 
@@ -289,7 +284,7 @@ def table7_quality_matrix(flagged: DataFrame) -> DataFrame:
 
 
 def table10_guideline(
-    runs: DataFrame, guidelines: Sequence[str] = tuple(S.ALL_GUIDELINES), method: str = "auto"
+    runs: DataFrame, guidelines: Sequence[str] = tuple(S.ALL_GUIDELINES)
 ) -> DataFrame:
     """Guidelines against the median of all baseline runs pooled together."""
     spec = {
@@ -299,9 +294,9 @@ def table10_guideline(
     }
     extra = {"n_runs": "count(1)", "n_benchmarks": "count(DISTINCT benchmark)"}
     stats = grouped_stats(
-        runs.filter(F.col("variant").isin(list(guidelines))), ["variant"], spec, extra, method
+        runs.filter(F.col("variant").isin(list(guidelines))), ["variant"], spec, extra
     )
-    pooled = pooled_baseline(runs, method=method)
+    pooled = pooled_baseline(runs)
     return (
         attach_row(stats, pooled.select("pooled_energy_median"))
         .withColumn(
@@ -314,12 +309,12 @@ def table10_guideline(
     )
 
 
-def pooled_baseline(runs: DataFrame, baseline: str = S.BASELINE, method: str = "auto") -> DataFrame:
+def pooled_baseline(runs: DataFrame, baseline: str = S.BASELINE) -> DataFrame:
     spec = {
         "pooled_energy": ("energy_joules", ("median",)),
         "pooled_power": ("power_watts", ("median",)),
     }
-    return grouped_stats(runs.filter(F.col("variant") == baseline), [], spec, method=method)
+    return grouped_stats(runs.filter(F.col("variant") == baseline), [], spec)
 
 
 # -- telemetry --------------------------------------------------------------
@@ -366,7 +361,7 @@ def summary_stats(
 
     Its size is then known, so a few rows never take the path for large groups.
     """
-    return grouped_stats(measured(aggregated), keys, spec, extra)
+    return grouped_stats(aggregated, keys, spec, extra)
 
 
 def type_comparison(pair_stats: DataFrame) -> DataFrame:
@@ -403,5 +398,5 @@ def file_inventory(files: DataFrame, group: str = "experiment", name: str = "fil
     The sorted list stays one row per file and is ordered by a range sort, so an
     experiment with very many files is spread over tasks.
     """
-    counts = measured(files.groupBy(group).agg(F.count(F.lit(1)).alias("n_files")))
+    counts = files.groupBy(group).agg(F.count(F.lit(1)).alias("n_files"))
     return attach(files.select(group, name), counts, [group]).orderBy(group, name)

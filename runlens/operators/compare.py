@@ -63,10 +63,10 @@ def baseline_left_join(stats: DataFrame, base: DataFrame, on: Sequence[str] = ("
     return attach(stats, base, list(on))
 
 
-def variant_performance(runs: DataFrame, baseline: str = S.BASELINE, method: str = "auto") -> DataFrame:
+def variant_performance(runs: DataFrame, baseline: str = S.BASELINE) -> DataFrame:
     """Median energy per pair and its change against the baseline median."""
     stats = grouped_stats(
-        runs, ["benchmark", "variant"], {"energy": ("energy_joules", ("median", "mean"))}, method=method
+        runs, ["benchmark", "variant"], {"energy": ("energy_joules", ("median", "mean"))}
     )
     return (
         stats.withColumn("baseline_median", _baseline_of("energy_median", baseline))

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.scalars import no_nan
-from runlens.operators.sizing import attach_row, measured
+from runlens.operators.sizing import attach_row
 
 
 # -- one-feature linear discriminant ----------------------------------------
 def lda_fit(df: DataFrame, label: str, x: str) -> DataFrame:
     """Per class: size, mean, prior and the variance pooled over all classes."""
     v = no_nan(F.col(x).cast("double"))
-    classes = measured(
+    classes = (
         df.filter(F.col(label).isNotNull() & v.isNotNull())
         .groupBy(label)
         .agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("__var"))
@@ -34,6 +34,8 @@ def lda_fit(df: DataFrame, label: str, x: str) -> DataFrame:
 def lda_predict(df: DataFrame, model: DataFrame, label: str, x: str) -> DataFrame:
     """Adds ``predicted``; the lowest class wins among equal scores.
 
+    Without variance inside the classes nothing can be predicted: null.
+
     The model has one row per class and travels as one array, so rows are
     neither joined nor multiplied.
     """
@@ -43,13 +45,14 @@ def lda_predict(df: DataFrame, model: DataFrame, label: str, x: str) -> DataFram
     v = F.col(x).cast("double")
 
     def score(m, i):
-        value = v * m["mean"] / m["variance"] - m["mean"] * m["mean"] / (m["variance"] * 2) + F.ln(m["prior"])
+        pull = F.try_divide(v * m["mean"], m["variance"]) - F.try_divide(m["mean"] * m["mean"], m["variance"] * 2)
+        value = pull + F.ln(m["prior"])
         return F.struct(value.alias("score"), (-i).alias("order"), m[label].alias("label"))
 
     best = F.array_max(F.transform("__model", score))
     return (
         attach_row(df, packed)
-        .withColumn("predicted", F.when(v.isNotNull(), best["label"]))
+        .withColumn("predicted", F.when(v.isNotNull() & best["score"].isNotNull(), best["label"]))
         .drop("__model")
     )
 

@@ -1,10 +1,12 @@
 """Exact quantiles and ranks for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task, and a window
-sorts a whole group in one task.  Both are fine for small inputs and are used
-there.  For large inputs a monotone bucket of the value is added to the key, so
-that counting, sorting and ranking of one hot group spread over many tasks; the
-results stay exact.
+One algorithm for every size.  Rows are first reduced to distinct values with
+their counts, in the map tasks and then by group, bucket and value.  The bucket
+is an order-preserving cell of the value that depends on nothing else, so it needs
+no pass over the data: ``CELLS`` equal steps between one power of two and the next.
+Counts per bucket give the number of rows before it, and a window sorts only the
+distinct values of one bucket of one group.  A hot group is thus spread over as
+many tasks as it has buckets, and no job runs while a query is built.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runlens.functions.scalars import no_nan
-from runlens.operators.sizing import attach, fits_in_memory, measured
+from runlens.operators.sizing import attach
 
-BUCKETS = 512
-# A value range with more rows than this is narrowed once more.
-ROWS_PER_CELL = 2_000_000
-MAX_ROUNDS = 8
+#: Steps between one power of two and the next.
+CELLS = 1 << 14
+#: Above the exponents of all doubles.
+_EXPONENTS = 1_100
 _HUGE = 1.7e308
 
 
@@ -29,181 +31,98 @@ def quantile_name(column: str, p: float) -> str:
     return f"{column}__q{p:g}".replace(".", "_")
 
 
-def in_group_quantiles(column: str, probs: Sequence[float]) -> Column:
-    """All quantiles of one column in one aggregate: linear interpolation."""
-    return F.percentile(no_nan(column), F.array(*[F.lit(float(p)) for p in probs]))
+def bucket_of(t: Column, low: Column, high: Column, buckets: int) -> Column:
+    """Order-preserving bucket of ``t`` between two bounds."""
+    share = F.coalesce(F.try_divide(t - low, high - low), F.lit(0.0))
+    return F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
 
 
-def gathered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows placed by group, for small inputs with built-in quantiles.
+def value_bucket(v: Column) -> Column:
+    """Order-preserving bucket of a number, whatever the others are; null stays null.
 
-    Sending the few rows once is cheaper than sending and merging one map of
-    distinct values per group and task.
+    A rounded logarithm may name the power of two beside a value's own; the cell
+    is clamped then, so that order is kept.
     """
-    return df.repartition(*keys) if keys else df
+    size = F.least(F.abs(v), F.lit(_HUGE))
+    exponent = F.floor(F.log2(size))
+    cell = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * CELLS)
+    cell = F.greatest(F.lit(0), F.least(cell, F.lit(CELLS - 1)))
+    number = (exponent + _EXPONENTS) * CELLS + cell + 1
+    return F.when(v == 0, F.lit(0)).when(v < 0, -number).otherwise(number).cast("bigint")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    probs: Sequence[float],
-    method: str = "auto",
-) -> DataFrame:
-    """One row per group; ``quantile_name(column, p)`` names the values."""
-    if method == "auto":
-        method = "memory" if fits_in_memory(df) else "refine"
-    if method == "memory" and not keys:
-        return _overall_quantiles(df, list(columns), list(probs))
-    if method == "memory":
-        packed = gathered(df, keys).groupBy(*keys).agg(
-            *[in_group_quantiles(c, probs).alias(f"__{i}") for i, c in enumerate(columns)]
-        )
-        return packed.select(
-            *keys,
-            *[
-                F.col(f"__{i}")[j].alias(quantile_name(c, p))
-                for i, c in enumerate(columns)
-                for j, p in enumerate(probs)
-            ],
-        )
-    if method != "refine":
-        raise ValueError(f"unknown method {method!r}")
-    return _refined_quantiles(df, list(keys), list(columns), list(probs))
+def _placed(rows: DataFrame, value: str, carry: Mapping[str, Column]) -> DataFrame:
+    """Distinct values of each ``__g`` with ``ties``, ``before``, ``distinct_before`` and ``n``.
 
-
-def _overall_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """Small inputs without keys: the columns become groups, one task each."""
-    per_column = (
-        _long(df, [], columns)
-        .repartition("m")
-        .groupBy("m")
-        .agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+    A null value stays, with no ties.
+    """
+    bucket = F.coalesce(value_bucket(F.col(value)), F.lit(-(1 << 62)))
+    counts = (
+        rows.withColumn("__b", bucket)
+        .groupBy("__g", "__b", value)
+        .agg(F.count(value).alias("ties"), *[c.alias(n) for n, c in carry.items()])
+    )
+    upto = W.partitionBy("__g").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("__g")
+    zero = F.lit(0).cast("bigint")
+    buckets = (
+        counts.groupBy("__g", "__b")
+        .agg(F.sum("ties").alias("c"), F.count(value).alias("d"))
+        .select(
+            "__g",
+            "__b",
+            F.coalesce(F.sum("c").over(upto), zero).alias("__rows"),
+            F.coalesce(F.sum("d").over(upto), zero).alias("__values"),
+            F.sum("c").over(whole).alias("n"),
+        )
     )
-    return per_column.agg(
-        *[
-            F.expr(f"max(CASE WHEN m = {i} THEN q[{j}] END) AS {quantile_name(c, p)}")
-            for i, c in enumerate(columns)
-            for j, p in enumerate(probs)
-        ]
+    inside = W.partitionBy("__g", "__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return counts.join(buckets, ["__g", "__b"]).select(
+        "__g",
+        value,
+        "ties",
+        *carry,
+        "n",
+        (F.col("__rows") + F.coalesce(F.sum("ties").over(inside), zero)).alias("before"),
+        (F.col("__values") + F.count(value).over(inside)).alias("distinct_before"),
     )
 
 
-# -- bucketed selection -----------------------------------------------------
-def _scaled(v: Column) -> Column:
-    """Monotone compression, so that one far outlier does not fill one bucket."""
-    return F.signum(v) * F.ln(F.lit(1.0) + F.least(F.abs(v), F.lit(_HUGE)))
+def _group(keys: Sequence[str], *more: Column) -> Column:
+    """The group as one struct, which is never null itself: null keys are equal to each other."""
+    return F.struct(F.lit(0).alias("__all"), *[F.col(f"`{k}`").alias(k) for k in keys], *more)
 
 
-def bucket_of(t: Column, low: Column, high: Column, buckets: int = BUCKETS) -> Column:
-    """Order-preserving bucket of ``t`` between the group's bounds."""
-    share = F.coalesce(F.try_divide(t - low, high - low), F.lit(0.0))
-    return F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
-
-
-def _long(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]
+) -> DataFrame:
+    """One row per group; ``quantile_name(column, p)`` names the values, linear between two ranks."""
+    keys = list(keys)
     pairs = [
         F.struct(F.lit(i).alias("m"), no_nan(F.col(f"`{c}`").cast("double")).alias("v"))
         for i, c in enumerate(columns)
     ]
-    return df.select(*keys, F.inline(F.array(*pairs)))
-
-
-def _running(group: list[str], order: str) -> Column:
-    frame = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return F.sum("c").over(frame)
-
-
-def _refined_quantiles(
-    df: DataFrame, keys: list[str], columns: list[str], probs: list[float]
-) -> DataFrame:
-    rows = _long(df, keys, columns)
-    group = [*keys, "m"]
-    # 1. Bounds and target ranks: one small row per group and column.
-    bounds = measured(
-        rows.groupBy(*group).agg(
-            F.count("v").alias("n"), F.min("v").alias("vlo"), F.max("v").alias("vhi")
-        )
-    )
-    steps = [F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(probs)]
-    pos = (F.col("n") - 1) * F.col("p")
-    ranks = (
-        bounds.filter(F.col("n") > 0)
-        .select(*group, "n", F.inline(F.array(*steps)))
-        .select(
-            *group, "j", F.floor(pos).alias("r0"), F.ceil(pos).alias("r1"), (pos - F.floor(pos)).alias("w")
-        )
-    )
-    wanted = measured(
-        ranks.select(*group, F.explode(F.array_distinct(F.array("r0", "r1"))).alias("r")).distinct()
-    )
-    # 2. Narrow each group to the value ranges that hold a wanted rank, by
-    #    counting per bucket, until every range is small enough for one task.
-    cells = bounds.select(*group, F.lit(0).cast("bigint").alias("before"), "vlo", "vhi")
-    for round_no in range(MAX_ROUNDS):
-        scale = _scaled if round_no == 0 else (lambda v: v)
-        counts = (
-            _inside(rows, cells, group)
-            .withColumn("b", bucket_of(scale(F.col("v")), scale(F.col("vlo")), scale(F.col("vhi"))))
-            .withColumnRenamed("vlo", "cell")
-            .groupBy(*group, "cell", "before", "b")
-            .agg(F.count("v").alias("c"), F.min("v").alias("vlo"), F.max("v").alias("vhi"))
-            .withColumn("before", F.col("before") + _running([*group, "cell"], "b") - F.col("c"))
-        )
-        cells = measured(_holding(counts, wanted, group, ["before", "c", "vlo", "vhi"]))
-        widest = cells.filter(F.col("vlo") < F.col("vhi")).agg(F.max("c")).first()[0]
-        if (widest or 0) <= ROWS_PER_CELL:
-            break
-    # 3. The few values left, counted per distinct value.
-    counted = (
-        _inside(rows, cells.drop("c"), group)
-        .groupBy(*group, "vlo", "before", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("before", F.col("before") + _running([*group, "vlo"], "v") - F.col("c"))
-    )
-    picked = _holding(counted, wanted, group, ["v", "r"], distinct=False)
-    low = picked.withColumnsRenamed({"v": "v0", "r": "r0"})
-    high = picked.withColumnsRenamed({"v": "v1", "r": "r1"})
-    both = attach(attach(ranks, low, [*group, "r0"]), high, [*group, "r1"])
-    value = F.when(F.col("w") == 0, F.col("v0")).otherwise(
-        (1 - F.col("w")) * F.col("v0") + F.col("w") * F.col("v1")
-    )
-    wide = both.withColumn("q", value).groupBy(*keys).agg(
-        *[
-            F.max(F.when((F.col("m") == i) & (F.col("j") == j), F.col("q"))).alias(quantile_name(c, p))
-            for i, c in enumerate(columns)
-            for j, p in enumerate(probs)
-        ]
-    )
-    if not keys:
-        return wide
-    # groups whose values are all missing keep their row
-    return attach(bounds.select(*keys).distinct(), wide, keys)
-
+    long = df.select(*[F.col(f"`{k}`") for k in keys], F.inline(F.array(*pairs)))
+    placed = _placed(long.select(_group(keys, F.col("m")).alias("__g"), "v"), "v", {})
+    found, out = [], []
+    for i, c in enumerate(columns):
+        for j, p in enumerate(probs):
+            at = (F.col("n") - 1) * F.lit(float(p))
+            for end, rank in ((0, F.floor(at)), (1, F.ceil(at))):
+                holds = (rank >= F.col("before")) & (rank < F.col("before") + F.col("ties"))
+                found.append(F.max(F.when((F.col("__g.m") == i) & holds, F.col("v"))).alias(f"__{i}_{j}_{end}"))
+            # the share of the upper of the two ranks
+            found.append(F.max(F.when(F.col("__g.m") == i, at - F.floor(at))).alias(f"__{i}_{j}_w"))
+            low, high, w = (F.col(f"__{i}_{j}_{x}") for x in ("0", "1", "w"))
+            out.append(F.when(w == 0, low).otherwise((1 - w) * low + w * high).alias(quantile_name(c, p)))
+    by = [F.col("__g").getField(k).alias(k) for k in keys]
+    return placed.groupBy(*by).agg(*found).select(*[F.col(f"`{k}`") for k in keys], *out)
 
-def _holding(
-    counts: DataFrame, wanted: DataFrame, group: list[str], keep: list[str], distinct: bool = True
-) -> DataFrame:
-    """The count rows whose span of ranks contains a wanted rank."""
-    matched = attach(counts, wanted, group, "inner").filter(
-        (F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("c"))
-    )
-    out = matched.select(*group, *keep)
-    return out.distinct() if distinct else out
-
-
-def _inside(rows: DataFrame, cells: DataFrame, group: list[str]) -> DataFrame:
-    return attach(rows, cells, group, "inner").filter(
-        (F.col("v") >= F.col("vlo")) & (F.col("v") <= F.col("vhi"))
-    )
 
-
-# -- positions --------------------------------------------------------------
 def value_positions(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    method: str = "auto",
     carry: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Distinct values per group with their count and how many come before.
@@ -213,66 +132,18 @@ def value_positions(
     ``carry`` aggregate over the rows that share the value.
     """
     keys, carry = list(keys), dict(carry or {})
-    counts = (
-        df.withColumn(value, no_nan(F.col(value).cast("double")))
-        .filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("ties"), *[c.alias(n) for n, c in carry.items()])
-    )
-    if method == "auto":
-        method = "memory" if fits_in_memory(df) else "bucket"
-    if method == "memory":
-        frame = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return counts.withColumns(
-            {
-                "before": F.sum("ties").over(frame) - F.col("ties"),
-                "distinct_before": F.count("ties").over(frame) - 1,
-            }
-        )
-    if method != "bucket":
-        raise ValueError(f"unknown method {method!r}")
-    t = _scaled(F.col(value))
-    bounds = measured(
-        df.select(*keys, no_nan(F.col(value).cast("double")).alias(value))
-        .groupBy(*keys)
-        .agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"))
-    )
-    spread = _with_bounds(counts, bounds, keys).withColumn(
-        "__b", bucket_of(t, F.col("__lo"), F.col("__hi"))
-    )
-    per_bucket = spread.groupBy(*keys, "__b").agg(
-        F.sum("ties").alias("c"), F.count("ties").alias("d")
-    )
-    upto = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = measured(
-        per_bucket.select(
-            *keys,
-            "__b",
-            (F.sum("c").over(upto) - F.col("c")).alias("__rows"),
-            (F.sum("d").over(upto) - F.col("d")).alias("__values"),
-        )
-    )
-    frame = (
-        W.partitionBy(*keys, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    return attach(spread, offsets, [*keys, "__b"], "inner").select(
-        *keys,
+    number = no_nan(F.col(f"`{value}`").cast("double"))
+    rows = df.withColumn(value, number).filter(F.col(f"`{value}`").isNotNull()).withColumn("__g", _group(keys))
+    return _placed(rows, value, carry).select(
+        *[F.col("__g").getField(k).alias(k) for k in keys],
         value,
         "ties",
         *carry,
-        (F.col("__rows") + F.sum("ties").over(frame) - F.col("ties")).alias("before"),
-        (F.col("__values") + F.count("ties").over(frame) - 1).alias("distinct_before"),
+        "before",
+        "distinct_before",
     )
 
 
-def _with_bounds(df: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return attach(df, bounds, keys, "inner")
-    from runlens.operators.sizing import attach_row
-
-    return attach_row(df, bounds)
-
-
 def first_n_threshold(df: DataFrame, key: str, n: int) -> DataFrame:
     """One row: the ``n``-th smallest value of a unique numeric key."""
     ordered = value_positions(df, [], key)

@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 
 from runlens.functions.scalars import no_nan
 from runlens.operators.order_stats import exact_quantiles, quantile_name
-from runlens.operators.sizing import attach, measured
+from runlens.operators.sizing import attach
 
 
 def fences(
     runs: DataFrame,
     keys: Sequence[str] = ("benchmark", "variant"),
     column: str = "energy_joules",
-    method: str = "auto",
 ) -> DataFrame:
     """Quartiles per group."""
-    q = exact_quantiles(runs, keys, [column], [0.25, 0.75], method)
+    q = exact_quantiles(runs, keys, [column], [0.25, 0.75])
     return q.select(
         *keys,
         F.col(quantile_name(column, 0.25)).alias("q1"),
@@ -33,10 +32,9 @@ def outlier_iqr(
     column: str = "energy_joules",
     moderate: float = 1.5,
     extreme: float = 3.0,
-    method: str = "auto",
 ) -> DataFrame:
     """Flags values outside q1 - k*iqr and q3 + k*iqr of their group."""
-    limits = measured(fences(runs, keys, column, method))
+    limits = fences(runs, keys, column)
     x, q1, q3 = no_nan(F.col(column)), F.col("q1"), F.col("q3")
 
     def outside(k: float):
@@ -62,8 +60,8 @@ def outlier_zscore(
     group means do not depend on those columns being computed.
     """
     x = no_nan(F.col(column))
-    centre = measured(
-        (runs if source is None else source).groupBy(*keys).agg(F.avg(x).alias("__mean"), F.stddev_samp(x).alias("__sd"))
+    centre = (runs if source is None else source).groupBy(*keys).agg(
+        F.avg(x).alias("__mean"), F.stddev_samp(x).alias("__sd")
     )
     z = F.try_divide(x - F.col("__mean"), F.col("__sd"))
     return (
@@ -79,9 +77,9 @@ def outlier_zscore(
     )
 
 
-def flag_outliers(runs: DataFrame, method: str = "auto") -> DataFrame:
+def flag_outliers(runs: DataFrame) -> DataFrame:
     """All outlier columns of a cleaned run table."""
-    return outlier_zscore(outlier_iqr(runs, method=method), source=runs)
+    return outlier_zscore(outlier_iqr(runs), source=runs)
 
 
 def outliers_detailed(flagged: DataFrame) -> DataFrame:

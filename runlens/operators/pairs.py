@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.vectors import kernel, squared_distance
 from runlens.operators.sequences import distance
-from runlens.operators.sizing import attach, attach_row, measured
+from runlens.operators.sizing import attach, attach_row
 
 # A block of reference rows is held as one array next to a row.
 BLOCK_ROWS = 2_000
@@ -25,7 +25,7 @@ def with_reference_blocks(
     into blocks, each row meets each block through an equality join on the
     block number, and a salt spreads every block over several tasks.
     """
-    ref = measured(reference)
+    ref = reference
     n = ref.count()
     packed = F.struct(*ref.columns)
     if n <= block_rows:
@@ -144,7 +144,7 @@ def pairwise_interaction(
     are summed per position first, the sums run over positions only, and every
     entity takes the result of its position.
     """
-    positions = measured(entities.groupBy("x", "y").agg(F.sum("mass").alias("mass")))
+    positions = entities.groupBy("x", "y").agg(F.sum("mass").alias("mass"))
     blocks = with_reference_blocks(positions.select("x", "y"), positions, block_rows)
 
     def add(acc: Column, p: Column) -> Column:
@@ -156,6 +156,6 @@ def pairwise_interaction(
     zero = F.struct(F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
     force = blocks.select("x", "y", F.aggregate("__ref", zero, add).alias("f"))
     per_position = force.groupBy("x", "y").agg(F.sum("f.fx").alias("fx"), F.sum("f.fy").alias("fy"))
-    return attach(entities.select(entity_id, "x", "y"), measured(per_position), ["x", "y"]).select(
+    return attach(entities.select(entity_id, "x", "y"), per_position, ["x", "y"]).select(
         entity_id, "fx", "fy"
     )

@@ -15,9 +15,9 @@ from runlens.operators.order_stats import value_positions
 from runlens.operators.sizing import attach
 
 
-def _extreme_variant(runs: DataFrame, baseline: str, order: Column, method: str) -> DataFrame:
+def _extreme_variant(runs: DataFrame, baseline: str, order: Column) -> DataFrame:
     ranked = (
-        variant_performance(runs, baseline, method)
+        variant_performance(runs, baseline)
         .filter(F.col("variant") != baseline)
         .withColumn("__rank", F.rank().over(W.partitionBy("benchmark").orderBy(order)))
     )
@@ -26,14 +26,14 @@ def _extreme_variant(runs: DataFrame, baseline: str, order: Column, method: str)
     )
 
 
-def best_variant(runs: DataFrame, baseline: str = S.BASELINE, method: str = "auto") -> DataFrame:
+def best_variant(runs: DataFrame, baseline: str = S.BASELINE) -> DataFrame:
     """Lowest median per benchmark; ties are all kept."""
-    return _extreme_variant(runs, baseline, F.col("median_energy").asc_nulls_last(), method)
+    return _extreme_variant(runs, baseline, F.col("median_energy").asc_nulls_last())
 
 
-def worst_variant(runs: DataFrame, baseline: str = S.BASELINE, method: str = "auto") -> DataFrame:
+def worst_variant(runs: DataFrame, baseline: str = S.BASELINE) -> DataFrame:
     """Highest median per benchmark; ties are all kept."""
-    return _extreme_variant(runs, baseline, F.col("median_energy").desc_nulls_last(), method)
+    return _extreme_variant(runs, baseline, F.col("median_energy").desc_nulls_last())
 
 
 def best_worst(best: DataFrame, worst: DataFrame) -> DataFrame:
@@ -53,37 +53,37 @@ def rank_global(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFra
     return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
-def _pair_table(runs: DataFrame, method: str) -> DataFrame:
+def _pair_table(runs: DataFrame) -> DataFrame:
     spec = {
         "energy": ("energy_joules", ("median", "mean", "sd")),
         "power": ("power_watts", ("mean",)),
         "cpu": ("cpu_usage_avg", ("mean",)),
     }
     return grouped_stats(
-        runs, ["benchmark", "variant"], spec, {"n": "count(1)"}, method
+        runs, ["benchmark", "variant"], spec, {"n": "count(1)"}
     )
 
 
-def top10_efficient(runs: DataFrame, n: int = 10, method: str = "auto") -> DataFrame:
+def top10_efficient(runs: DataFrame, n: int = 10) -> DataFrame:
     """Smallest medians, compared after rounding to three decimals."""
     order = [F.round("energy_median", 3).asc_nulls_last(), F.col("benchmark"), F.col("variant")]
-    return rank_global(_pair_table(runs, method), order, n)
+    return rank_global(_pair_table(runs), order, n)
 
 
-def top10_inefficient(runs: DataFrame, n: int = 10, method: str = "auto") -> DataFrame:
+def top10_inefficient(runs: DataFrame, n: int = 10) -> DataFrame:
     """Largest medians, compared after rounding to two decimals."""
     order = [F.round("energy_median", 2).desc_nulls_last(), F.col("benchmark"), F.col("variant")]
-    return rank_global(_pair_table(runs, method), order, n)
+    return rank_global(_pair_table(runs), order, n)
 
 
 def multi_key_sort(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def reorder_by_median(df: DataFrame, category: str, column: str, method: str = "auto") -> DataFrame:
+def reorder_by_median(df: DataFrame, category: str, column: str) -> DataFrame:
     """Categories with the dense rank of their median as explicit sort key."""
-    medians = grouped_stats(df, [category], {"m": (column, ("median",))}, method=method)
-    places = value_positions(medians, [], "m_median", method="auto" if method == "auto" else "bucket")
+    medians = grouped_stats(df, [category], {"m": (column, ("median",))})
+    places = value_positions(medians, [], "m_median")
     return attach(medians, places.select("m_median", "distinct_before"), ["m_median"]).select(
         category,
         F.col("m_median").alias("median"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,20 +17,19 @@ def pivot_matrix(df: DataFrame, rows: str, columns: str, value: str, values: Seq
     return df.groupBy(rows).pivot(columns, list(values)).agg(F.first(value))
 
 
-def energy_matrix(runs: DataFrame, variants: Sequence[str] = tuple(S.VARIANTS), method: str = "auto") -> DataFrame:
+def energy_matrix(runs: DataFrame, variants: Sequence[str] = tuple(S.VARIANTS)) -> DataFrame:
     """Benchmark by variant: median energy."""
-    return pivot_matrix(variant_performance(runs, method=method), "benchmark", "variant", "median_energy", variants)
+    return pivot_matrix(variant_performance(runs), "benchmark", "variant", "median_energy", variants)
 
 
 def pct_change_matrix(
     runs: DataFrame,
     variants: Sequence[str] = tuple(S.VARIANTS),
     baseline: str = S.BASELINE,
-    method: str = "auto",
 ) -> DataFrame:
     """Benchmark by variant: change of the median against the baseline median."""
     return pivot_matrix(
-        variant_performance(runs, baseline, method), "benchmark", "variant", "pct_change", variants
+        variant_performance(runs, baseline), "benchmark", "variant", "pct_change", variants
     )
 
 
@@ -88,7 +87,3 @@ def unnest_struct(df: DataFrame, column: str) -> DataFrame:
     if df.schema[column].dataType.typeName() == "array":
         return df.select(*rest, F.inline_outer(column))
     return df.select(*rest, f"{column}.*")
-
-
-def rename_values(df: DataFrame, column: str, names: Mapping[str, str]) -> DataFrame:
-    return df.replace(dict(names), subset=[column])

@@ -11,16 +11,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runlens.operators.order_stats import bucket_of
-from runlens.operators.sizing import attach, attach_row, measured
-
-
-# A group with more rows than this is cut into chunks.
-HOT_ROWS = 1_000_000
+from runlens.operators.order_stats import value_bucket
+from runlens.operators.sizing import attach, attach_row
 
 
 def with_next(
@@ -31,29 +28,13 @@ def with_next(
     chunk: Column,
     name: str = "next",
     first: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds a struct with the following row's ``columns``; null for the last row.
 
     ``first`` names a second struct with the columns of the group's first row.
     ``chunk`` must not decrease along ``order``.
     """
-    keys = list(keys)
-    if not keys:
-        return _next_by_chunk(df, keys, order, columns, chunk, name, first)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = measured(sizes.filter(F.col("__n") > hot_rows).select(*keys))
-    ordered = W.partitionBy(*keys).orderBy(*order)
-    plain = {name: F.lead(F.struct(*columns)).over(ordered)}
-    if first:
-        plain[first] = F.first(F.struct(*columns)).over(ordered)
-    if hot.isEmpty():
-        return df.withColumns(plain)
-    cold = attach(df, hot, keys, "left_anti").withColumns(plain)
-    cut = _next_by_chunk(
-        attach(df, hot, keys, "left_semi"), keys, order, columns, chunk, name, first
-    )
-    return cold.unionByName(cut)
+    return _next_by_chunk(df, list(keys), order, columns, chunk, name, first)
 
 
 def _next_by_chunk(
@@ -96,7 +77,6 @@ def route_legs(
     order: Sequence[str],
     chunk: Column,
     closed: bool = True,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per leg with both ends and its length.
 
@@ -104,7 +84,7 @@ def route_legs(
     """
     columns = ["node", "x", "y", *order]
     linked = with_next(
-        stops, [route], order, columns, chunk, first="first" if closed else None, hot_rows=hot_rows
+        stops, [route], order, columns, chunk, first="first" if closed else None
     )
     if closed:
         alone = F.lit(True)
@@ -147,7 +127,7 @@ def edge_weights(
         .agg(F.sum(F.try_divide(F.lit(float(q)), F.col("length")) * F.col("times")).alias("added"))
     )
     keyed = edges.withColumns({"a": F.least("from_node", "to_node"), "b": F.greatest("from_node", "to_node")})
-    return attach(keyed, measured(added), ["a", "b"]).select(
+    return attach(keyed, added, ["a", "b"]).select(
         "from_node",
         "to_node",
         (F.col("weight") * decay + F.coalesce("added", F.lit(0.0))).alias("weight"),
@@ -162,7 +142,7 @@ def transition_probability(
         F.try_divide(F.lit(1.0), F.col("distance")), F.lit(float(beta))
     )
     scored = candidates.select(source, target, score.alias("score"))
-    totals = measured(scored.groupBy(source).agg(F.sum("score").alias("total")))
+    totals = scored.groupBy(source).agg(F.sum("score").alias("total"))
     return attach(scored, totals, [source]).select(
         source, target, F.try_divide("score", "total").alias("prob")
     )
@@ -180,45 +160,41 @@ def weighted_pick(probabilities: DataFrame, source: str, target: str, seed: int)
 
 
 # -- bounds among breakpoints -----------------------------------------------
-def neighbour_bounds(
-    values: DataFrame, value: str, breakpoints: DataFrame, point: str, cells: int = 4096
-) -> DataFrame:
+def neighbour_bounds(values: DataFrame, value: str, breakpoints: DataFrame, point: str) -> DataFrame:
     """Adds the greatest breakpoint <= value and the smallest >= value.
 
-    Breakpoints become intervals, intervals and values get numbered cells, and
-    the join is an equality on the cell with the range as a filter.
+    Values and breakpoints are put in one order, cut into the order-preserving
+    buckets of their values.  Inside a bucket windows look both ways; one row for
+    each bucket carries breakpoints over to the buckets beside it.  No value meets
+    more than those two breakpoints, however the breakpoints lie.  A null value has
+    no bounds.
     """
-    points = measured(
-        breakpoints.select(F.col(point).cast("double").alias("lower")).filter(F.col("lower").isNotNull()).distinct()
-    )
-    span = points.agg(F.min("lower").alias("__lo"), F.max("lower").alias("__hi"))
-    placed = attach_row(points, span)
-    cell = lambda c: F.greatest(bucket_of(c, F.col("__lo"), F.col("__hi"), cells), F.lit(0))
-    following = with_next(placed, [], ["lower"], ["lower"], cell(F.col("lower"))).select(
-        "lower", F.col("next.lower").alias("upper"), "__lo", "__hi"
+    points = breakpoints.select(F.col(point).cast("double").alias("__point")).filter(F.col("__point").isNotNull()).distinct()
+    number = F.col(value).cast("double")
+    rows = (
+        values.withColumn("__v", number)
+        .unionByName(points.withColumn("__v", F.col("__point")), allowMissingColumns=True)
+        .withColumn("__b", F.coalesce(value_bucket(F.col("__v")), F.lit(-(1 << 62))))
     )
-    first = span.select(
-        F.lit(None).cast("double").alias("lower"), F.col("__lo").alias("upper"), "__lo", "__hi"
-    ).filter(F.col("upper").isNotNull())
-    intervals = measured(
-        following.unionByName(first).select(
-            "lower",
-            "upper",
-            F.explode(
-                F.sequence(cell(F.coalesce("lower", "__lo")), cell(F.coalesce("upper", "__hi")))
-            ).alias("__cell"),
+    order = W.orderBy("__b")
+    beside = (
+        rows.groupBy("__b")
+        .agg(F.min("__point").alias("low"), F.max("__point").alias("high"))
+        .select(
+            "__b",
+            F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("__before"),
+            F.min("low").over(order.rowsBetween(1, W.unboundedFollowing)).alias("__after"),
         )
     )
-    located = attach_row(values, span).withColumn("__v", F.col(value).cast("double"))
-    located = located.withColumn("__cell", cell(F.col("__v"))).drop("__lo", "__hi")
-    inside = (F.col("lower").isNull() | (F.col("__v") >= F.col("lower"))) & (
-        F.col("upper").isNull() | (F.col("__v") < F.col("upper"))
-    )
+    inside = W.partitionBy("__b").orderBy("__v")
+    known = F.col("__v").isNotNull()
+    lower = F.coalesce(F.max("__point").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow)), "__before")
+    upper = F.coalesce(F.min("__point").over(inside.rangeBetween(W.currentRow, W.unboundedFollowing)), "__after")
     return (
-        located.join(intervals, "__cell")
-        .filter(inside)
-        .withColumn("upper", F.when(F.col("lower") == F.col("__v"), F.col("lower")).otherwise(F.col("upper")))
-        .drop("__cell", "__v")
+        rows.join(beside, "__b")
+        .withColumns({"lower": F.when(known, lower), "upper": F.when(known, upper)})
+        .filter(F.col("__point").isNull())
+        .select(*[F.col(f"`{c}`") for c in values.columns], "lower", "upper")
     )
 
 
@@ -264,27 +240,41 @@ def canonical_ratio_distinct(df: DataFrame, num: str, den: str) -> DataFrame:
     ).distinct()
 
 
-# An exact common denominator of more values than this has no practical size.
-MAX_DENOMINATORS = 10_000
+_FRACTIONS = "part int, num string, den string, n bigint"
+_PARTS = (64, 8, 1)
+
+
+def _add_fractions(batches):
+    """One fraction from all of a task's; integers have no size limit here."""
+    total, n = Fraction(0), 0
+    for batch in batches:
+        for num, den, count in zip(*(batch.column(c).to_pylist() for c in ("num", "den", "n"))):
+            total += Fraction(int(num), int(den))
+            n += count
+    yield pa.RecordBatch.from_pydict(
+        {"part": [0], "num": [str(total.numerator)], "den": [str(total.denominator)], "n": [n]},
+        pa.schema([("part", pa.int32()), ("num", pa.string()), ("den", pa.string()), ("n", pa.int64())]),
+    )
 
 
 def ratio_total(ratios: DataFrame) -> DataFrame:
     """Exact sum of ratios in lowest terms, with their number.
 
-    Numerators are summed per denominator in Spark; only one row per distinct
-    denominator is brought to the driver, where integers have no size limit.
+    Numerators are summed per denominator; fractions are added in tasks and
+    merged in a tree, whatever their number.
     """
-    per_den = ratios.groupBy("den").agg(
-        F.sum(F.col("num").cast("decimal(38,0)")).alias("num"), F.count(F.lit(1)).alias("n")
-    )
-    rows = per_den.limit(MAX_DENOMINATORS + 1).collect()
-    if len(rows) > MAX_DENOMINATORS:
-        raise ValueError(f"more than {MAX_DENOMINATORS} distinct denominators")
-    total = sum((Fraction(int(r["num"]), r["den"]) for r in rows), Fraction(0))
-    return ratios.sparkSession.createDataFrame(
-        [(str(total.numerator), str(total.denominator), float(total), sum(r["n"] for r in rows))],
-        "num string, den string, total double, n_ratios bigint",
+    text = lambda c: F.col(c).cast("string").alias(c)
+    parts = (
+        ratios.groupBy("den")
+        .agg(F.sum(F.col("num").cast("decimal(38,0)")).alias("num"), F.count(F.lit(1)).alias("n"))
+        .select(F.pmod(F.xxhash64("den"), F.lit(_PARTS[0])).cast("int").alias("part"), text("num"), text("den"), "n")
     )
+    nothing = parts.sparkSession.createDataFrame([(0, "0", "1", 0)], _FRACTIONS)  # no ratios add up to 0
+    parts = parts.unionByName(nothing)
+    for k, size in enumerate(_PARTS):
+        parts = parts.repartition(size, "part" if k == 0 else F.rand(k)).mapInArrow(_add_fractions, _FRACTIONS)
+    value = F.col("num").cast("double") / F.col("den").cast("double")
+    return parts.select("num", "den", value.alias("total"), F.col("n").alias("n_ratios"))
 
 
 # -- power over time --------------------------------------------------------
@@ -294,7 +284,6 @@ def energy_integral(
     time: str,
     power: str,
     width_seconds: int = 3600,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Trapezoid of power over time per run (an added cross-check of the log value)."""
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
@@ -302,7 +291,7 @@ def energy_integral(
         F.col("t").isNotNull() & F.col("w").isNotNull()
     )
     chunk = F.floor(F.col("t") / width_seconds)
-    linked = with_next(rows, keys, ["t", "w"], ["t", "w"], chunk, hot_rows=hot_rows)
+    linked = with_next(rows, keys, ["t", "w"], ["t", "w"], chunk)
     area = (F.col("next.t") - F.col("t")) * (F.col("next.w") + F.col("w")) / 2
     return linked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"), F.coalesce(F.sum(area), F.lit(0.0)).alias("joules")

@@ -11,7 +11,7 @@ from runlens.functions import pvalues as P
 from runlens.functions.scalars import no_nan, significance_label
 from runlens.operators.aggregates import grouped_stats
 from runlens.operators.order_stats import value_positions
-from runlens.operators.sizing import attach, measured
+from runlens.operators.sizing import attach
 
 SHAPIRO_MAX = 5000
 
@@ -33,14 +33,14 @@ def t_test_one_sample(df: DataFrame, by: Sequence[str], x: str, mu: float = 0.0)
 
 
 def wilcoxon_signed_rank(
-    df: DataFrame, by: Sequence[str], x: str, mu: float = 0.0, method: str = "auto"
+    df: DataFrame, by: Sequence[str], x: str, mu: float = 0.0
 ) -> DataFrame:
     """Two-sided signed-rank test with average ranks; zeros are dropped."""
     diff = no_nan(F.col(x).cast("double")) - mu
     rows = df.select(*by, F.abs(diff).alias("size"), (diff > 0).alias("up"))
     totals = rows.groupBy(*by).agg(F.count_if(F.col("size") == 0).alias("zeros"))
     ranks = value_positions(
-        rows.filter(F.col("size") > 0), by, "size", method, {"n_up": F.count_if("up")}
+        rows.filter(F.col("size") > 0), by, "size", {"n_up": F.count_if("up")}
     )
     middle = F.col("before") + (F.col("ties") + 1) / 2
     cube = F.col("ties").cast("double")
@@ -62,7 +62,7 @@ def shapiro_wilk(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     known to hold at most 5000 values.
     """
     values = df.select(*by, no_nan(F.col(x).cast("double")).alias("x"))
-    sizes = measured(values.groupBy(*by).agg(F.count("x").alias("n")))
+    sizes = values.groupBy(*by).agg(F.count("x").alias("n"))
     fitting = sizes.filter(F.col("n").between(3, SHAPIRO_MAX))
     ordered = (
         attach(values.filter(F.col("x").isNotNull()), fitting, by, "inner")
@@ -75,7 +75,7 @@ def shapiro_wilk(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
 
 def choose_test(df: DataFrame, by: Sequence[str], x: str, alpha: float = 0.05) -> DataFrame:
     """Signed-rank test where normality is rejected, otherwise the t-test."""
-    df = measured(df.select(*by, x))  # four results are taken from it
+    df = df.select(*by, x)
     spec = {"x": (x, ("median", "mean", "sd"))}
     centre = grouped_stats(df, by, spec, {"n": "count(1)"})
     centre = centre.withColumnsRenamed({"x_median": "median", "x_mean": "mean", "x_sd": "sd"})

@@ -1,4 +1,5 @@
-"""Size-aware building blocks: measure a small side before joining it."""
+"""Joins of grouped results."""
+
 
 from __future__ import annotations
 
@@ -7,52 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.session import setting
-
-# Above this estimated input size the in-memory forms are not used.
-IN_MEMORY_BYTES = 32 * 1024 * 1024
-# An aggregated side with more rows than this is not kept for reuse.
-KEPT_ROWS = 5_000_000
-
-
-def in_memory_bytes(df: DataFrame) -> int:
-    return int(setting(df.sparkSession, "runlens.inMemoryBytes", str(IN_MEMORY_BYTES)))
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Size of everything a plan reads, as Catalyst knows it.  Runs no job.
-
-    The inputs are summed instead of taking the estimate of the whole plan,
-    which multiplies the sizes of joined sides.
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    except AttributeError:  # a client without access to the planner
-        return None
-    return sum(sizes)
-
-
-def fits_in_memory(df: DataFrame) -> bool:
-    """True when the whole input is small enough for one task's memory."""
-    size = estimated_bytes(df)
-    return size is not None and size <= in_memory_bytes(df)
-
-
-def measured(small: DataFrame) -> DataFrame:
-    """Materialise an aggregated side so that the planner knows its real size.
-
-    The side is computed once and kept.  Later joins then see its true byte
-    count: Spark broadcasts it below ``spark.sql.autoBroadcastJoinThreshold``
-    and uses a shuffled join, with skewed partitions split, above it.  A side
-    that turns out to have more than ``KEPT_ROWS`` rows is not kept.
-    A lost executor only means that its cached blocks are computed again.
-    """
-    kept = small.persist()
-    if kept.count() > KEPT_ROWS:
-        kept.unpersist()
-    return small
-
 
 def attach(
     left: DataFrame,
@@ -71,8 +26,8 @@ def attach(
     renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
     condition = None
     for k in keys:
-        other = renamed[f"__right_{k}"]
-        term = left[k].eqNullSafe(other) if null_safe else left[k] == other
+        own, other = left[f"`{k}`"], renamed[f"`__right_{k}`"]
+        term = own.eqNullSafe(other) if null_safe else own == other
         condition = term if condition is None else condition & term
     return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])
 

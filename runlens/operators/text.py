@@ -14,10 +14,10 @@ def characters(c: Column) -> Column:
 def match_score(text: Column, target: str) -> Column:
     """How many characters equal the target's character at the same position.
 
-    Characters beyond the target's end cannot match.
+    Characters beyond the target's end cannot match, so they are cut off first.
     """
     hits = F.zip_with(
-        characters(text),
+        characters(F.substring(text, 1, len(target))),
         F.array(*[F.lit(ch) for ch in target]),
         lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"),
     )

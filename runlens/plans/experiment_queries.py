@@ -17,7 +17,7 @@ from runlens.operators import ranking as K
 from runlens.operators import reshape as H
 from runlens.operators import significance as T
 from runlens.operators.sequences import energy_integral
-from runlens.operators.sizing import attach, attach_row, measured
+from runlens.operators.sizing import attach, attach_row
 from runlens.plans import sql_text as Q
 from runlens.plans.driver_tables import VARIANTS, python_file, runs, table
 from runlens.plans.registry import query
@@ -489,7 +489,7 @@ def exclude_pair(spark, sf_dir):
 SELECT benchmark, variant, count(*) FILTER (WHERE NOT beyond) AS n_kept, bool_or(beyond) AS offending
 FROM change GROUP BY benchmark, variant""")
 def exclude_extreme(spark, sf_dir):
-    base = measured(C.variant_performance(runs(spark, sf_dir)).select("benchmark", "variant", "baseline_median"))
+    base = C.variant_performance(runs(spark, sf_dir)).select("benchmark", "variant", "baseline_median")
     change = attach(runs(spark, sf_dir), base, ["benchmark", "variant"]).select(
         "benchmark", "variant", P.pct_change("energy_joules", "baseline_median").alias("delta_pct")
     )

@@ -14,7 +14,7 @@ from runlens.operators import pairs as PR
 from runlens.operators import sequences as SQ
 from runlens.operators import text as TX
 from runlens.operators.order_stats import bucket_of
-from runlens.operators.sizing import attach_row, measured
+from runlens.operators.sizing import attach_row
 from runlens.plans.driver_tables import table
 from runlens.plans.registry import query
 
@@ -27,7 +27,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _label_means(points: DataFrame) -> DataFrame:
     """One centroid per label, numbered by the label."""
     means = KM.kmeans_update(points.select(F.col("label").alias("cluster"), "vec"))
-    return measured(means.orderBy("cluster"))
+    return means.orderBy("cluster")
 
 
 _POINTS_SQL = """WITH cells AS (
@@ -419,7 +419,9 @@ _TAPS = ", ".join(f"({i}, {j}, {w})" for i, line in enumerate(_KERNEL) for j, w
 
 
 @query("conv2d_grid", "id:s out_r:i out_c:i value:6", _GRID_SQL + f""", taps AS (SELECT * FROM (VALUES {_TAPS}) AS t(dr, dc, w)),
-net AS (SELECT id, (r - dr) // 2 AS out_r, (c - dc) // 2 AS out_c, sum(value * w) AS net FROM grid, taps
+dense AS (SELECT i.id, y.r, x.c, coalesce(g.value, 0) AS value FROM (SELECT DISTINCT id FROM grid) AS i
+  CROSS JOIN range(31) AS y(r) CROSS JOIN range(24) AS x(c) LEFT JOIN grid g ON g.id = i.id AND g.r = y.r AND g.c = x.c),
+net AS (SELECT id, (r - dr) // 2 AS out_r, (c - dc) // 2 AS out_c, sum(value * w) AS net FROM dense, taps
   WHERE r >= dr AND c >= dc AND r - dr <= 28 AND c - dc <= 21 AND (r - dr) % 2 = 0 AND (c - dc) % 2 = 0 GROUP BY 1, 2, 3)
 SELECT id, out_r, out_c, 1 / (1 + exp(-(net - 0.25))) AS value FROM net""")
 def conv2d_grid(spark, sf_dir):
@@ -427,10 +429,12 @@ def conv2d_grid(spark, sf_dir):
 
 
 def _pool_query(how: str, agg: str) -> None:
-    @query(f"pool_grid_{how}", "id:s out_r:i out_c:i value", _GRID_SQL + f"""SELECT id, r // 4 AS out_r, c // 4 AS out_c,
-  {agg}(value) AS value FROM grid GROUP BY 1, 2, 3""")
+    @query(f"pool_grid_{how}", "id:s out_r:i out_c:i value", _GRID_SQL + f""", dense AS (
+  SELECT i.id, y.r, x.c, coalesce(g.value, 0) AS value FROM (SELECT DISTINCT id FROM grid) AS i
+  CROSS JOIN range(31) AS y(r) CROSS JOIN range(24) AS x(c) LEFT JOIN grid g ON g.id = i.id AND g.r = y.r AND g.c = x.c)
+SELECT id, r // 4 AS out_r, c // 4 AS out_c, {agg}(value) AS value FROM dense GROUP BY 1, 2, 3""")
     def pool_grid(spark, sf_dir):
-        return G.pool_grid(_grid(spark, sf_dir), 4, how)
+        return G.pool_grid(_grid(spark, sf_dir), 4, rows=31, cols=24, how=how)
 
 
 _pool_query("average", "avg")

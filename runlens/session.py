@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -48,9 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="runlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=8)
+def _local_folder(application: str) -> str:
+    """One temporary folder for each local application; the caller's settings stay as they are."""
+    return tempfile.mkdtemp(prefix="runlens-")
 
 
 def work_path(spark: SparkSession, *parts: str) -> str:

@@ -32,5 +32,7 @@ def materialise_clean(
     Every later result then scans only its own columns, and a filter on the
     partition column skips whole folders.
     """
-    runs.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    # rows of a folder meet in few tasks, and AQE splits the large ones: not tasks x folders files
+    placed = runs.hint("rebalance", *partition_by) if partition_by else runs
+    placed.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return runs.sparkSession.read.schema(runs.schema).parquet(path)

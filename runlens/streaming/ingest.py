@@ -86,7 +86,13 @@ def ingest_runs_incremental(
         .start()
     )
     query.awaitTermination()
-    return merge_rollups(stream.sparkSession.read.parquet(sink), keys)
+    # with the declared columns, so that no arrival yet means no rows
+    parts = _partial_rollup(stream, keys, measures).schema
+    spark = stream.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return merge_rollups(spark.createDataFrame([], parts), keys)
+    return merge_rollups(spark.read.schema(parts).option("recursiveFileLookup", True).parquet(sink), keys)
 
 
 def telemetry_windows(

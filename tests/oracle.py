@@ -63,8 +63,6 @@ def main() -> None:
     chosen = sys.argv[2:]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
-    if os.environ.get("RUNLENS_IN_MEMORY_BYTES"):  # 0 takes the paths for large inputs
-        spark.conf.set("runlens.inMemoryBytes", os.environ["RUNLENS_IN_MEMORY_BYTES"])
     con, sqls = connect(sf_dir), oracle_sql()
     failed = 0
     for name, q in queries().items():

@@ -130,22 +130,20 @@ def test_interaction(spark, block_rows):
 
 
 # -- sequences --------------------------------------------------------------
-@pytest.mark.parametrize("hot_rows", [0, 10, 1000])
-def test_next_across_empty_chunks(spark, hot_rows):
+def test_next_across_empty_chunks(spark):
     rng = random.Random(2)
     times = sorted(rng.sample(range(10_000), 60))
     df = spark.createDataFrame([("k", t) for t in times] + [("one", 5)], "k string, t int")
-    got = SQ.with_next(df, ["k"], ["t"], ["t"], F.floor(F.col("t") / 100), hot_rows=hot_rows).collect()
+    got = SQ.with_next(df, ["k"], ["t"], ["t"], F.floor(F.col("t") / 100)).collect()
     assert len(got) == 61
     links = {r["t"]: r["next"] and r["next"]["t"] for r in got if r["k"] == "k"}
     assert links == dict(zip(times, times[1:] + [None]))
     assert [r["next"] for r in got if r["k"] == "one"] == [None]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 1000])
-def test_route_and_edges(spark, hot_rows):
+def test_route_and_edges(spark):
     stops = spark.createDataFrame([("r", 0, "0", 0.0, 0.0), ("r", 1, "1", 2.0, 2.0), ("s", 0, "0", 0.0, 0.0)], "route string, seq int, node string, x double, y double")
-    legs = SQ.route_legs(stops, "route", ["seq"], F.floor(F.col("seq") / 1), hot_rows=hot_rows)
+    legs = SQ.route_legs(stops, "route", ["seq"], F.floor(F.col("seq") / 1))
     lengths = SQ.route_length(legs, "route")
     assert [tuple(r) for r in lengths.collect()] == [("r", 2, pytest.approx(5.656854249492381))]
     assert SQ.shortest_route(lengths, "route").first()["route"] == "r"
@@ -178,11 +176,48 @@ def test_semidivisible_totals(spark):
     squares = primes.selectExpr("k * k AS square")
     for limit, want in ((1000, 34825), (10_000, 1134942)):
         values = spark.range(4, limit + 1).withColumnRenamed("id", "v")
-        bounded = SQ.neighbour_bounds(values, "v", squares, "square", cells=64)
+        bounded = SQ.neighbour_bounds(values, "v", squares, "square")
         assert bounded.count() == limit - 3
         assert SQ.divisible_by_one_bound(bounded, "v").agg(F.sum("v")).first()[0] == want
 
 
+def test_bounds_with_one_breakpoint_far_off(spark):
+    values = spark.range(1, 5001).withColumnRenamed("id", "v")
+    points = spark.range(10, 5001, 10).select(F.col("id").cast("double").alias("b"))
+    far = points.unionByName(spark.createDataFrame([(1e12,), (-1e12,)], "b double"))
+    got = {r["v"]: (r["lower"], r["upper"]) for r in SQ.neighbour_bounds(values, "v", far, "b").collect()}
+    assert len(got) == 5000 and got[5] == (-1e12, 10.0) and got[15] == (10.0, 20.0) and got[5000] == (5000.0, 5000.0)
+    empty = spark.createDataFrame([], "b double")
+    assert {r["upper"] for r in SQ.neighbour_bounds(values, "v", empty, "b").collect()} == {None}
+
+
+def test_ratio_total_has_no_limit(spark):
+    """More denominators than any list on the driver should hold: 1/k - 1/(k+1) summed."""
+    n = 12_000
+    rows = spark.range(1, n + 1).selectExpr("1L AS num", "id * (id + 1) AS den")
+    got = SQ.ratio_total(rows).first()
+    assert (got["num"], got["den"], got["n_ratios"]) == (str(n), str(n + 1), n)
+
+
+def test_grids_with_empty_windows(spark):
+    grid = spark.createDataFrame([("g", 0, 0, 4.0), ("g", 1, 1, -2.0)], "id string, r int, c int, value double")
+    conv = {(r["out_r"], r["out_c"]): r["value"] for r in G.conv2d_grid(grid, [[1.0, 0.0], [0.0, 1.0]], 6, 6, bias=0.5).collect()}
+    assert len(conv) == 25 and conv[4, 4] == pytest.approx(1 / (1 + math.exp(0.5)))
+    assert conv[0, 0] == pytest.approx(1 / (1 + math.exp(-1.5)))
+    mean = {(r["out_r"], r["out_c"]): r["value"] for r in G.pool_grid(grid, 2, 6, 6).collect()}
+    assert len(mean) == 9 and mean[0, 0] == 0.5 and mean[2, 2] == 0.0
+    high = {(r["out_r"], r["out_c"]): r["value"] for r in G.pool_grid(grid.filter("r = 1"), 2, 6, 6, "max").collect()}
+    assert high[0, 0] == 0.0 and len(high) == 9
+
+
+def test_lda_without_variance_predicts_nothing(spark):
+    from runlens.operators import learning as LE
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "y string, x double")
+    got = LE.lda_predict(df, LE.lda_fit(df, "y", "x"), "y", "x").collect()
+    assert [r["predicted"] for r in got] == [None] * 4
+
+
 def test_bounds_outside_and_on_breakpoints(spark):
     points = spark.createDataFrame([(10.0,), (20.0,), (20.0,), (1000.0,)], "b double")
     values = spark.createDataFrame([(5.0,), (10.0,), (15.0,), (999.0,), (1000.0,), (5000.0,)], "v double")
@@ -305,10 +340,10 @@ def test_convolution_and_pooling(spark):
                 net = (a[top : top + 3, left : left + 2] * kernel).sum() - 0.3
                 want[i, j] = 1 / (1 + math.exp(-net))
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-    pooled = {(r["out_r"], r["out_c"]): r["value"] for r in G.pool_grid(grid, 3, "max").collect()}
+    pooled = {(r["out_r"], r["out_c"]): r["value"] for r in G.pool_grid(grid, 3, 6, 7, "max").collect()}
     assert pooled[0, 0] == pytest.approx(a[:3, :3].max()) and len(pooled) == 6
     with pytest.raises(ValueError):
-        G.pool_grid(grid, 3, "median")
+        G.pool_grid(grid, 3, 6, 7, "median")
 
 
 def test_text(spark):

@@ -105,16 +105,15 @@ def test_signed_rank_against_all_sign_patterns():
             assert PV.signed_rank_exact(v, n) == pytest.approx(min(1, 2 * min(low, high)))
 
 
-def test_wilcoxon_ties_zeros_and_methods(spark):
+def test_wilcoxon_ties_and_zeros(spark):
     values = [0.0, 1.0, -1.0, 2.0, 2.0, -3.0, 4.0, None, math.nan]
     df = spark.createDataFrame([("g", x) for x in values] + [("z", 0.0)], "g string, x double")
-    for method in ("memory", "bucket"):
-        got = {r["g"]: r for r in T.wilcoxon_signed_rank(df, ["g"], "x", method=method).collect()}
-        assert (got["g"]["n"], got["g"]["v"]) == (6, 1.5 + 3.5 + 3.5 + 6)
-        variance = 6 * 7 * 13 / 24 - (2 * (8 - 2)) / 48
-        z = (14.5 - 10.5 - 0.5) / math.sqrt(variance)
-        assert got["g"]["p"] == pytest.approx(math.erfc(z / math.sqrt(2)))
-        assert (got["z"]["n"], got["z"]["v"], got["z"]["p"]) == (0, None, None)
+    got = {r["g"]: r for r in T.wilcoxon_signed_rank(df, ["g"], "x").collect()}
+    assert (got["g"]["n"], got["g"]["v"]) == (6, 1.5 + 3.5 + 3.5 + 6)
+    variance = 6 * 7 * 13 / 24 - (2 * (8 - 2)) / 48
+    z = (14.5 - 10.5 - 0.5) / math.sqrt(variance)
+    assert got["g"]["p"] == pytest.approx(math.erfc(z / math.sqrt(2)))
+    assert (got["z"]["n"], got["z"]["v"], got["z"]["p"]) == (0, None, None)
 
 
 def test_t_test_edge_cases(spark):

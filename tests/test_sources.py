@@ -104,14 +104,16 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     names = ",".join(schema.names)
     row = "0,1000,1,1,50,10,{},{},200,0,50,0\n"
     source = f"{tmp_path}/in"
-    write(f"{source}/a.csv", names + "\n" + row.format(20, 5.0))
-    write(f"{source}/b.csv", names + "\n" + row.format(40, "NaN"))
 
     def ingest():
         stream = sample_stream(spark, source, schema, "csv", files_per_batch=1, header=True)
         keyed = stream.withColumn("run", F.col("Delta"))
         return ingest_runs_incremental(keyed, ["run"], sample_measures(keyed), f"{tmp_path}/out", f"{tmp_path}/state")
 
+    os.makedirs(source, exist_ok=True)
+    assert ingest().count() == 0  # nothing has arrived
+    write(f"{source}/a.csv", names + "\n" + row.format(20, 5.0))
+    write(f"{source}/b.csv", names + "\n" + row.format(40, "NaN"))
     assert ingest().count() == 1
     write(f"{source}/c.csv", names + "\n" + row.format(60, 9.0))
     got = ingest().first()

@@ -39,12 +39,12 @@ def mixed(spark):
     return make_runs(spark, rows), rows
 
 
-@pytest.mark.parametrize("method", ["memory", "refine"])
-def test_exact_quantiles(mixed, method, monkeypatch):
-    monkeypatch.setattr(OS, "ROWS_PER_CELL", 20)  # forces several rounds
+@pytest.mark.parametrize("cells", [1, 16, 1 << 14])
+def test_exact_quantiles(mixed, cells, monkeypatch):
+    monkeypatch.setattr(OS, "CELLS", cells)
     df, rows = mixed
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    got = OS.exact_quantiles(df, ["benchmark", "variant"], ["energy_joules"], probs, method).collect()
+    got = OS.exact_quantiles(df, ["benchmark", "variant"], ["energy_joules"], probs).collect()
     assert len(got) == len({(b, v) for b, v, _ in rows})
     for r in got:
         x = [e for b, v, e in rows if (b, v) == (r[0], r[1]) and e is not None and not math.isnan(e)]
@@ -52,24 +52,61 @@ def test_exact_quantiles(mixed, method, monkeypatch):
         assert r[2:] == pytest.approx(want) if x else list(r[2:]) == want
 
 
-@pytest.mark.parametrize("method", ["memory", "refine"])
-def test_global_quantiles_and_empty_input(mixed, method):
+def test_global_quantiles_and_empty_input(mixed):
     df, rows = mixed
     x = [e for _, _, e in rows if e is not None and not math.isnan(e)]
-    got = OS.exact_quantiles(df, [], ["energy_joules"], [0.5], method).first()[0]
+    got = OS.exact_quantiles(df, [], ["energy_joules"], [0.5]).first()[0]
     assert got == pytest.approx(st.median(x))
-    none = OS.exact_quantiles(df.filter("false"), ["benchmark"], ["energy_joules"], [0.5], method)
+    none = OS.exact_quantiles(df.filter("false"), ["benchmark"], ["energy_joules"], [0.5])
     assert none.count() == 0
     spec = {"x": ("energy_joules", ("median",))}
-    assert A.grouped_stats(df, [], spec, method=method).first()[0] == pytest.approx(st.median(x))
-    empty = A.grouped_stats(df.filter("false"), [], spec, method=method).collect()
+    assert A.grouped_stats(df, [], spec).first()[0] == pytest.approx(st.median(x))
+    empty = A.grouped_stats(df.filter("false"), [], spec).collect()
     assert [tuple(r) for r in empty] == [(None,)]
 
 
-@pytest.mark.parametrize("method", ["memory", "bucket"])
-def test_value_positions(mixed, method):
+def test_value_buckets_keep_the_order(spark):
+    rng = random.Random(4)
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, math.inf, -math.inf, 1.0, 2.0, 4.0, 0.5]
+    values += [math.nextafter(2.0**k, side) for k in (-1022, -3, 0, 1, 10, 52, 1000) for side in (0, math.inf)]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(3000)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").withColumn("b", OS.value_bucket(F.col("v")))
+    found = sorted((r["v"], r["b"]) for r in frame.collect())
+    assert all(x[1] <= y[1] for x, y in zip(found, found[1:]))
+
+
+def test_a_hot_group_is_spread_over_buckets(spark):
+    """One key with 90 % of the rows: no bucket of it holds more than a small share of its values."""
+    rows = spark.range(100_000).select(F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("k"), F.col("id").cast("double").alias("v"))
+    most = rows.where("k = 'hot'").groupBy(OS.value_bucket(F.col("v"))).count().agg(F.max("count")).first()[0]
+    assert most <= 100
+    got = {r["k"]: r[1] for r in OS.exact_quantiles(rows, ["k"], ["v"], [0.5]).collect()}
+    assert got == {"cold": 49_995.0, "hot": 50_000.0}
+
+
+def test_building_a_query_starts_no_job(spark, mixed):
+    df, _ = mixed
+    group = "building"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        A.stats_by_variant(df)
+        A.overall_stats(df)
+        O.flag_outliers(df)
+        K.best_variant(df)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+
+
+def test_columns_with_odd_names_and_labels(spark):
+    df = spark.createDataFrame([(1.0, "a"), (3.0, "a")], "`SYSTEM_POWER (Watts)` double, `k.1` string")
+    got = A.describe_metric(df, {"SYSTEM_POWER (Watts)": "it's power"}, ["k.1"]).collect()
+    assert [(r[0], r["metric"], r["n"], r["median"]) for r in got] == [("a", "it's power", 2, 2.0)]
+
+
+def test_value_positions(mixed):
     df, rows = mixed
-    got = OS.value_positions(df, ["benchmark"], "energy_joules", method).collect()
+    got = OS.value_positions(df, ["benchmark"], "energy_joules").collect()
     for benchmark in ("a", "b", "c", "d", None):
         x = sorted(e for b, _, e in rows if b == benchmark and e is not None and not math.isnan(e))
         mine = sorted((r["energy_joules"], r["ties"], r["before"], r["distinct_before"]) for r in got if r["benchmark"] == benchmark)
@@ -77,12 +114,11 @@ def test_value_positions(mixed, method):
         assert mine == [(v, x.count(v), x.index(v), i) for i, v in enumerate(distinct)]
 
 
-@pytest.mark.parametrize("method", ["memory", "refine"])
-def test_describe_metric(mixed, method):
+def test_describe_metric(mixed):
     df, rows = mixed
     got = {
         (r["benchmark"], r["metric"]): r
-        for r in A.describe_metric(df, ["energy_joules", "memory_usage_avg"], ["benchmark"], method).collect()
+        for r in A.describe_metric(df, ["energy_joules", "memory_usage_avg"], ["benchmark"]).collect()
     }
     x = [e for b, _, e in rows if b == "a"]
     m, s, n = st.mean(x), st.stdev(x), len(x)
@@ -99,10 +135,9 @@ def test_describe_metric(mixed, method):
     assert empty["n"] == 0 and all(empty[c] is None for c in A.DESCRIBE if c != "n")
 
 
-@pytest.mark.parametrize("method", ["memory", "refine"])
-def test_outlier_flags_keep_rows(mixed, method):
+def test_outlier_flags_keep_rows(mixed):
     df, rows = mixed
-    flagged = O.flag_outliers(df, method).collect()
+    flagged = O.flag_outliers(df).collect()
     assert len(flagged) == len(rows)
     x = [e for b, v, e in rows if (b, v) == ("a", "BASELINE")]
     q1, q3 = np.quantile(x, [0.25, 0.75])
@@ -179,9 +214,8 @@ def test_top_and_order(spark):
     assert [r["benchmark"] for r in top] == ["b0", "b4", "b8", "b1", "b5"]
     low = K.top10_inefficient(df, 3).orderBy("rank").collect()
     assert [r["benchmark"] for r in low] == ["b11", "b3", "b7"]
-    for method in ("memory", "refine"):
-        keys = {r["benchmark"]: r["sort_key"] for r in K.reorder_by_median(df, "benchmark", "energy_joules", method).collect()}
-        assert keys["b0"] == 1 and keys["b5"] == 2 and keys["b11"] == 4
+    keys = {r["benchmark"]: r["sort_key"] for r in K.reorder_by_median(df, "benchmark", "energy_joules").collect()}
+    assert keys["b0"] == 1 and keys["b5"] == 2 and keys["b11"] == 4
 
 
 def test_reshape(spark):
