@@ -85,6 +85,11 @@ def _typed(raw: DataFrame) -> DataFrame:
     )
 
 
+def skewed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose measure is the power: it has outliers, the prices have none."""
+    return runs(spark, sf_dir).withColumn("energy_joules", F.col("power_watts"))
+
+
 @query("scan_run_tables", _TABLE_COLUMNS, _TABLE_SQL)
 def scan_run_tables(spark, sf_dir):
     path = _write_run_tables(spark, sf_dir)
@@ -612,10 +617,16 @@ def stats_by_variant(spark, sf_dir):
     return A.stats_by_variant(runs(spark, sf_dir))
 
 
-@query("stats_by_benchmark_variant", f"{PAIR} n_runs:i {_listed(**_BY_PAIR)} n_outliers_moderate:i n_outliers_extreme:i outlier_rate",
+# quantiles of power may lie halfway between four decimals
+_PAIR_COLUMNS = " ".join(
+    f"{c}:8" if c in ("energy_q25", "energy_q75", "energy_median", "energy_iqr") else c for c in _listed(**_BY_PAIR).split()
+)
+
+
+@query("stats_by_benchmark_variant", f"{PAIR} n_runs:i {_PAIR_COLUMNS} n_outliers_moderate:i n_outliers_extreme:i outlier_rate",
        Q.PAIR_STATS + "SELECT * FROM pair_stats")
 def stats_by_benchmark_variant(spark, sf_dir):
-    return A.stats_by_benchmark_variant(O.flag_outliers(runs(spark, sf_dir)))
+    return A.stats_by_benchmark_variant(O.flag_outliers(skewed_runs(spark, sf_dir)))
 
 
 @query("baseline_stats", _BASELINE_COLUMNS, _BASELINE_SQL)
@@ -638,7 +649,7 @@ SELECT *, n_outliers_moderate * 100.0 / n_runs AS outlier_rate_pct,
   CASE WHEN energy_cv < 5 THEN 'Very Stable' WHEN energy_cv < 10 THEN 'Stable' WHEN energy_cv < 20 THEN 'Moderate'
        WHEN energy_cv < 30 THEN 'Variable' ELSE 'Highly Variable' END AS stability FROM q""")
 def data_quality(spark, sf_dir):
-    return A.data_quality(O.flag_outliers(runs(spark, sf_dir)))
+    return A.data_quality(O.flag_outliers(skewed_runs(spark, sf_dir)))
 
 
 @query("table1_overall", "metric:s n:i energy_mean energy_median energy_sd energy_iqr power_mean power_median cpu_mean memory_mean",
@@ -672,7 +683,7 @@ SELECT *, n_outliers_moderate * 100.0 / n AS outlier_rate,
   CASE WHEN energy_cv < 10 THEN 'Stable' WHEN energy_cv < 20 THEN 'Moderate' WHEN energy_cv < 30 THEN 'Variable'
        ELSE 'High Var' END AS stability FROM q""")
 def table7_quality_matrix(spark, sf_dir):
-    return A.table7_quality_matrix(O.flag_outliers(runs(spark, sf_dir)))
+    return A.table7_quality_matrix(O.flag_outliers(skewed_runs(spark, sf_dir)))
 
 
 @query("table10_guideline", "guideline:s n_runs:i n_benchmarks:i energy_median energy_mean energy_cv power_median cpu_mean vs_baseline_pct",
@@ -788,7 +799,7 @@ def treatment_summary(spark, sf_dir):
   avg(energy_mean) AS energy_mean, quantile_cont(energy_median, 0.5) AS energy_median FROM pair_stats GROUP BY 1, 2""")
 def type_comparison(spark, sf_dir):
     spec = {"energy": ("energy_joules", ("mean", "median"))}
-    return A.type_comparison(A.grouped_stats(runs(spark, sf_dir), ["benchmark", "variant"], spec))
+    return A.type_comparison(A.grouped_stats(skewed_runs(spark, sf_dir), ["benchmark", "variant"], spec))
 
 
 @query("count_flags", "benchmark:s n:i n_is_outlier_moderate:i n_is_outlier_zscore:i n_is_outlier_extreme:i", Q.FLAGGED + """SELECT benchmark,
@@ -797,7 +808,7 @@ def type_comparison(spark, sf_dir):
   count(*) FILTER (WHERE is_outlier_extreme) AS n_is_outlier_extreme FROM flagged GROUP BY benchmark""")
 def count_flags(spark, sf_dir):
     flags = ["is_outlier_moderate", "is_outlier_zscore", "is_outlier_extreme"]
-    return A.count_flags(O.flag_outliers(runs(spark, sf_dir)), flags, ["benchmark"])
+    return A.count_flags(O.flag_outliers(skewed_runs(spark, sf_dir)), flags, ["benchmark"])
 
 
 @query("distinct_values", "variant:s", Q.RUNS + "SELECT DISTINCT variant FROM runs")
@@ -814,12 +825,12 @@ def before_after_count(spark, sf_dir):
 # -- outliers and ranks -----------------------------------------------------
 @query("outlier_iqr", f"{KEYS} is_outlier_moderate:s is_outlier_extreme:s", Q.FLAGGED + "SELECT * FROM flagged")
 def outlier_iqr(spark, sf_dir):
-    return O.outlier_iqr(runs(spark, sf_dir))
+    return O.outlier_iqr(skewed_runs(spark, sf_dir))
 
 
 @query("outlier_zscore", f"{KEYS} energy_z_score is_outlier_zscore:s is_outlier_extreme_zscore:s", Q.FLAGGED + "SELECT * FROM flagged")
 def outlier_zscore(spark, sf_dir):
-    return O.outlier_zscore(runs(spark, sf_dir))
+    return O.outlier_zscore(skewed_runs(spark, sf_dir))
 
 
 @query("outliers_detailed", f"{KEYS} energy_joules:d energy_z_score is_outlier_extreme:s", Q.RUNS + """, fences AS (
@@ -831,9 +842,7 @@ SELECT r.results_set, r.run_id, r.benchmark, r.variant, power_watts AS energy_jo
 FROM runs r JOIN fences f ON r.benchmark = f.benchmark AND r.variant = f.variant JOIN centre c ON r.benchmark = c.benchmark
 WHERE power_watts < q1 - 1.5 * (q3 - q1) OR power_watts > q3 + 1.5 * (q3 - q1)""")
 def outliers_detailed(spark, sf_dir):
-    # power is skewed, so this report has rows; prices are even and have none
-    skewed = runs(spark, sf_dir).withColumn("energy_joules", F.col("power_watts"))
-    return O.outliers_detailed(O.flag_outliers(skewed))
+    return O.outliers_detailed(O.flag_outliers(skewed_runs(spark, sf_dir)))
 
 
 _BEST_COLUMNS = "benchmark:s variant:s median_energy pct_change"
@@ -916,7 +925,7 @@ def multi_key_sort(spark, sf_dir):
   (s.time_mean - b.time_mean) / nullif(b.time_mean, 0) * 100 AS time_pct_vs_baseline
 FROM pair_stats s LEFT JOIN (SELECT * FROM pair_stats WHERE variant = 'BASELINE') b ON s.benchmark = b.benchmark""")
 def stats_vs_baseline(spark, sf_dir):
-    return C.stats_vs_baseline(A.stats_by_benchmark_variant(O.flag_outliers(runs(spark, sf_dir))))
+    return C.stats_vs_baseline(A.stats_by_benchmark_variant(O.flag_outliers(skewed_runs(spark, sf_dir))))
 
 
 @query("baseline_left_join", f"{PAIR} median_energy baseline_energy_median", Q.PERFORMANCE + "SELECT *, baseline_median AS baseline_energy_median FROM performance")
