@@ -170,21 +170,31 @@ def read_telemetry(spark, sf_dir):
     )
 
 
-def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log per order, one line per item: summaries, noise and errors."""
+def _log_files(spark: SparkSession, sf_dir: str) -> str:
+    """Text files, one log per supplier, one line per item: summaries, noise and errors.
+
+    Some logs have several summaries, some none.
+    """
     text = lambda c: F.col(c).cast("string")
     summary = F.concat(
         F.lit("Energy consumption in joules: "), text("l_extendedprice"), F.lit(" for "), text("l_quantity"),
         F.lit(" sec of execution."),
     )
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("run"),
-        F.struct("l_linenumber", "l_extendedprice", "l_quantity").alias("place"),
-        F.when(F.col("l_linenumber") % 3 != 0, summary)
-        .when(F.col("l_tax") > 0.07, "IndentationError: expected an indented block")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("run"),
+        F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").alias("place"),
+        F.when((F.col("l_linenumber") % 3 != 0) & (F.col("l_suppkey") % 10 != 7), summary)
+        .when((F.col("l_tax") > 0.07) & (F.col("l_suppkey") % 3 == 1), "IndentationError: expected an indented block")
         .otherwise("sampling started")
         .alias("line"),
     )
+    path = work_path(spark, f"logs-{uuid.uuid4().hex}")
+    lines.repartition("run").sortWithinPartitions("run", "place").select("run", "line").write.partitionBy("run").text(path)
+    return path
+
+
+def _by_log(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumn("run", F.regexp_extract("path", r"run=(\d+)", 1).cast("bigint"))
 
 
 _LOG_COLUMNS = "run:i energy_joules_log exec_time_sec_log"
@@ -192,17 +202,17 @@ _LOG_COLUMNS = "run:i energy_joules_log exec_time_sec_log"
 
 @query("parse_run_log", _LOG_COLUMNS, Q.LOG_LINES + "SELECT run, energy_joules_log, exec_time_sec_log FROM logs")
 def parse_run_log(spark, sf_dir):
-    return L.last_reading(_log_lines(spark, sf_dir), keys=["run"])
+    return _by_log(L.parse_run_log(spark, _log_files(spark, sf_dir)))
 
 
 @query("parse_run_log_keyword", _LOG_COLUMNS, Q.LOG_LINES + "SELECT run, energy_joules_log, exec_time_sec_log FROM logs")
 def parse_run_log_keyword(spark, sf_dir):
-    return L.last_reading(_log_lines(spark, sf_dir), L.keyword_line, ["run"])
+    return _by_log(L.parse_run_log_keyword(spark, _log_files(spark, sf_dir)))
 
 
 @query("failed_run_flag", "run:i failed:s", Q.LOG_LINES + "SELECT run, failed FROM logs")
 def failed_run_flag(spark, sf_dir):
-    return L.failed_run_flag(_log_lines(spark, sf_dir), ["run"])
+    return _by_log(L.failed_run_flag(L.scan_log_lines(spark, _log_files(spark, sf_dir))))
 
 
 @query("discover_files", "file:s")

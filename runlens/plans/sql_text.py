@@ -180,8 +180,8 @@ ROLLUP = TELEMETRY + """SELECT user_id, count(*) AS n_samples, avg(power) AS avg
 FROM measured GROUP BY user_id"""
 
 LOG_LINES = """WITH lines AS (
-  SELECT l_orderkey AS run, l_linenumber AS n, l_extendedprice AS e, l_quantity AS q,
-         l_linenumber % 3 <> 0 AS summary, l_tax > 0.07 AS broken
+  SELECT l_suppkey AS run, (l_orderkey, l_linenumber) AS n, l_extendedprice AS e, l_quantity AS q,
+         l_linenumber % 3 <> 0 AND l_suppkey % 10 <> 7 AS summary, l_tax > 0.07 AND l_suppkey % 3 = 1 AS broken
   FROM lineitem),
 logs AS (
   SELECT run, arg_max(e, (n, e, q)) FILTER (WHERE summary) AS energy_joules_log,

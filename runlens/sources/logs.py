@@ -34,9 +34,12 @@ def scan_log_lines(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def parsed_line(line: Column) -> Column:
-    """(energy, seconds) of a summary line, null for any other line."""
+    """(energy, seconds) of a summary line, null for any other line.
+
+    A plain search comes first, so that most lines never meet the pattern.
+    """
     return F.when(
-        line.rlike(S.LOG_PATTERN),
+        F.contains(line, F.lit("Energy consumption in joules: ")) & line.rlike(S.LOG_PATTERN),
         F.struct(
             safe_numeric(F.regexp_extract(line, S.LOG_PATTERN, 1)).alias("energy"),
             safe_numeric(F.regexp_extract(line, S.LOG_PATTERN, 2)).alias("seconds"),

@@ -145,3 +145,20 @@ def test_listing_and_sinks(spark, root, tmp_path):
     assert sorted(tuple(r) for r in kept.select("benchmark", "x").collect()) == [("a", 1.0), ("b", 2.0)]
     plan = kept.filter("benchmark = 'a'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(benchmark" in plan
+
+
+def test_a_log_may_be_split(spark, tmp_path):
+    """Many parts of one file: the last summary is still the last line's."""
+    line = "Energy consumption in joules: {} for {} sec of execution."
+    lines = [line.format(i, i / 2) if i % 7 == 0 else "noise " * (i % 5) for i in range(2000)]
+    write(f"{tmp_path}/one/run.log", "\n".join(lines) + "\n")
+    write(f"{tmp_path}/two/run.log", "noise\nValueError: no summary here\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        scanned = L.parse_run_log(spark, str(tmp_path))
+        assert scanned.count() == 2
+        got = {r["path"].split("/")[-2]: (r["energy_joules_log"], r["exec_time_sec_log"], r["failed"]) for r in scanned.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {"one": (1995.0, 997.5, False), "two": (None, None, True)}
