@@ -17,6 +17,7 @@ stay separate rows, ordered by their text; a null id comes first.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_slices, list_array
+from .common import byte_slices, joinable, list_array, saved
 
 BLOCK_IDS = 1 << 16
 #: Parts of texts kept from batch to batch, and how long they may be.
@@ -49,6 +50,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
         return b""
     if int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
+    if bits in (8, 16, 32):  # whole bytes: the same layout without work on bits
+        return ids.astype(f"<u{bits // 8}").tobytes()
     parts = []
     for start in range(0, len(ids), 1 << 20):  # a multiple of 8 ids ends on a byte
         part = ids[start : start + (1 << 20)].astype("<u4")
@@ -61,6 +64,8 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     """``count`` ids from the ``start``-th on; touches only the bytes that hold them."""
     if not count:
         return np.zeros(0, np.uint32)
+    if bits in (8, 16, 32):
+        return np.frombuffer(payload, f"<u{bits // 8}", count, start * bits // 8).astype(np.uint32)
     first = start * bits
     low, high = first >> 3, (first + count * bits + 7) >> 3
     raw = np.frombuffer(payload, np.uint8, high - low, low)
@@ -137,11 +142,11 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
         if seen is None:
             hard.append(w)
         else:
-            ids[w] = np.array([t.id for t in merges.tokenize(seen)], "<u4").tobytes()
+            ids[w] = array("I", [t.id for t in merges.tokenize(seen)]).tobytes()
     for start in range(0, len(hard), 10_000):
         some = hard[start : start + 10_000]
         ids.update(
-            (w, np.array(e.ids, "<u4").tobytes())
+            (w, array("I", e.ids).tobytes())
             for w, e in zip(some, model.encode_batch_fast(some, add_special_tokens=False))
         )
     get = lambda w: ids[w] if w in ids else known[w]
@@ -240,15 +245,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                         [
                             pa.array(docs[k : k + 256], pa.int64()),
                             pa.array(lows + begin, pa.int64()),
-                            list_array(lists, pa.int64()),
+                            list_array(lists, pa.int32()),
                         ],
                         ["doc_id", "start", "ids"],
                     )
 
     return (
         blocks.select("shard", "block", "docs", "ends", "payload", "bits")
-        .join(starts, ["shard", "block"])
-        .mapInArrow(run, "doc_id long, start long, ids array<long>")
+        .join(joinable(saved(starts, "starts"), 24), ["shard", "block"])
+        .mapInArrow(run, "doc_id long, start long, ids array<int>")
     )
 
 
