@@ -17,10 +17,12 @@ share an empty segment with them.  Every similar pair is thus a candidate.
 Candidates aren't all verified.  In a group of sets with one content, each set
 proposes the one before it; every set verifies the proposal it got most often.
 Verified links and equal sets give components.  A group whose members are all in
-one component has nothing more to tell; in the other groups the pairs between
-different components are verified, after a filter that bounds the difference by
-parity bits and never drops a similar pair.  A component thus holds exactly the
-sets that links connect, and no group emits all its pairs.
+one component has nothing more to tell.  In the others each set again proposes
+the one before it, in a new order each turn, if it is of another component and
+a filter that bounds the difference by parity bits lets it pass; that filter never
+drops a similar pair.  Once few of a turn's proposals are links, all pairs between different
+components that pass are verified.  A component thus holds exactly the sets that
+links connect, and a group that links hold together never emits all its pairs.
 
 Words are runs of anything but U+0020 and U+0009 to U+000D, A-Z lower-cased.  A
 text with fewer words than ``size`` has one shingle, its whole sequence; a text
@@ -47,6 +49,10 @@ SHARE = (80, 100)
 RATIO = 1.5
 #: Longs of parity bits for each set.
 PARITY = 8
+#: Bytes of text worked on at once; the arrays beside it take about sixty times that.
+SLICE = 1 << 19
+#: Another turn of proposals follows if this share of the last ones were links.
+WORTH = 0.25
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -60,7 +66,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64; n is a power of two."""
     both = []
@@ -80,7 +86,8 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     blank = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    power, inverse = _powers(1 << int(len(b)).bit_length())
+    # one size for all usual slices; a longer text has its own, for as long as no other comes
+    power, inverse = _powers(1 << max(20, int(len(b)).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])])
     word = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     first = np.searchsorted(starts, begins)  # first word of each text
@@ -171,7 +178,7 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
+            for batch in byte_slices(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text").to_pylist(), size)
                 n = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
@@ -198,7 +205,7 @@ def _index(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
     def run(batches):
         seen: set[bytes] = set()
         for whole in batches:
-            for batch in byte_slices(whole, "text", 1 << 20):
+            for batch in byte_slices(whole, "text", SLICE):
                 ids, sigs, kinds = [], [], []
                 for doc, values in zip(batch.column("id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), size)):
                     if doc is None or not len(values):
@@ -227,7 +234,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, bands: Bands) -> Dat
 
     def run(batches):
         for whole in batches:
-            for batch in byte_slices(whole, "left", 2 << 20):
+            for batch in byte_slices(whole, "left", SLICE // 2):
                 one = shingle_sets(batch.column("left").to_pylist(), size)
                 two = shingle_sets(batch.column("right").to_pylist(), size)
                 ok = []
@@ -274,6 +281,29 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "id")
 
 
+def _still_open(groups: DataFrame, components: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows (sig, id, kind) of the groups with more than one component, with that component ``c`` and the parity bits."""
+    label = F.coalesce("component", "id").alias("c")
+    labelled = saved(groups.join(components, "id", "left").select("sig", "id", "kind", label), "labelled")
+    ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    return saved(
+        labelled.join(ends.where("low <> high").select("sig"), "sig", "left_semi").join(bits, "id"), "open"
+    )
+
+
+def _may_link(bands: Bands):
+    """Whether x and y are of different components and can be similar: the parities differ in no more bits than sets do."""
+    bit = lambda k: F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}")))
+    differ = sum((bit(k) for k in range(1, PARITY)), bit(0))
+    total = F.col("x.n") + F.col("y.n")
+    return (
+        (F.col("x.c") != F.col("y.c"))
+        & ((F.col("x.kind") == 0) | (F.col("x.kind") == 2) | (F.col("y.kind") == 2))
+        & (bands.den * F.least("x.n", "y.n") >= bands.num * F.greatest("x.n", "y.n"))
+        & ((bands.den + bands.num) * differ <= (bands.den - bands.num) * total)
+    )
+
+
 def link_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -324,26 +354,45 @@ def link_components(
     release(spark)
     first = saved(components(equal.unionByName(links)), "components")
 
-    label = F.coalesce("component", "id")
-    labelled = groups.select("sig", "id", "kind").join(first, "id", "left").select("sig", "id", "kind", label.alias("c"))
-    open_sigs = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
     bits = facts.select("id", "n", *(f"p{k}" for k in range(PARITY))).dropDuplicates(["id"])
-    left_over = saved(labelled.join(open_sigs, "sig", "left_semi").join(bits, "id"), "open")
+    left_over, texts, turn = groups.select("sig", "id", "kind"), None, 0
+    while True:
+        left_over = _still_open(left_over, first, bits)
+        if texts is None:
+            ids = saved(left_over.select("id").distinct(), "open-ids")
+            texts = saved(rows.join(joinable(ids, 16), "id", "left_semi"), "open-texts")
+            release(spark)
+        # the set before it in a new order, if it is of another component and may be similar
+        order = Window.partitionBy("sig").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+        other = F.lag(F.struct(*left_over.columns)).over(order)
+        beside = left_over.alias("x").withColumn("y", other).where(_may_link(bands))
+        tried = (
+            beside.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            .count()
+            .groupBy("a")
+            .agg(F.max(F.struct("count", "b")).alias("best"))
+            .select("a", F.col("best.b").alias("b"))
+        )
+        tried = saved(tried, "tried")
+        links = saved(_verified(tried, texts, size, bands), "links")
+        found = links.count()
+        if not found:
+            break
+        known = first.select(F.col("component").alias("a"), F.col("id").alias("b"))
+        first = saved(components(known.unionByName(links)), "components")
+        left_over, turn = left_over.select("sig", "id", "kind"), turn + 1
+        if found < WORTH * tried.count():
+            left_over = _still_open(left_over, first, bits)
+            break
     x, y = left_over.alias("x"), left_over.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(1, PARITY)),
-                 F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
-    total = F.col("x.n") + F.col("y.n")
-    may_link = (
-        (F.col("x.c") < F.col("y.c"))
-        & ((F.col("x.kind") == 0) | (F.col("x.kind") == 2) | (F.col("y.kind") == 2))
-        & (bands.den * F.least("x.n", "y.n") >= bands.num * F.greatest("x.n", "y.n"))
-        & ((bands.den + bands.num) * differ <= (bands.den - bands.num) * total)
-    )
+    ordered = F.col("x.c") < F.col("y.c")
     crossing = saved(
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & may_link).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(),
+        x.join(y, (F.col("x.sig") == F.col("y.sig")) & ordered & _may_link(bands))
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .distinct(),
         "crossing",
     )
-    more = saved(_verified(crossing, rows, size, bands), "more-links")
+    more = saved(_verified(crossing, texts, size, bands), "more-links")
     of_label = first.select(F.col("component").alias("a"), F.col("id").alias("b"))
     final = first if more.isEmpty() else saved(components(of_label.unionByName(more)), "components")
     release(spark)
