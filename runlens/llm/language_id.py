@@ -42,6 +42,8 @@ MARGIN = 1.0
 #: Score: how sharply differences of cross-entropy (nats per character) tell.
 SHARPNESS = 12.0
 UNKNOWN = "und"
+#: Bytes of text worked on at once; the arrays beside it take about a hundred times that.
+SLICE = 1 << 18
 SPACE = 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -220,7 +222,7 @@ def score_texts(model: Model, texts: list[str | None]):
 
 def _count_grams(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, "text", SLICE)):
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = batch.column("text").to_pylist()
             for lang in set(langs):
@@ -270,7 +272,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     held = sample.where(F.col("rank") % CALIBRATE == 0)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, "text", SLICE)):
             best, _, entropy, spread, _ = score_texts(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(best.astype(np.int32)), pa.array(entropy), pa.array(spread)], ["k", "entropy", "spread"]
@@ -308,7 +310,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches):
         for whole in batches:
-            for batch in byte_slices(whole, text_col, 1 << 20):
+            for batch in byte_slices(whole, text_col, SLICE):
                 rejected = judged(shared.value, batch.column(text_col).to_pylist())[3]
                 yield batch.filter(pa.array(~rejected))
 
@@ -324,7 +326,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches):
         model = shared.value
         for whole in batches:
-            for batch in byte_slices(whole, "text", 1 << 20):
+            for batch in byte_slices(whole, "text", SLICE):
                 best, score, entropy, rejected = judged(model, batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
