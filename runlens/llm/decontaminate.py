@@ -3,17 +3,18 @@
 Texts become sequences of tokens in which numbers, names and the units after
 numbers are typed placeholders.  Windows of ``WINDOW`` tokens are hashed and
 joined with the windows of the benchmark items, so a question whose values were
-changed still matches.  A document holds an item when at least ``MATCHED``
-windows of it (or all, if it has fewer) match: thirteen tokens in a row for the
-defaults.  For items with placeholders the values on both sides are lined up:
-a value of the item must always stand for the same value in the document, or the
-match is dropped.
+changed still matches.  The matches of an item are told apart by their offset: how
+far the item is shifted to lie on the document.  A document holds an item when at
+one offset at least ``MATCHED`` different windows of it (or all, if it has fewer)
+match.  The values of placeholders in the matched windows of an offset are lined
+up: a value of the item must always stand for the same value in the document, or
+the offset doesn't count.  Other offsets have no say in it.
 
 A name is a run of capitalised words after a lower-case letter, a comma, a colon
 or a semicolon and a space; the first word of a sentence can't be told from one
 and stays a word.  Items with fewer than ``WINDOW`` tokens are one window of their
 own length.  Nulls and texts without tokens hold nothing and are held by nothing.
-Rows with the same id count as one document, their matches add up.
+Rows with the same id are judged one by one; the id holds what one of them holds.
 """
 
 from __future__ import annotations
@@ -68,13 +69,22 @@ def _placed(hashes: Column, length: int) -> Column:
     )
 
 
-def slots(rows: DataFrame, key: str) -> DataFrame:
-    """(key, slot place, value) of the name and number placeholders of (key, text, tokens)."""
+def slots(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, slot place, value) of the name and number placeholders of (keys, text, tokens)."""
     places = F.filter(
         F.transform("tokens", lambda t, i: F.when(t.isin(NAME, NUMBER), i)), lambda i: i.isNotNull()
     )
-    return rows.select(key, F.explode(F.arrays_zip(places.alias("place"), values(F.col("text")).alias("value"))).alias("s")).select(
-        key, F.col("s.place").alias("place"), F.col("s.value").alias("value")
+    return rows.select(*keys, F.explode(F.arrays_zip(places.alias("place"), values(F.col("text")).alias("value"))).alias("s")).select(
+        *keys, F.col("s.place").alias("place"), F.col("s.value").alias("value")
+    )
+
+
+def _runs(places: Column) -> Column:
+    """(low, high) of the runs of consecutive numbers of a sorted array."""
+    low = F.transform(places, lambda p, i: F.when((i == 0) | (F.get(places, i - 1) < p - 1), p))
+    high = F.transform(places, lambda p, i: F.when((i == F.size(places) - 1) | (F.get(places, i + 1) > p + 1), p))
+    return F.arrays_zip(
+        F.filter(low, lambda x: x.isNotNull()).alias("low"), F.filter(high, lambda x: x.isNotNull()).alias("high")
     )
 
 
@@ -87,7 +97,10 @@ def find_items(
     window: int = WINDOW,
     matched: int = MATCHED,
 ) -> DataFrame:
-    """(id_col, item_col, n_windows, item_windows, n_slots, n_changed), one row for each document and item it holds."""
+    """(id_col, item_col, n_windows, item_windows, n_slots, n_changed), one row for each document and item it holds.
+
+    The counts are those of the places of the document that hold the item.
+    """
     items = saved(
         benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
         .withColumn("tokens", canonical(F.col("text")))
@@ -103,52 +116,54 @@ def find_items(
         of_item = part if of_item is None else of_item.unionByName(part)
     of_item = saved(of_item, "windows")
     sizes = of_item.groupBy("item").agg(F.count(F.lit(1)).alias("item_windows"))
-    rows = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("tokens"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), canonical(F.col(text_col)).alias("tokens"))
     all_windows = F.flatten(F.array(*(_placed(windows("tokens", n), n) for n in lengths)))
     hits = (
-        rows.select("id", F.explode(all_windows).alias("w"))
-        .select("id", "w.length", "w.place", "w.hash")
+        rows.select("id", "key", F.explode(all_windows).alias("w"))
+        .select("id", "key", "w.length", "w.place", "w.hash")
         .join(joinable(of_item, 40), ["length", "hash"])
-        .groupBy("id", "item", (F.col("place") - F.col("item_place")).alias("offset"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("item_place").alias("low"), F.max("item_place").alias("high"))
-    )
-    runs = saved(hits, "runs")
-    enough = (
-        runs.groupBy("id", "item")
-        .agg(F.sum("n").alias("n_windows"))
+        .groupBy("id", "key", "item", "length", (F.col("place") - F.col("item_place")).alias("offset"))
+        .agg(F.sort_array(F.collect_set("item_place")).alias("places"))
+        .withColumn("n_windows", F.size("places"))
         .join(joinable(saved(sizes, "sizes"), 24), "item")
         .where(F.col("n_windows") >= F.least(F.lit(matched), F.col("item_windows")))
+        .withColumn("runs", _runs(F.col("places")))
+        .drop("places")
     )
+    enough = saved(hits, "runs")
     # values of the placeholders inside the matched windows, lined up
+    offset = ["id", "key", "item", "offset"]
     item_slots = saved(slots(items, "item"), "item-slots")
-    wanted = runs.join(joinable(item_slots, 64), "item").where(
-        (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high") + window)
-    ).select("id", "item", "offset", (F.col("place") + F.col("offset")).alias("place"), F.col("value").alias("item_value"))
+    inside = lambda r: (F.col("place") >= r["low"]) & (F.col("place") < r["high"] + F.col("length"))
+    wanted = enough.join(joinable(item_slots, 64), "item").where(F.exists("runs", inside)).select(
+        *offset, (F.col("place") + F.col("offset")).alias("place"), F.col("value").alias("item_value")
+    )
     wanted = saved(wanted, "wanted")
     ids = saved(wanted.select("id").distinct(), "ids")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(joinable(ids, 16), "id", "left_semi")
-    doc_slots = slots(texts.withColumn("tokens", canonical(F.col("text"))), "id")
-    pairs = wanted.join(doc_slots, ["id", "place"]).groupBy("id", "item", "offset", "item_value").agg(
+    texts = texts.withColumn("key", F.xxhash64("text")).dropDuplicates(["id", "key"])
+    doc_slots = slots(texts.withColumn("tokens", canonical(F.col("text"))), "id", "key")
+    pairs = wanted.join(doc_slots, ["id", "key", "place"]).groupBy(*offset, "item_value").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("value").alias("least"),
         F.max("value").alias("most"),
     )
-    checked = pairs.groupBy("id", "item").agg(
+    checked = pairs.groupBy(*offset).agg(
         F.sum("n").alias("n_slots"),
         F.sum(F.when(F.col("least") != F.col("item_value"), F.col("n")).otherwise(0)).alias("n_changed"),
         F.max(F.col("least") != F.col("most")).alias("mixed"),
     )
     return (
-        enough.join(checked, ["id", "item"], "left")
+        enough.join(checked, offset, "left")
         .where(~F.coalesce("mixed", F.lit(False)))
-        .select(
-            F.col("id").alias(id_col),
-            F.col("item").alias(item_col),
-            "n_windows",
-            "item_windows",
-            F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
-            F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"),
+        .groupBy("id", "item")
+        .agg(
+            F.sum("n_windows").alias("n_windows"),
+            F.first("item_windows").alias("item_windows"),
+            F.coalesce(F.sum("n_slots"), F.lit(0)).cast("long").alias("n_slots"),
+            F.coalesce(F.sum("n_changed"), F.lit(0)).cast("long").alias("n_changed"),
         )
+        .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "item_windows", "n_slots", "n_changed")
     )
 
 

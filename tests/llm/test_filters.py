@@ -125,6 +125,21 @@ def test_changed_values_are_still_found(spark):
     assert got[1, 0].n_changed == got[1, 0].n_slots
 
 
+def test_an_inconsistent_copy_does_not_hide_a_verbatim_one(spark):
+    mixed = ITEM.replace("sells 12", "sells 45")
+    apart = "Nothing of it at all, and nothing more. " * 3
+    got = held(spark, [f"{ITEM} {apart} {mixed}", f"{mixed} {apart} {ITEM}", f"{mixed} {apart} {mixed}"], [ITEM])
+    assert set(got) == {(0, 0), (1, 0)} and {r.n_changed for r in got.values()} == {0}
+
+
+def test_values_between_matched_windows_do_not_count(spark):
+    first = "some words stand here so that windows of the item match one by one before 12 it says"
+    then = "and after the middle more words of the same item follow until at last it comes to its end"
+    item = f"{first} blue paint costs 12 where it is sold {then}"
+    other = f"{first} red wine costs 77 when it was bought {then}"
+    assert set(held(spark, [other], [item])) == {(0, 0)}
+
+
 def test_short_items_match_whole(spark):
     got = held(spark, ["it has short words only in it", "short words"], ["Short words only!"])
     assert set(got) == {(0, 0)} and got[0, 0].item_windows == 1
