@@ -140,6 +140,34 @@ def test_values_between_matched_windows_do_not_count(spark):
     assert set(held(spark, [other], [item])) == {(0, 0)}
 
 
+def test_scattered_windows_are_no_thirteen_tokens(spark):
+    phrase = "one two three four five six seven eight"
+    item = f"{phrase} and then it goes on with other things until it ends at long last somewhere"
+    got = held(spark, [f"{phrase} xx. " * 6, f"{phrase} and then it goes", f"{phrase} and then it goes on"], [item])
+    assert set(got) == {(2, 0)} and got[2, 0].n_windows == 6
+
+
+def test_tables_of_numbers_need_the_same_numbers(spark):
+    item = "The numbers 1 2 3 4 5 6 7 8 9 10 11 12 13 14 are given."
+    table = " ".join(str(i) for i in range(500, 540))
+    same = "Given are " + " ".join(str(i) for i in range(1, 15))
+    assert set(held(spark, [table, same, same.replace("14", "15")], [item])) == {(1, 0), (2, 0)}
+    assert set(held(spark, ["a 12 b", "a 13 b"], ["12"])) == {(0, 0)}
+
+
+def test_valued_tokens_are_those_of_canonical(spark):
+    texts = [ITEM, "\x04Ann 5\x04kg, Bob B 3.5,7 ml: X\x01y 12 12kg 3%5 usd É a É Ö", None, "", "a 5 Ann b 5kgs 6 kg"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for bare, full in df.select(dc.canonical(F.col("text")), dc.valued(F.col("text"))).collect():
+        assert [t[0] if t[0] in "\x01\x02\x03" else t for t in full] == bare
+
+
+def test_short_items_are_found_after_any_word(spark):
+    item = "Mary Jones buys red apples and pays for them later today"
+    got = held(spark, [f"{item}. And so on", f"it says {item}", f"it says: {item}"], [item])
+    assert set(got) == {(0, 0), (1, 0), (2, 0)}
+
+
 def test_short_items_match_whole(spark):
     got = held(spark, ["it has short words only in it", "short words"], ["Short words only!"])
     assert set(got) == {(0, 0)} and got[0, 0].item_windows == 1
