@@ -2,7 +2,8 @@
 
 1. Language identification: documents without a language, or far from the one
    they are closest to, go.  The model is learnt from the stage's own labelled rows.
-2. Line deduplication: boilerplate lines that many sites share are cut out.
+2. Line deduplication: boilerplate lines that many sites share are cut out,
+   whatever their share of a document; one that has no other line stays whole.
 3. N-gram Jaccard join: of every component of near duplicates the document with
    the least id stays.
 4. Benchmark decontamination: documents that hold a benchmark item go.
@@ -31,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many sites share; ``n_chars`` follows the text."""
-    cleaned = line_dedup.remove_boilerplate(docs)
+    cleaned = line_dedup.remove_boilerplate(docs, max_share=None)
     changed = F.col("removed_lines") > 0
     return cleaned.withColumn(
         "n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -8,7 +8,8 @@ of all rows with one line costs one sketch from each task.
 
 A document of which boilerplate makes up more than ``max_share`` of the
 characters is a copy spread over sites, not text with boilerplate in it: it stays
-whole, for the stages that work on documents.
+whole, for the stages that work on documents.  With ``max_share`` None the share
+doesn't matter, and only documents without any other line stay whole.
 
 Lines end at U+000A and are compared without spaces at their ends; blank ones
 are never removed.  A null text stays null, a null site counts as no site, and
@@ -73,7 +74,7 @@ def remove_boilerplate(
     text_col: str = "text",
     site_col: str = "source",
     min_sites: int = MIN_SITES,
-    max_share: float = MAX_SHARE,
+    max_share: float | None = MAX_SHARE,
 ) -> DataFrame:
     """``docs`` with cleaned texts, and the columns ``boilerplate_lines`` and ``removed_lines``."""
     found = _occurrences(docs, id_col, text_col, site_col)
@@ -90,7 +91,11 @@ def remove_boilerplate(
     )
     part = lambda x, i: F.when(~F.array_contains("__places", i), x)
     kept = F.array_join(F.filter(F.transform(lines(F.col(text_col)), part), lambda x: x.isNotNull()), "\n")
-    clean = F.col("__places").isNotNull() & (F.col("__size") <= max_share * F.char_length(text_col))
+    if max_share is None:
+        own = F.size(F.filter(lines(F.col(text_col)), lambda x: F.trim(x) != "")) > F.size("__places")
+    else:
+        own = F.col("__size") <= max_share * F.char_length(text_col)
+    clean = F.col("__places").isNotNull() & own
     marks = flagged.select(
         F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("places").alias("__places"), F.col("size").alias("__size")
     )

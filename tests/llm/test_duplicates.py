@@ -180,6 +180,17 @@ def test_boilerplate_lines_equal_brute_force(spark, clashing_docs, edge_rows):
     )
 
 
+def test_short_pages_lose_their_boilerplate(spark, small):
+    """More boilerplate than text: the stage cuts it, and leaves what is nothing else."""
+    import corpus_pipeline as cp
+
+    menu = "a long menu line that every site has at its top"
+    docs = [(i, f"{menu}\nown {i}\n ", "en", f"s{i}", 0) for i in range(10)] + [(10, f" {menu}\n\n", "en", "s1", 0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in cp.boilerplate(spark, frame, small).collect()}
+    assert got == {**{i: f"own {i}\n " for i in range(10)}, 10: f" {menu}\n\n"}
+
+
 def test_lines_near_the_limit_are_counted_exactly(spark):
     """Thousands of sites, where a sketch alone would err."""
     n = 3_000
