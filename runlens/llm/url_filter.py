@@ -6,10 +6,13 @@ path of the URL starts with the rule's; the longest rule wins.
 URLs without a rule are judged by the template of their path.  Per host the
 segments of the paths form a tree.  A segment keeps its letters, and its digits
 become ``{n}``.  At a node with more than ``MAX_CHILDREN`` different segments,
-those below ``MIN_SHARE`` of the node's URLs become ``*``.  Templates that differ
+those below ``MIN_SHARE`` of the node's URLs become ``*``, and what follows them is
+one node.  Templates that differ
 only in their last plain segment are branches of one kind: a branch with labels
 is merged with its kind unless its rate of bad labels differs from that of the
-others by more than ``Z`` standard errors.  A template is rejected when its rate
+others by more than ``Z`` standard errors.  A branch without labels goes with the
+merged ones of its kind, or else with its nearest ancestor that has labels, named
+with ``/**``.  A template is rejected when its rate
 of bad labels, smoothed towards ``PRIOR`` with the weight of ``WEIGHT`` labels, is
 ``REJECT`` or more.
 
@@ -55,30 +58,57 @@ def shape(path: Column) -> Column:
     return F.regexp_replace(path, "[0-9]+", "{n}")
 
 
+def _templates(shapes: DataFrame) -> DataFrame:
+    """``shapes`` with their templates, made from the root down: the children of a node are those of its template."""
+    rest = shapes.withColumns({"template": F.lit(""), "rest": F.split("shape", "/")})
+    columns = [*shapes.columns, "template"]
+    done, depth = rest.select(columns).limit(0), 0
+    while not rest.isEmpty():  # one turn for each level
+        nodes = rest.withColumn("segment", F.get("rest", F.lit(0)))
+        children = nodes.groupBy("host", "template", "segment").agg(F.sum("n").alias("child_n"))
+        totals = children.groupBy("host", "template").agg(F.sum("child_n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        rare = (F.col("kinds") > MAX_CHILDREN) & (F.col("child_n") < MIN_SHARE * F.col("total"))
+        kept = children.join(totals, ["host", "template"]).select(
+            "host", "template", "segment", F.when(rare, F.lit("*")).otherwise(F.col("segment")).alias("general")
+        )
+        level = nodes.join(kept, ["host", "template", "segment"]).select(
+            *shapes.columns,
+            (F.concat_ws("/", "template", "general") if depth else F.col("general")).alias("template"),
+            F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"),
+        )
+        level = saved(level, f"level-{depth}")
+        done = done.unionByName(level.where(F.size("rest") == 0).select(columns))
+        rest, depth = level.where(F.size("rest") > 0), depth + 1
+    return done
+
+
+def _ancestors(leaves: DataFrame) -> DataFrame:
+    """(host, template, ancestor, its labels and bads) of leaves without labels; the deepest node with labels above them."""
+    parts = F.split("template", "/")
+    above = leaves.select("host", "template", "labels", "bads", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).withColumn(
+        "node", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/")
+    )
+    nodes = above.groupBy("host", "node", "depth").agg(
+        F.sum("labels").alias("node_labels"), F.sum("bads").alias("node_bads")
+    ).where(F.col("node_labels") > 0)
+    return (
+        above.where(F.col("labels") == 0)
+        .join(nodes, ["host", "node", "depth"])
+        .groupBy("host", "template")
+        .agg(F.max_by(F.struct(F.col("node"), F.col("node_labels"), F.col("node_bads")), "depth").alias("a"))
+        .select("host", "template", "a.*")
+    )
+
+
 def rejected_shapes(urls: DataFrame) -> DataFrame:
     """(host, shape, template) of the shapes whose template is rejected; ``urls``: (host, shape, bad), bad null without a label."""
     shapes = urls.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads")
     )
-    parts = F.split("shape", "/")
-    nodes = shapes.select("host", "shape", "n", F.posexplode(parts).alias("depth", "segment")).withColumn(
-        "parent", F.array_join(F.slice(F.split("shape", "/"), F.lit(1), F.col("depth")), "/")
+    templates = _templates(saved(shapes, "shapes"))
+    leaves = saved(
+        templates.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bads").alias("bads")), "leaves"
     )
-    children = nodes.groupBy("host", "parent", "depth", "segment").agg(F.sum("n").alias("n"))
-    totals = children.groupBy("host", "parent", "depth").agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")
-    )
-    rare = (F.col("kinds") > MAX_CHILDREN) & (F.col("n") < MIN_SHARE * F.col("total"))
-    kept = children.join(totals, ["host", "parent", "depth"]).select(
-        "host", "parent", "depth", "segment", F.when(rare, F.lit("*")).otherwise(F.col("segment")).alias("general")
-    )
-    templates = (
-        nodes.join(kept, ["host", "parent", "depth", "segment"])
-        .groupBy("host", "shape")
-        .agg(F.expr("array_join(transform(array_sort(collect_list(struct(depth, general))), x -> x.general), '/')").alias("template"))
-        .join(shapes, ["host", "shape"])
-    )
-    leaves = templates.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bads").alias("bads"))
     # the last segment of letters only, generalised: what templates of one kind have in common
     kind = F.regexp_replace("template", "[^/{}*]+((?:/[^/]*[{}*][^/]*)*/?)$", "*$1")
     leaves = leaves.withColumn("kind", kind)
@@ -97,7 +127,21 @@ def rejected_shapes(urls: DataFrame) -> DataFrame:
         .where(purity >= REJECT)
         .select("host", "group", "merged")
     )
+    # a branch without labels goes with the merged ones of its kind, else with its nearest ancestor that has labels
+    merged_kinds = branches.where("merged").select("host", "kind").distinct()
+    bare = branches.where(F.col("labels") == 0).select("host", "kind", "template")
+    with_kind = bare.join(merged_kinds, ["host", "kind"], "left_semi")
+    bad_kinds = bad_groups.where("merged").select("host", F.col("group").alias("kind"))
+    by_kind = with_kind.join(bad_kinds, ["host", "kind"], "left_semi").select("host", "template", F.col("kind").alias("group"))
+    node_purity = (F.col("node_bads") + WEIGHT * PRIOR) / (F.col("node_labels") + WEIGHT)
+    by_ancestor = (
+        _ancestors(leaves)
+        .where(node_purity >= REJECT)
+        .join(with_kind.select("host", "template"), ["host", "template"], "left_anti")
+        .select("host", "template", F.concat("node", F.lit("/**")).alias("group"))
+    )
     bad_templates = branches.join(bad_groups, ["host", "group", "merged"], "left_semi").select("host", "template", "group")
+    bad_templates = bad_templates.unionByName(by_kind).unionByName(by_ancestor)
     return templates.join(bad_templates, ["host", "template"]).select(
         "host", "shape", F.col("group").alias("template")
     )

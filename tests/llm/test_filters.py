@@ -72,6 +72,29 @@ def test_similar_branches_are_merged(spark):
     assert {(r.verdict, r.template) for r in judged(spark, urls, labels)} == {("block", "/*/{n}")}
 
 
+def letters(i):
+    return chr(97 + i // 26) + chr(97 + i % 26)
+
+
+def test_branches_without_labels_go_with_their_kind(spark):
+    urls = [f"http://h.org/bad/{x}" for x in "abcdefghijkl"] + [f"http://h.org/good/{x}" for x in "abcdefghijkl"]
+    labels = [(i, 1) for i in range(9)] + [(i, 0) for i in range(12, 21)]
+    got = judged(spark, urls, labels)
+    assert {r.verdict for r in got[:12]} == {"block"} and {r.verdict for r in got[12:]} == {"allow"}
+
+
+def test_what_follows_a_wildcard_is_one_node(spark):
+    urls = [f"http://h.org/user/{letters(i)}/{letters(i + 100)}" for i in range(60)]
+    got = judged(spark, urls, [(i, 1) for i in range(20)])
+    assert {(r.verdict, r.template) for r in got} == {("block", "/user/*/*")}
+
+
+def test_the_nearest_ancestor_with_labels_decides(spark):
+    urls = [f"http://h.org/bad/{i}" for i in range(9)] + ["http://h.org/bad/x/1/y/2", "http://h.org/other"]
+    got = judged(spark, urls + [f"http://h.org/fine/{i}" for i in range(9)], [(i, 1) for i in range(9)] + [(i + 11, 0) for i in range(9)])
+    assert (got[9].verdict, got[9].template) == ("block", "/bad/**") and {r.verdict for r in got[10:]} == {"allow"}
+
+
 def test_url_tables_without_rows(spark):
     assert judged(spark, []) == []
     assert len(judged(spark, ["http://a.b/c"], [(5, 1)])) == 1
