@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runlens import schema as S
 from runlens.functions.scalars import memory_pct, no_nan, row_mean, stability_4, stability_5
 from runlens.functions.scalars import variant_type as variant_type_of
-from runlens.operators.order_stats import exact_quantiles, quantile_name
+from runlens.operators.order_stats import QUANTILES, ROWS, Tally, described
 from runlens.operators.sizing import attach, attach_row
 
 FULL = ("mean", "median", "sd", "variance", "min", "max", "q25", "q75", "iqr", "cv")
@@ -18,8 +18,7 @@ SHORT = ("mean", "median", "sd", "min", "max")
 CENTER = ("mean", "median", "sd")
 WITH_VARIANCE = ("mean", "median", "sd", "variance")
 
-_QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-_NEEDS = {"iqr": ("q25", "q75"), "cv": ("mean", "sd"), "skewness": ("n", "sd"), "kurtosis": ("n", "sd")}
+_NEEDS = {"cv": ("mean", "sd"), "skewness": ("n", "sd"), "kurtosis": ("n", "sd")}
 
 Spec = Mapping[str, tuple[str, Sequence[str]]]
 
@@ -48,8 +47,6 @@ def _measure(prefix: str, measure: str) -> Column:
     """
     a = lambda m: F.col(_quoted(f"{prefix}_{m}"))
     share = F.try_divide(a("n") - 1, a("n"))
-    if measure == "iqr":
-        return a("q75") - a("q25")
     if measure == "cv":
         return F.try_divide(a("sd"), a("mean")) * 100
     if measure == "skewness":
@@ -63,34 +60,42 @@ def grouped_stats(
     df: DataFrame,
     keys: Sequence[str],
     spec: Spec,
-    extra: Mapping[str, Column | str] | None = None,
+    extra: Mapping[str, Tally | Column | str] | None = None,
+    outside: tuple[str, Mapping[str, float]] | None = None,
 ) -> DataFrame:
     """Aggregate ``{prefix: (column, measures)}`` to columns ``prefix_measure``.
 
-    ``extra`` adds named aggregates.  One aggregate for everything but the
-    quantiles, whose exact values come from counts of distinct values.
+    ``extra`` adds named counts (``Tally``) or other aggregates.  Without quantiles
+    this is one plain aggregate.  With them everything comes from the distinct
+    values and their counts, which one scan gives (see ``order_stats``); only
+    aggregates other than counts then read ``df`` once more.  ``outside`` =
+    (column, {name: k}) counts the rows beyond k interquartile ranges.
     """
     keys, extra = list(keys), dict(extra or {})
-    aggs = [(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in extra.items()]
-    packed: dict[str, list[str]] = {}
+    by = [F.col(_quoted(k)) for k in keys]
+    names = [F.col(_quoted(n)) for n in [*extra, *(outside[1] if outside else ())]]
+    final = [F.col(_quoted(f"{prefix}_{m}")) for prefix, (_, measures) in spec.items() for m in measures]
+    if outside or any(m in QUANTILES for _, measures in spec.values() for m in measures):
+        tallies = {n: e for n, e in extra.items() if isinstance(e, Tally)}
+        others = {n: e for n, e in extra.items() if n not in tallies}
+        base = described(df, keys, spec, tallies, outside)
+        if others:
+            more = df.groupBy(*by).agg(*[(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in others.items()])
+            base = attach(base, more, keys) if keys else attach_row(base, more)
+        return base.select(*by, *names, *final)
+    aggs = [(e.column() if isinstance(e, Tally) else F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in extra.items()]
     for prefix, (column, measures) in spec.items():
         needed = set(measures)
         for m in measures:
             needed.update(_NEEDS.get(m, ()))
         c = no_nan(F.col(_quoted(column)))
         aggs += [how(c).alias(f"{prefix}_{m}") for m, how in _SIMPLE.items() if m in needed]
-        names = [m for m in _QUANTILES if m in needed]
-        if names:
-            packed[prefix] = names
     if not aggs and not keys:
         aggs.append(F.count(F.lit(1)).alias("__rows"))  # one row, also for empty input
-    by = [F.col(_quoted(k)) for k in keys]
     base = df.groupBy(*by).agg(*aggs) if aggs else df.select(*by).distinct()
-    if packed:
-        base = _attach_quantiles(df, keys, base, spec, packed)
     return base.select(
         *by,
-        *[F.col(_quoted(n)) for n in extra],
+        *names,
         *[
             _measure(prefix, m).alias(f"{prefix}_{m}")
             for prefix, (_, measures) in spec.items()
@@ -99,27 +104,6 @@ def grouped_stats(
     )
 
 
-def _attach_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    base: DataFrame,
-    spec: Spec,
-    packed: Mapping[str, list[str]],
-) -> DataFrame:
-    columns = sorted({spec[p][0] for p in packed})
-    probs = sorted({_QUANTILES[m] for names in packed.values() for m in names})
-    q = exact_quantiles(df, keys, columns, probs)
-    joined = attach(base, q, keys) if keys else attach_row(base, q)
-    return joined.select(
-        *[F.col(_quoted(c)) for c in base.columns],
-        *[
-            F.col(_quoted(quantile_name(spec[prefix][0], _QUANTILES[m]))).alias(f"{prefix}_{m}")
-            for prefix, names in packed.items()
-            for m in names
-        ],
-    )
-
-
 # -- general description ----------------------------------------------------
 DESCRIBE = ("n", "mean", "median", "sd", "variance", "min", "max", "q25", "q75", "iqr", "cv", "skewness", "kurtosis")
 
@@ -165,7 +149,7 @@ def stats_by_benchmark(runs: DataFrame) -> DataFrame:
         "cpu": ("cpu_usage_avg", CENTER),
         "memory": ("memory_usage_avg", CENTER),
     }
-    extra = {"n_runs": "count(1)", "n_variants": "count(DISTINCT variant)"}
+    extra = {"n_runs": ROWS, "n_variants": Tally("distinct", "variant")}
     return grouped_stats(runs, ["benchmark"], spec, extra)
 
 
@@ -176,19 +160,36 @@ def stats_by_variant(runs: DataFrame) -> DataFrame:
         "cpu": ("cpu_usage_avg", CENTER),
         "memory": ("memory_usage_avg", CENTER),
     }
-    extra = {"n_runs": "count(1)", "n_benchmarks": "count(DISTINCT benchmark)"}
+    extra = {"n_runs": ROWS, "n_benchmarks": Tally("distinct", "benchmark")}
     return grouped_stats(runs, ["variant"], spec, extra).orderBy(F.desc("energy_mean"), "variant")
 
 
-# Missing flags do not count; a group without flags has zero outliers.
-OUTLIER_COUNTS = {
-    "n_outliers_moderate": "count_if(is_outlier_moderate)",
-    "n_outliers_extreme": "count_if(is_outlier_extreme)",
-}
+#: Interquartile ranges beyond the quartiles.
+FENCES = {"n_outliers_moderate": 1.5, "n_outliers_extreme": 3.0}
+
+
+def _outliers(runs: DataFrame) -> dict:
+    """How outliers are counted: by the flags of the rows, else by the fences of each pair.
+
+    Missing flags do not count; a group without flags has zero outliers.
+    """
+    flags = {"n_outliers_moderate": "is_outlier_moderate", "n_outliers_extreme": "is_outlier_extreme"}
+    if set(flags.values()) <= set(runs.columns):
+        return {"extra": {n: Tally("where", f) for n, f in flags.items()}}
+    return {"outside": ("energy_joules", FENCES)}
 
 
-def stats_by_benchmark_variant(flagged: DataFrame) -> DataFrame:
-    """Statistics per (benchmark, variant); needs the outlier flags."""
+def _with_outliers(runs: DataFrame, spec: Spec, extra: Mapping[str, Tally]) -> DataFrame:
+    how = _outliers(runs)
+    return grouped_stats(runs, ["benchmark", "variant"], spec, {**extra, **how.get("extra", {})}, how.get("outside"))
+
+
+def stats_by_benchmark_variant(runs: DataFrame) -> DataFrame:
+    """Statistics per (benchmark, variant) with its outliers.
+
+    Runs without outlier flags are counted by the fences of their pair, from the
+    same scan as everything else; flags that are there are used.
+    """
     spec = {
         "energy": ("energy_joules", FULL),
         "time": ("exec_time_sec", WITH_VARIANCE),
@@ -196,8 +197,7 @@ def stats_by_benchmark_variant(flagged: DataFrame) -> DataFrame:
         "cpu": ("cpu_usage_avg", WITH_VARIANCE),
         "memory": ("memory_usage_avg", WITH_VARIANCE),
     }
-    extra = {"n_runs": "count(1)", **OUTLIER_COUNTS}
-    return grouped_stats(flagged, ["benchmark", "variant"], spec, extra).withColumn(
+    return _with_outliers(runs, spec, {"n_runs": ROWS}).withColumn(
         "outlier_rate", F.col("n_outliers_moderate") / F.col("n_runs") * 100
     )
 
@@ -214,9 +214,10 @@ def baseline_stats(runs: DataFrame, baseline: str = S.BASELINE) -> DataFrame:
     return grouped_stats(runs.filter(F.col("variant") == baseline), ["benchmark"], spec)
 
 
-def data_quality(flagged: DataFrame) -> DataFrame:
+def data_quality(runs: DataFrame) -> DataFrame:
+    """Missing readings, outliers (as in ``stats_by_benchmark_variant``) and stability per pair."""
     missing = {
-        f"missing_{name}": f"count_if({c} IS NULL OR isnan({c}))"
+        f"missing_{name}": Tally("where", f"{c} IS NULL OR isnan({c})")
         for name, c in (
             ("energy", "energy_joules"),
             ("power", "power_watts"),
@@ -224,10 +225,7 @@ def data_quality(flagged: DataFrame) -> DataFrame:
             ("memory", "memory_usage_avg"),
         )
     }
-    extra = {"n_runs": "count(1)", **missing, **OUTLIER_COUNTS}
-    stats = grouped_stats(
-        flagged, ["benchmark", "variant"], {"energy": ("energy_joules", ("cv",))}, extra
-    )
+    stats = _with_outliers(runs, {"energy": ("energy_joules", ("cv",))}, {"n_runs": ROWS, **missing})
     return stats.withColumns(
         {
             "outlier_rate_pct": F.col("n_outliers_moderate") / F.col("n_runs") * 100,
@@ -244,7 +242,7 @@ def table1_overall(runs: DataFrame) -> DataFrame:
         "cpu": ("cpu_usage_avg", ("mean",)),
         "memory": ("memory_usage_avg", ("mean",)),
     }
-    stats = grouped_stats(runs, [], spec, {"n": "count(1)"})
+    stats = grouped_stats(runs, [], spec, {"n": ROWS})
     return stats.select(F.lit("All Data").alias("metric"), "*")
 
 
@@ -255,7 +253,7 @@ def table2_by_variant(runs: DataFrame) -> DataFrame:
         "cpu": ("cpu_usage_avg", ("mean",)),
         "memory": ("memory_usage_avg", ("mean",)),
     }
-    stats = grouped_stats(runs, ["variant"], spec, {"n": "count(1)"})
+    stats = grouped_stats(runs, ["variant"], spec, {"n": ROWS})
     return stats.orderBy(F.round("energy_median", 2), "variant")
 
 
@@ -265,16 +263,13 @@ def table3_by_benchmark(runs: DataFrame) -> DataFrame:
         "power": ("power_watts", ("mean",)),
         "cpu": ("cpu_usage_avg", ("mean",)),
     }
-    extra = {"n": "count(1)", "variants_tested": "count(DISTINCT variant)"}
+    extra = {"n": ROWS, "variants_tested": Tally("distinct", "variant")}
     stats = grouped_stats(runs, ["benchmark"], spec, extra)
     return stats.orderBy(F.desc(F.round("energy_median", 2)), "benchmark")
 
 
-def table7_quality_matrix(flagged: DataFrame) -> DataFrame:
-    extra = {"n": "count(1)", **OUTLIER_COUNTS}
-    stats = grouped_stats(
-        flagged, ["benchmark", "variant"], {"energy": ("energy_joules", ("cv",))}, extra
-    )
+def table7_quality_matrix(runs: DataFrame) -> DataFrame:
+    stats = _with_outliers(runs, {"energy": ("energy_joules", ("cv",))}, {"n": ROWS})
     return stats.withColumns(
         {
             "outlier_rate": F.col("n_outliers_moderate") / F.col("n") * 100,
@@ -292,7 +287,7 @@ def table10_guideline(
         "power": ("power_watts", ("median",)),
         "cpu": ("cpu_usage_avg", ("mean",)),
     }
-    extra = {"n_runs": "count(1)", "n_benchmarks": "count(DISTINCT benchmark)"}
+    extra = {"n_runs": ROWS, "n_benchmarks": Tally("distinct", "benchmark")}
     stats = grouped_stats(
         runs.filter(F.col("variant").isin(list(guidelines))), ["variant"], spec, extra
     )
@@ -351,24 +346,11 @@ def run_rollup(samples: DataFrame, keys: Sequence[str], measures: Mapping[str, C
 
 
 # -- small summaries --------------------------------------------------------
-def summary_stats(
-    aggregated: DataFrame,
-    keys: Sequence[str],
-    spec: Spec,
-    extra: Mapping[str, Column | str] | None = None,
-) -> DataFrame:
-    """``grouped_stats`` over an aggregate, which is materialised first.
-
-    Its size is then known, so a few rows never take the path for large groups.
-    """
-    return grouped_stats(aggregated, keys, spec, extra)
-
-
 def type_comparison(pair_stats: DataFrame) -> DataFrame:
     """Mean of means and median of medians per benchmark and variant type."""
     typed = pair_stats.withColumn("variant_type", variant_type_of("variant"))
     spec = {"of_mean": ("energy_mean", ("mean",)), "of_median": ("energy_median", ("median",))}
-    return summary_stats(typed, ["benchmark", "variant_type"], spec).select(
+    return grouped_stats(typed, ["benchmark", "variant_type"], spec).select(
         "benchmark",
         "variant_type",
         F.col("of_mean_mean").alias("energy_mean"),

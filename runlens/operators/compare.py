@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from runlens import schema as S
 from runlens.functions.scalars import exclude_pair, improved_label, no_nan, normal_ci, pct_change
-from runlens.operators.aggregates import grouped_stats, summary_stats
+from runlens.operators.aggregates import grouped_stats
+from runlens.operators.order_stats import ROWS, Tally
 from runlens.operators.sizing import attach
 
 
@@ -137,7 +138,7 @@ def guideline_summary(deltas: DataFrame) -> DataFrame:
         "memory": ("memory_mean", ("median",)),
         "power": ("power_mean", ("median",)),
     }
-    return summary_stats(deltas, ["variant"], spec, {"n_benchmarks": "count(1)"}).withColumnRenamed("energy_mean", "energy_mean_overall")
+    return grouped_stats(deltas, ["variant"], spec, {"n_benchmarks": ROWS}).withColumnRenamed("energy_mean", "energy_mean_overall")
 
 
 # -- paired comparison ------------------------------------------------------
@@ -171,7 +172,7 @@ def delta_summary_matrix(delta: DataFrame) -> DataFrame:
     from runlens.operators.reshape import delta_long
 
     spec = {"v": ("delta_pct", ("median", "mean", "sd", "min", "max", "q25", "q75"))}
-    stats = summary_stats(delta_long(delta), ["metric"], spec)
+    stats = grouped_stats(delta_long(delta), ["metric"], spec)
     return stats.withColumnsRenamed({c: c[2:] for c in stats.columns if c.startswith("v_")})
 
 
@@ -220,18 +221,18 @@ def treatment_delta(
 
 
 def median_delta(deltas: DataFrame, column: str = "delta_energy_pct") -> DataFrame:
-    return summary_stats(deltas, [], {"x": (column, ("median",))}).withColumnRenamed(
+    return grouped_stats(deltas, [], {"x": (column, ("median",))}).withColumnRenamed(
         "x_median", "median_delta"
     )
 
 
 def treatment_summary(slopes: DataFrame, treatment: str = "treatment") -> DataFrame:
     """Centre and spread of the benchmark means per treatment."""
-    return summary_stats(
+    return grouped_stats(
         slopes,
         [treatment],
         {"energy": ("energy_mean", ("median", "mean", "sd"))},
-        {"n_benchmarks": "count(energy_mean)"},
+        {"n_benchmarks": Tally("where", "energy_mean IS NOT NULL")},
     )
 
 

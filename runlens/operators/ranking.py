@@ -11,29 +11,29 @@ from pyspark.sql import functions as F
 from runlens import schema as S
 from runlens.operators.aggregates import grouped_stats
 from runlens.operators.compare import variant_performance
-from runlens.operators.order_stats import value_positions
+from runlens.operators.order_stats import ROWS, value_positions
 from runlens.operators.sizing import attach
 
 
-def _extreme_variant(runs: DataFrame, baseline: str, order: Column) -> DataFrame:
-    ranked = (
-        variant_performance(runs, baseline)
-        .filter(F.col("variant") != baseline)
-        .withColumn("__rank", F.rank().over(W.partitionBy("benchmark").orderBy(order)))
+def _extreme_variant(performance: DataFrame, baseline: str, order: Column) -> DataFrame:
+    ranked = performance.filter(F.col("variant") != baseline).withColumn(
+        "__rank", F.rank().over(W.partitionBy("benchmark").orderBy(order))
     )
     return ranked.filter((F.col("__rank") == 1) & F.col("median_energy").isNotNull()).select(
         "benchmark", "variant", "median_energy", "pct_change"
     )
 
 
-def best_variant(runs: DataFrame, baseline: str = S.BASELINE) -> DataFrame:
-    """Lowest median per benchmark; ties are all kept."""
-    return _extreme_variant(runs, baseline, F.col("median_energy").asc_nulls_last())
+def best_variant(runs: DataFrame, baseline: str = S.BASELINE, performance: DataFrame | None = None) -> DataFrame:
+    """Lowest median per benchmark; ties are all kept.  ``performance`` is ``variant_performance(runs)`` if it is there."""
+    performance = variant_performance(runs, baseline) if performance is None else performance
+    return _extreme_variant(performance, baseline, F.col("median_energy").asc_nulls_last())
 
 
-def worst_variant(runs: DataFrame, baseline: str = S.BASELINE) -> DataFrame:
-    """Highest median per benchmark; ties are all kept."""
-    return _extreme_variant(runs, baseline, F.col("median_energy").desc_nulls_last())
+def worst_variant(runs: DataFrame, baseline: str = S.BASELINE, performance: DataFrame | None = None) -> DataFrame:
+    """Highest median per benchmark; ties are all kept.  ``performance`` as for ``best_variant``."""
+    performance = variant_performance(runs, baseline) if performance is None else performance
+    return _extreme_variant(performance, baseline, F.col("median_energy").desc_nulls_last())
 
 
 def best_worst(best: DataFrame, worst: DataFrame) -> DataFrame:
@@ -44,6 +44,14 @@ def best_worst(best: DataFrame, worst: DataFrame) -> DataFrame:
     return attach(left, right, ["benchmark"]).orderBy("benchmark")
 
 
+def best_and_worst(runs: DataFrame, baseline: str = S.BASELINE) -> DataFrame:
+    """``best_worst`` of medians that are computed once."""
+    performance = variant_performance(runs, baseline)
+    return best_worst(
+        best_variant(runs, baseline, performance), worst_variant(runs, baseline, performance)
+    )
+
+
 def rank_global(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     """The first ``n`` rows with their rank.
 
@@ -60,7 +68,7 @@ def _pair_table(runs: DataFrame) -> DataFrame:
         "cpu": ("cpu_usage_avg", ("mean",)),
     }
     return grouped_stats(
-        runs, ["benchmark", "variant"], spec, {"n": "count(1)"}
+        runs, ["benchmark", "variant"], spec, {"n": ROWS}
     )
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from runlens.functions import pvalues as P
 from runlens.functions.scalars import no_nan, significance_label
 from runlens.operators.aggregates import grouped_stats
-from runlens.operators.order_stats import value_positions
+from runlens.operators.order_stats import ROWS, value_positions
+from runlens.session import staged
 from runlens.operators.sizing import attach
 
 SHAPIRO_MAX = 5000
@@ -35,12 +36,19 @@ def t_test_one_sample(df: DataFrame, by: Sequence[str], x: str, mu: float = 0.0)
 def wilcoxon_signed_rank(
     df: DataFrame, by: Sequence[str], x: str, mu: float = 0.0
 ) -> DataFrame:
-    """Two-sided signed-rank test with average ranks; zeros are dropped."""
+    """Two-sided signed-rank test with average ranks; zeros are dropped.
+
+    One scan gives the distinct sizes of the differences with their counts; ranks
+    and zeros come from those.
+    """
     diff = no_nan(F.col(x).cast("double")) - mu
     rows = df.select(*by, F.abs(diff).alias("size"), (diff > 0).alias("up"))
-    totals = rows.groupBy(*by).agg(F.count_if(F.col("size") == 0).alias("zeros"))
+    sizes = staged(
+        rows.groupBy(*by, "size").agg(F.count(F.lit(1)).alias("__rows"), F.count_if("up").alias("__up")), "sizes"
+    )
+    totals = sizes.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("size") == 0, F.col("__rows"))), F.lit(0)).alias("zeros"))
     ranks = value_positions(
-        rows.filter(F.col("size") > 0), by, "size", {"n_up": F.count_if("up")}
+        sizes.filter(F.col("size") > 0), by, "size", {"n_up": F.sum("__up")}, F.col("__rows")
     )
     middle = F.col("before") + (F.col("ties") + 1) / 2
     cube = F.col("ties").cast("double")
@@ -77,7 +85,7 @@ def choose_test(df: DataFrame, by: Sequence[str], x: str, alpha: float = 0.05) -
     """Signed-rank test where normality is rejected, otherwise the t-test."""
     df = df.select(*by, x)
     spec = {"x": (x, ("median", "mean", "sd"))}
-    centre = grouped_stats(df, by, spec, {"n": "count(1)"})
+    centre = grouped_stats(df, by, spec, {"n": ROWS})
     centre = centre.withColumnsRenamed({"x_median": "median", "x_mean": "mean", "x_sd": "sd"})
     parts = {
         "shapiro_p": shapiro_wilk(df, by, x),

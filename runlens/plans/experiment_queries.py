@@ -627,16 +627,15 @@ def stats_by_variant(spark, sf_dir):
     return A.stats_by_variant(runs(spark, sf_dir))
 
 
-# quantiles of power may lie halfway between four decimals
-_PAIR_COLUMNS = " ".join(
-    f"{c}:8" if c in ("energy_q25", "energy_q75", "energy_median", "energy_iqr") else c for c in _listed(**_BY_PAIR).split()
-)
+# energy is a quotient here, as power is: its values and quantiles may lie halfway between four decimals
+_QUOTIENTS = ("energy_min", "energy_max", "energy_q25", "energy_q75", "energy_median", "energy_iqr", "power_median")
+_PAIR_COLUMNS = " ".join(f"{c}:8" if c in _QUOTIENTS else c for c in _listed(**_BY_PAIR).split())
 
 
 @query("stats_by_benchmark_variant", f"{PAIR} n_runs:i {_PAIR_COLUMNS} n_outliers_moderate:i n_outliers_extreme:i outlier_rate",
        Q.PAIR_STATS + "SELECT * FROM pair_stats")
 def stats_by_benchmark_variant(spark, sf_dir):
-    return A.stats_by_benchmark_variant(O.flag_outliers(skewed_runs(spark, sf_dir)))
+    return A.stats_by_benchmark_variant(skewed_runs(spark, sf_dir))
 
 
 @query("baseline_stats", _BASELINE_COLUMNS, _BASELINE_SQL)
@@ -659,7 +658,7 @@ SELECT *, n_outliers_moderate * 100.0 / n_runs AS outlier_rate_pct,
   CASE WHEN energy_cv < 5 THEN 'Very Stable' WHEN energy_cv < 10 THEN 'Stable' WHEN energy_cv < 20 THEN 'Moderate'
        WHEN energy_cv < 30 THEN 'Variable' ELSE 'Highly Variable' END AS stability FROM q""")
 def data_quality(spark, sf_dir):
-    return A.data_quality(O.flag_outliers(skewed_runs(spark, sf_dir)))
+    return A.data_quality(skewed_runs(spark, sf_dir))
 
 
 @query("table1_overall", "metric:s n:i energy_mean energy_median energy_sd energy_iqr power_mean power_median cpu_mean memory_mean",
@@ -693,7 +692,7 @@ SELECT *, n_outliers_moderate * 100.0 / n AS outlier_rate,
   CASE WHEN energy_cv < 10 THEN 'Stable' WHEN energy_cv < 20 THEN 'Moderate' WHEN energy_cv < 30 THEN 'Variable'
        ELSE 'High Var' END AS stability FROM q""")
 def table7_quality_matrix(spark, sf_dir):
-    return A.table7_quality_matrix(O.flag_outliers(skewed_runs(spark, sf_dir)))
+    return A.table7_quality_matrix(skewed_runs(spark, sf_dir))
 
 
 @query("table10_guideline", "guideline:s n_runs:i n_benchmarks:i energy_median energy_mean energy_cv power_median cpu_mean vs_baseline_pct",
@@ -881,8 +880,7 @@ SELECT b.benchmark, b.variant AS best_variant, b.median_energy AS best_energy, b
   w.variant AS worst_variant, w.median_energy AS worst_energy, w.pct_change AS worst_pct
 FROM (SELECT * FROM ranked WHERE lo = 1) b LEFT JOIN (SELECT * FROM ranked WHERE hi = 1) w ON b.benchmark = w.benchmark""")
 def best_worst(spark, sf_dir):
-    r = runs(spark, sf_dir)
-    return K.best_worst(K.best_variant(r), K.worst_variant(r))
+    return K.best_and_worst(runs(spark, sf_dir))
 
 
 @query("rank_global", "run_id:s energy_joules rank:i", Q.RUNS + """SELECT run_id, energy_joules,
@@ -935,7 +933,7 @@ def multi_key_sort(spark, sf_dir):
   (s.time_mean - b.time_mean) / nullif(b.time_mean, 0) * 100 AS time_pct_vs_baseline
 FROM pair_stats s LEFT JOIN (SELECT * FROM pair_stats WHERE variant = 'BASELINE') b ON s.benchmark = b.benchmark""")
 def stats_vs_baseline(spark, sf_dir):
-    return C.stats_vs_baseline(A.stats_by_benchmark_variant(O.flag_outliers(skewed_runs(spark, sf_dir))))
+    return C.stats_vs_baseline(A.stats_by_benchmark_variant(skewed_runs(spark, sf_dir)))
 
 
 @query("baseline_left_join", f"{PAIR} median_energy baseline_energy_median", Q.PERFORMANCE + "SELECT *, baseline_median AS baseline_energy_median FROM performance")

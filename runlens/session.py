@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import posixpath
 import tempfile
+import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", memory: str = "12g") -> SparkSession:
@@ -63,3 +64,14 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return posixpath.join(
         shared_dir(spark), "runlens", spark.sparkContext.applicationId, *parts
     )
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it again.
+
+    Several later passes then read the reduced rows, not their inputs, and a lost
+    executor costs no more than its tasks.
+    """
+    path = work_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

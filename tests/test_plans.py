@@ -40,5 +40,7 @@ def test_scan_reads_only_needed_columns(spark):
 
 def test_comparisons_scan_once(spark):
     spark.catalog.clearCache()  # a kept plan would show its own scan
-    for name in ("paired_delta", "delta_ci", "energy_matrix", "pct_change_matrix", "best_variant"):
+    once = ("paired_delta", "delta_ci", "energy_matrix", "pct_change_matrix", "best_variant", "stats_by_benchmark",
+            "stats_by_variant", "stats_by_benchmark_variant", "stats_vs_baseline", "table2_by_variant", "overall_stats")
+    for name in once:
         assert plan(queries()[name](spark, SF)).count("FileScan parquet") == 1

@@ -39,9 +39,10 @@ def mixed(spark):
     return make_runs(spark, rows), rows
 
 
-@pytest.mark.parametrize("cells", [1, 16, 1 << 14])
-def test_exact_quantiles(mixed, cells, monkeypatch):
-    monkeypatch.setattr(OS, "CELLS", cells)
+@pytest.mark.parametrize("cells,limit,split", [(1, 1, 2), (16, 20, 3), (64, 1000, 1024)])
+def test_exact_quantiles(mixed, cells, limit, split, monkeypatch):
+    for name, value in (("STEPS", cells), ("LIMIT", limit), ("SPLIT", split)):
+        monkeypatch.setattr(OS, name, value)
     df, rows = mixed
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
     got = OS.exact_quantiles(df, ["benchmark", "variant"], ["energy_joules"], probs).collect()
@@ -84,18 +85,67 @@ def test_a_hot_group_is_spread_over_buckets(spark):
     assert got == {"cold": 49_995.0, "hot": 50_000.0}
 
 
-def test_building_a_query_starts_no_job(spark, mixed):
+def test_reports_read_the_runs_once(spark, mixed):
+    """Jobs run while a report with quantiles is built, but none of them reads the runs again."""
+    df, rows = mixed
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    runs = df.mapInArrow(count, df.schema)
+    for report in (A.stats_by_variant, A.overall_stats, A.stats_by_benchmark_variant, A.data_quality, K.best_and_worst, K.top10_efficient):
+        read.value = 0
+        report(runs).collect()
+        assert read.value == len(rows), report.__name__
+
+
+def test_a_day_of_timestamps_is_cut_by_its_own_counts(spark, monkeypatch):
+    """A million distinct times of one day lie in one coarse cell; no task sorts more than a thousandth of them."""
+    seen = []
+
+    def staged(df, name, put=OS.staged):
+        out = put(df, name)
+        if name == "cells":
+            seen.append([r["d"] for r in out.where("d > 1").collect()])
+        return out
+
+    monkeypatch.setattr(OS, "staged", staged)
+    start, step = 1_700_006_400.0, 0.0625
+    times = spark.range(1_000_000).select((F.lit(start) + F.col("id") * step).alias("t"))
+    got = OS.exact_quantiles(times, [], ["t"], [0.25, 0.5, 0.999]).first()
+    assert list(got) == [start + step * 999_999 * p for p in (0.25, 0.5, 0.999)]
+    assert max(seen[0]) > 100_000  # the fixed scale hardly parts them
+    assert max(seen[-1]) <= OS.LIMIT == 1_000
+    seen.clear()
+    ranked = OS.value_positions(times.where("id % 20 = 0"), [], "t")
+    assert ranked.where(F.col("before") * step * 20 + start != F.col("t")).count() == 0
+    assert max(seen[-1]) <= OS.LIMIT
+
+
+def test_moments_far_from_zero(spark):
+    """Deviations are taken from each cell's base, so a large common part doesn't drown them."""
+    x = [1e9 + i * 0.001 for i in range(5_000)] + [1e9 + 77.0] * 3
+    df = spark.createDataFrame([(v,) for v in x], "v double")
+    spec = {"v": ("v", ("n", "mean", "sd", "median", "min", "max", "skewness", "kurtosis"))}
+    r = A.grouped_stats(df, [], spec).first()
+    m = st.mean(x)
+    s = math.sqrt(sum((v - m) ** 2 for v in x) / (len(x) - 1))
+    assert (r["v_n"], r["v_min"], r["v_max"], r["v_median"]) == (len(x), min(x), max(x), st.median(x))
+    assert r["v_mean"] == pytest.approx(m, rel=1e-15) and r["v_sd"] == pytest.approx(s, rel=1e-6)
+    assert r["v_skewness"] == pytest.approx(sum((v - m) ** 3 for v in x) / (len(x) * s**3), rel=1e-4)
+    assert r["v_kurtosis"] == pytest.approx(sum((v - m) ** 4 for v in x) / (len(x) * s**4) - 3, rel=1e-4)
+
+
+def test_outliers_by_fences_equal_those_by_flags(mixed):
     df, _ = mixed
-    group = "building"
-    spark.sparkContext.setJobGroup(group, "")
-    try:
-        A.stats_by_variant(df)
-        A.overall_stats(df)
-        O.flag_outliers(df)
-        K.best_variant(df)
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+    flagged = O.flag_outliers(df)
+    for report in (A.stats_by_benchmark_variant, A.data_quality, A.table7_quality_matrix):
+        columns = [c for c in report(df).columns if "outlier" in c or c == "variant" or c == "benchmark"]
+        both = [sorted((tuple(r) for r in report(x).select(columns).collect()), key=repr) for x in (df, flagged)]
+        assert both[0] == both[1]
 
 
 def test_columns_with_odd_names_and_labels(spark):
