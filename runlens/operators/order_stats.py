@@ -103,24 +103,28 @@ def _reduced(df: DataFrame, keys: Sequence[str], columns: Sequence[str], exact:
     only its cells.  -1 counts the rows, and tallies follow downwards.
     """
 
-    none = F.lit(None).cast("string")
-
-    def entry(m: int, w: Column, s: Column = none) -> Column:
-        return F.struct(F.lit(m).alias("m"), w.alias("w"), s.alias("s"))
-
-    entries = [entry(-1, F.lit(0.0))]
+    # columns side by side, then one row for each: Spark expands those in place, without arrays
+    wide, texts = {"-1": F.lit(0.0)}, {}
     for i, c in enumerate(columns):
-        entries.append(entry(i, F.col(f"`{c}`").cast("double")))
+        wide[str(i)] = no_nan(F.col(f"`{c}`").cast("double"))
     for j, t in enumerate(tallies):
-        s = F.col(f"`{t.what}`").cast("string") if t.kind == "distinct" else none
-        there = s.isNotNull() if t.kind == "distinct" else F.expr(t.what) if t.kind == "where" else F.lit(False)
-        entries.append(entry(-2 - j, F.when(there, 0.0), s))
-    # keys stay flat until the rows are reduced; a struct would be copied for every entry
+        if t.kind == "distinct":
+            texts[-2 - j] = F.col(f"`{t.what}`").cast("string")
+        if t.kind != "rows":
+            there = texts[-2 - j].isNotNull() if t.kind == "distinct" else F.expr(t.what)
+            wide[str(-2 - j)] = F.when(there, 0.0)
     flat = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
     by = [f"__k{i}" for i in range(len(keys))]
-    long = df.select(*flat, F.inline(F.array(*entries))).where("w IS NOT NULL AND NOT isnan(w)")
-    kept = F.col("m").isin([i for i, c in enumerate(columns) if c in exact])
-    long = long.withColumns({"cell": value_bucket(F.col("w"), STEPS), "v": F.when(kept, F.col("w"))})
+    side = df.select(*flat, *[t.alias(f"__t{m}") for m, t in texts.items()], *[w.alias(n) for n, w in wide.items()])
+    long = side.unpivot([*by, *[f"`__t{m}`" for m in texts]], [f"`{n}`" for n in wide], "m", "w").where("w IS NOT NULL")
+    kept = F.col("m").isin([str(i) for i, c in enumerate(columns) if c in exact])
+    text = F.lit(None).cast("string")
+    for m in texts:
+        text = F.when(F.col("m") == str(m), F.col(f"`__t{m}`")).otherwise(text)
+    long = long.select(
+        *by, F.col("m").cast("int").alias("m"), "w", value_bucket(F.col("w"), STEPS).alias("cell"),
+        F.when(kept, F.col("w")).alias("v"), text.alias("s"),
+    )
     loose = {"total": F.sum("w"), "lo": F.min("w"), "hi": F.max("w")} if exact != set(columns) else {}
     if any(t.kind == "distinct" for t in tallies):
         by.append("s")
@@ -178,7 +182,7 @@ def _selected(counts: DataFrame, nodes: DataFrame, ranks: Callable[[Column], Seq
             )
         )
         large = hit.where(f"d > {LIMIT}").select(*key, "lo", "hi", "before", "n")
-        if large.isEmpty():
+        if not large.agg(F.count(F.lit(1))).first()[0]:
             break
         step = bucket_of(F.col("v"), F.col("lo"), F.col("hi"), SPLIT).cast("bigint")
         counts = staged(
@@ -382,7 +386,7 @@ def value_positions(
             "cells",
         )
         large = cells.where(f"d > {LIMIT}")
-        if large.isEmpty():
+        if not large.agg(F.count(F.lit(1))).first()[0]:
             break
         deeper = F.concat("__path", F.array(bucket_of(v, F.col("lo"), F.col("hi"), SPLIT).cast("bigint")))
         counts = staged(
