@@ -21,13 +21,17 @@ one component has nothing more to tell.  In the others each set again proposes
 the one before it, in a new order each turn, if it is of another component and
 a filter that bounds the difference by parity bits lets it pass; that filter never
 drops a similar pair.  Once few of a turn's proposals are links, all pairs between different
-components that pass are verified.  A component thus holds exactly the sets that
+components that pass are verified.  Such a pair mostly shares many groups; it is
+left out in a group if both sets have an earlier one in common among their
+``EARLIEST`` first, so it comes up once or twice, and in its first group always.
+A component thus holds exactly the sets that
 links connect, and a group that links hold together never emits all its pairs.
 
 Words are runs of anything but U+0020 and U+0009 to U+000D, A-Z lower-cased.  A
 text with fewer words than ``size`` has one shingle, its whole sequence; a text
 without words, or null, has none and links with nothing.  Rows with the same id
-count as one document; ids must be integers, a null id links with nothing.
+count as one document, which links if any of its texts does; its pairs aren't
+filtered if the texts differ.  Ids must be integers, a null id links with nothing.
 Shingles are 64-bit hashes.
 """
 
@@ -49,6 +53,8 @@ SHARE = (80, 100)
 RATIO = 1.5
 #: Longs of parity bits for each set.
 PARITY = 8
+#: First groups of a set that tell whether a pair has met before.
+EARLIEST = 12
 #: Bytes of text worked on at once; the arrays beside it take about sixty times that.
 SLICE = 1 << 19
 #: Another turn of proposals follows if this share of the last ones were links.
@@ -296,14 +302,31 @@ def _may_link(bands: Bands):
     bit = lambda k: F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}")))
     differ = sum((bit(k) for k in range(1, PARITY)), bit(0))
     total = F.col("x.n") + F.col("y.n")
+    similar = (bands.den * F.least("x.n", "y.n") >= bands.num * F.greatest("x.n", "y.n")) & (
+        (bands.den + bands.num) * differ <= (bands.den - bands.num) * total
+    )
+    # an id with different texts has no bits, and anything may link with it
     return (
         (F.col("x.c") != F.col("y.c"))
         & ((F.col("x.kind") == 0) | (F.col("x.kind") == 2) | (F.col("y.kind") == 2))
-        & (bands.den * F.least("x.n", "y.n") >= bands.num * F.greatest("x.n", "y.n"))
-        & ((bands.den + bands.num) * differ <= (bands.den - bands.num) * total)
+        & (similar | F.col("x.n").isNull() | F.col("y.n").isNull())
     )
 
 
+def _bits(facts: DataFrame) -> DataFrame:
+    """(id, n, p0 ..): size and parity bits of each id; null if it has different sets."""
+    columns = ["n", "f1", "f2", *(f"p{k}" for k in range(PARITY))]
+    ends = facts.groupBy("id").agg(F.min(F.struct(*columns)).alias("low"), F.max(F.struct(*columns)).alias("high"))
+    same = F.col("low") == F.col("high")
+    return ends.select("id", *[F.when(same, F.col("low").getField(c)).alias(c) for c in columns if c not in ("f1", "f2")])
+
+
+def _first_met(open_: DataFrame) -> DataFrame:
+    """Adds ``earliest``, the first groups of each id by contents in the order of their signatures."""
+    earliest = open_.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("kind") == 0, F.col("sig")))), 1, EARLIEST).alias("earliest"))
+    return open_.join(earliest, "id")
+
+
 def link_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -354,7 +377,7 @@ def link_components(
     release(spark)
     first = saved(components(equal.unionByName(links)), "components")
 
-    bits = facts.select("id", "n", *(f"p{k}" for k in range(PARITY))).dropDuplicates(["id"])
+    bits = _bits(facts)
     left_over, texts, turn = groups.select("sig", "id", "kind"), None, 0
     while True:
         left_over = _still_open(left_over, first, bits)
@@ -384,10 +407,14 @@ def link_components(
         if found < WORTH * tried.count():
             left_over = _still_open(left_over, first, bits)
             break
+    left_over = _first_met(left_over)
     x, y = left_over.alias("x"), left_over.alias("y")
     ordered = F.col("x.c") < F.col("y.c")
+    before = lambda side: F.filter(f"{side}.earliest", lambda s: s < F.col(f"{side}.sig"))
+    # only groups by contents count: in the earliest of those that a pair has in common it isn't left out
+    met = F.arrays_overlap(before("x"), before("y")) & (F.col("x.kind") == 0) & (F.col("y.kind") == 0)
     crossing = saved(
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & ordered & _may_link(bands))
+        x.join(y, (F.col("x.sig") == F.col("y.sig")) & ordered & _may_link(bands) & ~met)
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct(),
         "crossing",

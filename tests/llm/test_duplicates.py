@@ -109,6 +109,51 @@ def test_components_equal_brute_force(spark, size, share, seed):
     assert got == brute_components(docs, size, *share)
 
 
+def family(seed, n, edits):
+    """Copies of one text, each with its own edits: pairs lie on both sides of the limit."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(edits):
+            text[rng.randrange(len(text))] = f"e{i}-{rng.randrange(10**6)}"
+        out.append(text)
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize("earliest", [0, 1, 12])
+def test_families_at_the_limit_equal_brute_force(spark, monkeypatch, earliest):
+    """Dissimilar relatives share many groups and meet once or twice; no link gets lost."""
+    monkeypatch.setattr(nj, "EARLIEST", earliest)
+    rng = random.Random(8)
+    texts = [t for edits in (2, 3, 4) for t in family(edits, 40, edits)]
+    passage = " ".join(f"p{i}" for i in range(6))
+    texts += [" ".join(f"q{rng.randrange(4000)}" for _ in range(rng.choice([3, 9, 30]))) + " " + passage for _ in range(200)]
+    docs = list(enumerate(texts))
+    made = {}
+
+    def saved(df, name, put=nj.saved):
+        made[name] = put(df, name)
+        return made[name]
+
+    monkeypatch.setattr(nj, "saved", saved)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs, 5, 80, 100)
+    assert "crossing" in made
+
+
+def test_a_repeated_id_links_by_any_of_its_texts(spark):
+    rng = random.Random(4)
+    long = lambda name: " ".join(f"{name}{rng.randrange(10**6)}" for _ in range(60))
+    texts = {name: long(name) for name in "abcdefgh"}
+    docs = [(i, texts[a]) for i, a in enumerate("abcdefgh")]
+    near = lambda a: texts[a].rsplit(" ", 1)[0]
+    docs += [(20, near("a")), (20, near("b")), (21, near("c")), (21, near("b")), (22, near("e")), (22, near("e"))]
+    got = {(r.doc_id, r.component_id) for r in nj.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(0, 0), (1, 0), (2, 0), (20, 0), (21, 0), (3, 3), (4, 4), (22, 4), (5, 5), (6, 6), (7, 7)}
+
+
 def test_components_of_edges(clashing_docs, edge_rows):
     got = rows(nj.link_components(clashing_docs))
     assert len(got) == len(edge_rows)
