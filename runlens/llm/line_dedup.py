@@ -6,10 +6,10 @@ tasks and merged by aggregation.  Lines whose estimate is clearly below or above
 exactly.  Lines of ``min_sites`` or more are boilerplate and removed, so a third
 of all rows with one line costs one sketch from each task.
 
-A document of which boilerplate makes up more than ``max_share`` of the
-characters is a copy spread over sites, not text with boilerplate in it: it stays
-whole, for the stages that work on documents.  With ``max_share`` None the share
-doesn't matter, and only documents without any other line stay whole.
+Boilerplate goes whatever its share of a document.  Only a document without any
+other line stays whole: that is a copy spread over sites, for the stages that work on
+documents.  ``max_share`` keeps those whole as well of which boilerplate makes up
+more than that share of the characters.
 
 Lines end at U+000A and are compared without spaces at their ends; blank ones
 are never removed.  A null text stays null, a null site counts as no site, and
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import joinable, saved
 
 MIN_SITES = 10
-MAX_SHARE = 0.5
 LG_K = 12
 #: Standard errors of the sketch within which a line is counted exactly.
 ERRORS = 4
@@ -74,7 +73,7 @@ def remove_boilerplate(
     text_col: str = "text",
     site_col: str = "source",
     min_sites: int = MIN_SITES,
-    max_share: float | None = MAX_SHARE,
+    max_share: float | None = None,
 ) -> DataFrame:
     """``docs`` with cleaned texts, and the columns ``boilerplate_lines`` and ``removed_lines``."""
     found = _occurrences(docs, id_col, text_col, site_col)

@@ -14,10 +14,11 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS body, string_split(coale
 ), l AS (SELECT doc_id, source, unnest(range(len(parts))) AS pos, trim(unnest(parts)) AS line FROM d
 ), common AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
 ), flagged AS (
-  SELECT doc_id, list(pos) AS places, sum(length(line)) AS size FROM l SEMI JOIN common USING (line) GROUP BY doc_id
+  SELECT doc_id, list(pos) AS places FROM l SEMI JOIN common USING (line) GROUP BY doc_id
+), other AS (SELECT DISTINCT doc_id, true AS own FROM l ANTI JOIN common USING (line) WHERE line <> ''
 ), j AS (
-  SELECT d.doc_id, body, parts, places, places IS NOT NULL AND size <= {line_dedup.MAX_SHARE} * length(body) AS clean
-  FROM d LEFT JOIN flagged USING (doc_id)
+  SELECT d.doc_id, body, parts, places, places IS NOT NULL AND coalesce(own, false) AS clean
+  FROM d LEFT JOIN flagged USING (doc_id) LEFT JOIN other USING (doc_id)
 )
 SELECT doc_id, len(parts) AS n_lines, coalesce(len(places), 0) AS boilerplate_lines,
        CASE WHEN clean THEN len(places) ELSE 0 END AS removed_lines,

@@ -16,7 +16,7 @@ stay separate rows, ordered by their text; a null id comes first.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 from array import array
 from functools import lru_cache
 
@@ -91,24 +91,26 @@ def tokenizer(path: str):
 
 @lru_cache(maxsize=1)
 def byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
+    """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on.
+
+    Fixed values: tokenizer files of this kind write their bytes so.
+    """
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = iter(range(0x100, 0x200))
     own = set(plain)
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-def _merge_input(word: str) -> str | None:
-    """What the merges see of a word of Latin letters; null if the word needs the whole tokenizer."""
-    if not word.isalpha() or max(word) > "\u024f":
-        return None
-    if word.isascii():
-        return word.lower()
-    lowered = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-    if not lowered.isalpha():
-        return None
-    table = byte_letters()
-    return "".join(table[b] for b in lowered.encode())
+#: Words of Latin letters alone, which normalisation leaves as they are but for their case (the dotted capital I
+#: becomes two characters, so it isn't one of them), and marks behind them, which are parted from letters.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_MARKED = re.compile(_LATIN.pattern.join("()") + r"([!-&(-/:;=?@\[\\\]^`{}~]+)")
+
+
+def _merge_inputs(words: list[str]) -> list[str]:
+    """What the merges see of words of Latin letters, all in one go: lower case, a letter for each byte."""
+    letters = {b: c for b, c in enumerate(byte_letters()) if b != 10}
+    return "\n".join(words).lower().encode().decode("latin-1").translate(letters).split("\n")
 
 
 def _word(part: str) -> tuple[str, str]:
@@ -120,45 +122,61 @@ def _word(part: str) -> tuple[str, str]:
     return part, ""
 
 
+def _encode_parts(parts: list[str], model, known: dict[str, bytes]) -> dict[str, bytes]:
+    """Ids of distinct parts that aren't known, as bytes."""
+    merges = model.model
+    latin = [p for p in parts if _LATIN.fullmatch(p)]
+    own = set(latin)
+    marked = {p: m for p in parts if p not in own and (m := _MARKED.fullmatch(p))}
+    # the word before a mark may be a part as well, here or earlier
+    more = list({m[1] for m in marked.values()} - own)
+    words = latin + [w for w in more if w not in known]
+    seen = _merge_inputs(words) if words else []
+    once = {x: array("I", [t.id for t in merges.tokenize(x)]).tobytes() for x in set(seen)}
+    found = dict(zip(words, map(once.__getitem__, seen)))
+    # tokens of special strings don't fold; a part that may hold one is encoded as it is
+    cut = {p: (p, "") if "<|" in p else _word(p) for p in parts if p not in own and p not in marked}
+    hard = list({w for pair in cut.values() for w in pair if w} | {m[2] for m in marked.values()})
+    ids = {"": b""}
+    for start in range(0, len(hard), 10_000):
+        some = hard[start : start + 10_000]
+        ids.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, model.encode_batch_fast(some, add_special_tokens=False)))
+    out = {p: found[p] for p in latin}
+    out.update((p, (found[m[1]] if m[1] in found else known[m[1]]) + ids[m[2]]) for p, m in marked.items())
+    out.update((p, ids[w] + ids[mark]) for p, (w, mark) in cut.items())
+    return out
+
+
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of whole texts.
 
     A text is cut at spaces and line ends: this kind of tokenizer drops white
     space before its merges, so nothing it does reaches across.  It also parts
-    letters from the marks after them.  Each distinct word is encoded once for a
-    batch, and a bounded number of words is kept.
+    letters from the marks after them.  Each distinct part is encoded once for a
+    batch, and a bounded number of parts is kept.
     """
     model, known = tokenizer(path)
-    merges = model.model
     split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    parts = {p for some in split for p in some}
-    # tokens of special strings don't fold; a part that may hold one is encoded as it is
-    cut = {p: (p, "") if "<|" in p else _word(p) for p in parts if p not in known}
-    words = list({w for pair in cut.values() for w in pair if w and w not in known})
-    ids = {"": b""}
-    hard = []
-    for w in words:
-        seen = _merge_input(w)
-        if seen is None:
-            hard.append(w)
-        else:
-            ids[w] = array("I", [t.id for t in merges.tokenize(seen)]).tobytes()
-    for start in range(0, len(hard), 10_000):
-        some = hard[start : start + 10_000]
-        ids.update(
-            (w, array("I", e.ids).tobytes())
-            for w, e in zip(some, model.encode_batch_fast(some, add_special_tokens=False))
-        )
-    get = lambda w: ids[w] if w in ids else known[w]
-    now = {p: get(w) + get(mark) for p, (w, mark) in cut.items()}
-    now.update((p, known[p]) for p in parts if p in known)
-    if len(known) > KEPT_PARTS:
+    parts = set().union(*split)
+    now = {p: known[p] for p in parts & known.keys()}
+    fresh = _encode_parts(list(parts.difference(now)), model, known)
+    now.update(fresh)
+    if len(known) + len(fresh) > KEPT_PARTS:
         known.clear()
-    for found in (ids, now):
-        known.update((w, b) for w, b in found.items() if len(w) <= KEPT_LENGTH and len(known) <= KEPT_PARTS)
+    known.update((p, b) for p, b in fresh.items() if len(p) <= KEPT_LENGTH and len(known) < KEPT_PARTS)
     return [np.frombuffer(b"".join(map(now.__getitem__, some)), "<u4") for some in split]
 
 
+def _check_kind(path: str) -> None:
+    """The shortcuts hold for tokenizers that fold case and part words as this kind does; others are refused."""
+    model, _ = tokenizer(path)
+    probe = ["Fern", "sch\u00d6n", "\u01c4abc", "end."]
+    whole = model.encode("Fern  sch\u00d6n\n\u01c4abc\tend.", add_special_tokens=False).ids
+    parts = _encode_parts(probe, model, {})
+    if b"".join(parts[p] for p in probe) != array("I", whole).tobytes():
+        raise ValueError(f"{path} is not a tokenizer of the kind that this writer knows")
+
+
 def vocabulary(path: str) -> int:
     return tokenizer(path)[0].get_vocab_size(with_added_tokens=True)
 
@@ -167,6 +185,7 @@ def write_token_files(
     docs: DataFrame, tokenizer_path: str, out: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> str:
     """Encode, append the end id, and write blocks in ascending order of the document id."""
+    _check_kind(tokenizer_path)
     bits = bits_for(vocabulary(tokenizer_path))
     rows = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -197,7 +197,10 @@ def brute_lines(docs, min_sites, max_share):
     for r in docs:
         lines = (r.text or "").split("\n")
         common = [i for i, line in enumerate(lines) if line.strip(" ") and len(sites[line.strip(" ")]) >= min_sites]
-        clean = bool(common) and sum(len(lines[i].strip(" ")) for i in common) <= max_share * len(r.text)
+        if max_share is None:
+            clean = bool(common) and any(x.strip(" ") and i not in common for i, x in enumerate(lines))
+        else:
+            clean = bool(common) and sum(len(lines[i].strip(" ")) for i in common) <= max_share * len(r.text)
         text = "\n".join(x for i, x in enumerate(lines) if i not in common) if clean else r.text
         out.append((r.doc_id, len(common), len(common) if clean else 0, text))
     return sorted(out, key=repr)
@@ -214,14 +217,14 @@ def test_boilerplate_lines_equal_brute_force(spark, clashing_docs, edge_rows):
         docs.append((i, "\n".join(lines) if rng.random() < 0.97 else None, site))
     docs += [(1000 + i, PLAIN, f"s{i}") for i in range(14)]  # a copy on every site stays whole
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    for min_sites in (3, 10):
-        got = line_dedup.remove_boilerplate(frame, min_sites=min_sites)
-        want = brute_lines(frame.collect(), min_sites, line_dedup.MAX_SHARE)
+    for min_sites, share in ((3, None), (10, None), (10, 0.5)):
+        got = line_dedup.remove_boilerplate(frame, min_sites=min_sites, max_share=share)
+        want = brute_lines(frame.collect(), min_sites, share)
         assert rows(got, "doc_id", "boilerplate_lines", "removed_lines", "text") == want
     cleaned = line_dedup.remove_boilerplate(clashing_docs, min_sites=2)
     assert set(clashing_docs.columns) <= set(cleaned.columns)
     assert rows(cleaned, "doc_id", "boilerplate_lines", "removed_lines", "text") == brute_lines(
-        edge_rows, 2, line_dedup.MAX_SHARE
+        edge_rows, 2, None
     )
 
 
