@@ -1,8 +1,8 @@
 """K-means on array columns.
 
-Distances are computed on whole Arrow batches.  A step reduces every batch to k
-rows of counts and sums before anything is shuffled; only the k centroids pass
-through the driver.
+Distances are computed on whole Arrow batches, by matrix products.  A step reduces
+every task to k rows of counts and sums before anything is shuffled; only the
+centroids pass through the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +17,11 @@ from pyspark.sql import types as T
 
 from runlens.operators.sizing import attach
 
-MAX_CENTROIDS = 10_000
+#: Centroids compared at once, and distances held at once.
+BLOCK = 10_000
+_CELLS = 1 << 22
+#: Rounding of a distance from a matrix product, relative to the squares in it.
+_ROUNDING = 1e-12
 _ASSIGNED = T.StructType(
     [T.StructField("cluster", T.IntegerType()), T.StructField("d2", T.DoubleType())]
 )
@@ -32,48 +36,80 @@ def as_matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest centroid, the lowest among equals, and its d²."""
+    """Index of the nearest centroid, the lowest among equals, and its d².
+
+    One matrix product for each block of points gives all distances up to rounding;
+    those that rounding can't tell apart are computed from the differences.
+    """
     best = np.zeros(len(points), dtype=np.int32)
     best_d2 = np.full(len(points), np.inf)
-    for k, centre in enumerate(centroids):
-        gap = points - centre
-        d2 = np.einsum("ij,ij->i", gap, gap)
-        closer = d2 < best_d2
-        best[closer], best_d2[closer] = k, d2[closer]
+    if not len(points) or not len(centroids):
+        return best, best_d2
+    sizes = np.einsum("ij,ij->i", centroids, centroids)
+    step = max(1, _CELLS // len(centroids))
+    for start in range(0, len(points), step):
+        x = points[start : start + step]
+        own = np.einsum("ij,ij->i", x, x)
+        d2 = own[:, None] + sizes[None, :] - 2.0 * (x @ centroids.T)
+        close = d2 <= d2.min(axis=1, keepdims=True) + _ROUNDING * (own[:, None] + sizes.max())
+        row, k = np.nonzero(close)  # in the order of rows, then of centroids
+        gap = x[row] - centroids[k]
+        exact = np.einsum("ij,ij->i", gap, gap)
+        order = np.lexsort((k, exact, row))
+        first = order[np.searchsorted(row[order], np.arange(len(x)))]
+        best[start : start + step], best_d2[start : start + step] = k[first], exact[first]
     return best, best_d2
 
 
-def _centroid_matrix(centroids: DataFrame) -> np.ndarray:
-    rows = centroids.select("cluster", "centroid").orderBy("cluster").limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    if [r["cluster"] for r in rows] != list(range(len(rows))):
+def _centroid_blocks(centroids: DataFrame) -> Iterator[np.ndarray]:
+    """The centroids 0 to k - 1 in blocks of ``BLOCK``; one block is in the driver at a time."""
+    facts = centroids.agg(F.count(F.lit(1)), F.min("cluster"), F.max("cluster"), F.count_distinct("cluster")).first()
+    if facts[0] and (facts[1], facts[2], facts[3]) != (0, facts[0] - 1, facts[0]):
         raise ValueError("centroids must be numbered 0..k-1")
-    return np.array([r["centroid"] for r in rows], dtype=np.float64)
+    for start in range(0, facts[0], BLOCK):
+        block = centroids.filter(F.col("cluster").between(start, start + BLOCK - 1)).orderBy("cluster")
+        yield np.array([r["centroid"] for r in block.select("cluster", "centroid").collect()], dtype=np.float64)
 
 
 def kmeans_assign(points: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataFrame:
-    """Adds ``cluster`` and the squared distance ``d2``; no shuffle."""
-    matrix = _centroid_matrix(centroids)
+    """Adds ``cluster`` and the squared distance ``d2``; no shuffle.
+
+    Many centroids are compared block by block, each keeping the better of its own
+    nearest and the one so far.
+    """
+    out = points.withColumn("__a", F.lit(None).cast(_ASSIGNED))
+    start = 0
+    for matrix in _centroid_blocks(centroids):
+        out = out.withColumn("__a", _better(matrix, start)(vec, "__a"))
+        start += len(matrix)
+    return out.select(*points.columns, F.col("__a.cluster").alias("cluster"), F.col("__a.d2").alias("d2"))
+
+
+def _better(matrix: np.ndarray, start: int):
+    """A function of (vector, best so far) for the centroids from number ``start`` on."""
 
     @F.arrow_udf(_ASSIGNED)
-    def assign(vectors: pa.Array) -> pa.Array:
+    def assign(vectors: pa.Array, so_far: pa.Array) -> pa.Array:
         x, present = as_matrix(vectors)
         cluster = np.zeros(len(present), dtype=np.int32)
-        d2 = np.zeros(len(present))
+        d2 = np.full(len(present), np.inf)
         if len(x):
-            cluster[present], d2[present] = nearest(x, matrix)
+            found, d2[present] = nearest(x, matrix)
+            cluster[present] = found + start
+        if start:
+            old = so_far.field("d2").fill_null(np.inf).to_numpy(zero_copy_only=False)
+            keep = old <= d2  # the lower number of equals
+            cluster = np.where(keep, so_far.field("cluster").fill_null(0).to_numpy(zero_copy_only=False), cluster).astype(np.int32)
+            d2 = np.where(keep, old, d2)
         return pa.StructArray.from_arrays(
             [pa.array(cluster, mask=~present), pa.array(d2, mask=~present)], names=["cluster", "d2"]
         )
 
-    return points.withColumn("__a", assign(vec)).select(
-        *points.columns, F.col("__a.cluster").alias("cluster"), F.col("__a.d2").alias("d2")
-    )
+    return assign
 
 
 # Positions below zero in the long rows carry per-cluster totals.
-_COUNT, _MOVED, _INERTIA = -1, -2, -3
+_COUNT, _INERTIA = -1, -2
 _TOTALS = "cluster int, pos int, s double"
 
 
@@ -137,17 +173,14 @@ def kmeans_update(assigned: DataFrame, centroids: DataFrame | None = None, vec:
 
 
 def kmeans_inertia(assigned: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataFrame:
-    """Sum of squared distances from members to the given (updated) centroids."""
-    matrix = _centroid_matrix(centroids)
-
-    @F.arrow_udf(T.DoubleType())
-    def to_own(vectors: pa.Array, cluster: pa.Array) -> pa.Array:
-        x, _ = as_matrix(vectors)
-        gap = x - matrix[cluster.to_numpy(zero_copy_only=False).astype(np.int64)]
-        return pa.array(np.einsum("ij,ij->i", gap, gap))
+    """Sum of squared distances from members to the given (updated) centroids.
 
-    rows = assigned.filter(F.col("cluster").isNotNull() & F.col(vec).isNotNull())
-    return rows.select(to_own(vec, "cluster").alias("d2")).agg(F.sum("d2").alias("inertia"))
+    Members meet their centroid in a join, whatever the number of centroids.
+    """
+    rows = assigned.filter(F.col("cluster").isNotNull() & F.col(vec).isNotNull()).select("cluster", F.col(vec).alias("__vec"))
+    own = centroids.select(F.col("cluster"), F.col("centroid").alias("__own"))
+    gap = F.zip_with("__vec", "__own", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+    return rows.join(own, "cluster").select(F.aggregate(gap, F.lit(0.0), lambda s, g: s + g).alias("d2")).agg(F.sum("d2").alias("inertia"))
 
 
 def initial_centroids(points: DataFrame, k: int, seed: int, key: str, vec: str = "vec") -> np.ndarray:
@@ -172,57 +205,60 @@ def kmeans_fit(
     vec: str = "vec",
     start: Sequence[Sequence[float]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Centroids and the inertia of every step.
+    """Centroids and the inertia of every step, with ``converged`` in its rows.
 
-    Steps stop when no row changes its cluster.  One pass per step assigns the
-    rows under the new and the previous centroids, so the previous assignment
-    is never stored and lineage does not grow.
+    A step assigns every row once and gives counts, sums and squared distances per
+    cluster; the inertia around the moved centroids follows from those.  Steps stop
+    when no row changes its cluster, that is when counts and centroids stay as
+    they are; only centroids pass through the driver.
     """
     spark = points.sparkSession
     rows = points.select(vec).filter(F.col(vec).isNotNull()).persist()
     current = np.array(start, dtype=np.float64) if start is not None else initial_centroids(points, k, seed, key, vec)
-    previous: np.ndarray | None = None
+    counts: np.ndarray | None = None
     history: list[tuple[int, float]] = []
+    converged, inertia = False, 0.0
     for step in range(max_iter + 1):
-        sums, moved, inertia = _step(rows, current, previous)
-        if previous is not None and moved > 0:
+        n, sums, d2 = _step(rows, current)
+        updated = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], current)
+        # sums of the same rows may differ in their last bits
+        still = np.abs(updated - current).max(initial=0.0) <= 1e-12 * np.abs(current).max(initial=0.0)
+        converged = counts is not None and bool((n == counts).all()) and bool(still)
+        if counts is not None and not converged:
             history.append((step, inertia))
-        if (previous is not None and moved == 0) or step == max_iter:
+        if converged or step == max_iter:
             break
-        updated = current.copy()
-        for cluster, n, total in sums:
-            updated[cluster] = np.asarray(total) / n
-        previous, current = current, updated
+        inertia = float(d2 - (n * ((updated - current) ** 2).sum(axis=1)).sum())
+        counts, current = n, updated
     rows.unpersist()
     centroids = spark.createDataFrame(
         [(i, [float(v) for v in c]) for i, c in enumerate(current)], "cluster int, centroid array<double>"
     )
-    return centroids, spark.createDataFrame(history, "step int, inertia double")
+    return centroids, spark.createDataFrame(
+        [(*h, converged) for h in history], "step int, inertia double, converged boolean"
+    )
 
 
-def _step(rows: DataFrame, current: np.ndarray, previous: np.ndarray | None):
-    """Sums per cluster, rows that moved, and inertia of the previous clusters."""
+def _step(rows: DataFrame, current: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rows and sums per cluster, and the sum of the squared distances."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, moved, inertia = _Totals(), 0, 0.0
+        totals, inertia = _Totals(), 0.0
         for batch in batches:
             x, _ = as_matrix(batch.column(0))
-            if not len(x):
-                continue
-            cluster, _ = nearest(x, current)
-            totals.add(x, cluster)
-            if previous is not None:
-                before, _ = nearest(x, previous)
-                gap = x - current[before]
-                moved += int((before != cluster).sum())
-                inertia += float((gap * gap).sum())
-        yield totals.batch({_MOVED: float(moved), _INERTIA: inertia})
+            if len(x):
+                cluster, d2 = nearest(x, current)
+                totals.add(x, cluster)
+                inertia += float(d2.sum())
+        yield totals.batch({_INERTIA: inertia})
 
     cells = rows.mapInArrow(partial, _TOTALS).groupBy("cluster", "pos").agg(F.sum("s").alias("s")).collect()
-    totals = {(r["cluster"], r["pos"]): r["s"] for r in cells}
-    sums = [
-        (k, n, [totals[k, i] for i in range(current.shape[1])])
-        for (k, pos), n in totals.items()
-        if pos == _COUNT
-    ]
-    return sums, totals[-1, _MOVED], totals[-1, _INERTIA]
+    n, sums, d2 = np.zeros(len(current)), np.zeros_like(current), 0.0
+    for r in cells:
+        if r["pos"] == _INERTIA:
+            d2 = r["s"]
+        elif r["pos"] == _COUNT:
+            n[r["cluster"]] = r["s"]
+        else:
+            sums[r["cluster"], r["pos"]] = r["s"]
+    return n, sums, d2

@@ -84,9 +84,14 @@ def minmax_scale(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> Dat
 
 # -- linear SVM -------------------------------------------------------------
 def linear_svm_fit(
-    df: DataFrame, label: str, columns: Sequence[str], cost: float = 1.0, max_iter: int = 50
+    df: DataFrame, label: str, columns: Sequence[str], cost: float = 1.0, max_iter: int = 500, tolerance: float = 1e-6
 ) -> tuple[object, DataFrame]:
-    """Max-margin classifier on labels -1 and 1; the model and its coefficients."""
+    """Max-margin classifier on labels -1 and 1; the model and its coefficients.
+
+    Training stops when the objective no longer changes by more than ``tolerance`` of
+    itself.  ``steps`` says how many it took, and ``converged`` whether that was
+    before ``max_iter``.
+    """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.feature import VectorAssembler
 
@@ -96,11 +101,13 @@ def linear_svm_fit(
     if n == 0:
         raise ValueError("no complete rows to fit on")
     svm = LinearSVC(
-        featuresCol="__x", labelCol="__y", regParam=1.0 / (cost * n), maxIter=max_iter, standardization=True
+        featuresCol="__x", labelCol="__y", regParam=1.0 / (cost * n), maxIter=max_iter, tol=tolerance, standardization=True
     )
     model = svm.fit(vectors.select("__x", "__y"))
     terms = [*zip(columns, map(float, model.coefficients)), ("(intercept)", float(model.intercept))]
-    return model, df.sparkSession.createDataFrame(terms, "term string, weight double")
+    steps = int(model.summary().totalIterations)
+    terms = [(*t, steps, steps < max_iter) for t in terms]
+    return model, df.sparkSession.createDataFrame(terms, "term string, weight double, steps int, converged boolean")
 
 
 def linear_svm_predict(df: DataFrame, coefficients: Sequence[tuple[str, float]]) -> DataFrame:

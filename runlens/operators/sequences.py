@@ -1,7 +1,6 @@
 """Neighbours in order, without putting a large group on one task.
 
-Groups of ordinary size use a plain window.  Groups that a count shows to be
-large are cut into chunks of the order key.  Inside a chunk a window finds the
+Groups are cut into chunks of the order key.  Inside a chunk a window finds the
 neighbour; the last row of a chunk takes the first row of the next chunk, found
 on a table with one row per chunk.
 """
@@ -16,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runlens.operators.order_stats import value_bucket
 from runlens.operators.sizing import attach, attach_row
+from runlens.session import staged
 
 
 def with_next(
@@ -163,37 +162,43 @@ def weighted_pick(probabilities: DataFrame, source: str, target: str, seed: int)
 def neighbour_bounds(values: DataFrame, value: str, breakpoints: DataFrame, point: str) -> DataFrame:
     """Adds the greatest breakpoint <= value and the smallest >= value.
 
-    Values and breakpoints are put in one order, cut into the order-preserving
-    buckets of their values.  Inside a bucket windows look both ways; one row for
-    each bucket carries breakpoints over to the buckets beside it.  No value meets
-    more than those two breakpoints, however the breakpoints lie.  A null value has
-    no bounds.
+    Values and breakpoints are put in one order and cut into ranges by a sample of
+    both, so that a range has as many rows wherever they lie; equal values may
+    fall into several ranges.  The ranges are written.  Inside one, windows look
+    both ways; what lies beyond comes from the first and last breakpoint of the
+    other ranges, of which there are as many as tasks.  A null value has no bounds.
     """
     points = breakpoints.select(F.col(point).cast("double").alias("__point")).filter(F.col("__point").isNotNull()).distinct()
-    number = F.col(value).cast("double")
     rows = (
-        values.withColumn("__v", number)
+        values.withColumn("__v", F.col(value).cast("double"))
         .unionByName(points.withColumn("__v", F.col("__point")), allowMissingColumns=True)
-        .withColumn("__b", F.coalesce(value_bucket(F.col("__v")), F.lit(-(1 << 62))))
+        .withColumn("__tie", F.monotonically_increasing_id())
+        .repartitionByRange("__v", "__tie")
+        .withColumn("__range", F.spark_partition_id())
+        .drop("__tie")
     )
-    order = W.orderBy("__b")
-    beside = (
-        rows.groupBy("__b")
-        .agg(F.min("__point").alias("low"), F.max("__point").alias("high"))
-        .select(
-            "__b",
-            F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("__before"),
-            F.min("low").over(order.rowsBetween(1, W.unboundedFollowing)).alias("__after"),
-        )
+    rows = staged(rows, "ranges")
+    ends = rows.filter(F.col("__point").isNotNull()).groupBy("__range").agg(
+        F.min("__point").alias("low"), F.max("__point").alias("high")
     )
-    inside = W.partitionBy("__b").orderBy("__v")
+    ends = ends.agg(F.collect_list(F.struct("__range", "low", "high")).alias("__ends"))
+    within = W.partitionBy("__range").orderBy("__v")
     known = F.col("__v").isNotNull()
-    lower = F.coalesce(F.max("__point").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow)), "__before")
-    upper = F.coalesce(F.min("__point").over(inside.rangeBetween(W.currentRow, W.unboundedFollowing)), "__after")
+    here = {
+        "__low": F.max("__point").over(within.rangeBetween(W.unboundedPreceding, W.currentRow)),
+        "__high": F.min("__point").over(within.rangeBetween(W.currentRow, W.unboundedFollowing)),
+    }
+    at = F.col("__range")
+    before = F.array_max(F.transform(F.filter("__ends", lambda e: e["__range"] < at), lambda e: e["high"]))
+    after = F.array_min(F.transform(F.filter("__ends", lambda e: e["__range"] > at), lambda e: e["low"]))
+    # ties with a breakpoint of a neighbouring range come from there, others too
+    bounds = {
+        "lower": F.when(known, F.greatest("__low", before)),
+        "upper": F.when(known, F.least("__high", after)),
+    }
     return (
-        rows.join(beside, "__b")
-        .withColumns({"lower": F.when(known, lower), "upper": F.when(known, upper)})
-        .filter(F.col("__point").isNull())
+        attach_row(rows.withColumns(here).filter(F.col("__point").isNull()), ends)
+        .withColumns(bounds)
         .select(*[F.col(f"`{c}`") for c in values.columns], "lower", "upper")
     )
 
@@ -205,18 +210,6 @@ def divisible_by_one_bound(df: DataFrame, value: str) -> DataFrame:
     return df.filter(divides("lower") != divides("upper"))
 
 
-def primes_upto(numbers: DataFrame, column: str) -> DataFrame:
-    """The primes among consecutive numbers 2..max, by striking out multiples."""
-    top = numbers.agg(F.max(column).alias("__top"))
-    multiples = (
-        attach_row(numbers.filter(F.col(column) >= 2), top)
-        .filter(F.col(column) * F.col(column) <= F.col("__top"))
-        .select(F.explode(F.sequence(F.col(column) * F.col(column), F.col("__top"), F.col(column))).alias(column))
-        .distinct()
-    )
-    return numbers.filter(F.col(column) >= 2).select(column).join(multiples, column, "left_anti")
-
-
 # -- ratios -----------------------------------------------------------------
 def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor; 92 steps suffice for any two 64-bit numbers."""

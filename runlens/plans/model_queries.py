@@ -64,9 +64,10 @@ def kmeans_inertia(spark, sf_dir):
     return KM.kmeans_inertia(assigned, KM.kmeans_update(assigned, start))
 
 
-@query("kmeans_fit", "step:i inertia")
+@query("kmeans_fit", "step:i inertia converged:s")
 def kmeans_fit(spark, sf_dir):
-    _, history = KM.kmeans_fit(_points(spark, sf_dir), k=10, key="vec_id", max_iter=20, seed=7)
+    """Until no vector changes its cluster."""
+    _, history = KM.kmeans_fit(_points(spark, sf_dir), k=10, key="vec_id", seed=7)
     return history
 
 
@@ -185,12 +186,14 @@ def minmax_scale(spark, sf_dir):
     return ML.minmax_scale(rows.filter(F.col("c_mktsegment") != "BUILDING"), rows, ["c_acctbal", "c_nationkey"])
 
 
-@query("linear_svm_fit", "term:s weight")
+@query("linear_svm_fit", "term:s weight steps:i converged:s")
 def linear_svm_fit(spark, sf_dir):
-    rows = _points(spark, sf_dir).selectExpr(
-        "CASE WHEN label < 5 THEN 1 ELSE -1 END AS label", *[f"vec[{i}] AS x{i}" for i in range(8)]
-    )
-    return ML.linear_svm_fit(rows, "label", [f"x{i}" for i in range(8)], max_iter=20)[1]
+    """All components of the vectors, to convergence."""
+    points = _points(spark, sf_dir)
+    width = points.agg(F.max(F.size("vec"))).first()[0]
+    names = [f"x{i}" for i in range(width)]
+    rows = points.select(F.when(F.col("label") < 5, 1).otherwise(-1).alias("label"), *[F.col("vec")[i].alias(n) for i, n in enumerate(names)])
+    return ML.linear_svm_fit(rows, "label", names)[1]
 
 
 @query("normal_sample", "label:i key:i x")
@@ -345,25 +348,16 @@ def weighted_pick(spark, sf_dir):
 
 
 # -- numbers ----------------------------------------------------------------
-def _prime_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squares of the primes up to twice the root of the largest part key."""
-    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
-    top = keys.agg((F.sqrt(F.max("k").cast("double")) * 2 + 3).alias("top"))
-    numbers = attach_row(keys, top).filter(F.col("k") <= F.col("top")).select("k")
-    return SQ.primes_upto(numbers, "k").select((F.col("k") * F.col("k")).alias("square"))
-
-
-_BOUNDS_SQL = """WITH top AS (SELECT sqrt(max(p_partkey)) * 2 + 3 AS top FROM part),
-small AS (SELECT p_partkey AS k FROM part, top WHERE p_partkey BETWEEN 2 AND top),
-primes AS (SELECT k FROM small s WHERE NOT EXISTS (SELECT 1 FROM small d WHERE d.k < s.k AND s.k % d.k = 0)),
-bounds AS (SELECT p_partkey AS v, max(CASE WHEN k * k <= p_partkey THEN k END) AS lower,
-  min(CASE WHEN k * k >= p_partkey THEN k END) AS upper FROM part, primes GROUP BY p_partkey)
+_BOUNDS_SQL = """WITH bounds AS (SELECT p_partkey AS v, max(CASE WHEN s_suppkey * s_suppkey <= p_partkey THEN s_suppkey END) AS lower,
+  min(CASE WHEN s_suppkey * s_suppkey >= p_partkey THEN s_suppkey END) AS upper FROM part, supplier GROUP BY p_partkey)
 """
 
 
 def _bounded(spark, sf_dir):
+    """Part keys between the squares of supplier keys."""
     values = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"))
-    return SQ.neighbour_bounds(values, "v", _prime_squares(spark, sf_dir), "square")
+    squares = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * F.col("s_suppkey")).alias("square"))
+    return SQ.neighbour_bounds(values, "v", squares, "square")
 
 
 @query("neighbour_bounds", "v:i lower upper", _BOUNDS_SQL + "SELECT v, lower * lower AS lower, upper * upper AS upper FROM bounds")

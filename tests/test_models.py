@@ -36,6 +36,22 @@ def test_kmeans_step(spark):
     assert inertia == pytest.approx(0.5 + sum((x - 6.5 / 3) ** 2 for x in (0, 1, 5.5)))
 
 
+def test_assignment_in_blocks_of_centroids(spark, monkeypatch):
+    """More centroids than a block, with equal ones: the lowest number wins across blocks."""
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(0, 2, (200, 4)), rng.normal(0, 2, (37, 4))
+    c[[20, 33]] = c[[4, 9]]
+    points = vectors(spark, [*x.tolist(), None])
+    centres = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(c)], "cluster int, centroid array<double>")
+    d2 = ((x[:, None, :] - c[None]) ** 2).sum(2)
+    for block in (1, 5, 10_000):
+        monkeypatch.setattr(KM, "BLOCK", block)
+        got = {r["id"]: (r["cluster"], r["d2"]) for r in KM.kmeans_assign(points, centres).collect()}
+        assert [got[i][0] for i in range(200)] == d2.argmin(1).tolist()
+        assert [got[i][1] for i in range(200)] == pytest.approx(d2.min(1).tolist())
+        assert got[200] == (None, None)
+
+
 def lloyd(x, centres, max_iter):
     history, before = [], None
     for _ in range(max_iter + 1):
@@ -60,6 +76,9 @@ def test_kmeans_fit(spark):
     assert np.allclose(got, want)
     mine = [r["inertia"] for r in history.orderBy("step").collect()]
     assert mine == pytest.approx(inertias)
+    assert all(r["converged"] for r in history.collect())
+    _, cut = KM.kmeans_fit(df, 4, "id", start=start.tolist(), max_iter=2)
+    assert not any(r["converged"] for r in cut.collect())
     assert all(a >= b - 1e-9 for a, b in zip(mine, mine[1:]))
     again = KM.initial_centroids(df.repartition(3), 4, 9, "id")
     assert np.array_equal(again, KM.initial_centroids(df, 4, 9, "id"))
@@ -169,11 +188,9 @@ def test_transition_probability_sums_to_one(spark):
 
 
 def test_semidivisible_totals(spark):
-    numbers = spark.range(2, 140).withColumnRenamed("id", "k")
-    primes = SQ.primes_upto(numbers, "k")
+    """Known totals of the rule with the squares of primes as given breakpoints (fixed values)."""
     small = [n for n in range(2, 140) if all(n % d for d in range(2, n))]
-    assert sorted(r["k"] for r in primes.collect()) == small
-    squares = primes.selectExpr("k * k AS square")
+    squares = spark.createDataFrame([(float(n * n),) for n in small], "square double")
     for limit, want in ((1000, 34825), (10_000, 1134942)):
         values = spark.range(4, limit + 1).withColumnRenamed("id", "v")
         bounded = SQ.neighbour_bounds(values, "v", squares, "square")
@@ -218,6 +235,17 @@ def test_lda_without_variance_predicts_nothing(spark):
     assert [r["predicted"] for r in got] == [None] * 4
 
 
+def test_bounds_of_a_value_that_fills_several_ranges(spark):
+    """Equal values are dealt over ranges; those in any of them see the same breakpoints."""
+    values = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(50.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    points = spark.createDataFrame([(50.0,), (40.0,), (2500.0,)], "b double")
+    got = SQ.neighbour_bounds(values.repartition(6), "v", points, "b")
+    assert {(r["lower"], r["upper"]) for r in got.where("v = 50").collect()} == {(50.0, 50.0)}
+    assert {(r["lower"], r["upper"]) for r in got.where("v > 50 AND v < 2500").collect()} == {(50.0, 2500.0)}
+    assert {(r["lower"], r["upper"]) for r in got.where("v > 2500").collect()} == {(2500.0, None)}
+    assert got.count() == 3000
+
+
 def test_bounds_outside_and_on_breakpoints(spark):
     points = spark.createDataFrame([(10.0,), (20.0,), (20.0,), (1000.0,)], "b double")
     values = spark.createDataFrame([(5.0,), (10.0,), (15.0,), (999.0,), (1000.0,), (5000.0,)], "v double")
@@ -288,8 +316,10 @@ def test_linear_svm(spark):
         x, y = rng.uniform(-1, 1), rng.uniform(-1, 1)
         rows.append((1 if x + y > 0.1 else -1, x, y))
     df = spark.createDataFrame(rows, "label int, x double, y double")
-    _, terms = ML.linear_svm_fit(df, "label", ["x", "y"], max_iter=20)
-    predicted = ML.linear_svm_predict(df, [tuple(r) for r in terms.collect()])
+    _, terms = ML.linear_svm_fit(df, "label", ["x", "y"])
+    assert all(r["converged"] and r["steps"] > 0 for r in terms.collect())
+    assert not ML.linear_svm_fit(df, "label", ["x", "y"], max_iter=2)[1].first()["converged"]
+    predicted = ML.linear_svm_predict(df, [tuple(r)[:2] for r in terms.collect()])
     assert ML.accuracy(predicted, "label", "predicted").first()["pct"] > 90
 
 
