@@ -7,7 +7,7 @@
 3. N-gram Jaccard join: of every component of near duplicates the document with
    the least id stays.
 4. Benchmark decontamination: documents that hold a benchmark item go.
-5. Byte-level BPE: the ids of what is left.
+5. Byte-level BPE: the ids of what is left, and the digest of the bytes they decode to.
 
 Rows are written as Parquet after each stage and read again.  SQL can't express the
 first stage, so there is no ``ORACLE_SQL``.
@@ -32,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many sites share; ``n_chars`` follows the text."""
-    cleaned = line_dedup.remove_boilerplate(docs, max_share=None)
+    cleaned = line_dedup.remove_boilerplate(docs)
     changed = F.col("removed_lines") > 0
     return cleaned.withColumn(
         "n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -50,9 +50,12 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of the documents."""
-    encoded = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, n_tokens, ids, decoded_sha256): ids of the documents, and the digest of the bytes that the ids stand for."""
+    ranks = public_tokenizers.path(RANKS)
+    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256")
+    )
 
 
 STAGES = [
