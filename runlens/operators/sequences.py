@@ -204,8 +204,8 @@ def neighbour_bounds(values: DataFrame, value: str, breakpoints: DataFrame, poin
 
 
 def divisible_by_one_bound(df: DataFrame, value: str) -> DataFrame:
-    """Values divisible by exactly one of the roots of their two bounds."""
-    root = lambda c: F.round(F.sqrt(c)).cast("bigint")
+    """Values divisible by exactly one of the roots of their two bounds; a missing bound or zero divides nothing."""
+    root = lambda c: F.nullif(F.round(F.sqrt(c)).cast("bigint"), F.lit(0).cast("bigint"))
     divides = lambda c: F.coalesce(F.col(value) % root(c) == 0, F.lit(False))
     return df.filter(divides("lower") != divides("upper"))
 

@@ -366,7 +366,7 @@ def neighbour_bounds(spark, sf_dir):
 
 
 @query("divisible_by_one_bound", "n:i total:i", _BOUNDS_SQL + """SELECT count(*) AS n, sum(v) AS total FROM bounds
-WHERE lower IS NOT NULL AND (v % lower = 0) <> (v % upper = 0)""")
+WHERE lower IS NOT NULL AND coalesce(v % nullif(lower, 0) = 0, false) <> coalesce(v % nullif(upper, 0) = 0, false)""")
 def divisible_by_one_bound(spark, sf_dir):
     bounded = _bounded(spark, sf_dir).filter(F.col("lower").isNotNull())
     return SQ.divisible_by_one_bound(bounded, "v").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
