@@ -95,9 +95,10 @@ def remove_boilerplate(
     else:
         own = F.col("__size") <= max_share * F.char_length(text_col)
     clean = F.col("__places").isNotNull() & own
+    # as many rows as documents with boilerplate: they grow with the input, so they are never broadcast
     marks = flagged.select(
         F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("places").alias("__places"), F.col("size").alias("__size")
-    )
+    ).hint("merge")
     return (
         docs.withColumn("__own", F.xxhash64(text_col))
         .join(marks, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
