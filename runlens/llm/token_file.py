@@ -162,7 +162,9 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     fresh = _encode_parts(list(parts.difference(now)), model, known)
     now.update(fresh)
     if len(known) + len(fresh) > KEPT_PARTS:
+        # the parts of this batch stay: common ones are among them
         known.clear()
+        fresh = now
     known.update((p, b) for p, b in fresh.items() if len(p) <= KEPT_LENGTH and len(known) < KEPT_PARTS)
     return [np.frombuffer(b"".join(map(now.__getitem__, some)), "<u4") for some in split]
 
