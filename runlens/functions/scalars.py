@@ -15,6 +15,15 @@ def col(c: Column | str) -> Column:
 
 
 # -- numbers ----------------------------------------------------------------
+def draw(*parts: Column) -> Column:
+    """A uniform number between 0 and 1, both excluded, from the md5 of the parts' text.
+
+    52 bits of the digest count; any engine with md5 gives the same number.
+    """
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10)
+    return (bits.cast("bigint").cast("double") + 0.5) / 2.0**52
+
+
 def safe_numeric(c: Column | str) -> Column:
     """Text to double; malformed text and NaN become null."""
     value = col(c).try_cast("double")

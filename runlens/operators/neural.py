@@ -1,4 +1,4 @@
-"""Dense sigmoid networks: batch scoring and full-batch training."""
+"""Dense sigmoid networks: batch scoring, and training on all rows to a bound."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.operators.clustering import as_matrix
+from runlens.operators.optimise import Point, descend
 
 Weights = Sequence[np.ndarray]
 
@@ -52,35 +53,51 @@ def start_weights(layers: Sequence[int], seed: int) -> list[np.ndarray]:
 def mlp_fit(
     df: DataFrame,
     hidden: Sequence[int],
-    epochs: int = 100,
+    epochs: int = 500,
     tolerance: float = 0.0,
+    flat: float = 1e-4,
+    decay: float = 0.0,
     seed: int = 0,
-    rate: float = 1.0,
     vec: str = "vec",
     label: str = "label",
 ) -> tuple[list[np.ndarray], DataFrame]:
-    """Weights and the mean squared error of every epoch.
-
-    Every epoch is one job: batches add up their gradient, Spark adds up the
-    batches, and only gradients and weights pass through the driver.
+    """Weights, and the mean squared error and largest slope after every epoch.
+
+    An epoch is one quasi-Newton step on the mean squared error of all complete rows,
+    plus half of ``decay`` times the squared length of the weights.
+    Training has converged when the error is ``tolerance`` or less or no slope is above
+    ``flat``; ``converged`` says whether the last epoch got there within ``epochs``.
+    Epoch 0 are the start weights.  Every evaluation is one job: batches add up their
+    gradient, Spark adds up the batches, and only gradients and weights pass through
+    the driver.
     """
     rows = df.select(vec, F.col(label).cast("double").alias("__y")).dropna().persist()
-    first = rows.select(F.size(vec)).first()
-    if first is None:
+    try:
+        first = rows.select(F.size(vec)).first()
+        if first is None:
+            raise ValueError("no complete rows to fit on")
+        start = start_weights([first[0], *hidden, 1], seed)
+
+        def evaluate(x: np.ndarray) -> Point:
+            ascent, error, n = _gradient(rows, _layers(x, start))
+            return Point(x, error / n + decay / 2 * float(x @ x), decay * x - ascent / n, {"mse": error / n})
+
+        def done(p: Point) -> bool:
+            return p.extra["mse"] <= tolerance or float(np.abs(p.gradient).max()) <= flat
+
+        flat_start = np.concatenate([w.ravel() for w in start])
+        history = []
+        for epoch, here in enumerate(descend(evaluate, flat_start, done, epochs)):
+            history.append((epoch, here.extra["mse"], float(np.abs(here.gradient).max()), done(here)))
+    finally:
         rows.unpersist()
-        raise ValueError("no complete rows to fit on")
-    weights = start_weights([first[0], *hidden, 1], seed)
-    history: list[tuple[int, float]] = []
-    for epoch in range(1, epochs + 1):
-        gradient, error, n = _gradient(rows, weights)
-        history.append((epoch, error / n))
-        if error / n <= tolerance:
-            break
-        sizes = np.cumsum([w.size for w in weights])[:-1]
-        for i, part in enumerate(np.split(gradient, sizes)):
-            weights[i] = weights[i] + rate * part.reshape(weights[i].shape) / n
-    rows.unpersist()
-    return weights, df.sparkSession.createDataFrame(history, "epoch int, mse double")
+    schema = "epoch int, mse double, slope double, converged boolean"
+    return _layers(here.x, start), df.sparkSession.createDataFrame(history, schema)
+
+
+def _layers(x: np.ndarray, like: Weights) -> list[np.ndarray]:
+    ends = np.cumsum([w.size for w in like])[:-1]
+    return [part.reshape(w.shape) for part, w in zip(np.split(x, ends), like)]
 
 
 def _gradient(rows: DataFrame, weights: Weights) -> tuple[np.ndarray, float, int]:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runlens.functions.scalars import draw
 from runlens.operators.sizing import attach, attach_row
 from runlens.session import staged
 
@@ -150,10 +151,10 @@ def transition_probability(
 def weighted_pick(probabilities: DataFrame, source: str, target: str, seed: int) -> DataFrame:
     """One target per source with its probability as weight; repeatable by seed.
 
-    The largest ``ln(u) / weight`` wins, ``u`` being a hash of the row, so a
+    The largest ``ln(u) / weight`` wins, ``u`` being drawn from the row, so a
     pick is an ordinary aggregate and does not depend on how rows are spread.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(source), F.col(target)), F.lit(2**53 - 1)) + 1) / 2.0**53
+    u = draw(F.lit(seed), F.col(source), F.col(target))
     key = F.when(F.col("prob") > 0, F.ln(u) / F.col("prob"))
     return probabilities.groupBy(source).agg(F.max_by(target, key).alias(target))
 

@@ -15,6 +15,7 @@ from runlens.operators import sequences as SQ
 from runlens.operators import text as TX
 from runlens.operators.order_stats import bucket_of
 from runlens.operators.sizing import attach_row
+from runlens.plans import sql_text as Q
 from runlens.plans.driver_tables import table
 from runlens.plans.registry import query
 
@@ -129,10 +130,11 @@ def mlp_score(spark, sf_dir):
     return NN.mlp_score(_points(spark, sf_dir), _rule_weights([64, 4, 3, 1]), cut=0.5)
 
 
-@query("mlp_fit", "epoch:i mse:6")
+@query("mlp_fit", "epoch:i mse:6 slope converged:s")
 def mlp_fit(spark, sf_dir):
+    """To the bound on the slopes."""
     rows = _points(spark, sf_dir).withColumn("label", (F.col("label") >= 5).cast("int"))
-    _, history = NN.mlp_fit(rows, [4, 3], epochs=10, seed=3)
+    _, history = NN.mlp_fit(rows, [4, 3], decay=1e-4, seed=3)
     return history
 
 
@@ -186,17 +188,21 @@ def minmax_scale(spark, sf_dir):
     return ML.minmax_scale(rows.filter(F.col("c_mktsegment") != "BUILDING"), rows, ["c_acctbal", "c_nationkey"])
 
 
-@query("linear_svm_fit", "term:s weight steps:i converged:s")
+@query("linear_svm_fit", "term:s weight:2 objective:0 gap:0 steps:i converged:s")
 def linear_svm_fit(spark, sf_dir):
-    """All components of the vectors, to convergence."""
+    """All components of the vectors, until the duality gap is a thousandth of the objective."""
     points = _points(spark, sf_dir)
     width = points.agg(F.max(F.size("vec"))).first()[0]
     names = [f"x{i}" for i in range(width)]
     rows = points.select(F.when(F.col("label") < 5, 1).otherwise(-1).alias("label"), *[F.col("vec")[i].alias(n) for i, n in enumerate(names)])
-    return ML.linear_svm_fit(rows, "label", names)[1]
+    return ML.linear_svm_fit(rows, "label", names)
 
 
-@query("normal_sample", "label:i key:i x")
+_NORMAL_SQL = f"sqrt(-2 * ln({Q.draw('(label + 1)', "'r'", 'c_custkey')})) * cos(2 * pi() * {Q.draw('(label + 1)', "'a'", 'c_custkey')})"
+
+
+@query("normal_sample", "label:i key:i x", f"""SELECT label, c_custkey AS key, 5.0 * (label + 1) + {_NORMAL_SQL} AS x
+FROM customer, range(3) AS t(label)""")
 def normal_sample(spark, sf_dir):
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
     classes = [ML.normal_sample(keys, "key", 5.0 * (c + 1), 1.0, c, seed=c + 1) for c in range(3)]
@@ -341,7 +347,10 @@ def transition_probability(spark, sf_dir):
     return SQ.transition_probability(_candidates(spark, sf_dir), "source", "target", 1.0, 2.0)
 
 
-@query("weighted_pick", "source:i target:i")
+@query("weighted_pick", "source:i target:i", f"""WITH s AS (SELECT o_custkey AS source, o_orderkey AS target,
+  pow(o_totalprice / 1000, 1.0) * pow(1.0 / day(o_orderdate), 2.0) AS score FROM orders),
+c AS (SELECT source, target, score / sum(score) OVER (PARTITION BY source) AS prob FROM s)
+SELECT source, arg_max(target, ln({Q.draw("'11'", 'source', 'target')}) / prob) AS target FROM c GROUP BY source""")
 def weighted_pick(spark, sf_dir):
     chances = SQ.transition_probability(_candidates(spark, sf_dir), "source", "target", 1.0, 2.0)
     return SQ.weighted_pick(chances, "source", "target", seed=11)

@@ -20,6 +20,12 @@ RUNS = f"""WITH runs AS (
   FROM lineitem)
 """
 
+def draw(*parts: str) -> str:
+    """A uniform number between 0 and 1 from the md5 of the parts, as `scalars.draw` makes it."""
+    text = " || '|' || ".join(parts)
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5) / pow(2, 52)"
+
+
 # prices are even and have no outliers; power is skewed and has some
 FLAGGED = RUNS + """, skewed AS (SELECT * REPLACE (power_watts AS energy_joules) FROM runs),
 fences AS (

@@ -14,6 +14,7 @@ from runlens.operators import neural as NN
 from runlens.operators import pairs as PR
 from runlens.operators import sequences as SQ
 from runlens.operators import text as TX
+from runlens.operators.optimise import Point, descend
 
 
 def vectors(spark, matrix):
@@ -316,11 +317,38 @@ def test_linear_svm(spark):
         x, y = rng.uniform(-1, 1), rng.uniform(-1, 1)
         rows.append((1 if x + y > 0.1 else -1, x, y))
     df = spark.createDataFrame(rows, "label int, x double, y double")
-    _, terms = ML.linear_svm_fit(df, "label", ["x", "y"])
-    assert all(r["converged"] and r["steps"] > 0 for r in terms.collect())
-    assert not ML.linear_svm_fit(df, "label", ["x", "y"], max_iter=2)[1].first()["converged"]
-    predicted = ML.linear_svm_predict(df, [tuple(r)[:2] for r in terms.collect()])
+    terms = ML.linear_svm_fit(df, "label", ["x", "y"]).collect()
+    assert all(r["converged"] and 0 <= r["gap"] <= 1e-3 * r["objective"] for r in terms)
+    assert not ML.linear_svm_fit(df, "label", ["x", "y"], max_iter=2).first()["converged"]
+    predicted = ML.linear_svm_predict(df, [tuple(r)[:2] for r in terms])
     assert ML.accuracy(predicted, "label", "predicted").first()["pct"] > 90
+    # no weights nearby are better by more than the gap
+    data = np.array([[x, y, 1.0] for _, x, y in rows])
+    sign = np.array([r[0] for r in rows])
+    value = lambda w: w @ w / 2 + np.maximum(0, 1 - sign * (data @ w)).sum()
+    w = np.array([r["weight"] for r in terms])
+    assert value(w) == pytest.approx(terms[0]["objective"])
+    noise = np.random.default_rng(4)
+    for size in (1e-3, 1e-2, 0.1, 1.0):
+        assert all(value(w + size * noise.normal(size=3)) >= value(w) - terms[0]["gap"] for _ in range(100))
+    # missing values are left out; nothing but them is an error
+    holes = df.unionByName(spark.createDataFrame([(1, None, 2.0), (None, 1.0, 1.0), (-1, math.nan, 0.0)], df.schema))
+    few = [ML.linear_svm_fit(d, "label", ["x", "y"], max_iter=2).first()["objective"] for d in (df, holes)]
+    assert few[0] == pytest.approx(few[1])
+    with pytest.raises(ValueError, match="complete"):
+        ML.linear_svm_fit(df.limit(0), "label", ["x", "y"])
+
+
+def test_descent_to_a_known_minimum():
+    def valley(x):  # narrow and curved, lowest at (1, 1)
+        a, b = 1 - x[0], x[1] - x[0] ** 2
+        return Point(x, a * a + 100 * b * b, np.array([-2 * a - 400 * x[0] * b, 200 * b]), {})
+
+    walk = list(descend(valley, np.array([-1.2, 1.0]), lambda p: np.abs(p.gradient).max() < 1e-8, 200))
+    assert walk[-1].x == pytest.approx([1, 1], abs=1e-6) and len(walk) < 80
+    values = [p.value for p in walk]
+    assert values == sorted(values, reverse=True)
+    assert len(list(descend(valley, np.array([-1.2, 1.0]), lambda p: False, 3))) == 4
 
 
 def test_mlp_score_and_fit(spark):
@@ -331,9 +359,19 @@ def test_mlp_score_and_fit(spark):
     assert [g[1] for g in got] == [1, 0, 1, None]
     rows = [(i, [float(a), float(b), float(c)], a ^ b ^ c) for i, (a, b, c) in enumerate(np.ndindex(2, 2, 2))]
     data = spark.createDataFrame(rows, "id int, vec array<double>, label int").repartition(3)
-    fitted, history = NN.mlp_fit(data, [4, 3], epochs=5, seed=2)
-    errors = [r["mse"] for r in history.orderBy("epoch").collect()]
-    # one step by hand
+    fitted, history = NN.mlp_fit(data, [4, 3], epochs=4, seed=2)
+    rows_of = history.orderBy("epoch").collect()
+    errors = [r["mse"] for r in rows_of]
+    assert len(errors) == 5 and not rows_of[-1]["converged"]
+    # either of two inputs is learnt to the bound on the slopes
+    either = data.withColumn("label", F.greatest(F.col("vec")[0], F.col("vec")[1]))
+    fitted, far = NN.mlp_fit(either, [4, 3], epochs=200, decay=1e-3, seed=2)
+    far = far.orderBy("epoch").collect()
+    assert far[-1]["converged"] and far[-1]["slope"] <= 1e-4 and not any(r["converged"] for r in far[:-1])
+    total, error, n = NN._gradient(either.select("vec", "label"), fitted)
+    slopes = np.concatenate([w.ravel() for w in fitted]) * 1e-3 - total / n
+    assert np.abs(slopes).max() == pytest.approx(far[-1]["slope"]) and error / n == pytest.approx(far[-1]["mse"])
+    # the first errors and slopes by hand
     x, y = np.array([r[1] for r in rows]), np.array([[r[2]] for r in rows])
     w = NN.start_weights([3, 4, 3, 1], 2)
     out = NN._forward(x, w)[-1]
