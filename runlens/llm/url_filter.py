@@ -5,7 +5,7 @@ path of the URL starts with the rule's; the longest rule wins.
 
 URLs without a rule are judged by the template of their path.  Per host the
 segments of the paths form a tree.  A segment keeps its letters, and its digits
-become ``{n}``.  At a node with more than ``MAX_CHILDREN`` different segments,
+become ``{n}``; a literal star or brace is escaped.  At a node with more than ``MAX_CHILDREN`` different segments,
 those below ``MIN_SHARE`` of the node's URLs become ``*``, and what follows them is
 one node.  Templates that differ
 only in their last plain segment are branches of one kind: a branch with labels
@@ -55,48 +55,90 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def shape(path: Column) -> Column:
+    """The path with digits as ``{n}``; what looks like a placeholder already is escaped first."""
+    for literal, escaped in (("[*]", "%2A"), ("[{]", "%7B"), ("[}]", "%7D")):
+        path = F.regexp_replace(path, literal, escaped)
     return F.regexp_replace(path, "[0-9]+", "{n}")
 
 
+def _prefixes(parts: Column, first: int) -> Column:
+    """(depth, key) for every prefix of ``first`` or more parts; the key is a digest of 128 bits, so deep paths stay small."""
+
+    def keyed(depth: Column) -> Column:
+        head = F.slice(parts, F.lit(1), depth)
+        return F.struct(
+            depth.alias("depth"), F.xxhash64(head).alias("key_a"), F.xxhash64(F.lit(1), head).alias("key_b")
+        )
+
+    depths = F.sequence(F.lit(first), F.size(parts) - (1 - first))
+    return F.when(F.size(parts) > 0, F.transform(depths, keyed)).otherwise(F.array().cast("array<struct<depth:int,key_a:bigint,key_b:bigint>>"))
+
+
 def _templates(shapes: DataFrame) -> DataFrame:
-    """``shapes`` with their templates, made from the root down: the children of a node are those of its template."""
-    rest = shapes.withColumns({"template": F.lit(""), "rest": F.split("shape", "/")})
-    columns = [*shapes.columns, "template"]
-    done, depth = rest.select(columns).limit(0), 0
-    while not rest.isEmpty():  # one turn for each level
-        nodes = rest.withColumn("segment", F.get("rest", F.lit(0)))
-        children = nodes.groupBy("host", "template", "segment").agg(F.sum("n").alias("child_n"))
-        totals = children.groupBy("host", "template").agg(F.sum("child_n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        rare = (F.col("kinds") > MAX_CHILDREN) & (F.col("child_n") < MIN_SHARE * F.col("total"))
-        kept = children.join(totals, ["host", "template"]).select(
-            "host", "template", "segment", F.when(rare, F.lit("*")).otherwise(F.col("segment")).alias("general")
+    """``shapes`` with their templates, made from the root down: the children of a node are those of its template.
+
+    One turn takes every path as far as its first ``*``, since up to there a node's
+    URLs are those that share its plain prefix.  So turns are as many as the stars of a
+    template, and one more, however deep the paths are.
+    """
+    start = shapes.select("*", F.array().cast("array<string>").alias("done"), F.split("shape", "/").alias("rest"))
+    finished, turn, rest = [], 0, start
+    node = ["host", "done", "depth", "key_a", "key_b"]
+    while turn == 0 or not rest.isEmpty():
+        steps = rest.select("host", "done", "n", "rest", F.inline(_prefixes(F.col("rest"), 0))).select(
+            *node, F.get("rest", F.col("depth")).alias("segment"), "n"
+        )
+        children = saved(steps.groupBy(*node, "segment").agg(F.sum("n").alias("child_n")), f"children-{turn}")
+        crowded = (
+            children.groupBy(*node)
+            .agg(F.sum("child_n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+            .where(F.col("kinds") > MAX_CHILDREN)
         )
-        level = nodes.join(kept, ["host", "template", "segment"]).select(
-            *shapes.columns,
-            (F.concat_ws("/", "template", "general") if depth else F.col("general")).alias("template"),
-            F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"),
+        rare = children.join(crowded, node).where(F.col("child_n") < MIN_SHARE * F.col("total")).select(*node, "segment")
+        # where each path first meets a rare segment
+        stops = (
+            rest.select("host", "shape", "done", "rest", F.inline(_prefixes(F.col("rest"), 0)))
+            .select("host", "shape", *node[1:], F.get("rest", F.col("depth")).alias("segment"))
+            .join(rare, [*node, "segment"], "left_semi")
+            .groupBy("host", "shape")
+            .agg(F.min("depth").alias("stop"))
         )
-        level = saved(level, f"level-{depth}")
-        done = done.unionByName(level.where(F.size("rest") == 0).select(columns))
-        rest, depth = level.where(F.size("rest") > 0), depth + 1
-    return done
+        walked = saved(
+            rest.join(stops, ["host", "shape"], "left").select(
+                *shapes.columns,
+                F.when(F.col("stop").isNull(), F.concat("done", "rest"))
+                .otherwise(F.concat("done", F.slice("rest", F.lit(1), F.col("stop")), F.array(F.lit("*"))))
+                .alias("done"),
+                F.when(F.col("stop").isNotNull(), F.slice("rest", F.col("stop") + 2, F.size("rest")))
+                .otherwise(F.array().cast("array<string>"))
+                .alias("rest"),
+            ),
+            f"turn-{turn}",
+        )
+        finished.append(walked.where(F.size("rest") == 0).select(*shapes.columns, F.array_join("done", "/").alias("template")))
+        rest, turn = walked.where(F.size("rest") > 0), turn + 1
+    return reduce(DataFrame.unionByName, finished)
 
 
 def _ancestors(leaves: DataFrame) -> DataFrame:
     """(host, template, ancestor, its labels and bads) of leaves without labels; the deepest node with labels above them."""
     parts = F.split("template", "/")
-    above = leaves.select("host", "template", "labels", "bads", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).withColumn(
-        "node", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/")
+    node = ["host", "depth", "key_a", "key_b"]
+    above = leaves.select("host", "template", "labels", "bads", F.inline(_prefixes(parts, 1)))
+    nodes = (
+        above.where(F.col("labels") > 0)
+        .groupBy(*node)
+        .agg(F.sum("labels").alias("node_labels"), F.sum("bads").alias("node_bads"))
     )
-    nodes = above.groupBy("host", "node", "depth").agg(
-        F.sum("labels").alias("node_labels"), F.sum("bads").alias("node_bads")
-    ).where(F.col("node_labels") > 0)
     return (
         above.where(F.col("labels") == 0)
-        .join(nodes, ["host", "node", "depth"])
+        .select("template", *node)
+        .join(nodes, node)
         .groupBy("host", "template")
-        .agg(F.max_by(F.struct(F.col("node"), F.col("node_labels"), F.col("node_bads")), "depth").alias("a"))
-        .select("host", "template", "a.*")
+        .agg(F.max_by(F.struct("depth", "node_labels", "node_bads"), "depth").alias("a"))
+        .select(
+            "host", "template", F.array_join(F.slice(parts, F.lit(1), F.col("a.depth")), "/").alias("node"), "a.node_labels", "a.node_bads"
+        )
     )
 
 
@@ -150,7 +192,7 @@ def rejected_shapes(urls: DataFrame) -> DataFrame:
 def judge(
     pages: DataFrame, labels: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
-    """(id_col, host, path, rule, template, verdict), one row for each row of ``pages``.
+    """(id_col, host, path, rule, verdict, template), one row for each row of ``pages``.
 
     ``labels``: (id_col, bad 0 or 1).  ``template`` is the rejected template, if one is.
     """
@@ -172,5 +214,5 @@ def judge(
     return (
         urls.join(joinable(rejected, 200), ["host", "shape"], "left")
         .withColumn("verdict", verdict)
-        .select(F.col("id").alias(id_col), "host", "path", "rule", "template", "verdict")
+        .select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "template")
     )

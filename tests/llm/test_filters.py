@@ -1,7 +1,9 @@
 """URL templates, licence notices and benchmark items."""
 
 import re
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,45 @@ def test_the_nearest_ancestor_with_labels_decides(spark):
     assert (got[9].verdict, got[9].template) == ("block", "/bad/**") and {r.verdict for r in got[10:]} == {"allow"}
 
 
+def test_deep_paths_take_few_turns(spark):
+    """Thousands of segments, and a literal placeholder, in a few seconds."""
+    deep = "http://h.org/" + "/".join(letters(i % 600) for i in range(5000))
+    urls = [deep, deep + "/end", "http://h.org/a/*/b", "http://h.org/a/{n}/b", "http://h.org/a/7/b", "http://h.org"]
+    start = time.time()
+    got = judged(spark, urls, [(0, 1)] * 3 + [(4, 1)])
+    assert time.time() - start < 40 and [r.verdict for r in got] == ["allow"] * 6
+    shapes = spark.createDataFrame([(u,) for u in urls[2:5]], "u string").select(uf.shape(F.col("u")))
+    assert len({r[0] for r in shapes.collect()}) == 3
+
+
+def _small_tables(spark, folder, urls, labels):
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic long").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_the_url_twin_states_the_same_tree(spark, tmp_path):
+    """Nested wildcards, what follows them, merged kinds, ancestors and branches without labels."""
+    from runlens.llm.catalog import QUERIES, SQL
+
+    urls = [f"http://h.org/u/{letters(i)}/p/{letters(7 * i % 60)}/{c}" for i in range(60) for c in "xy"]
+    urls += [f"http://h.org/u/main/p/{letters(i)}" for i in range(40)] * 2
+    urls += [f"http://h.org/bad/{i}" for i in range(9)] + ["http://h.org/bad/x/1/y/2", "http://h.org/other", "http://h.org"]
+    urls += [f"http://h.org/v/{x}" for x in "abcdefghijkl"] + [f"http://h.org/w/{x}" for x in "abcdefghijkl"]
+    urls += ["http://h.org/a/*/b", "http://h.org/a/{n}/b", "http://h.org//", "http://h.org/a//b/", None, "none"] * 3
+    labels = [(i, int(u is not None and ("/x" in u or "/bad/" in u or "/v/" in u))) for i, u in enumerate(urls) if i % 3 != 1 and "/y/2" not in str(u)]
+    folder = _small_tables(spark, tmp_path, urls, labels)
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    want = con.execute(SQL["op4_url_filter"]).fetchall()
+    got = QUERIES["op4_url_filter"](spark, folder)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "template"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    blocked = {r[5] for r in want}
+    assert "/bad/**" in blocked and any(t and t.count("*") >= 2 and "**" not in t for t in blocked), blocked
+
+
 def test_url_tables_without_rows(spark):
     assert judged(spark, []) == []
     assert len(judged(spark, ["http://a.b/c"], [(5, 1)])) == 1
