@@ -110,6 +110,36 @@ def scan_tolerant(spark, sf_dir):
     )
 
 
+@query(
+    "scan_quarantine",
+    "reason:s n:i n_files:i n_cells:i",
+    """SELECT 'malformed line' AS reason, count(*) AS n, count(DISTINCT l_linenumber) AS n_files, sum(1 + l_linenumber % 3) AS n_cells
+FROM lineitem WHERE l_returnflag = 'R'
+UNION ALL SELECT 'no rows', count(DISTINCT l_linenumber), count(DISTINCT l_linenumber), NULL FROM lineitem""",
+)
+def scan_quarantine(spark, sf_dir):
+    """Returned lines are cut short, one file a line number; each such folder also gets a file of a header only."""
+    path = fresh_path(spark, "broken_tables")
+    header = F.lit(",".join(f.name for f in S.RUN_TABLE_SCHEMA))
+    width = len(S.RUN_TABLE_SCHEMA)
+    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag", F.col("l_orderkey").cast("string").alias("cell"))
+    cells = F.when(F.col("l_returnflag") == "R", 1 + F.col("l_linenumber") % 3).otherwise(width)
+    body = lines.select(
+        "l_linenumber", F.lit(1).alias("order"), F.array_join(F.array_repeat("cell", cells.cast("int")), ",").alias("value")
+    )
+    kinds = lines.select("l_linenumber").distinct()
+    heads = kinds.select("l_linenumber", F.lit(0).alias("order"), header.alias("value"))
+    parts = body.unionByName(heads).repartition("l_linenumber").sortWithinPartitions("l_linenumber", "order")
+    parts.select("l_linenumber", "value").write.partitionBy("l_linenumber").text(path)
+    heads.select("l_linenumber", "value").repartition("l_linenumber").write.mode("append").partitionBy("l_linenumber").text(path)
+    bad = R.scan_quarantine(spark, path, S.RUN_TABLE_SCHEMA)
+    return bad.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("path").alias("n_files"),
+        F.sum(F.size(F.split("line", ","))).alias("n_cells"),
+    )
+
+
 @query(
     "clean_runs",
     f"{KEYS} energy_joules:d exec_time_sec:d power_watts:d",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,16 +47,41 @@ def scan_run_tables(
 
 
 def scan_tolerant(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    """CSV that skips unreadable files and keeps malformed rows as nulls."""
+    """CSV that skips unreadable files and keeps malformed rows as nulls; `scan_quarantine` tells which."""
+    return _csv(spark, schema).option("enforceSchema", False).csv(pattern)
+
+
+def _csv(spark: SparkSession, schema: T.StructType) -> DataFrameReader:
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
-        .option("enforceSchema", False)
         .option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
         .option("recursiveFileLookup", True)
-        .csv(pattern)
+    )
+
+
+def scan_quarantine(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
+    """What `scan_tolerant` leaves out or can't fill: one row for each bad line and for each file without rows.
+
+    (path, reason, line): ``malformed line`` with the text of a line that has another
+    number of cells than the header, or ``no rows`` with a null line for a file that is
+    unreadable or only a header.  The files are listed without reading them; Spark's
+    readers don't see files of zero bytes, so those are not named.
+    """
+    wide = T.StructType([*schema.fields, T.StructField("__line", T.StringType())])
+    rows = _csv(spark, wide).option("columnNameOfCorruptRecord", "__line").csv(pattern)
+    path = F.col("_metadata.file_path").alias("path")
+    # always true; Spark counts the cells of a line only where all of them are wanted
+    all_cells = F.length(F.concat_ws("", *[F.col(f"`{f.name}`").cast("string") for f in schema.fields])) >= 0
+    bad = rows.filter(F.col("__line").isNotNull() & all_cells).select(path, "__line")
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select(F.col("_metadata.file_path").alias("path"))
+    )
+    read = _csv(spark, schema).csv(pattern).select(path).groupBy("path").agg(F.count(F.lit(1)).alias("__rows"))
+    return bad.select("path", F.lit("malformed line").alias("reason"), F.col("__line").alias("line")).unionByName(
+        listed.join(read, "path", "left_anti").select("path", F.lit("no rows").alias("reason"), F.lit(None).cast("string").alias("line"))
     )
 
 

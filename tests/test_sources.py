@@ -1,6 +1,8 @@
 """Readers and writers on generated files, with the failure cases."""
 
+import gzip
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,24 @@ def test_run_tables_and_logs(spark, root):
     assert repaired.filter("run_id = 'run_0' and results_set = 'results_1'").first()["exec_time_sec"] == 2.5
 
 
+def test_quarantine(spark, tmp_path):
+    base = str(tmp_path)
+    whole = "run_{},a/a.py,1,2,3,4,5,6,7\n"
+    write(f"{base}/good.csv", f"{HEADER}\n" + whole.format(0))
+    write(f"{base}/deep/bad.csv", f"{HEADER}\n{whole.format(1)}run_2,a/a.py,1\n{whole.format(3)}x,y,1,2,3,4,5,6,7,8,9\n")
+    write(f"{base}/header.csv", f"{HEADER}\n")
+    packed = gzip.compress("".join([f"{HEADER}\n"] + [whole.format(random.random()) for _ in range(20_000)]).encode())
+    with open(f"{base}/cut.csv.gz", "wb") as f:
+        f.write(packed[:20])
+    got = R.scan_quarantine(spark, base, S.RUN_TABLE_SCHEMA).collect()
+    bad = [(os.path.basename(r["path"]), r["line"]) for r in got if r["reason"] == "malformed line"]
+    assert sorted(bad) == [("bad.csv", "run_2,a/a.py,1"), ("bad.csv", "x,y,1,2,3,4,5,6,7,8,9")]
+    files = {os.path.basename(r["path"]) for r in got if r["reason"] == "no rows"}
+    assert files == {"header.csv", "cut.csv.gz"} and len(got) == 4
+    # the tolerant scan keeps the lines that the quarantine names, as far as they go
+    assert R.scan_tolerant(spark, base, S.RUN_TABLE_SCHEMA).count() == 5
+
+
 def test_log_parsers(spark, root):
     pattern = f"{root}/results_*/main/run_*/run.log"
     by_regex = L.parse_run_log(spark, pattern)
