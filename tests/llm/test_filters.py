@@ -226,6 +226,35 @@ def test_valued_tokens_are_those_of_canonical(spark):
         assert [t[0] if t[0] in "\x01\x02\x03" else t for t in full] == bare
 
 
+def test_the_item_twin_states_the_same_rules(spark, tmp_path):
+    """The cases of the tests here, in one table each: copies by offset, runs, wordless windows, both forms, repeated ids."""
+    from runlens.llm.catalog import QUERIES, SQL
+
+    moved = ITEM.replace("12", "45").replace("3.50", "7").replace("Mary Jones", "Ann").replace("John", "Bob")
+    mixed = ITEM.replace("sells 12", "sells 45")
+    apart = "Nothing of it at all, and nothing more. " * 3
+    phrase = "one two three four five six seven eight"
+    named = "Mary Jones buys red apples and pays for them later today"
+    items = [ITEM, "short words only", None, "", named, f"{phrase} and then it goes on with other things until it ends at long last somewhere",
+             "The numbers 1 2 3 4 5 6 7 8 9 10 11 12 13 14 are given.", "12", "\x04Ann 5\x04kg, Bob B 3.5,7 ml: X\x01y 12 12kg 3%5 usd É a É Ö"]
+    texts = [f"Before it. {t} And after." for t in (ITEM, moved, mixed, named, f"it says {named}")]
+    texts += [f"{ITEM} {apart} {mixed}", f"{mixed} {apart} {ITEM}", f"{mixed} {apart} {mixed}", f"{ITEM} {apart} {moved}", None, "", named]
+    texts += [f"{phrase} xx. " * 6, f"{phrase} and then it goes", f"{phrase} and then it goes on", "a 12 b", "a 13 b", items[-1]]
+    texts += [" ".join(map(str, range(500, 540))), "Given are " + " ".join(map(str, range(1, 15))), "it has short words only in it"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, ITEM), (0, moved), (9, ITEM)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(SQL["op10_decontaminate"]).fetchall()
+    got = QUERIES["op10_decontaminate"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    held_pairs = {r[:2] for r in want}
+    assert {(0, 0), (1, 0), (5, 0), (6, 0), (9, 0), (3, 4), (14, 5), (19, 6)} <= held_pairs
+    assert not {(2, 0), (7, 0), (12, 5), (13, 5), (18, 6)} & held_pairs
+
+
 def test_short_items_are_found_after_any_word(spark):
     item = "Mary Jones buys red apples and pays for them later today"
     got = held(spark, [f"{item}. And so on", f"it says {item}", f"it says: {item}"], [item])
