@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.scalars import is_finite
 from runlens.functions.vectors import kernel, squared_distance
 from runlens.operators.sequences import distance
 from runlens.operators.sizing import attach, attach_row
@@ -79,6 +80,34 @@ def pairwise_distance(
     return all_pairs(a, b, gap, [a_id], b_id, "d", block_rows)
 
 
+def pairs_within(a: DataFrame, b: DataFrame, radius: float, a_id: str = "i", b_id: str = "j") -> DataFrame:
+    """(a_id, b_id, d) of the points (x, y) of two sets that are at most ``radius`` apart.
+
+    Points lie in square cells as wide as the radius.  A point of ``b`` is sent to its
+    cell and the eight around it, a point of ``a`` to its own only, so partners meet in
+    an equality join and nothing else is compared.  Points with a missing or infinite
+    coordinate are near nothing.
+    """
+    if not 0 < radius < float("inf"):
+        raise ValueError(f"radius must be positive and finite, not {radius}")
+    # a little wider, so that rounding never puts partners two cells apart
+    width = radius * (1 + 1e-6)
+    cell = lambda c: F.floor(F.col(c) / width)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    points = lambda df, name, x, y: df.select(
+        F.col(name), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y)
+    ).filter(is_finite(x) & is_finite(y))
+    left = points(a, a_id, "__ax", "__ay").withColumns({"__cx": cell("__ax"), "__cy": cell("__ay")})
+    right = points(b, b_id, "__bx", "__by").withColumn("__cx", around("__bx")).withColumn("__cy", around("__by"))
+    dx, dy = F.col("__ax") - F.col("__bx"), F.col("__ay") - F.col("__by")
+    square = dx * dx + dy * dy
+    return (
+        left.join(right, ["__cx", "__cy"])
+        .filter(square <= float(radius) * float(radius))
+        .select(a_id, b_id, F.sqrt(square).alias("d"))
+    )
+
+
 def vector_distance(
     a: DataFrame, b: DataFrame, a_id: str = "i", b_id: str = "j", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:

@@ -210,6 +210,19 @@ def normal_sample(spark, sf_dir):
 
 
 # -- pairs ------------------------------------------------------------------
+@query("pairs_within", "i:i j:i d", """SELECT c_custkey AS i, s_suppkey AS j,
+  sqrt(pow(c_nationkey - s_nationkey, 2) + pow(c_acctbal / 100 - s_acctbal / 100, 2)) AS d FROM customer, supplier
+WHERE pow(c_nationkey - s_nationkey, 2) + pow(c_acctbal / 100 - s_acctbal / 100, 2) <= 2.25""")
+def pairs_within(spark, sf_dir):
+    """Customers and suppliers with nearby nations and balances."""
+    point = lambda name, key, prefix: table(spark, sf_dir, name).select(
+        F.col(f"{prefix}_{key}").alias("i" if name == "customer" else "j"),
+        F.col(f"{prefix}_nationkey").alias("x"),
+        (F.col(f"{prefix}_acctbal") / 100).alias("y"),
+    )
+    return PR.pairs_within(point("customer", "custkey", "c"), point("supplier", "suppkey", "s"), 1.5)
+
+
 def _nation_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "customer")

@@ -310,6 +310,21 @@ def test_minmax_zero_range_is_null(spark):
     assert [tuple(r) for r in got.collect()] == [(0.5, None), (2.0, None)]
 
 
+def test_pairs_within(spark):
+    rng = random.Random(9)
+    near = [(i, rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(150)] + [(150 + i, float(i % 4 - 2), -1.5) for i in range(20)]
+    odd = [(900, None, 1.0), (901, math.nan, 0.0), (902, math.inf, 0.0)]
+    a = spark.createDataFrame(near + odd, "i int, x double, y double")
+    b = a.withColumnRenamed("i", "j")
+    for radius in (0.5, 1.0):
+        got = {(r["i"], r["j"]): r["d"] for r in PR.pairs_within(a, b, radius).collect()}
+        want = {(p[0], q[0]): math.dist(p[1:], q[1:]) for p in near for q in near if (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= radius**2}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert PR.pairs_within(a.limit(0), b, 1.0).count() == 0
+    with pytest.raises(ValueError, match="radius"):
+        PR.pairs_within(a, b, 0.0)
+
+
 def test_linear_svm(spark):
     rng = random.Random(1)
     rows = []
