@@ -14,6 +14,17 @@ are empty, one of those differs by one element only, so the pair meets there.
 The few sets that don't have h such segments are compared with all sets that
 share an empty segment with them.  Every similar pair is thus a candidate.
 
+Contents of few elements are shared by texts that have only a passage in common.
+Once links by the first cut are known, the groups that still join components are
+counted, and each band is allocated the cheapest of three cuts: the first one; half
+as many segments, each indexed by its content and its whole one-deletion
+neighbourhood, as H elements can't change all of ``(H + 1) / 2`` segments by two;
+or ``H + 2`` segments, of which two agree, indexed by subsets of two.  A finer cut
+is made where its rows are fewer than the pairs of the open groups, for the sets
+in those, and kept where it leaves fewer pairs.  A set with a segment too poor for
+a finer cut keeps its first signatures beside it; two sets only miss each other
+there if both are poor.
+
 Candidates aren't all verified.  In a group of sets with one content, each set
 proposes the one before it; every set verifies the proposal it got most often.
 Verified links and equal sets give components.  A group whose members are all in
@@ -42,7 +53,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,6 +71,10 @@ SLICE = 1 << 19
 #: Another turn of proposals follows if this share of the last ones were links.
 WORTH = 0.25
 
+#: Bits of a signature that tell its band.
+BAND_BITS = 6
+_BAND = np.uint64((1 << BAND_BITS) - 1)
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -144,41 +159,85 @@ def _lows(ratio: float, most: int) -> list[int]:
     return lows
 
 
-def signatures(values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, kinds) of a set: 0 contents, 1 empty segments, 2 those of a set that must be compared there."""
+def _cut(values: np.ndarray, band: int, m: int, way: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The set cut into m segments: elements, their segments, sums and counts by segment, and the segments' numbers."""
+    salt = np.uint64(((band + 1) * int(_INVERSE) + way * int(_P)) & 0xFFFFFFFFFFFFFFFF)
+    element = mix(values + salt)
+    segment = (element >> np.uint64(33)).astype(np.int64) % m
+    sums = np.zeros(m, np.uint64)
+    np.add.at(sums, segment, element)
+    return element, segment, sums, np.bincount(segment, minlength=m), np.arange(m, dtype=np.uint64) * _P + salt
+
+
+def _alike(values: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, kinds) for H + 1 segments, of which one agrees."""
+    element, segment, sums, held, number = _cut(values, band, m, 0)
+    full = held > 0
+    out, kinds = [mix(sums[full] ^ mix(number[full]))], [np.zeros(int(full.sum()), np.int8)]
+    empty = int(m - full.sum())
+    if empty:
+        rich = np.flatnonzero(held >= 2)
+        enough = len(rich) >= empty
+        upto = int(rich[empty - 1]) + 1 if enough else m
+        lone = (segment < upto) & (held[segment] >= 2)
+        less = sums[segment[lone]] - element[lone]
+        out += [mix(less ^ mix(number[segment[lone]])), mix(number[~full] + np.uint64(1))]
+        kinds += [np.zeros(int(lone.sum()), np.int8), np.full(empty, 1 if enough else 2, np.int8)]
+    return np.concatenate(out), np.concatenate(kinds)
+
+
+def _near(values: np.ndarray, band: int, m: int) -> tuple[np.ndarray, bool]:
+    """Signatures for (H + 1) / 2 segments, of which one differs by an element at most; whether all hold two elements."""
+    element, segment, sums, held, number = _cut(values, band, m, 1)
+    full, lone = held > 0, held[segment] >= 2
+    less = sums[segment[lone]] - element[lone]
+    return np.concatenate([mix(sums[full] ^ mix(number[full])), mix(less ^ mix(number[segment[lone]]))]), bool((held >= 2).all())
+
+
+def _twice(values: np.ndarray, band: int, m: int) -> tuple[np.ndarray, bool]:
+    """Signatures for H + 2 segments, of which two agree; whether all hold an element."""
+    _, _, sums, held, number = _cut(values, band, m, 2)
+    full = held > 0
+    content = mix(sums[full] ^ mix(number[full]))
+    i, j = np.triu_indices(len(content), 1)
+    return mix(content[i] * _P + content[j]), bool(full.all())
+
+
+def signatures(values: np.ndarray, bands: Bands, ways: dict[int, str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, kinds) of a set: 0 contents, 1 empty segments, 2 those of a set that must be compared there.
+
+    The last ``BAND_BITS`` bits of a signature are its band.  ``ways`` names bands that
+    are cut in another way, and the others are then left out.
+    """
     n = len(values)
     lows = bands.lows(n)
     own = int(np.searchsorted(lows, n, side="right")) - 1
     schemes = [own]
     if own and -(-bands.num * n // bands.den) < lows[own]:
         schemes.append(own - 1)
-    out, kinds = [], []
+    out, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
     for band in schemes:
         m = bands.segments(lows[band], lows[band + 1])
-        salt = np.uint64(((band + 1) * int(_INVERSE)) & 0xFFFFFFFFFFFFFFFF)
-        element = mix(values + salt)
-        segment = (element >> np.uint64(33)).astype(np.int64) % m
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, segment, element)
-        held = np.bincount(segment, minlength=m)
-        number = np.arange(m, dtype=np.uint64) * _P + salt
-        full = held > 0
-        out.append(mix(sums[full] ^ mix(number[full])))
-        empty = int(m - full.sum())
-        kinds.append(np.zeros(len(out[-1]), np.int8))
-        if empty:
-            rich = np.flatnonzero(held >= 2)
-            enough = len(rich) >= empty
-            upto = int(rich[empty - 1]) + 1 if enough else m
-            lone = (segment < upto) & (held[segment] >= 2)
-            less = sums[segment[lone]] - element[lone]
-            out.append(mix(less ^ mix(number[segment[lone]])))
-            kinds.append(np.zeros(len(out[-1]), np.int8))
-            out.append(mix(number[~full] + np.uint64(1)))
-            kinds.append(np.full(empty, 1 if enough else 2, np.int8))
+        if ways is not None:
+            if band not in ways:
+                continue
+            found, whole = _near(values, band, near_segments(m)) if ways[band] == "near" else _twice(values, band, m + 1)
+            parts = [(found, np.zeros(len(found), np.int8))]
+            if not whole:  # what agrees with it may be empty, if the other set isn't whole either
+                parts.append(_alike(values, band, m))
+        else:
+            parts = [_alike(values, band, m)]
+        for found, kind in parts:
+            out.append((found & ~_BAND) | np.uint64(band))
+            kinds.append(kind)
     return np.concatenate(out), np.concatenate(kinds)
 
 
+def near_segments(m: int) -> int:
+    """Segments that H = m - 1 elements can't all change by two."""
+    return (m + 1) // 2
+
+
 def _facts(docs: DataFrame, size: int) -> DataFrame:
     """(id, n, f1, f2, p0 ..): size, fingerprint and parity bits of each set."""
 
@@ -205,7 +264,7 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"id long, n long, f1 long, f2 long, {bits}")
 
 
-def _index(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+def _index(docs: DataFrame, size: int, bands: Bands, ways: dict[int, str] | None = None) -> DataFrame:
     """(sig, id, kind); of equal sets in one task only the first is indexed, equal sets being linked anyway."""
 
     def run(batches):
@@ -220,7 +279,7 @@ def _index(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
                     if key in seen:
                         continue
                     seen.add(key)
-                    s, k = signatures(values, bands)
+                    s, k = signatures(values, bands, ways)
                     ids.append(np.full(len(s), doc, np.int64))
                     sigs.append(s)
                     kinds.append(k)
@@ -287,6 +346,87 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "id")
 
 
+def _groups(index: DataFrame) -> DataFrame:
+    """(sig, id, kind, prev): members of groups that can make a pair, and the member before each by contents."""
+    order = Window.partitionBy("sig").orderBy(F.desc("kind"), "id")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        index.withColumn("prev", F.lag("id").over(order))
+        .withColumn("next", F.lead("id").over(order))
+        .withColumn("top", F.first("kind").over(upto))
+        .where("(prev IS NOT NULL OR next IS NOT NULL) AND (kind = 0 OR top = 2)")
+        .select("sig", "id", "kind", F.when(F.col("kind") == 0, F.col("prev")).alias("prev"))
+    )
+
+
+def _proposed(groups: DataFrame, equal: DataFrame) -> DataFrame:
+    """(a, b): for each set b the one before it in most groups, if that isn't an equal one."""
+    proposed = (
+        groups.where("prev <> id")
+        .groupBy("id", "prev")
+        .count()
+        .groupBy("id")
+        .agg(F.max(F.struct("count", "prev")).alias("best"))
+        .select(F.col("best.prev").alias("a"), F.col("id").alias("b"))
+    )
+    of = equal.select(F.col("b").alias("id"), F.col("a").alias("same"))
+    same = lambda c: F.coalesce(F.col(f"same_{c}"), F.col(c))
+    return saved(
+        proposed.join(of.select(F.col("id").alias("a"), F.col("same").alias("same_a")), "a", "left")
+        .join(of.select(F.col("id").alias("b"), F.col("same").alias("same_b")), "b", "left")
+        .where(same("a") != same("b"))
+        .select("a", "b"),
+        "proposed",
+    )
+
+
+def _band() -> Column:
+    return F.col("sig").bitwiseAND(F.lit(int(_BAND)))
+
+
+def _pairs(open_: DataFrame) -> dict[int, float]:
+    """The pairs that the open groups of each band would make."""
+    s, must = F.col("s").cast("double"), F.col("must").cast("double")
+    groups = open_.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("s"), F.count_if(F.col("kind") == 2).alias("must"), F.max("kind").alias("top")
+    )
+    made = F.when(F.col("top") == 0, s * (s - 1) / 2).otherwise(must * (s - must) + must * (must - 1) / 2)
+    return {r.band: r.pairs for r in groups.groupBy(_band().alias("band")).agg(F.sum(made).alias("pairs")).collect()}
+
+
+def _ways(open_: DataFrame, pairs: dict[int, float], bands: Bands) -> dict[int, str]:
+    """The bands where another cut costs fewer rows than the open groups make pairs, with the cheapest such cut."""
+    sets = open_.groupBy(_band().alias("band"), "id").agg(F.max("n").alias("n"))
+    ways = {}
+    for r in sets.groupBy("band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements")).collect():
+        lows = bands.lows(1 << BAND_BITS)
+        while len(lows) < r.band + 2:
+            lows = bands.lows(lows[-1] * 2)
+        m = bands.segments(lows[r.band], lows[r.band + 1])
+        if m == 1:  # sets that agree there are equal
+            continue
+        rows = {"near": (r.elements or 0) + r.sets * near_segments(m), "twice": r.sets * (m + 1) * m // 2}
+        way = min(rows, key=rows.get)
+        if rows[way] < pairs[r.band]:
+            ways[r.band] = way
+    return ways
+
+
+def _allocated(open_: DataFrame, texts: DataFrame, first: DataFrame, bits: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """The open groups, with those of dear bands exchanged for groups by a finer cut where that makes fewer pairs."""
+    pairs = _pairs(open_)
+    ways = _ways(open_, pairs, bands)
+    if not ways:
+        return open_
+    finer = saved(_groups(_index(texts, size, bands, ways)).select("sig", "id", "kind"), "finer")
+    finer = _still_open(finer, first, bits)
+    now = _pairs(finer)
+    better = [band for band in ways if now.get(band, 0.0) < pairs[band]]
+    return saved(
+        open_.where(~_band().isin(better)).unionByName(finer.where(_band().isin(better))), "allocated"
+    ) if better else open_
+
+
 def _still_open(groups: DataFrame, components: DataFrame, bits: DataFrame) -> DataFrame:
     """Rows (sig, id, kind) of the groups with more than one component, with that component ``c`` and the parity bits."""
     label = F.coalesce("component", "id").alias("c")
@@ -343,48 +483,21 @@ def link_components(
     equal = known.groupBy("n", "f1", "f2").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a <> most")
     equal = saved(known.join(equal, ["n", "f1", "f2"]).select("a", F.col("id").alias("b")).where("a <> b"), "equal")
 
-    order = Window.partitionBy("sig").orderBy(F.desc("kind"), "id")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    groups = saved(
-        _index(rows, size, bands)
-        .withColumn("prev", F.lag("id").over(order))
-        .withColumn("next", F.lead("id").over(order))
-        .withColumn("top", F.first("kind").over(upto))
-        .where("(prev IS NOT NULL OR next IS NOT NULL) AND (kind = 0 OR top = 2)")
-        .select("sig", "id", "kind", F.when(F.col("kind") == 0, F.col("prev")).alias("prev")),
-        "groups",
-    )
+    groups = saved(_groups(_index(rows, size, bands)), "groups")
     release(spark)
-    # the set before it in most groups
-    proposed = (
-        groups.where("prev <> id")
-        .groupBy("id", "prev")
-        .count()
-        .groupBy("id")
-        .agg(F.max(F.struct("count", "prev")).alias("best"))
-        .select(F.col("best.prev").alias("a"), F.col("id").alias("b"))
-    )
-    of = equal.select(F.col("b").alias("id"), F.col("a").alias("same"))
-    same = lambda c: F.coalesce(F.col(f"same_{c}"), F.col(c))
-    proposed = saved(
-        proposed.join(of.select(F.col("id").alias("a"), F.col("same").alias("same_a")), "a", "left")
-        .join(of.select(F.col("id").alias("b"), F.col("same").alias("same_b")), "b", "left")
-        .where(same("a") != same("b"))
-        .select("a", "b"),
-        "proposed",
-    )
+    proposed = _proposed(groups, equal)
     links = saved(_verified(proposed, rows, size, bands), "links")
     release(spark)
     first = saved(components(equal.unionByName(links)), "components")
 
     bits = _bits(facts)
-    left_over, texts, turn = groups.select("sig", "id", "kind"), None, 0
+    left_over = _still_open(groups.select("sig", "id", "kind"), first, bits)
+    ids = saved(left_over.select("id").distinct(), "open-ids")
+    texts = saved(rows.join(joinable(ids, 16), "id", "left_semi"), "open-texts")
+    release(spark)
+    left_over, turn = _allocated(left_over, texts, first, bits, size, bands), 0
+    release(spark)
     while True:
-        left_over = _still_open(left_over, first, bits)
-        if texts is None:
-            ids = saved(left_over.select("id").distinct(), "open-ids")
-            texts = saved(rows.join(joinable(ids, 16), "id", "left_semi"), "open-texts")
-            release(spark)
         # the set before it in a new order, if it is of another component and may be similar
         order = Window.partitionBy("sig").orderBy(F.xxhash64("id", F.lit(turn)), "id")
         other = F.lag(F.struct(*left_over.columns)).over(order)
@@ -403,9 +516,8 @@ def link_components(
             break
         known = first.select(F.col("component").alias("a"), F.col("id").alias("b"))
         first = saved(components(known.unionByName(links)), "components")
-        left_over, turn = left_over.select("sig", "id", "kind"), turn + 1
+        left_over, turn = _still_open(left_over.select("sig", "id", "kind"), first, bits), turn + 1
         if found < WORTH * tried.count():
-            left_over = _still_open(left_over, first, bits)
             break
     left_over = _first_met(left_over)
     x, y = left_over.alias("x"), left_over.alias("y")

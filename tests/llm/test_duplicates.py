@@ -143,6 +143,48 @@ def test_families_at_the_limit_equal_brute_force(spark, monkeypatch, earliest):
     assert "crossing" in made
 
 
+@pytest.mark.parametrize("way", ["near", "twice"])
+@pytest.mark.parametrize("size,share,seed", [(4, (85, 100), 6), (1, (50, 100), 7)])
+def test_finer_cuts_lose_no_link(spark, monkeypatch, way, size, share, seed):
+    """Every band is cut finer, whatever it costs, and the finer groups are kept."""
+    made = {}
+
+    def saved(df, name, put=nj.saved):
+        made[name] = put(df, name)
+        return made[name]
+
+    monkeypatch.setattr(nj, "saved", saved)
+    monkeypatch.setattr(nj, "_ways", lambda open_, pairs, bands: {b: way for b in pairs if b})
+    monkeypatch.setattr(nj, "_proposed", lambda groups, equal: nj.saved(equal.limit(0), "proposed"))
+    real, calls = nj._pairs, []
+    monkeypatch.setattr(nj, "_pairs", lambda open_: calls.append(1) or ({} if len(calls) == 2 else real(open_)))
+    docs = corpus(seed, 200) + [(1000 + i, t) for i, t in enumerate(family(seed, 30, 3))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.link_components(frame, size=size, share=share).collect()}
+    assert got == brute_components(docs, size, *share)
+    assert made["finer"].count() and "allocated" in made
+
+
+def test_texts_that_share_a_passage_are_cut_finer(spark, monkeypatch):
+    """Half of each text is a passage that all share: where the finer cut costs less, it leaves less than half the pairs."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.choice([30, 40, 60]))) + " " + passage for _ in range(400)]
+    texts += [t.replace("p7", "x") for t in texts[:20]]
+    docs = list(enumerate(texts))
+    real, costs = nj._pairs, []
+
+    def pairs(open_):
+        costs.append(real(open_))
+        return costs[-1]
+
+    monkeypatch.setattr(nj, "_pairs", pairs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs, 5, 80, 100)
+    assert len(costs) == 2
+    assert costs[1] and all(now < 0.5 * costs[0][band] for band, now in costs[1].items())
+
+
 def test_a_repeated_id_links_by_any_of_its_texts(spark):
     rng = random.Random(4)
     long = lambda name: " ".join(f"{name}{rng.randrange(10**6)}" for _ in range(60))
@@ -165,8 +207,11 @@ def test_components_of_edges(clashing_docs, edge_rows):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 7, 8, 9, 10]
 
 
-def test_every_similar_pair_meets_in_the_index():
+@pytest.mark.parametrize("way", [None, "near", "twice"])
+def test_every_similar_pair_meets_in_the_index(way):
+    """By the first cut and by the finer ones, with every band cut that way."""
     rng = np.random.default_rng(5)
+    ways = way and dict.fromkeys(range(64), way)
     for bands in (nj.Bands(85, 100), nj.Bands(80, 100)):
         for n in [*range(1, 60), 120, 400] * 4:
             x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
@@ -181,7 +226,7 @@ def test_every_similar_pair_meets_in_the_index():
                 if bands.den * both < bands.num * (len(x) + len(z) - both):
                     break
                 y = z
-            (sx, kx), (sy, ky) = (nj.signatures(np.unique(np.array(v, np.uint64)), bands) for v in (x, y))
+            (sx, kx), (sy, ky) = (nj.signatures(np.unique(np.array(v, np.uint64)), bands, ways) for v in (x, y))
             meets = set(sx[kx == 0].tolist()) & set(sy[ky == 0].tolist())
             held = {s: max(a, b) for s, a, b in ((s, dict(zip(sx.tolist(), kx))[s], dict(zip(sy.tolist(), ky))[s]) for s in set(sx[kx > 0].tolist()) & set(sy[ky > 0].tolist()))}
             assert meets or 2 in held.values()
