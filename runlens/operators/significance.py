@@ -28,7 +28,7 @@ def t_test_one_sample(df: DataFrame, by: Sequence[str], x: str, mu: float = 0.0)
     return (
         stats.withColumn("t", F.when(usable, (F.col("mean") - mu) / se))
         .withColumn("df", F.when(usable, (F.col("n") - 1).cast("double")))
-        .withColumn("p", P.t_p_value("t", "df"))
+        .withColumn("p", P.t_p_value(F.col("t"), F.col("df")))
         .select(*by, "n", "t", "df", "p")
     )
 
@@ -58,7 +58,8 @@ def wilcoxon_signed_rank(
         F.sum(cube * cube * cube - cube).alias("tie_sum"),
     )
     joined = attach(totals, stats, by)
-    return joined.withColumn("p", P.signed_rank_p_value("v", "n", "tie_sum", "zeros")).select(
+    p = P.signed_rank_p_value(F.col("v"), F.col("n"), F.col("tie_sum"), F.col("zeros"))
+    return joined.withColumn("p", p).select(
         *by, F.coalesce("n", F.lit(0)).alias("n"), "v", "p"
     )
 
@@ -76,9 +77,8 @@ def shapiro_wilk(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
         attach(values.filter(F.col("x").isNotNull()), fitting, by, "inner")
         .groupBy(*by)
         .agg(F.array_sort(F.collect_list("x")).alias("ordered"))
-        .withColumn("r", P.shapiro_w_p("ordered"))
     )
-    return attach(sizes, ordered.select(*by, no_nan("r.w").alias("w"), no_nan("r.p").alias("p")), by)
+    return attach(sizes, P.with_shapiro(ordered, "ordered").select(*by, "w", "p"), by)
 
 
 def choose_test(df: DataFrame, by: Sequence[str], x: str, alpha: float = 0.05) -> DataFrame:

@@ -1108,22 +1108,19 @@ def treatment_delta(spark, sf_dir):
 
 
 # -- significance tests -----------------------------------------------------
-@query("t_test_one_sample", "benchmark:s n:i t df", Q.RUNS + """SELECT benchmark, count(energy_joules) AS n,
-  (avg(energy_joules) - 52000) / (stddev_samp(energy_joules) / sqrt(count(energy_joules))) AS t,
-  count(energy_joules) - 1 AS df FROM runs GROUP BY benchmark""")
+@query("t_test_one_sample", "benchmark:s n:i t df p:6", Q.RUNS + ", " + Q.t_test("runs", "benchmark", "energy_joules", 52000) + " SELECT * FROM t_tests")
 def t_test_one_sample(spark, sf_dir):
     return T.t_test_one_sample(runs(spark, sf_dir), ["benchmark"], "energy_joules", 52000.0)
 
 
-@query("wilcoxon_signed_rank", "benchmark:s n:i v:1", Q.RUNS + """, diffs AS (SELECT benchmark, energy_joules - 52000 AS d FROM runs),
-sized AS (SELECT benchmark, abs(d) AS size, count(*) AS ties, count(*) FILTER (WHERE d > 0) AS up FROM diffs WHERE d <> 0 GROUP BY 1, 2),
-ranked AS (SELECT *, sum(ties) OVER (PARTITION BY benchmark ORDER BY size) - ties + (ties + 1) / 2.0 AS r FROM sized)
-SELECT benchmark, sum(ties) AS n, CAST(sum(up * r) AS DOUBLE) AS v FROM ranked GROUP BY benchmark""")
+@query("wilcoxon_signed_rank", "benchmark:s n:i v:1 p:6", Q.RUNS.replace("WITH runs", "WITH RECURSIVE runs") + ", "
+    + Q.signed_rank("runs", "benchmark", "energy_joules", 52000) + " SELECT * FROM rank_tests")
 def wilcoxon_signed_rank(spark, sf_dir):
     return T.wilcoxon_signed_rank(runs(spark, sf_dir), ["benchmark"], "energy_joules", 52000.0)
 
 
-@query("shapiro_wilk", "results_set:s benchmark:s variant:s n:i w:6 p:6")
+@query("shapiro_wilk", "results_set:s benchmark:s variant:s n:i w:6 p:6", Q.RUNS + ", "
+    + Q.shapiro("runs", "results_set, benchmark, variant", "energy_joules") + " SELECT * FROM normality")
 def shapiro_wilk(spark, sf_dir):
     return T.shapiro_wilk(runs(spark, sf_dir), ["results_set", "benchmark", "variant"], "energy_joules")
 
@@ -1132,7 +1129,8 @@ def _tests(spark, sf_dir):
     return T.choose_test(H.delta_long(C.paired_delta(runs(spark, sf_dir))), ["metric"], "delta_pct")
 
 
-@query("choose_test", "metric:s n:i median mean sd shapiro_p wilcox_p ttest_p test_used:s p_value significant:s significance_label:s")
+@query("choose_test", "metric:s n:i median mean sd shapiro_p wilcox_p ttest_p test_used:s p_value significant:s significance_label:s",
+    Q.TESTS + "SELECT * FROM tests")
 def choose_test(spark, sf_dir):
     return _tests(spark, sf_dir)
 
@@ -1146,6 +1144,7 @@ def normal_ci(spark, sf_dir):
     return stats.select("benchmark", "variant", low.alias("low"), high.alias("high"))
 
 
-@query("verdict", "metric:s median significant:s verdict:s")
+@query("verdict", "metric:s median significant:s verdict:s", Q.TESTS + """SELECT metric, median, significant,
+  CASE WHEN significant THEN CASE WHEN median < 0 THEN 'REDUCTION' ELSE 'INCREASE' END END AS verdict FROM tests""")
 def verdict(spark, sf_dir):
     return T.verdict(_tests(spark, sf_dir))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from runlens import schema as S
+from runlens.functions import pvalues as PV
 from runlens.plans.driver_tables import VARIANT_OF_LINE
 
 _CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in VARIANT_OF_LINE.items())
@@ -195,3 +196,106 @@ logs AS (
          bool_or(broken AND NOT summary) AS failed
   FROM lines GROUP BY run)
 """
+
+
+# -- probabilities of the tests ---------------------------------------------
+def polynomial(coefficients, x: str) -> str:
+    out = repr(coefficients[-1])
+    for c in coefficients[-2::-1]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def integral(log_density: str, scale: str) -> str:
+    """The trapezoid rule of `pvalues.integral`; the density names its argument ``{w}``."""
+    x = f"(k / {PV.STEPS}e0)"
+    w = f"(({scale}) * exp(pi() / 2 * sinh({x})))"
+    nodes = f"range({PV.FIRST * PV.STEPS}, {PV.LAST * PV.STEPS + 1})"
+    return f"(list_sum([exp({log_density.format(w=w)}) * {w} * cosh({x}) FOR k IN {nodes}]) * pi() / 2 / {PV.STEPS})"
+
+
+def normal_upper(z: str) -> str:
+    tail = f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * " + integral(f"-abs({z}) * {{w}} - {{w}} * {{w}} / 2", f"1 / (abs({z}) + 1)") + ")"
+    return f"CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END"
+
+
+def normal_quantile(p: str) -> str:
+    q, tail = f"(({p}) - 0.5)", f"(sqrt(-ln(least({p}, 1 - ({p})))) - 1.6)"
+    middle = f"(0.180625 - {q} * {q})"
+    return (
+        f"CASE WHEN abs{q} <= 0.425 THEN {q} * {polynomial(PV.MIDDLE_TOP, middle)} / {polynomial(PV.MIDDLE_BOTTOM, middle)} "
+        f"ELSE sign{q} * {polynomial(PV.TAIL_TOP, tail)} / {polynomial(PV.TAIL_BOTTOM, tail)} END"
+    )
+
+
+def t_test(source: str, by: str, x: str, mu: float = 0.0) -> str:
+    """CTE ``t_tests``: (by, n, t, df, p)."""
+    density = "-df * ln(1 + 2 * pow(sinh(least({w}, 700) / 2), 2) + slope * sinh(least({w}, 700)))"
+    return f"""t_base AS (SELECT {by}, count({x}) AS n, avg({x}) AS mean, stddev_samp({x}) / sqrt(count({x})) AS se FROM {source} GROUP BY {by}),
+t_stat AS (SELECT {by}, n, CASE WHEN n >= 2 AND se > 10 * 2.220446049250313e-16 * abs(mean) THEN (mean - {mu}) / se END AS t,
+  CASE WHEN n >= 2 AND se > 10 * 2.220446049250313e-16 * abs(mean) THEN CAST(n - 1 AS DOUBLE) END AS df FROM t_base),
+t_sloped AS (SELECT *, abs(t) / sqrt(df + t * t) AS slope FROM t_stat),
+t_tests AS (SELECT {by}, n, t, df, CASE WHEN t IS NOT NULL THEN least(1, 2 / sqrt(pi()) * exp(lgamma((df + 1) / 2) - lgamma(df / 2))
+  * exp(-df / 2 * ln(1 + t * t / df)) * {integral(density, "1 / (df * slope + sqrt(df))")}) END AS p FROM t_sloped)"""
+
+
+def signed_rank(source: str, by: str, x: str, mu: float = 0.0) -> str:
+    """CTE ``rank_tests``: (by, n, v, p); needs WITH RECURSIVE."""
+    sums = (PV.EXACT_BELOW - 1) * PV.EXACT_BELOW // 2 + 1
+    z = "abs(v - n * (n + 1) / 4e0 - sign(v - n * (n + 1) / 4e0) * 0.5) / sqrt(variance)"
+    return f"""ways(n, w) AS (SELECT CAST(0 AS BIGINT), [CASE WHEN i = 0 THEN 1e0 ELSE 0e0 END FOR i IN range({sums})]
+  UNION ALL SELECT n + 1, [w[i + 1] + CASE WHEN i > n THEN w[i - n] ELSE 0e0 END FOR i IN range({sums})] FROM ways WHERE n < {PV.EXACT_BELOW - 1}),
+diffs AS (SELECT {by}, {x} - {mu} AS d FROM {source}),
+sized AS (SELECT {by}, abs(d) AS size, count(*) AS ties, count(*) FILTER (WHERE d > 0) AS up FROM diffs WHERE d <> 0 GROUP BY ALL),
+ranked AS (SELECT *, sum(ties) OVER (PARTITION BY {by} ORDER BY size) - ties + (ties + 1) / 2e0 AS r FROM sized),
+rank_stats AS (SELECT {by}, CAST(sum(ties) AS BIGINT) AS n, CAST(sum(up * r) AS DOUBLE) AS v,
+  sum(CAST(ties AS DOUBLE) * ties * ties - ties) AS tie_sum FROM ranked GROUP BY {by}),
+rank_zeros AS (SELECT {by}, count(*) FILTER (WHERE d = 0) AS zeros FROM diffs GROUP BY {by}),
+rank_cases AS (SELECT {by}, coalesce(n, 0) AS n, v, tie_sum = 0 AND zeros = 0 AND n < {PV.EXACT_BELOW} AS exact,
+  nullif(greatest(0, CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - tie_sum / 48), 0) AS variance
+  FROM rank_zeros LEFT JOIN rank_stats USING ({by})),
+rank_tests AS (SELECT {by}, c.n, v, CASE WHEN v IS NULL THEN NULL
+  WHEN exact THEN least(1, 2 * least(list_sum(w[1:CAST(v AS BIGINT) + 1]), list_sum(w[CAST(v AS BIGINT) + 1:])) / pow(2, c.n))
+  ELSE least(1, 2 * ({normal_upper("z")})) END AS p
+  FROM (SELECT *, {z} AS z FROM rank_cases) c LEFT JOIN ways ON ways.n = c.n)"""
+
+
+def shapiro(source: str, by: str, x: str) -> str:
+    """CTE ``normality``: (by, n, w, p)."""
+    u, size, ln = "(1 / sqrt(n))", "CAST(n AS DOUBLE)", "ln(n)"
+    gamma = polynomial(PV.SMALL_GAMMA, size)
+    small = f"(-ln({gamma} - ln(1 - w)) - {polynomial(PV.SMALL_MEAN, size)}) / exp({polynomial(PV.SMALL_LOG_SD, size)})"
+    large = f"(ln(1 - w) - {polynomial(PV.LARGE_MEAN, ln)}) / exp({polynomial(PV.LARGE_LOG_SD, ln)})"
+    keys = ", ".join(f"o.{k.strip()}" for k in by.split(","))
+    return f"""n_ordered AS (SELECT {by}, {x} AS x, row_number() OVER (PARTITION BY {by} ORDER BY {x}) AS r,
+  count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {x} IS NOT NULL),
+n_scored AS (SELECT *, {normal_quantile("(r - 0.375e0) / (n + 0.25e0)")} AS m FROM n_ordered WHERE n BETWEEN 3 AND 5000),
+n_norm AS (SELECT {by}, n, sum(m * m) AS norm, max(m) FILTER (WHERE r = n) AS m1,
+  CASE WHEN n > 5 THEN max(m) FILTER (WHERE r = n - 1) ELSE 0 END AS m2, avg(x) AS mean, max(x) - min(x) AS width FROM n_scored GROUP BY {by}, n),
+n_fixed AS (SELECT *, m1 / sqrt(norm) + {polynomial(PV.LAST_WEIGHT, u)} AS f1,
+  CASE WHEN n > 5 THEN m2 / sqrt(norm) + {polynomial(PV.NEXT_WEIGHT, u)} ELSE 0 END AS f2 FROM n_norm),
+n_phi AS (SELECT *, (norm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * f1 * f1 - 2 * f2 * f2) AS phi FROM n_fixed),
+n_stat AS (SELECT {keys}, o.n, CASE WHEN any_value(width) >= 1e-19 THEN least(1, pow(sum(x * CASE WHEN o.n = 3 THEN (r - 2) * sqrt(0.5)
+  WHEN r IN (1, o.n) THEN sign(m) * f1 WHEN o.n > 5 AND r IN (2, o.n - 1) THEN sign(m) * f2
+  ELSE m / sqrt(CASE WHEN o.n > 3 THEN phi END) END), 2) / sum((x - mean) * (x - mean))) END AS w
+  FROM n_scored o JOIN n_phi USING ({by}) GROUP BY ALL),
+n_z AS (SELECT *, CASE WHEN w IS NULL OR w >= 1 OR n = 3 OR (n <= 11 AND ln(1 - w) >= {gamma}) THEN NULL
+  WHEN n <= 11 THEN {small} ELSE {large} END AS z FROM n_stat),
+n_p AS (SELECT {by}, w, CASE WHEN w IS NULL THEN NULL WHEN n = 3 THEN greatest(0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))))
+  WHEN w >= 1 THEN 1 WHEN z IS NULL THEN 1e-99 ELSE {normal_upper("z")} END AS p FROM n_z),
+n_sizes AS (SELECT {by}, count({x}) AS n FROM {source} GROUP BY {by}),
+normality AS (SELECT {by}, n, w, p FROM n_sizes LEFT JOIN n_p USING ({by}))"""
+
+
+TESTS = DELTA.replace("WITH runs", "WITH RECURSIVE runs").rstrip() + ",\n" + ",\n".join(
+    [t_test("delta_long", "metric", "delta_pct"), signed_rank("delta_long", "metric", "delta_pct"), shapiro("delta_long", "metric", "delta_pct")]
+) + """,
+centre AS (SELECT metric, count(*) AS n, quantile_cont(delta_pct, 0.5) AS median, avg(delta_pct) AS mean, stddev_samp(delta_pct) AS sd
+  FROM delta_long GROUP BY metric),
+side_by_side AS (SELECT c.*, s.p AS shapiro_p, r.p AS wilcox_p, t.p AS ttest_p FROM centre c LEFT JOIN normality s USING (metric)
+  LEFT JOIN rank_tests r USING (metric) LEFT JOIN t_tests t USING (metric)),
+chosen AS (SELECT *, CASE WHEN shapiro_p < 0.05 THEN 'Wilcoxon' WHEN shapiro_p >= 0.05 THEN 't-test' END AS test_used,
+  CASE WHEN shapiro_p < 0.05 THEN wilcox_p WHEN shapiro_p >= 0.05 THEN ttest_p END AS p_value FROM side_by_side),
+tests AS (SELECT *, p_value < 0.05 AS significant, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**'
+  WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS significance_label FROM chosen)
+"""

@@ -5,7 +5,9 @@ import random
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
+import probabilities as plain
 from runlens.functions import pvalues as PV
 from runlens.operators import compare as C
 from runlens.operators import significance as T
@@ -96,13 +98,27 @@ def test_published_treatments(spark):
     assert changes[:9] == pytest.approx(DELTAS[:9], rel=1e-9) and changes[9] is None
 
 
-def test_signed_rank_against_all_sign_patterns():
+def test_signed_rank_against_all_sign_patterns(spark):
+    want = {}
     for n in (1, 4, 7):
         sums = [sum(r for r, up in zip(range(1, n + 1), signs) if up) for signs in product((0, 1), repeat=n)]
         for v in range(n * (n + 1) // 2 + 1):
             low = sum(s <= v for s in sums) / len(sums)
             high = sum(s >= v for s in sums) / len(sums)
-            assert PV.signed_rank_exact(v, n) == pytest.approx(min(1, 2 * min(low, high)))
+            want[n, v] = min(1, 2 * min(low, high))
+            assert plain.signed_rank_exact(v, n) == pytest.approx(want[n, v])
+    want |= {(49, v): plain.signed_rank_exact(v, 49) for v in (0, 300, 612, 613, 1000, 1225)}
+    df = spark.createDataFrame([(n, float(v)) for n, v in want], "n bigint, v double")
+    got = {(r.n, int(r.v)): r.p for r in df.withColumn("p", PV.signed_rank_exact(F.col("v"), F.col("n"))).collect()}
+    assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_signed_rank_normal_equals_the_library(spark):
+    cases = [(float(v), n, ties) for n, v, ties in ((50, 900, 0.0), (60, 915, 6.0), (200, 9000, 120.0), (10**6, 2.4e11, 0.0), (7, 14, 6.0))]
+    df = spark.createDataFrame(cases, "v double, n bigint, ties double")
+    p = PV.signed_rank_normal(F.col("v"), F.col("n"), F.col("ties"))
+    for r in df.withColumn("p", p).collect():
+        assert r.p == pytest.approx(plain.signed_rank_normal(r.v, r.n, r.ties), rel=1e-9)
 
 
 def test_wilcoxon_ties_and_zeros(spark):
@@ -124,9 +140,33 @@ def test_t_test_edge_cases(spark):
     assert got["two"]["p"] == pytest.approx(1 - 2 * math.atan(2.0) / math.pi)
 
 
-def test_t_probability_with_two_degrees():
-    for t in (0.1, 1.0, 5.0, 40.0):
-        assert PV.t_two_sided(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-12)
+def test_t_probability_with_two_degrees(spark):
+    df = spark.createDataFrame([(t,) for t in (0.0, 0.1, 1.0, 5.0, 40.0)], "t double")
+    for r in df.withColumn("p", PV.t_p_value(F.col("t"), F.lit(2.0))).collect():
+        assert r.p == pytest.approx(1 - r.t / math.sqrt(2 + r.t * r.t), rel=1e-11)
+
+
+def test_t_probability_equals_the_continued_fraction(spark):
+    cases = [(t, d) for t in (0.01, -0.7, 2.1, 9.0, 60.0) for d in (1.0, 2.5, 9.0, 40.0, 700.0, 10000.0)]
+    df = spark.createDataFrame(cases, "t double, d double")
+    for r in df.withColumn("p", PV.t_p_value(F.col("t"), F.col("d"))).collect():
+        assert r.p == pytest.approx(plain.t_two_sided(r.t, r.d), rel=1e-8, abs=1e-300), (r.t, r.d)
+
+
+def test_normal_quantiles_and_tails(spark):
+    df = spark.createDataFrame([(p,) for p in (1e-6, 1e-4, 0.01, 0.074, 0.0751, 0.3, 0.5, 0.6, 0.925, 0.9999)], "p double")
+    z = PV.normal_quantile(F.col("p"))
+    for r in df.select("p", z.alias("z")).withColumn("back", PV.normal_upper(-F.col("z"))).collect():
+        assert r.z == pytest.approx(plain._NORMAL.inv_cdf(r.p), rel=1e-14, abs=1e-15)
+        assert r.back == pytest.approx(r.p, rel=1e-11)
+
+
+def test_shapiro_equals_plain_python(spark):
+    rng = random.Random(9)
+    samples = [sorted(rng.choice([rng.gauss, rng.uniform])(0, 1) for _ in range(n)) for n in (3, 4, 5, 6, 7, 11, 12, 13, 30, 101, 1000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(samples)], "i int, x array<double>")
+    for r in PV.with_shapiro(df, "x").collect():
+        assert (r.w, r.p) == pytest.approx(plain.shapiro(samples[r.i]), rel=1e-9)
 
 
 def test_shapiro_sizes(spark):
