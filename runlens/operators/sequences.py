@@ -179,31 +179,35 @@ def neighbour_bounds(values: DataFrame, value: str, breakpoints: DataFrame, poin
         .drop("__tie")
     )
     rows = staged(rows, "ranges")
-    ends = rows.filter(F.col("__point").isNotNull()).groupBy("__range").agg(
-        F.min("__point").alias("low"), F.max("__point").alias("high")
-    )
-    ends = ends.agg(F.collect_list(F.struct("__range", "low", "high")).alias("__ends"))
-    within = W.partitionBy("__range").orderBy("__v")
     known = F.col("__v").isNotNull()
-    here = {
-        "__low": F.max("__point").over(within.rangeBetween(W.unboundedPreceding, W.currentRow)),
-        "__high": F.min("__point").over(within.rangeBetween(W.currentRow, W.unboundedFollowing)),
-    }
-    at = F.col("__range")
-    before = F.array_max(F.transform(F.filter("__ends", lambda e: e["__range"] < at), lambda e: e["high"]))
-    after = F.array_min(F.transform(F.filter("__ends", lambda e: e["__range"] > at), lambda e: e["low"]))
+    # each window grows by a row at a time; one that shrinks would be read again for every row
+    at_or_below = W.partitionBy("__range").orderBy("__v").rangeBetween(W.unboundedPreceding, W.currentRow)
+    at_or_above = W.partitionBy("__range").orderBy(F.desc("__v")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    here = {"__low": F.max("__point").over(at_or_below), "__high": F.min("__point").over(at_or_above)}
     # ties with a breakpoint of a neighbouring range come from there, others too
     bounds = {
-        "lower": F.when(known, F.greatest("__low", before)),
-        "upper": F.when(known, F.least("__high", after)),
+        "lower": F.when(known, F.greatest("__low", "__before")),
+        "upper": F.when(known, F.least("__high", "__after")),
     }
     return (
-        attach_row(rows.withColumns(here).filter(F.col("__point").isNull()), ends)
+        attach(rows.withColumns(here).filter(F.col("__point").isNull()), _beside(rows), ["__range"])
         .withColumns(bounds)
         .select(*[F.col(f"`{c}`") for c in values.columns], "lower", "upper")
     )
 
 
+def _beside(rows: DataFrame) -> DataFrame:
+    """(__range, __before, __after): the nearest breakpoints outside of each range, one row a range."""
+    ends = rows.groupBy("__range").agg(F.min("__point").alias("low"), F.max("__point").alias("high"))
+    packed = ends.agg(F.collect_list(F.struct("__range", "low", "high")).alias("__ends"))
+    at = F.col("__range")
+    return attach_row(ends, packed).select(
+        "__range",
+        F.array_max(F.transform(F.filter("__ends", lambda e: e["__range"] < at), lambda e: e["high"])).alias("__before"),
+        F.array_min(F.transform(F.filter("__ends", lambda e: e["__range"] > at), lambda e: e["low"])).alias("__after"),
+    )
+
+
 def divisible_by_one_bound(df: DataFrame, value: str) -> DataFrame:
     """Values divisible by exactly one of the roots of their two bounds; a missing bound or zero divides nothing."""
     root = lambda c: F.nullif(F.round(F.sqrt(c)).cast("bigint"), F.lit(0).cast("bigint"))

@@ -247,6 +247,15 @@ def test_bounds_of_a_value_that_fills_several_ranges(spark):
     assert got.count() == 3000
 
 
+def test_bounds_windows_only_grow(spark):
+    """A window from the current row to the last is read again for every row, so no plan may hold one."""
+    values = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    bounded = SQ.neighbour_bounds(values, "v", values.withColumnRenamed("v", "b"), "b")
+    plan = bounded._jdf.queryExecution().toString()
+    assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan.replace("$", "").lower()
+    assert {(r["v"], r["lower"], r["upper"]) for r in bounded.collect()} == {(float(i),) * 3 for i in range(100)}
+
+
 def test_bounds_outside_and_on_breakpoints(spark):
     points = spark.createDataFrame([(10.0,), (20.0,), (20.0,), (1000.0,)], "b double")
     values = spark.createDataFrame([(5.0,), (10.0,), (15.0,), (999.0,), (1000.0,), (5000.0,)], "v double")
