@@ -11,9 +11,14 @@ from runlens.functions.scalars import is_finite
 from runlens.functions.vectors import kernel, squared_distance
 from runlens.operators.sequences import distance
 from runlens.operators.sizing import attach, attach_row
+from runlens.session import staged
 
 # A block of reference rows is held as one array next to a row.
 BLOCK_ROWS = 2_000
+# Pairs that a task of a cell join compares, the most tasks of one join, and rows in a slice of a cell's side.
+PAIRS_PER_TASK = 4_000_000
+MAX_TASKS = 4_000
+SLICE_ROWS = 1_000
 
 
 def with_reference_blocks(
@@ -85,8 +90,9 @@ def pairs_within(a: DataFrame, b: DataFrame, radius: float, a_id: str = "i", b_i
 
     Points lie in square cells as wide as the radius.  A point of ``b`` is sent to its
     cell and the eight around it, a point of ``a`` to its own only, so partners meet in
-    an equality join and nothing else is compared.  Points with a missing or infinite
-    coordinate are near nothing.
+    an equality join and nothing else is compared.  Cells are counted first: one with
+    many rows is cut into slices on both sides, and tasks follow the pairs, not the bytes.
+    Points with a missing or infinite coordinate are near nothing.
     """
     if not 0 < radius < float("inf"):
         raise ValueError(f"radius must be positive and finite, not {radius}")
@@ -99,15 +105,37 @@ def pairs_within(a: DataFrame, b: DataFrame, radius: float, a_id: str = "i", b_i
     ).filter(is_finite(x) & is_finite(y))
     left = points(a, a_id, "__ax", "__ay").withColumns({"__cx": cell("__ax"), "__cy": cell("__ay")})
     right = points(b, b_id, "__bx", "__by").withColumn("__cx", around("__bx")).withColumn("__cy", around("__by"))
+    cells = staged(_cell_slices(left, right), "cells")
+    tasks = -(-(cells.agg(F.sum("__work")).first()[0] or 0) // PAIRS_PER_TASK)
+    # a row falls into one slice of its side and meets all slices of the other
+    one = lambda column, n: F.pmod(F.xxhash64(column), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    keys = ["__cx", "__cy", "__as", "__bs"]
+    left = left.join(cells, keys[:2]).withColumn("__as", one(a_id, "__an")).withColumn("__bs", every("__bn"))
+    right = right.join(cells, keys[:2]).withColumn("__as", every("__an")).withColumn("__bs", one(b_id, "__bn"))
+    left, right = left.select(a_id, "__ax", "__ay", *keys), right.select(b_id, "__bx", "__by", *keys)
+    if tasks > 1:
+        # a stated number of tasks, else rows of few bytes that make many pairs end up in one
+        tasks = min(tasks, MAX_TASKS)
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys).hint("merge")
     dx, dy = F.col("__ax") - F.col("__bx"), F.col("__ay") - F.col("__by")
     square = dx * dx + dy * dy
     return (
-        left.join(right, ["__cx", "__cy"])
+        left.join(right, keys)
         .filter(square <= float(radius) * float(radius))
         .select(a_id, b_id, F.sqrt(square).alias("d"))
     )
 
 
+def _cell_slices(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(__cx, __cy, __work, __an, __bn): pairs compared in each cell, and the slices of either side."""
+    count = lambda df, name: df.groupBy("__cx", "__cy").agg(F.count(F.lit(1)).alias(name))
+    slices = lambda n: F.ceil(F.col(n) / SLICE_ROWS)
+    return count(left, "__a").join(count(right, "__b"), ["__cx", "__cy"]).select(
+        "__cx", "__cy", (F.col("__a") * F.col("__b")).alias("__work"), slices("__a").alias("__an"), slices("__b").alias("__bn")
+    )
+
+
 def vector_distance(
     a: DataFrame, b: DataFrame, a_id: str = "i", b_id: str = "j", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:

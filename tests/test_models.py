@@ -334,6 +334,21 @@ def test_pairs_within(spark):
         PR.pairs_within(a, b, 0.0)
 
 
+def test_pairs_within_of_a_crowded_cell(spark, monkeypatch):
+    """A cell with many rows is cut on both sides, and tasks follow the pairs; ids and points may repeat."""
+    monkeypatch.setattr(PR, "SLICE_ROWS", 7)
+    monkeypatch.setattr(PR, "PAIRS_PER_TASK", 100)
+    rng = random.Random(4)
+    a = [(i // 2, rng.uniform(0, 1), 0.5) for i in range(60)] + [(500, 40.0, 40.0)]
+    b = [(i % 25, rng.uniform(0, 1), 0.5) for i in range(30)] + [(600, -40.0, 40.0)]
+    near = PR.pairs_within(
+        spark.createDataFrame(a, "i int, x double, y double"), spark.createDataFrame(b, "j int, x double, y double"), 0.75
+    )
+    want = sorted((p[0], q[0]) for p in a for q in b if abs(p[1] - q[1]) <= 0.75 and abs(p[2] - q[2]) < 1)
+    assert sorted((r["i"], r["j"]) for r in near.collect()) == want
+    assert near.rdd.getNumPartitions() > 8
+
+
 def test_linear_svm(spark):
     rng = random.Random(1)
     rows = []
