@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from runlens.operators.sizing import attach
 #: Centroids compared at once, and distances held at once.
 BLOCK = 10_000
 _CELLS = 1 << 22
+#: Vectors in a packed matrix.
+_PACKED = 4_096
 #: Rounding of a distance from a matrix product, relative to the squares in it.
 _ROUNDING = 1e-12
 _ASSIGNED = T.StructType(
@@ -52,12 +55,18 @@ def nearest(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.n
         own = np.einsum("ij,ij->i", x, x)
         d2 = own[:, None] + sizes[None, :] - 2.0 * (x @ centroids.T)
         close = d2 <= d2.min(axis=1, keepdims=True) + _ROUNDING * (own[:, None] + sizes.max())
-        row, k = np.nonzero(close)  # in the order of rows, then of centroids
-        gap = x[row] - centroids[k]
-        exact = np.einsum("ij,ij->i", gap, gap)
-        order = np.lexsort((k, exact, row))
-        first = order[np.searchsorted(row[order], np.arange(len(x)))]
-        best[start : start + step], best_d2[start : start + step] = k[first], exact[first]
+        chosen = close.argmax(axis=1)
+        gap = x - centroids[chosen]
+        chosen_d2 = np.einsum("ij,ij->i", gap, gap)
+        several = np.flatnonzero(close.sum(axis=1) > 1)
+        if len(several):
+            row, k = np.nonzero(close[several])  # in the order of rows, then of centroids
+            gap = x[several[row]] - centroids[k]
+            exact = np.einsum("ij,ij->i", gap, gap)
+            order = np.lexsort((k, exact, row))
+            first = order[np.searchsorted(row[order], np.arange(len(several)))]
+            chosen[several], chosen_d2[several] = k[first], exact[first]
+        best[start : start + step], best_d2[start : start + step] = chosen, chosen_d2
     return best, best_d2
 
 
@@ -108,11 +117,18 @@ def _better(matrix: np.ndarray, start: int):
     return assign
 
 
-# Positions below zero in the long rows carry per-cluster totals.
-_COUNT, _INERTIA = -1, -2
+# A position below zero in the long rows carries the count of the cluster.
+_COUNT = -1
 _TOTALS = "cluster int, pos int, s double"
 
 
+def _sums(x: np.ndarray, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters that have rows, ascending, and the sums of their rows."""
+    order = np.argsort(cluster, kind="stable")  # so that each cluster is one run of rows
+    found, start = np.unique(cluster[order], return_index=True)
+    return found, np.add.reduceat(x[order], start, axis=0)
+
+
 class _Totals:
     """Sums per cluster over the batches of one task."""
 
@@ -121,18 +137,15 @@ class _Totals:
         self.counts: dict[int, int] = {}
 
     def add(self, x: np.ndarray, cluster: np.ndarray) -> None:
-        found, place = np.unique(cluster, return_inverse=True)
-        sums = np.zeros((len(found), x.shape[1]))
-        np.add.at(sums, place, x)
-        for k, row, n in zip(found.tolist(), sums, np.bincount(place).tolist()):
+        found, sums = _sums(x, cluster)
+        for k, row, n in zip(found.tolist(), sums, np.unique(cluster, return_counts=True)[1].tolist()):
             self.sums[k] = self.sums[k] + row if k in self.sums else row
             self.counts[k] = self.counts.get(k, 0) + n
 
-    def batch(self, extra: dict[int, float] | None = None) -> pa.RecordBatch:
-        """Rows (cluster, position, sum), with the counts and other totals."""
+    def batch(self) -> pa.RecordBatch:
+        """Rows (cluster, position, sum), with the counts."""
         rows = [(k, pos, s) for k, row in self.sums.items() for pos, s in enumerate(row.tolist())]
         rows += [(k, _COUNT, float(n)) for k, n in self.counts.items()]
-        rows += [(-1, pos, value) for pos, value in (extra or {}).items()]
         cluster, pos, s = zip(*rows) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays(
             [pa.array(cluster, pa.int32()), pa.array(pos, pa.int32()), pa.array(s, pa.float64())],
@@ -213,8 +226,9 @@ def kmeans_fit(
     they are; only centroids pass through the driver.
     """
     spark = points.sparkSession
-    rows = points.select(vec).filter(F.col(vec).isNotNull()).persist()
+    rows = points.select(vec).filter(F.col(vec).isNotNull())
     current = np.array(start, dtype=np.float64) if start is not None else initial_centroids(points, k, seed, key, vec)
+    rows = _packed(rows, current.shape[1]).persist(StorageLevel.MEMORY_AND_DISK)
     counts: np.ndarray | None = None
     history: list[tuple[int, float]] = []
     converged, inertia = False, 0.0
@@ -239,26 +253,39 @@ def kmeans_fit(
     )
 
 
-def _step(rows: DataFrame, current: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Rows and sums per cluster, and the sum of the squared distances."""
+def _packed(rows: DataFrame, width: int) -> RDD:
+    """The vectors as the bytes of matrices, one a batch, so that a step copies bytes and no single numbers."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, inertia = _Totals(), 0.0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, _ = as_matrix(batch.column(0))
-            if len(x):
-                cluster, d2 = nearest(x, current)
-                totals.add(x, cluster)
-                inertia += float(d2.sum())
-        yield totals.batch({_INERTIA: inertia})
-
-    cells = rows.mapInArrow(partial, _TOTALS).groupBy("cluster", "pos").agg(F.sum("s").alias("s")).collect()
-    n, sums, d2 = np.zeros(len(current)), np.zeros_like(current), 0.0
-    for r in cells:
-        if r["pos"] == _INERTIA:
-            d2 = r["s"]
-        elif r["pos"] == _COUNT:
-            n[r["cluster"]] = r["s"]
-        else:
-            sums[r["cluster"], r["pos"]] = r["s"]
-    return n, sums, d2
+            if len(x) and x.shape[1] != width:
+                raise ValueError(f"vectors must have the {width} components of the centroids")
+            for start in range(0, len(x), _PACKED):
+                part = np.ascontiguousarray(x[start : start + _PACKED])
+                yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary())], names=["block"])
+
+    return rows.mapInArrow(pack, "block binary").rdd.map(lambda r: bytes(r[0]))
+
+
+def _step(blocks: RDD, current: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rows and sums per cluster, and the sum of the squared distances.
+
+    One job without a shuffle, or with one where there are many tasks; a plan for each
+    step would cost more than the step.
+    """
+
+    def partial(items: Iterator[bytes]) -> Iterator[tuple]:
+        n, sums, d2 = np.zeros(len(current)), np.zeros_like(current), 0.0
+        for block in items:
+            x = np.frombuffer(block, dtype=np.float64).reshape(-1, current.shape[1])
+            cluster, gaps = nearest(x, current)
+            found, part = _sums(x, cluster)
+            n += np.bincount(cluster, minlength=len(current))
+            sums[found] += part
+            d2 += float(gaps.sum())
+        yield n, sums, d2
+
+    add = lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2])
+    zero = (np.zeros(len(current)), np.zeros_like(current), 0.0)
+    return blocks.mapPartitions(partial).treeAggregate(zero, add, add, depth=1 if blocks.getNumPartitions() <= 64 else 2)
