@@ -33,6 +33,18 @@ def scan_log_lines(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def scan_log_bundles(spark: SparkSession, pattern: str) -> DataFrame:
+    """Lines of bundles: files of many logs, each line being a log's name, a tab and its text.
+
+    As `scan_log_lines`, with the name as path.  A log may go on in another file; files
+    follow each other by name.  A line without a tab belongs to no log.
+    """
+    lines = scan_log_lines(spark, pattern)
+    name, text = F.split_part("line", F.lit("\t"), F.lit(1)), F.col("line").substr(F.instr("line", "\t") + 1, F.length("line"))
+    place = F.struct(F.col("path").alias("file"), F.col("place.block"), F.col("place.line"))
+    return lines.filter(F.contains("line", F.lit("\t"))).select(name.alias("path"), place.alias("place"), text.alias("line"))
+
+
 def parsed_line(line: Column) -> Column:
     """(energy, seconds) of a summary line, null for any other line.
 
@@ -85,13 +97,13 @@ def last_reading(lines: DataFrame, parser=parsed_line, keys=("path",)) -> DataFr
     )
 
 
-def parse_run_log(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, energy, seconds, failed) of every log under a glob."""
-    return last_reading(scan_log_lines(spark, pattern))
+def parse_run_log(spark: SparkSession, pattern: str, scan=scan_log_lines) -> DataFrame:
+    """(path, energy, seconds, failed) of every log under a glob; ``scan`` tells one log a file from bundles."""
+    return last_reading(scan(spark, pattern))
 
 
-def parse_run_log_keyword(spark: SparkSession, pattern: str) -> DataFrame:
-    return last_reading(scan_log_lines(spark, pattern), keyword_line)
+def parse_run_log_keyword(spark: SparkSession, pattern: str, scan=scan_log_lines) -> DataFrame:
+    return last_reading(scan(spark, pattern), keyword_line)
 
 
 def failed_run_flag(lines: DataFrame, keys=("path",)) -> DataFrame:

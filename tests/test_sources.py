@@ -87,6 +87,40 @@ def test_log_parsers(spark, root):
     assert got == {"p": (None, 7.0), "q": (None, None)}
 
 
+def test_log_bundles(spark, tmp_path):
+    """Many logs in few files, as one log a file would give; a log may go on in the next file."""
+    summary = "Energy consumption in joules: {}.5 for 2.0 sec of execution."
+    logs = {f"run={k}": ["sampling started", summary.format(k), "a\ttab", summary.format(k + 100)] for k in range(5)}
+    logs["run=3"].append("Traceback (most recent call last)")
+    logs["run="] = [""]
+    for name, lines in logs.items():
+        write(f"{tmp_path}/single/{name}/run.log", "\n".join(lines) + "\n")
+    tagged = [f"{name}\t{line}" for name, lines in logs.items() for line in lines]
+    write(f"{tmp_path}/bundles/part-0", "\n".join(tagged[:7]) + "\n")
+    write(f"{tmp_path}/bundles/part-1", "\n".join(["no log", *tagged[7:]]) + "\n")
+    for parse in (L.parse_run_log, L.parse_run_log_keyword):
+        got = {r["path"]: tuple(r)[1:] for r in parse(spark, f"{tmp_path}/bundles", L.scan_log_bundles).collect()}
+        assert got == {r["path"].split("/")[-2]: tuple(r)[1:] for r in parse(spark, f"{tmp_path}/single").collect()}
+        assert got["run=3"] == (103.5, 2.0, True) and got["run="] == (None, None, False) and len(got) == 6
+
+
+def test_log_queries_write_few_files(spark, tmp_path):
+    """As many files as tasks, whatever the number of logs; a log without a number is kept."""
+    import glob
+
+    from runlens.plans import experiment_queries as Q
+
+    items = spark.range(900).selectExpr(
+        "nullif(id % 300, 0) AS l_suppkey", "id AS l_orderkey", "1 + id % 7 AS l_linenumber",
+        "CAST(id AS DOUBLE) AS l_extendedprice", "2.0D AS l_quantity", "0.0D AS l_tax",
+    )
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    written = Q._log_files(spark, str(tmp_path))
+    assert len(glob.glob(f"{written}/**/*.txt", recursive=True)) <= 8
+    rows = Q.parse_run_log(spark, str(tmp_path)).collect()
+    assert {r["run"] for r in rows} == {None, *range(1, 300)} and len(rows) == 300
+
+
 def test_tolerant_scan(spark, root):
     write(f"{root}/results_3/main/run_table.csv", f"{HEADER}\nrun_0,km/km.py,1\n")
     write(f"{root}/results_4/main/run_table.csv", "")
