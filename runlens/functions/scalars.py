@@ -128,9 +128,16 @@ def normal_ci(
 # -- names and paths --------------------------------------------------------
 def parse_variant(path: Column | str) -> dict[str, Column]:
     """Benchmark and variant from ``folder/benchmark_VARIANT.py``."""
-    parts = F.split(F.regexp_replace(col(path), r"\.py$", ""), "/")
-    stem = F.element_at(parts, -1)
-    benchmark = F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2))).otherwise(stem)
+    text, end = col(path), F.lit(".py")
+    # plain searches: a pattern and a split would be evaluated again wherever a column is used
+    name = (
+        F.when(F.endswith(text, end), F.substr(text, F.lit(1), F.length(text) - 3))
+        .when(F.contains(text, end), F.regexp_replace(text, r"\.py$", ""))
+        .otherwise(text)
+    )
+    stem = F.substring_index(name, "/", -1)
+    folder = F.substring_index(F.substring_index(name, "/", -2), "/", 1)
+    benchmark = F.when(F.contains(text, F.lit("/")), folder).otherwise(stem)
     prefix = F.concat(benchmark, F.lit("_"))
     variant = F.when(
         (stem != benchmark) & stem.startswith(prefix),

@@ -26,7 +26,10 @@ def path_component(path: Column, depth: int) -> Column:
 
     A ``key=value`` folder gives its value.
     """
-    return F.regexp_replace(F.try_element_at(F.split(path, "/"), F.lit(-depth)), "^[^=]*=", "")
+    tail = F.substring_index(path, "/", -depth)
+    # a path that is its own tail may have fewer components
+    part = F.when(tail != path, F.substring_index(tail, "/", 1)).otherwise(F.try_element_at(F.split(path, "/"), F.lit(-depth)))
+    return F.when(F.contains(part, F.lit("=")), F.substr(part, F.instr(part, "=") + 1)).otherwise(part)
 
 
 def scan_run_tables(
@@ -116,7 +119,10 @@ def clean_runs(
     """
     runs = require_columns(raw).withColumnRenamed("__run_id", "run_id")
     runs = runs.withColumns({c: safe_numeric(c) for c in S.RUN_METRICS})
-    runs = exclude_variants(runs.withColumns(parse_variant("python_file")))
+    # made into a row of its own, so that the names are found once a run: a filter on plain
+    # columns would be pushed below them, with a copy of their expressions for every use
+    names = F.struct(*[c.alias(n) for n, c in parse_variant("python_file").items()])
+    runs = exclude_variants(runs.select("*", F.inline(F.array(names))))
     runs = runs.withColumn("log_path", derive_log_path(root, "results_set", subdir, "run_id", log_name))
     if logs is None:
         none = F.lit(None).cast("double")

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from runlens.functions import scalars as P
+from runlens.sources.run_tables import path_component
 
 
 def test_parse_variant(spark):
@@ -92,3 +93,28 @@ def test_names_and_report_text(spark):
     assert tuple(got[1]) == ("plain", None, None, None, None)
     labels = df.select(P.metric_label(F.lit("delta_cpu_pct")), P.metric_label("s")).first()
     assert tuple(labels) == ("CPU %", "delta_energy_pct_q25")
+
+
+def test_names_by_plain_searches(spark):
+    """The same names as by patterns and splits, which a plan repeats for every use of a column."""
+    import re
+
+    texts = [None, "", "a", "a.py", "b/b_G1.py", "x/b/b_G9.py", "/c.py", "b/", "b/b_.py", "a.pyc", "b/x.py/b_G3", "b/b_G1.py\n", "k=v/b.py"]
+    rows = spark.createDataFrame([(t,) for t in texts], "p string")
+    found = rows.select("p", *[c.alias(n) for n, c in P.parse_variant("p").items()])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 0
+    for r in found.collect():
+        if r["p"] is None:
+            assert (r["benchmark"], r["variant"]) == (None, None)
+            continue
+        parts = re.sub(r"\.py$", "", r["p"]).split("/")
+        benchmark = parts[-2] if len(parts) > 1 else parts[-1]
+        marked = parts[-1] != benchmark and parts[-1].startswith(benchmark + "_")
+        assert (r["benchmark"], r["variant"]) == (benchmark, parts[-1][len(benchmark) + 1 :] if marked else "BASELINE")
+    paths = spark.createDataFrame([(t,) for t in [None, "", "a", "f.csv", "k=v=w/f.csv", "/r/k=v/main/f.csv", "a/b/c/d"]], "p string")
+    for depth in (1, 2, 3):
+        for r in paths.select("p", path_component(F.col("p"), depth).alias("c")).collect():
+            parts = (r["p"] or "").split("/")
+            want = None if r["p"] is None or len(parts) < depth else re.sub("^[^=]*=", "", parts[-depth])
+            assert r["c"] == want, (r["p"], depth)

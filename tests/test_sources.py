@@ -87,6 +87,14 @@ def test_log_parsers(spark, root):
     assert got == {"p": (None, 7.0), "q": (None, None)}
 
 
+def test_clean_runs_finds_names_once(spark, root):
+    """The plan of the cleaned runs doesn't grow by a copy of the names for every use."""
+    raw = R.scan_run_tables(spark, f"{root}/results_*/main/run_table.csv")
+    plan = R.clean_runs(raw, root=root, subdir="main").select("run_id", "benchmark", "variant")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan
+    assert not any(".py" in line for line in plan.splitlines() if "Filter" in line)
+
+
 def test_log_bundles(spark, tmp_path):
     """Many logs in few files, as one log a file would give; a log may go on in the next file."""
     summary = "Energy consumption in joules: {}.5 for 2.0 sec of execution."
