@@ -137,12 +137,11 @@ def parse_variant(path: Column | str) -> dict[str, Column]:
     )
     stem = F.substring_index(name, "/", -1)
     folder = F.substring_index(F.substring_index(name, "/", -2), "/", 1)
-    benchmark = F.when(F.contains(text, F.lit("/")), folder).otherwise(stem)
-    prefix = F.concat(benchmark, F.lit("_"))
-    variant = F.when(
-        (stem != benchmark) & stem.startswith(prefix),
-        F.substr(stem, F.length(prefix) + 1),
-    ).otherwise(S.BASELINE)
+    nested = F.contains(text, F.lit("/"))
+    benchmark = F.when(nested, folder).otherwise(stem)
+    # without a folder the stem is the benchmark
+    marked = nested & F.startswith(stem, F.concat(folder, F.lit("_")))
+    variant = F.when(marked, F.substr(stem, F.length(folder) + 2)).otherwise(S.BASELINE)
     return {"benchmark": benchmark, "variant": F.when(col(path).isNotNull(), variant)}
 
 
