@@ -16,12 +16,16 @@ stay separate rows, ordered by their text; a null id comes first.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,8 +34,10 @@ from .common import byte_slices, joinable, list_array, saved
 
 BLOCK_IDS = 1 << 16
 #: Parts of texts kept from batch to batch, and how long they may be.
-KEPT_PARTS = 400_000
+KEPT_PARTS = 300_000
 KEPT_LENGTH = 64
+#: Bytes of text worked on at once.
+SLICE = 2 << 20
 
 BLOCKS = (
     "shard int, block int, n_docs int, n_ids long, first_doc long, last_doc long, "
@@ -104,7 +110,10 @@ def byte_letters() -> list[str]:
 #: Words of Latin letters alone, which normalisation leaves as they are but for their case (the dotted capital I
 #: becomes two characters, so it isn't one of them), and marks behind them, which are parted from letters.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
-_MARKED = re.compile(_LATIN.pattern.join("()") + r"([!-&(-/:;=?@\[\\\]^`{}~]+)")
+_MARKS = r"[!-&(-/:;=?@\[\\\]^`{}~]+"
+_MARKED = re.compile(f"({_LATIN.pattern})({_MARKS})")
+#: The last letter of a part, and the marks behind it up to the part's end (the same classes for Arrow).
+_PARTED = f"({_LATIN.pattern[:-1]})({_MARKS})( |$)"
 
 
 def _merge_inputs(words: list[str]) -> list[str]:
@@ -122,6 +131,18 @@ def _word(part: str) -> tuple[str, str]:
     return part, ""
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without Python's search for cycles: words and ids make none, but so many objects that it ran all the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _encode_parts(parts: list[str], model, known: dict[str, bytes]) -> dict[str, bytes]:
     """Ids of distinct parts that aren't known, as bytes."""
     merges = model.model
@@ -131,9 +152,12 @@ def _encode_parts(parts: list[str], model, known: dict[str, bytes]) -> dict[str,
     # the word before a mark may be a part as well, here or earlier
     more = list({m[1] for m in marked.values()} - own)
     words = latin + [w for w in more if w not in known]
-    seen = _merge_inputs(words) if words else []
-    once = {x: array("I", [t.id for t in merges.tokenize(x)]).tobytes() for x in set(seen)}
-    found = dict(zip(words, map(once.__getitem__, seen)))
+    # words that differ in case alone share their ids, which are known by the word in lower case
+    folded = "\n".join(words).lower().split("\n") if words else []
+    fresh = list(set(folded).difference(known))
+    seen = _merge_inputs(fresh) if fresh else []
+    once = {w: array("I", [t.id for t in merges.tokenize(x)]).tobytes() for w, x in zip(fresh, seen)}
+    found = {p: once[w] if w in once else known[w] for p, w in zip(words, folded)}
     # tokens of special strings don't fold; a part that may hold one is encoded as it is
     cut = {p: (p, "") if "<|" in p else _word(p) for p in parts if p not in own and p not in marked}
     hard = list({w for pair in cut.values() for w in pair if w} | {m[2] for m in marked.values()})
@@ -141,32 +165,47 @@ def _encode_parts(parts: list[str], model, known: dict[str, bytes]) -> dict[str,
     for start in range(0, len(hard), 10_000):
         some = hard[start : start + 10_000]
         ids.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, model.encode_batch_fast(some, add_special_tokens=False)))
-    out = {p: found[p] for p in latin}
+    out = {**once, **{p: found[p] for p in latin}}
     out.update((p, (found[m[1]] if m[1] in found else known[m[1]]) + ids[m[2]]) for p, m in marked.items())
     out.update((p, ids[w] + ids[mark]) for p, (w, mark) in cut.items())
     return out
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
+def encode_texts(texts: list[str | None] | pa.Array, path: str) -> list[np.ndarray]:
     """Ids of whole texts.
 
     A text is cut at spaces and line ends: this kind of tokenizer drops white
     space before its merges, so nothing it does reaches across.  It also parts
     letters from the marks after them.  Each distinct part is encoded once for a
-    batch, and a bounded number of parts is kept.
+    batch, and a bounded number of parts is kept.  Arrow cuts the texts and
+    numbers their parts; Python only sees the distinct ones.
     """
+    with _uncollected():
+        return _encode_column(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""), path)
+
+
+def _encode_column(column: pa.Array, path: str) -> list[np.ndarray]:
     model, known = tokenizer(path)
-    split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    parts = set().union(*split)
-    now = {p: known[p] for p in parts & known.keys()}
-    fresh = _encode_parts(list(parts.difference(now)), model, known)
-    now.update(fresh)
+    for blank in "\n\t":
+        column = pc.replace_substring(column, blank, " ")
+    split = pc.split_pattern(pc.replace_substring_regex(column, _PARTED, r"\1 \2\3"), " ")
+    coded = split.values.dictionary_encode()
+    parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    ids = list(map(known.get, parts))
+    fresh = _encode_parts([p for p, b in zip(parts, ids) if b is None], model, known)
     if len(known) + len(fresh) > KEPT_PARTS:
         # the parts of this batch stay: common ones are among them
         known.clear()
-        fresh = now
+        known.update((p, b) for p, b in zip(parts, ids) if b is not None)
+    ids = [fresh[p] if b is None else b for p, b in zip(parts, ids)]
     known.update((p, b) for p, b in fresh.items() if len(p) <= KEPT_LENGTH and len(known) < KEPT_PARTS)
-    return [np.frombuffer(b"".join(map(now.__getitem__, some)), "<u4") for some in split]
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+    table = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+    flat = table.take(coded.indices)
+    # where each part's ids begin, and of those where each text's do
+    starts = flat.offsets.to_numpy()[split.offsets.to_numpy()]
+    values = flat.values.to_numpy()
+    return [values[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
 def _check_kind(path: str) -> None:
@@ -221,14 +260,15 @@ def write_token_files(
 
         end = np.array([end_id], np.uint32)
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
+            for batch in byte_slices(whole, "text", SLICE):
                 shard = batch.column("shard")[0].as_py()
-                for doc, ids in zip(batch.column("id").to_pylist(), encode_texts(batch.column("text").to_pylist(), tokenizer_path)):
+                for doc, ids in zip(batch.column("id").to_pylist(), encode_texts(batch.column("text"), tokenizer_path)):
                     if held and size + len(ids) >= BLOCK_IDS:
                         yield close()
                         held, size, block = [], 0, block + 1
                     held.append((doc, np.concatenate([ids, end])))
                     size += len(ids) + 1
+                pa.default_memory_pool().release_unused()
         if held:
             yield close()
 

@@ -1,9 +1,12 @@
 """Token operators against their libraries."""
 
+import gc
 import hashlib
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -92,6 +95,30 @@ def test_words_encode_as_whole_texts(texts):
     ]
 
 
+def test_words_that_differ_in_case_or_marks_are_merged_once():
+    model, merged = token_file.tokenizer(WORDS)[0], []
+    counted = SimpleNamespace(
+        model=SimpleNamespace(tokenize=lambda w: merged.append(w) or model.model.tokenize(w)), encode_batch_fast=model.encode_batch_fast
+    )
+    known = token_file._encode_parts(["zwirnfarn"], counted, {})
+    got = token_file._encode_parts(["Zwirnfarn", "ZWIRNFARN", "Zwirnfarn.", "zwirnFARN!?"], counted, known)
+    assert len(merged) == 1
+    for part, ids in got.items():
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(part, add_special_tokens=False).ids
+
+
+def test_texts_encode_from_slices_of_arrow_columns(monkeypatch):
+    monkeypatch.setattr(token_file, "KEPT_PARTS", 3)
+    model, known = token_file.tokenizer(WORDS)
+    known.clear()
+    texts = ["left out", None, "", " Ab, ab\tAB.\n", "d\u00e9j\u00e0 vu; it's 3.", "a<|endoftext|>. x", "ab ab", "j\u030cJ\u030c. e\u0301!", None]
+    for _ in range(2):
+        column = pa.array(texts, pa.string()).slice(1, 7)
+        got = token_file.encode_texts(column, WORDS)
+        assert [a.tolist() for a in got] == [model.encode(t or "", add_special_tokens=False).ids for t in texts[1:8]]
+        assert len(known) <= 3 and gc.isenabled()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 31), st.data())
 def test_packing_round_trip(bits, data):
