@@ -70,6 +70,8 @@ EARLIEST = 12
 SLICE = 1 << 19
 #: Another turn of proposals follows if this share of the last ones were links.
 WORTH = 0.25
+#: Edges that one task follows alone (2 MB of ids); more are dealt out by node.
+FEW_EDGES = 1 << 17
 
 #: Bits of a signature that tell its band.
 BAND_BITS = 6
@@ -293,9 +295,11 @@ def _index(docs: DataFrame, size: int, bands: Bands, ways: dict[int, str] | None
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The pairs (a, b), a table already written, that are links."""
+    pairs = joinable(pairs, 16)
     left = docs.select(F.col("id").alias("a"), F.col("text").alias("left"))
-    right = docs.select(F.col("id").alias("b"), F.col("text").alias("right"))
+    # of the right side only the texts in pairs are dealt out
+    right = docs.select(F.col("id").alias("b"), F.col("text").alias("right")).join(pairs.select("b"), "b", "left_semi")
 
     def run(batches):
         for whole in batches:
@@ -314,31 +318,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, bands: Bands) -> Dat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the ends of edges (a, b): the least id that edges reach.
+    """(id, component) of the ends of edges (a, b), a table already written: the least id that edges reach.
 
     Large and small stars in turn: every node tells its larger neighbours, then
     its smaller ones and itself, the least node it knows, until nothing changes.
-    Hot nodes only send minima through aggregation.
+    Hot nodes only send minima through aggregation.  A turn never adds edges, so
+    few of them stay few and are followed in one partition, without shuffles.
     """
-    least, most = F.least("a", "b"), F.greatest("a", "b")
-    edges = saved(edges.where("a <> b").select(least.alias("a"), most.alias("b")).distinct(), "edges")
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few = edges.count() <= FEW_EDGES
+    dealt = lambda df: df.coalesce(1) if few else df
+    edges = dealt(saved(dealt(edges).distinct(), "edges"))
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.inline(ends))
         # large star: b > a goes to the least neighbour of a
         root = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
         large = both.where("b > a").join(root, "a").select(F.col("root").alias("a"), "b").distinct()
-        large = saved(large, "large")
+        large = dealt(saved(large, "large"))
         # small star: of b and its smaller neighbours, all go to the least of them
         root = large.groupBy("b").agg(F.min("a").alias("root"))
         small = large.join(root, "b")
-        edges = saved(
-            small.select(F.col("root").alias("a"), F.col("a").alias("b"))
-            .unionByName(small.select(F.col("root").alias("a"), "b"))
-            .where("a <> b")
-            .distinct(),
-            "edges",
-        )
+        told = F.explode(F.array("a", "b")).alias("b")
+        edges = dealt(saved(small.select(F.col("root").alias("a"), told).where("a <> b").distinct(), "edges"))
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
@@ -346,6 +349,19 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "id")
 
 
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) like ``known`` after more links (a, b), both tables already written: only the components that links touch are followed."""
+    of = joinable(known, 16)
+    label = lambda c: of.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    between = between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    # a component's own id is no row of ``known``, so no id comes twice
+    roots = saved(components(saved(between, "between")), "roots")
+    new = joinable(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), 16)
+    moved = known.join(new, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return saved(moved.unionByName(roots), "components")
+
+
 def _groups(index: DataFrame) -> DataFrame:
     """(sig, id, kind, prev): members of groups that can make a pair, and the member before each by contents."""
     order = Window.partitionBy("sig").orderBy(F.desc("kind"), "id")
@@ -369,7 +385,7 @@ def _proposed(groups: DataFrame, equal: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("count", "prev")).alias("best"))
         .select(F.col("best.prev").alias("a"), F.col("id").alias("b"))
     )
-    of = equal.select(F.col("b").alias("id"), F.col("a").alias("same"))
+    of = joinable(equal, 16).select(F.col("b").alias("id"), F.col("a").alias("same"))
     same = lambda c: F.coalesce(F.col(f"same_{c}"), F.col(c))
     return saved(
         proposed.join(of.select(F.col("id").alias("a"), F.col("same").alias("same_a")), "a", "left")
@@ -427,14 +443,14 @@ def _allocated(open_: DataFrame, texts: DataFrame, first: DataFrame, bits: DataF
     ) if better else open_
 
 
-def _still_open(groups: DataFrame, components: DataFrame, bits: DataFrame) -> DataFrame:
-    """Rows (sig, id, kind) of the groups with more than one component, with that component ``c`` and the parity bits."""
+def _still_open(groups: DataFrame, components: DataFrame, bits: DataFrame | None = None) -> DataFrame:
+    """Rows of the groups with more than one component, with that component ``c`` and the parity bits, if they have none yet."""
     label = F.coalesce("component", "id").alias("c")
-    labelled = saved(groups.join(components, "id", "left").select("sig", "id", "kind", label), "labelled")
+    columns = [c for c in groups.columns if c != "c"]
+    labelled = saved(groups.join(joinable(components, 16), "id", "left").select(*columns, label), "labelled")
     ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    return saved(
-        labelled.join(ends.where("low <> high").select("sig"), "sig", "left_semi").join(bits, "id"), "open"
-    )
+    rest = labelled.join(ends.where("low <> high").select("sig"), "sig", "left_semi")
+    return saved(rest if bits is None else rest.join(bits, "id"), "open")
 
 
 def _may_link(bands: Bands):
@@ -490,7 +506,7 @@ def link_components(
     release(spark)
     first = saved(components(equal.unionByName(links)), "components")
 
-    bits = _bits(facts)
+    bits = saved(_bits(facts), "bits")
     left_over = _still_open(groups.select("sig", "id", "kind"), first, bits)
     ids = saved(left_over.select("id").distinct(), "open-ids")
     texts = saved(rows.join(joinable(ids, 16), "id", "left_semi"), "open-texts")
@@ -514,9 +530,8 @@ def link_components(
         found = links.count()
         if not found:
             break
-        known = first.select(F.col("component").alias("a"), F.col("id").alias("b"))
-        first = saved(components(known.unionByName(links)), "components")
-        left_over, turn = _still_open(left_over.select("sig", "id", "kind"), first, bits), turn + 1
+        first = _joined(first, links)
+        left_over, turn = _still_open(left_over, first), turn + 1
         if found < WORTH * tried.count():
             break
     left_over = _first_met(left_over)
@@ -532,10 +547,9 @@ def link_components(
         "crossing",
     )
     more = saved(_verified(crossing, texts, size, bands), "more-links")
-    of_label = first.select(F.col("component").alias("a"), F.col("id").alias("b"))
-    final = first if more.isEmpty() else saved(components(of_label.unionByName(more)), "components")
+    final = first if more.isEmpty() else _joined(first, more)
     release(spark)
-    return facts.select("id", "n").join(final, "id", "left").select(
+    return facts.select("id", "n").join(joinable(final, 16), "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 

@@ -294,3 +294,29 @@ def test_lines_near_the_limit_are_counted_exactly(spark):
     )
     found = line_dedup.boilerplate(frame, n).count()
     assert found == 2
+
+
+def test_few_edges_are_followed_without_shuffles(spark, monkeypatch):
+    plans, kept = [], nj.saved
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    chain = [(i, i + 1) for i in range(1, 12)] + [(40, 30), (30, 35), (35, 35), (30, 40)]
+    edges = kept(spark.createDataFrame(chain, "a long, b long").repartition(3), "edges")
+    want = {**{i: 1 for i in range(2, 13)}, 35: 30, 40: 30}
+    monkeypatch.setattr(nj, "saved", watched)
+    assert {r.id: r.component for r in nj.components(edges).collect()} == want
+    assert plans and not any("hashpartitioning" in p for p in plans)
+    monkeypatch.setattr(nj, "FEW_EDGES", 2)
+    assert {r.id: r.component for r in nj.components(edges).collect()} == want
+    assert any("hashpartitioning" in p for p in plans)
+
+
+def test_more_links_join_known_components(spark):
+    known = [(2, 1), (3, 1), (11, 10), (21, 20), (31, 30)]
+    links = [(3, 11), (20, 5), (50, 51), (2, 3), (51, 49)]
+    frames = [nj.saved(spark.createDataFrame(x, s), "given") for x, s in ((known, "id long, component long"), (links, "a long, b long"))]
+    got = sorted((r.id, r.component) for r in nj._joined(*frames).collect())
+    assert got == [(2, 1), (3, 1), (10, 1), (11, 1), (20, 5), (21, 5), (31, 30), (50, 49), (51, 49)]
