@@ -85,6 +85,28 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], keys: list[str], path: st
             )
 
 
+def _decode_batches(batches: Iterator[pa.RecordBatch], path: str, ids_col: str, out: str):
+    table = token_bytes(path)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            rows = batch.slice(start, 512)
+            texts = []
+            for ids in rows.column(ids_col):
+                values = ids.values
+                try:
+                    texts.append(
+                        None
+                        if values is None
+                        else b"".join(
+                            b"".join(map(table.__getitem__, values.slice(i, 1 << 20).to_pylist()))
+                            for i in range(0, len(values), 1 << 20)
+                        )
+                    )
+                except KeyError:
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.binary())], [*rows.schema.names, out])
+
+
 def encode(
     docs: DataFrame,
     ranks_path: str,
@@ -93,8 +115,14 @@ def encode(
     text_col: str = "text",
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    decoded: bool = False,
 ) -> DataFrame:
-    """(id_col, ids array<int>), one row for each row of ``docs``."""
+    """(id_col, ids array<int>), one row for each row of ``docs``.
+
+    ``decoded`` adds what ``decode`` adds.  A text of one chunk is then encoded and its ids
+    decoded by one Python worker: two steps in one stage keep two workers for each core,
+    which stay in memory and take part in whatever the session runs next.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     long = F.char_length("text") > chunk + overlap
@@ -102,7 +130,12 @@ def encode(
     def encode_by(*keys):
         return lambda batches: _encode_batches(batches, list(keys), ranks_path, pattern)
 
-    short = rows.where(~long).mapInArrow(encode_by("id"), f"id {id_type}, ids array<int>")
+    def round_trip(batches):
+        return _decode_batches(encode_by("id")(batches), ranks_path, "ids", "bytes")
+
+    short = rows.where(~long).mapInArrow(
+        round_trip if decoded else encode_by("id"), f"id {id_type}, ids array<int>" + ", bytes binary" * decoded
+    )
     key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), F.col("text")).alias("k2")]
     texts = rows.where(long).select(*key, "text").dropDuplicates(["k1", "k2"])
     n = F.ceil((F.char_length("text") - overlap) / chunk).cast("int")
@@ -157,6 +190,8 @@ def encode(
         F.expr("flatten(transform(array_sort(collect_list(struct(piece, ids))), x -> x.ids))").alias("ids")
     )
     of_long = rows.where(long).select("id", *key).join(joined, ["k1", "k2"]).select("id", "ids")
+    if decoded:
+        of_long = decode(of_long, ranks_path)
     return short.unionByName(of_long).withColumnRenamed("id", id_col)
 
 
@@ -164,27 +199,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str =
     """Add the bytes that the ids stand for, one after the other; null where an id is unknown."""
 
     def run(batches):
-        table = token_bytes(ranks_path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                rows = batch.slice(start, 512)
-                texts = []
-                for ids in rows.column(ids_col):
-                    values = ids.values
-                    try:
-                        texts.append(
-                            None
-                            if values is None
-                            else b"".join(
-                                b"".join(map(table.__getitem__, values.slice(i, 1 << 20).to_pylist()))
-                                for i in range(0, len(values), 1 << 20)
-                            )
-                        )
-                    except KeyError:
-                        texts.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(texts, pa.binary())], [*rows.schema.names, out]
-                )
+        return _decode_batches(batches, ranks_path, ids_col, out)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kinds}, `{out}` binary")

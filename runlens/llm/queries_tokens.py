@@ -17,8 +17,8 @@ END_ID = 2
 def op1(spark, sf_dir):
     """Ids of every document and the bytes they decode to, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks).select("doc_id", *bpe.digests())
+    decoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
+    return decoded.select("doc_id", *bpe.digests())
 
 
 @query("op2_token_files")

@@ -12,7 +12,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from runlens.llm import bpe, token_counts, token_file
+from runlens.llm.catalog import QUERIES
 
 from .conftest import rows
 
@@ -34,6 +36,30 @@ def test_bpe_equals_the_library_and_decodes(clashing_docs, edge_rows):
     assert sorted((r.doc_id, bytes(r.bytes)) for r in got) == sorted((r.doc_id, (r.text or "").encode()) for r in edge_rows)
 
 
+def test_bpe_encodes_and_decodes_in_one_step(spark, clashing_docs, edge_rows, no_docs):
+    for chunk in (bpe.CHUNK, 40):  # most texts in one chunk, and in several
+        got = bpe.encode(clashing_docs, RANKS, P.PATTERN, chunk=chunk, overlap=min(chunk // 4, bpe.OVERLAP), decoded=True)
+        assert got.columns == ["doc_id", "ids", "bytes"]
+        want = [(r.doc_id, tuple(expected_ids(r.text)), (r.text or "").encode()) for r in edge_rows]
+        assert sorted((r.doc_id, tuple(r.ids), bytes(r.bytes)) for r in got.collect()) == sorted(want)
+    assert bpe.encode(no_docs, RANKS, P.PATTERN, decoded=True).count() == 0
+
+
+def python_steps(node, above=0):
+    """The most Python steps that one task runs at once, each in a worker of its own."""
+    if node.nodeName().startswith("AdaptiveSparkPlan"):
+        node = node.initialPlan()
+    here = 0 if "Exchange" in node.nodeName() else above + (node.nodeName() == "MapInArrow")
+    below = node.children()
+    return max([here, *(python_steps(below.apply(i), here) for i in range(below.size()))])
+
+
+def test_tasks_of_bpe_keep_one_python_worker_each(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for df in (corpus_pipeline.encode(spark, docs, small), QUERIES["op1_byte_bpe"](spark, small)):
+        assert python_steps(df._jdf.queryExecution().executedPlan()) == 1
+
+
 def test_bpe_chunks_stitch(spark):
     texts = [
         "aaaa " * 200,
