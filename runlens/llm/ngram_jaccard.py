@@ -447,9 +447,10 @@ def _still_open(groups: DataFrame, components: DataFrame, bits: DataFrame | None
     """Rows of the groups with more than one component, with that component ``c`` and the parity bits, if they have none yet."""
     label = F.coalesce("component", "id").alias("c")
     columns = [c for c in groups.columns if c != "c"]
-    labelled = saved(groups.join(joinable(components, 16), "id", "left").select(*columns, label), "labelled")
-    ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    rest = labelled.join(ends.where("low <> high").select("sig"), "sig", "left_semi")
+    labelled = groups.join(joinable(components, 16), "id", "left").select(*columns, label)
+    group = Window.partitionBy("sig")
+    ends = labelled.withColumn("low", F.min("c").over(group)).withColumn("high", F.max("c").over(group))
+    rest = ends.where("low <> high").drop("low", "high")
     return saved(rest if bits is None else rest.join(bits, "id"), "open")
 
 

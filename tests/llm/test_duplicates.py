@@ -320,3 +320,15 @@ def test_more_links_join_known_components(spark):
     frames = [nj.saved(spark.createDataFrame(x, s), "given") for x, s in ((known, "id long, component long"), (links, "a long, b long"))]
     got = sorted((r.id, r.component) for r in nj._joined(*frames).collect())
     assert got == [(2, 1), (3, 1), (10, 1), (11, 1), (20, 5), (21, 5), (31, 30), (50, 49), (51, 49)]
+
+
+def test_open_groups_are_written_once(spark, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(nj, "saved", lambda df, name: wrote.append(name) or df)
+    groups = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 3, 0), (3, 4, 1), (3, 5, 2), (4, 6, 0)], "sig long, id long, kind byte")
+    known = spark.createDataFrame([(2, 1), (1, 1), (5, 4)], "id long, component long")
+    got = nj._still_open(groups, known)
+    assert sorted(map(tuple, got.select("sig", "id", "kind", "c").collect())) == [(2, 1, 0, 1), (2, 3, 0, 3)]
+    assert wrote == ["open"]
+    again = nj._still_open(got, spark.createDataFrame([(3, 1), (1, 1)], "id long, component long"))
+    assert again.columns == got.columns and again.count() == 0
