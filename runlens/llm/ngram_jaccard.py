@@ -25,7 +25,9 @@ in those, and kept where it leaves fewer pairs.  A set with a segment too poor f
 a finer cut keeps its first signatures beside it; two sets only miss each other
 there if both are poor.
 
-Candidates aren't all verified.  In a group of sets with one content, each set
+Candidates aren't all verified.  Before texts are dealt out by pairs, sketches of a
+bit or two for each element are: their parities bound the difference from below, so
+they never drop a similar pair, and few dissimilar pairs pass.  In a group of sets with one content, each set
 proposes the one before it; every set verifies the proposal it got most often.
 Verified links and equal sets give components.  A group whose members are all in
 one component has nothing more to tell.  In the others each set again proposes
@@ -64,6 +66,8 @@ SHARE = (80, 100)
 RATIO = 1.5
 #: Longs of parity bits for each set.
 PARITY = 8
+#: The fewest bits of a sketch.
+SKETCH = 64
 #: First groups of a set that tell whether a pair has met before.
 EARLIEST = 12
 #: Bytes of text worked on at once; the arrays beside it take about sixty times that.
@@ -240,8 +244,26 @@ def near_segments(m: int) -> int:
     return (m + 1) // 2
 
 
+def sketches(hashes: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity bits of sets of ``n`` elements, whose hashes follow one another: the least power of two from ``n`` on of each."""
+    width = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(width)])
+    own = (np.repeat(width, n) - 1).astype(np.uint64)
+    at = np.repeat(ends[:-1], n) + (hashes & own).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends // 8).astype(np.int32)), pa.py_buffer(bits)])
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """So many elements at least are in one of two sets alone, by their sketches; the longer one is folded."""
+    u, v = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
 def _facts(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, f1, f2, p0 ..): size, fingerprint and parity bits of each set."""
+    """(id, n, f1, f2, p0 .., sketch): size, fingerprint and parity bits of each set."""
 
     def run(batches):
         for whole in batches:
@@ -258,12 +280,17 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
                 np.bitwise_xor.at(parity, (row, (bit % np.uint64(PARITY)).astype(np.int64)), np.uint64(1) << (bit >> np.uint64(58)))
                 columns = [prints[0], prints[1], *parity.T]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)],
-                    ["id", "n", "f1", "f2", *(f"p{k}" for k in range(PARITY))],
+                    [
+                        batch.column("id"),
+                        pa.array(n),
+                        *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns),
+                        sketches(bit >> np.uint64(3), n),
+                    ],
+                    ["id", "n", "f1", "f2", *(f"p{k}" for k in range(PARITY)), "sketch"],
                 )
 
     bits = ", ".join(f"p{k} long" for k in range(PARITY))
-    return docs.mapInArrow(run, f"id long, n long, f1 long, f2 long, {bits}")
+    return docs.mapInArrow(run, f"id long, n long, f1 long, f2 long, {bits}, sketch binary")
 
 
 def _index(docs: DataFrame, size: int, bands: Bands, ways: dict[int, str] | None = None) -> DataFrame:
@@ -294,9 +321,30 @@ def _index(docs: DataFrame, size: int, bands: Bands, ways: dict[int, str] | None
     return docs.mapInArrow(run, "sig long, id long, kind byte")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """The pairs (a, b), a table already written, that are links."""
+def _likely(pairs: DataFrame, bits: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b), a table already written, that sizes and sketches don't rule out; an id with different texts has none."""
     pairs = joinable(pairs, 16)
+    left, right = (bits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    right = right.join(pairs.select("b"), "b", "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))):
+                ok.append(
+                    x is None
+                    or y is None
+                    or bands.den * min(n, m) >= bands.num * max(n, m)
+                    and (bands.den + bands.num) * least_difference(x, y) <= (bands.den - bands.num) * (n + m)
+                )
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, bits: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """The pairs (a, b), a table already written, that are links."""
+    pairs = joinable(saved(_likely(pairs, bits, bands), "likely"), 16)
     left = docs.select(F.col("id").alias("a"), F.col("text").alias("left"))
     # of the right side only the texts in pairs are dealt out
     right = docs.select(F.col("id").alias("b"), F.col("text").alias("right")).join(pairs.select("b"), "b", "left_semi")
@@ -451,7 +499,7 @@ def _still_open(groups: DataFrame, components: DataFrame, bits: DataFrame | None
     group = Window.partitionBy("sig")
     ends = labelled.withColumn("low", F.min("c").over(group)).withColumn("high", F.max("c").over(group))
     rest = ends.where("low <> high").drop("low", "high")
-    return saved(rest if bits is None else rest.join(bits, "id"), "open")
+    return saved(rest if bits is None else rest.join(bits.drop("sketch"), "id"), "open")
 
 
 def _may_link(bands: Bands):
@@ -471,11 +519,12 @@ def _may_link(bands: Bands):
 
 
 def _bits(facts: DataFrame) -> DataFrame:
-    """(id, n, p0 ..): size and parity bits of each id; null if it has different sets."""
+    """(id, n, p0 .., sketch): size and parity bits of each id; null if it has different sets."""
     columns = ["n", "f1", "f2", *(f"p{k}" for k in range(PARITY))]
-    ends = facts.groupBy("id").agg(F.min(F.struct(*columns)).alias("low"), F.max(F.struct(*columns)).alias("high"))
+    ends = facts.groupBy("id").agg(F.min(F.struct(*columns)).alias("low"), F.max(F.struct(*columns)).alias("high"), F.first("sketch").alias("sketch"))
     same = F.col("low") == F.col("high")
-    return ends.select("id", *[F.when(same, F.col("low").getField(c)).alias(c) for c in columns if c not in ("f1", "f2")])
+    bits = [F.when(same, F.col("low").getField(c)).alias(c) for c in columns if c not in ("f1", "f2")]
+    return ends.select("id", *bits, F.when(same, F.col("sketch")).alias("sketch"))
 
 
 def _first_met(open_: DataFrame) -> DataFrame:
@@ -503,11 +552,11 @@ def link_components(
     groups = saved(_groups(_index(rows, size, bands)), "groups")
     release(spark)
     proposed = _proposed(groups, equal)
-    links = saved(_verified(proposed, rows, size, bands), "links")
+    bits = saved(_bits(facts), "bits")
+    links = saved(_verified(proposed, rows, bits, size, bands), "links")
     release(spark)
     first = saved(components(equal.unionByName(links)), "components")
 
-    bits = saved(_bits(facts), "bits")
     left_over = _still_open(groups.select("sig", "id", "kind"), first, bits)
     ids = saved(left_over.select("id").distinct(), "open-ids")
     texts = saved(rows.join(joinable(ids, 16), "id", "left_semi"), "open-texts")
@@ -527,7 +576,7 @@ def link_components(
             .select("a", F.col("best.b").alias("b"))
         )
         tried = saved(tried, "tried")
-        links = saved(_verified(tried, texts, size, bands), "links")
+        links = saved(_verified(tried, texts, bits, size, bands), "links")
         found = links.count()
         if not found:
             break
@@ -535,6 +584,7 @@ def link_components(
         left_over, turn = _still_open(left_over, first), turn + 1
         if found < WORTH * tried.count():
             break
+    release(spark)
     left_over = _first_met(left_over)
     x, y = left_over.alias("x"), left_over.alias("y")
     ordered = F.col("x.c") < F.col("y.c")
@@ -547,7 +597,8 @@ def link_components(
         .distinct(),
         "crossing",
     )
-    more = saved(_verified(crossing, texts, size, bands), "more-links")
+    release(spark)
+    more = saved(_verified(crossing, texts, bits, size, bands), "more-links")
     final = first if more.isEmpty() else _joined(first, more)
     release(spark)
     return facts.select("id", "n").join(joinable(final, 16), "id", "left").select(

@@ -332,3 +332,33 @@ def test_open_groups_are_written_once(spark, monkeypatch):
     assert wrote == ["open"]
     again = nj._still_open(got, spark.createDataFrame([(3, 1), (1, 1)], "id long, component long"))
     assert again.columns == got.columns and again.count() == 0
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    sets = [rng.choice(100_000, n, replace=False).astype(np.uint64) for n in (0, 1, 63, 64, 65, 700, 1500, 3000, 3001)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], s[:1] + np.uint64(200_000)]) for s in sets]
+    n = np.array([len(s) for s in sets])
+    got = nj.sketches(nj.mix(np.concatenate(sets)), n).to_pylist()
+    assert [8 * len(x) for x in got[:9]] == [64, 64, 64, 64, 128, 1024, 2048, 4096, 4096]
+    for (x, s), (y, t) in itertools.product(zip(got, sets), repeat=2):
+        assert nj.least_difference(x, y) <= len(np.setxor1d(s, t))
+        assert x != y or nj.least_difference(x, y) == 0
+    # sets without a common element don't pass for similar ones
+    assert nj.least_difference(got[7], got[8]) > 0.2 * 6001
+
+
+def test_texts_are_dealt_out_for_likely_pairs_alone(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(3000)] for _ in range(12)]
+    texts.append(texts[0][:-50])
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(12, "another text of this id")]
+    docs = spark.createDataFrame(data, "id long, text string").repartition(3)
+    pairs = spark.createDataFrame([*itertools.combinations(range(12), 2), (0, 12), (3, 12)], "a long, b long")
+    written, saved = {}, nj.saved
+    monkeypatch.setattr(nj, "saved", lambda df, name: written.setdefault(name, saved(df, name)))
+    bands = nj.Bands(80, 100)
+    links = nj._verified(pairs, docs, nj._bits(nj._facts(docs, 5)), 5, bands)
+    assert [tuple(r) for r in links.collect()] == [(0, 12)]
+    # what has two texts isn't ruled out
+    assert sorted(tuple(r) for r in written["likely"].collect()) == [(0, 12), (3, 12)]
