@@ -27,7 +27,7 @@ def op2(spark, sf_dir):
     path = token_file.write_token_files(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "tokens"), END_ID
     )
-    return token_file.crc(token_file.read_documents(spark, path))
+    return token_file.read_crc(spark, path)
 
 
 @query("op6_token_counts")

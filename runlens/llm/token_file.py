@@ -165,7 +165,8 @@ def _encode_parts(parts: list[str], model, known: dict[str, bytes]) -> dict[str,
     for start in range(0, len(hard), 10_000):
         some = hard[start : start + 10_000]
         ids.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, model.encode_batch_fast(some, add_special_tokens=False)))
-    out = {**once, **{p: found[p] for p in latin}}
+    out = once
+    out.update((p, found[p]) for p in latin if p not in once)
     out.update((p, (found[m[1]] if m[1] in found else known[m[1]]) + ids[m[2]]) for p, m in marked.items())
     out.update((p, ids[w] + ids[mark]) for p, (w, mark) in cut.items())
     return out
@@ -276,8 +277,8 @@ def write_token_files(
     return out
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids) from the files; start counts the ids of all documents before."""
+def _read(spark: SparkSession, path: str, run, schema: str) -> DataFrame:
+    """What ``run`` makes of the blocks: (docs, ends, payload, bits), and begin, the ids of all blocks before."""
     blocks = spark.read.schema(f"{BLOCKS}, bits int").parquet(path)
     # one row for each block, and of those one for each shard, pass through these windows
     sizes = blocks.select("shard", "block", "n_ids")
@@ -290,34 +291,49 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         .select("shard", "block", (F.col("before") + F.col("inside")).alias("begin"))
     )
 
-    def run(batches):
-        for batch in batches:
-            for docs, ends, begin, payload, bits in zip(
-                *(batch.column(c).to_pylist() for c in ("docs", "ends", "begin", "payload", "bits"))
-            ):
-                ends = np.array(ends, np.int64)
-                for k in range(0, len(docs), 256):
-                    some = ends[k : k + 256]
-                    low = int(ends[k - 1]) if k else 0
-                    ids = unpack(payload, bits, low, int(some[-1]) - low)
-                    lows = np.concatenate([[low], some[:-1]])
-                    lists = np.split(ids, (some - low)[:-1])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(docs[k : k + 256], pa.int64()),
-                            pa.array(lows + begin, pa.int64()),
-                            list_array(lists, pa.int32()),
-                        ],
-                        ["doc_id", "start", "ids"],
-                    )
-
     return (
         blocks.select("shard", "block", "docs", "ends", "payload", "bits")
         .join(joinable(saved(starts, "starts"), 24), ["shard", "block"])
-        .mapInArrow(run, "doc_id long, start long, ids array<int>")
+        .mapInArrow(run, schema)
     )
 
 
+def _documents(batches) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids of some documents, where each of these begins and the last one ends, and their tokens from the first on."""
+    for batch in batches:
+        for docs, ends, begin, payload, bits in zip(
+            *(batch.column(c).to_pylist() for c in ("docs", "ends", "begin", "payload", "bits"))
+        ):
+            bounds = np.array([0, *ends], np.int64)
+            for k in range(0, len(docs), 256):
+                some = bounds[k : k + 257]
+                ids = unpack(payload, bits, int(some[0]), int(some[-1] - some[0]))
+                yield pa.array(docs[k : k + 256], pa.int64()), some + begin, ids
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, ids) from the files; start counts the ids of all documents before."""
+
+    def run(batches):
+        for docs, bounds, ids in _documents(batches):
+            lists = np.split(ids, (bounds - bounds[0])[1:-1])
+            yield pa.RecordBatch.from_arrays(
+                [docs, pa.array(bounds[:-1]), list_array(lists, pa.int32())], ["doc_id", "start", "ids"]
+            )
+
+    return _read(spark, path, run, "doc_id long, start long, ids array<int>")
+
+
+def read_crc(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the files, as ``crc`` of ``read_documents``: no ids leave the task that reads them."""
+
+    def run(batches):
+        for docs, bounds, ids in _documents(batches):
+            yield _sums(docs, pa.array(bounds[:-1]), ids, bounds - bounds[0])
+
+    return _read(spark, path, run, SUMS)
+
+
 def read_span(spark: SparkSession, path: str, doc_id: int, start: int = 0, count: int | None = None) -> list[int]:
     """Ids ``start`` to ``start + count`` of one document, read from its block only."""
     blocks = spark.read.schema(f"{BLOCKS}, bits int").parquet(path)
@@ -333,24 +349,27 @@ def read_span(spark: SparkSession, path: str, doc_id: int, start: int = 0, count
     return unpack(row.payload, row.bits, low + start, n).tolist()
 
 
+SUMS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _sums(docs: pa.Array, starts: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``SUMS``; the ids of a document are those between its bounds."""
+    import zlib
+
+    values = ids.astype("<u4")
+    sums = [zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    return pa.RecordBatch.from_arrays(
+        [docs, starts, pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.int64())],
+        ["doc_id", "start", "n_tokens", "ids_crc32"],
+    )
+
+
 def crc(documents: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of documents read from files."""
-    import zlib
 
     def run(batches):
         for batch in batches:
             ids = batch.column("ids")
-            values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            ends = ids.offsets.to_numpy()
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("start"),
-                    pa.array(np.diff(ends).astype(np.int64)),
-                    pa.array(sums, pa.int64()),
-                ],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+            yield _sums(batch.column("doc_id"), batch.column("start"), ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy())
 
-    return documents.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return documents.mapInArrow(run, SUMS)

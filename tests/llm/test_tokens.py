@@ -195,3 +195,15 @@ def test_queries_on_the_smallest_tables(spark, small):
     for r in q.op6(spark, small).collect():
         n = len(model.encode(docs[r.doc_id]))
         assert (r.n_tokens, r.over_limit) == (n, n > 4096)
+
+
+def test_ids_are_read_and_summed_in_one_step(spark, edge_docs, tmp_path):
+    path = token_file.write_token_files(edge_docs, WORDS, str(tmp_path / "tokens"), 2)
+    summed = token_file.read_crc(spark, path)
+    want = token_file.crc(token_file.read_documents(spark, path))
+    assert summed.schema == want.schema
+    assert sorted(map(tuple, summed.collect())) == sorted(map(tuple, want.collect()))
+    edge_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op2_token_files"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
