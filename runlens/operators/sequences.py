@@ -215,6 +215,31 @@ def divisible_by_one_bound(df: DataFrame, value: str) -> DataFrame:
     return df.filter(divides("lower") != divides("upper"))
 
 
+#: Multiples that one row strikes out.
+_STRUCK = 10_000
+
+
+def primes_upto(numbers: DataFrame, column: str) -> DataFrame:
+    """The numbers from 2 on that no smaller one of them divides: the primes, if none is missing.
+
+    Multiples of a number are struck out in blocks, which are dealt over tasks.
+    """
+    own = numbers.select(F.col(f"`{column}`").cast("bigint").alias("__n")).filter(F.col("__n") >= 2).distinct()
+    own = staged(own, "numbers")
+    last = F.expr(f"(__top div __n - 2) div {_STRUCK}")  # block of the last multiple; the first is twice the number
+    blocks = (
+        attach_row(own, own.agg(F.max("__n").alias("__top")))
+        .filter(F.expr("__top div __n >= 2"))
+        .withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        .repartition("__n", "__block")
+    )
+    start = F.col("__block") * _STRUCK + 2
+    end = F.least(start + (_STRUCK - 1), F.expr("__top div __n"))
+    n = F.col("__n")
+    multiples = blocks.select(F.explode(F.sequence(start * n, end * n, n)).alias("__n")).distinct()
+    return own.join(multiples, "__n", "left_anti").select(F.col("__n").alias(column))
+
+
 # -- ratios -----------------------------------------------------------------
 def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor; 92 steps suffice for any two 64-bit numbers."""

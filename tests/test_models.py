@@ -199,6 +199,25 @@ def test_semidivisible_totals(spark):
         assert SQ.divisible_by_one_bound(bounded, "v").agg(F.sum("v")).first()[0] == want
 
 
+def test_primes_among_numbers(spark, monkeypatch):
+    """Brute force, in blocks of a few multiples; numbers may be missing, repeated or null."""
+    monkeypatch.setattr(SQ, "_STRUCK", 7)
+    for numbers in (range(-3, 400), [n for n in range(0, 300) if n not in (2, 5, 14)], [], [1], [6, 6, 4, 3, 3]):
+        want = {n for n in numbers if n >= 2 and not any(n % d == 0 for d in numbers if 2 <= d < n)}
+        df = spark.createDataFrame([(n,) for n in [*numbers, None]], "k long")
+        assert sorted(r["k"] for r in SQ.primes_upto(df, "k").collect()) == sorted(want)
+
+
+def test_bounds_queries_use_the_primes(spark, tmp_path):
+    """As in the program that this follows; suppliers have no part in them."""
+    from runlens.plans.catalog import QUERIES
+
+    spark.range(0, 10_001).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(0, 500).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["v"]: (r["lower"], r["upper"]) for r in QUERIES["neighbour_bounds"](spark, str(tmp_path)).collect()}
+    assert len(got) == 10_001 and got[1000] == (31**2, 37**2) and got[4] == (4, 4) and got[3] == (None, 4)
+
+
 def test_bounds_with_one_breakpoint_far_off(spark):
     values = spark.range(1, 5001).withColumnRenamed("id", "v")
     points = spark.range(10, 5001, 10).select(F.col("id").cast("double").alias("b"))
