@@ -214,6 +214,7 @@ def test_bounds_queries_use_the_primes(spark, tmp_path):
 
     spark.range(0, 10_001).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     spark.range(0, 500).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert QUERIES["divisible_by_one_bound"](spark, str(tmp_path)).first()["total"] == 1134942
     got = {r["v"]: (r["lower"], r["upper"]) for r in QUERIES["neighbour_bounds"](spark, str(tmp_path)).collect()}
     assert len(got) == 10_001 and got[1000] == (31**2, 37**2) and got[4] == (4, 4) and got[3] == (None, 4)
 
