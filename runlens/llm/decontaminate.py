@@ -45,22 +45,27 @@ VALUED_UNIT = rf"({NUMBER}[^{END}]*{END}) ?(?:{UNIT_WORDS})($|[^\p{{L}}\p{{N}}])
 VALUED_TOKEN = r"([\x01\x02][^\x04]*\x04|[\p{L}]+|\x03)"
 
 
+def _flat(pattern: str) -> str:
+    """The same for Java, whose stack grows with each repeat of a group unless repeats are never given back; nothing here asks for them."""
+    return pattern.replace(")*", ")*+")
+
+
 def _plain(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x03]", " "), END, "\x05")
 
 
 def canonical(text: Column) -> Column:
     """Tokens of a text, with placeholders."""
-    named = F.regexp_replace(_plain(text), NAMES, f"$1{NAME}")
-    counted = F.regexp_replace(named, NUMBERS, NUMBER)
+    named = F.regexp_replace(_plain(text), _flat(NAMES), f"$1{NAME}")
+    counted = F.regexp_replace(named, _flat(NUMBERS), NUMBER)
     measured = F.regexp_replace(counted, UNIT_AFTER, f"{NUMBER}{UNIT}$1")
     return F.regexp_extract_all(F.lower(measured), F.lit(TOKEN), F.lit(1))
 
 
 def valued(text: Column) -> Column:
     """The tokens of ``canonical``, where names and numbers have their values behind them."""
-    named = F.regexp_replace(_plain(text), VALUED_NAMES, f"$1{NAME}$2{END}")
-    counted = F.regexp_replace(named, NUMBERS, f"{NUMBER}$0{END}")
+    named = F.regexp_replace(_plain(text), _flat(VALUED_NAMES), f"$1{NAME}$2{END}")
+    counted = F.regexp_replace(named, _flat(NUMBERS), f"{NUMBER}$0{END}")
     measured = F.regexp_replace(counted, VALUED_UNIT, f"$1{UNIT}$2")
     return F.regexp_extract_all(F.lower(measured), F.lit(VALUED_TOKEN), F.lit(1))
 

@@ -226,6 +226,19 @@ def test_valued_tokens_are_those_of_canonical(spark):
         assert [t[0] if t[0] in "\x01\x02\x03" else t for t in full] == bare
 
 
+def test_runs_of_any_length_are_one_name_or_number(spark):
+    """One stack frame for each word of a run ended the session at about 3 000 words."""
+    n = 20_000
+    names, numbers = "it says " + "Von " * n, "1.5," * n + "7"
+    texts = [f"{t} and then. Before it. {ITEM} And after." for t in (names + "Von", numbers, numbers.replace("5", "22"))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    sizes = F.size(dc.canonical(F.col("text"))), F.size(dc.valued(F.col("text"))), F.length(dc.valued(F.col("text"))[2])
+    got = [tuple(r) for r in df.select(*sizes).collect()]
+    assert [g[0] == g[1] for g in got] == [True] * 3 and len({g[0] for g in got[1:]}) == 1
+    assert got[0][2] == len("Von " * n + "Von") + 2 and got[0][0] == got[1][0] + 2
+    assert set(held(spark, texts, [ITEM])) == {(0, 0), (1, 0), (2, 0)}
+
+
 def test_the_item_twin_states_the_same_rules(spark, tmp_path):
     """The cases of the tests here, in one table each: copies by offset, runs, wordless windows, both forms, repeated ids."""
     from runlens.llm.catalog import QUERIES, SQL
