@@ -36,6 +36,17 @@ def test_edges(spark, clashing_docs, no_docs, small):
         assert cp.STAGES[-1][1](spark, kept, small).count() == kept.count()
 
 
+def test_benchmark_stage_reads_long_runs(spark, tmp_path):
+    """Junk of one word or number over and over ended the stage."""
+    item = "a question about three rivers and the seven towns that lie along them from north to south"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    junk = ["so, " + "Von " * 20_000, "3,14." * 10_000 + "7"]
+    texts = [*junk, *(f"{t} and {item}" for t in junk), None]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, lang="de", source="s", n_chars=len(t or "")) for i, t in enumerate(texts)], DOCS)
+    kept = cp.benchmark(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 4]
+
+
 ENGLISH = (
     "the house where water runs under bridge and people walk along river every morning before they work through "
     "night with friends who bring bread cheese apples from garden behind school while children play music around "
